@@ -1,12 +1,13 @@
 """Toxicity: gradient-boosted trees over dense features of whole texts, calibrated by isotonic regression.
 
-Features: densities of a seed lexicon and of a lexicon learnt from the training labels, hits that only show once disguises are undone,
-nearness of hits to second-person words, and rates of capitals, punctuation and disguise.
+Features: densities of a seed lexicon, of a lexicon and of word stems learnt from the training labels, hits that only show once disguises
+are undone, nearness of hits to second-person words, and rates of capitals, punctuation and disguise.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,10 +40,24 @@ _LETTERS = _CAPITALS + bytes(range(97, 123))
 _PUNCTUATION = b"!?.,;:'\"()-"
 _MARKS = b"#*$%&|<>@^~_=+"
 
-NAMES = ("learnt_rate", "learnt_hits", "learnt_weight", "seed_rate", "disguised_rate", "disguised_hits", "second_rate", "near_second", "capital_share", "shout_share", "exclaim_rate", "question_rate", "punctuation_rate", "mark_rate", "mixed_rate", "digit_share")
+NAMES = ("learnt_rate", "learnt_hits", "learnt_weight", "seed_rate", "disguised_rate", "disguised_hits", "stem_rate", "stem_hits", "stem_most", "second_rate", "near_second", "capital_share", "shout_share", "exclaim_rate", "question_rate", "punctuation_rate", "mark_rate", "mixed_rate", "digit_share")
 
 
-def features(raw: bytes, lexicon: dict[bytes, float], seeds: frozenset[bytes], second: frozenset[bytes]) -> list[float]:
+class Stems:
+    """Learnt word beginnings, looked up by their first four bytes."""
+
+    def __init__(self, stems: list[bytes]):
+        self.stems: dict[bytes, tuple[bytes, ...]] = {}
+        for x in sorted(stems):
+            self.stems[x[:4]] = (*self.stems.get(x[:4], ()), x)
+
+    def hits(self, words: list[bytes]) -> list[bytes]:
+        """The stem of each word that has one."""
+        stems = self.stems
+        return [x for w in words if w[:4] in stems for x in stems[w[:4]] if w.startswith(x)]
+
+
+def features(raw: bytes, lexicon: dict[bytes, float], stems: Stems, seeds: frozenset[bytes], second: frozenset[bytes]) -> list[float]:
     """The dense features of one text, in the order of NAMES; all zero for a text without words."""
     words = raw.split()
     if not words:
@@ -55,6 +70,8 @@ def features(raw: bytes, lexicon: dict[bytes, float], seeds: frozenset[bytes], s
     opened = raw.translate(_LEET, _DROPPED).split()
     shown = sum(w in lexicon or w in seeds for w in opened)
     disguised = max(0, shown - sum(w in lexicon or w in seeds for w in plain))
+    stemmed = stems.hits(plain)
+    most = max(Counter(stemmed).values(), default=0)
     persons = [i for i, w in enumerate(plain) if w in second]
     near = 0
     if hits and persons:
@@ -68,25 +85,34 @@ def features(raw: bytes, lexicon: dict[bytes, float], seeds: frozenset[bytes], s
     shouts = sum(len(w) > 2 and w.isupper() for w in words)
     mixed = sum(not w.isalpha() and w.isalnum() for w in words) if digits else 0
     return [
-        len(hits) / n, math.log1p(len(hits)), weight / n, seeded / n, disguised / n, math.log1p(disguised), len(persons) / n, near / n,
+        len(hits) / n, math.log1p(len(hits)), weight / n, seeded / n, disguised / n, math.log1p(disguised), len(stemmed) / n, math.log1p(len(stemmed)), most / n * math.log1p(most), len(persons) / n, near / n,
         capitals / max(letters, 1), shouts / n, raw.count(b"!") / n, raw.count(b"?") / n,
         (size - len(raw.translate(None, _PUNCTUATION))) / n, (size - len(raw.translate(None, _MARKS))) / n, mixed / n, digits / size,
     ]
 
 
-def learnt_lexicon(sample: DataFrame, limit: int = 400, share: float = 0.02, odds: float = 3.0) -> dict[bytes, float]:
-    """Words that mark label 1 in a bounded sample(text, label): held by `share` of its documents (5 at least) and far rarer in the others.
+def learnt_lexicon(sample: DataFrame, limit: int = 400, share: float = 0.02, odds: float = 3.0, stem_odds: float = 1.5) -> tuple[dict[bytes, float], Stems]:
+    """Words, and word beginnings of 5 to 8 letters, that mark label 1 in a bounded sample(text, label).
 
-    Counted in Spark; the words that pass, `limit` at most by weight, come to the driver.
+    Each is held by `share` of the documents with label 1 (5 at least), and is rarer in the others by `odds` or `stem_odds` (logarithms). Counted in
+    Spark; what passes, `limit` of either kind at most by weight, comes to the driver. A stem that begins with another is left out.
     """
     n0, n1 = (int(x or 0) for x in sample.agg(F.sum(1 - F.col("label")), F.sum("label")).first())
     if not n1:
-        return {}
-    words = F.array_distinct(F.split(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x60\x7B-\x7F]+"))
-    counts = sample.select("label", F.explode(words).alias("word")).where("word <> ''").groupBy("word").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
+        return {}, Stems([])
+    low = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.array_distinct(F.split(low, r"[\x00-\x60\x7B-\x7F]+"))
     weight = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
-    found = counts.where(F.col("a") >= max(5, share * n1)).withColumn("weight", weight).where(F.col("weight") >= odds)
-    return {r["word"].encode(): float(r["weight"]) for r in found.orderBy(F.desc("weight"), "word").limit(limit).collect()}
+
+    def marking(what: DataFrame, least: float) -> dict[bytes, float]:
+        counts = what.groupBy("word").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
+        found = counts.where(F.col("a") >= max(5, share * n1)).withColumn("weight", weight).where(F.col("weight") >= least)
+        return {r["word"].encode(): float(r["weight"]) for r in found.orderBy(F.desc("weight"), "word").limit(limit).collect()}
+
+    begins = F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(5), F.lit(8)), lambda k: F.when(F.length(w) >= k, F.substring(w, 1, k))))))
+    stems = marking(sample.select("label", F.explode(begins).alias("word")).where("word is not null"), stem_odds)
+    shortest = [x for x in stems if not any(x != y and x.startswith(y) for y in stems)]
+    return marking(sample.select("label", F.explode(words).alias("word")).where("word <> ''"), odds), Stems(shortest)
 
 
 @dataclass
@@ -94,12 +120,13 @@ class Toxicity:
     """A fitted scorer: lexicon, trees and calibration knots. Its size is bounded by fit's parameters."""
 
     lexicon: dict[bytes, float]
+    stems: Stems
     trees: Boosted
     knots: tuple[np.ndarray, np.ndarray]
 
     def scores(self, raw: list[bytes]) -> np.ndarray:
         seeds, second = (frozenset(w.encode() for w in s) for s in (SEEDS, SECOND))
-        x = np.array([features(t, self.lexicon, seeds, second) for t in raw]).reshape(-1, len(NAMES))
+        x = np.array([features(t, self.lexicon, self.stems, seeds, second) for t in raw]).reshape(-1, len(NAMES))
         return calibrated(self.trees.raw(x), self.knots)
 
 
@@ -107,23 +134,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
     """Learns from at most `sample_rows` labelled rows, the least by a hash of doc_id, none of the held-out fold.
 
     A quarter of the sample, by another hash, is kept from the trees and calibrates them. Features are made in Spark tasks; only they,
-    16 numbers a sampled row, come to the driver. Without labels of both kinds every score is the constant prior.
+    19 numbers a sampled row, come to the driver. Without labels of both kinds every score is the constant prior.
     """
     small_batches(docs.sparkSession)
     sample = labelled_texts(docs, labels, label, *fold, sample_rows)
-    lexicon = learnt_lexicon(sample.where(F.xxhash64("doc_id", F.lit(1)) % 4 != 0))
+    lexicon, stems = learnt_lexicon(sample.where(F.xxhash64("doc_id", F.lit(1)) % 4 != 0))
     seeds, second = (frozenset(w.encode() for w in s) for s in (SEEDS, SECOND))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(x, lexicon, seeds, second) for x in raw_texts(batch.column(0))]
+            found = [features(x, lexicon, stems, seeds, second) for x in raw_texts(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1), batch.column(2), batch.column(3)], names=["x", "label", "part", "o"])
 
     rows = sample.select("text", "label", (F.xxhash64("doc_id", F.lit(1)) % 4 == 0).alias("part"), F.xxhash64("doc_id").alias("o")).mapInArrow(run, "x array<double>, label int, part boolean, o bigint").toPandas().sort_values("o")
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(NAMES))
     y, late = rows["label"].to_numpy(float), rows["part"].to_numpy(bool)
     trees = fit_boosted(x[~late], y[~late])
-    return Toxicity(lexicon, trees, isotonic(trees.raw(x[late]), y[late]))
+    return Toxicity(lexicon, stems, trees, isotonic(trees.raw(x[late]), y[late]))
 
 
 def score(docs: DataFrame, model: Toxicity, threshold: float = 0.3, fold: tuple[int, int] = (4, 2)) -> DataFrame:
