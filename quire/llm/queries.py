@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import byte_cnn, line_dedup, lm, mixing, packing, quality_rules, simhash, toxicity
+from quire.llm import ann, byte_cnn, chat, line_dedup, lm, mixing, packing, quality_rules, simhash, toxicity
 from quire.llm.common import table
 
 
@@ -29,6 +29,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component_id").cast("long").alias("component_id"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recovered turns of every conversation, written as a transcript, in canonical form."""
+    turns = table(spark, sf_dir, "conversations")
+    return chat.format_chat(chat.transcripts(turns), chat.fit(turns)).select("conv_id", "block", "place", "role", "continued", "rendered")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "positions")
@@ -44,6 +50,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every vector whose id is divisible by 50."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document."""
     return lm.lm_scores(table(spark, sf_dir, "documents"))
@@ -75,8 +86,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
     "op3_simhash": op3_simhash,
+    "op4_chat": op4_chat,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
+    "op7_nearest": op7_nearest,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
