@@ -96,7 +96,8 @@ def repeated_blocks(docs: DataFrame, block_words: int = 30, seed_words: int = 4)
     lines = written(_lines(docs).dropDuplicates(["doc_id", "_text"]))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text")
     seeds = lines.select(row.alias("row"), F.explode(F.arrays_zip("lines", "words")).alias("x")).where(f"x.words >= {seed_words}").select("row", F.col("x.lines").alias("line"))
-    held = seeds.groupBy("line").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first <> last").select(F.col("line").alias("_line"), "first")
+    # written, so that the join deals both its sides itself and can split a line that very many documents hold
+    held = written(seeds.groupBy("line").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first <> last").select(F.col("line").alias("_line"), "first"))
     pairs = seeds.join(held, F.col("line") == F.col("_line")).where("row <> first").select("row", "first").distinct()
     sides = lines.select(row.alias("of"), "lines", "words")
     both = (
