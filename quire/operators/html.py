@@ -1,0 +1,71 @@
+"""Blocks of web pages by the standard library's HTML parser."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+#: Fixed tag names: skipped whole, kept as blocks, headings.
+SKIPPED = frozenset(("script", "style", "nav", "footer", "header", "aside", "form", "noscript", "iframe", "svg"))
+BLOCKS = {"p": "paragraph", "li": "list_item", "td": "table", "th": "table", **{f"h{k}": "heading" for k in range(1, 7)}}
+
+
+class _Blocks(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: list[tuple[str, int | None, str]] = []
+        self.skip: list[str] = []
+        self.tag: str | None = None
+        self.text: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in SKIPPED:
+            self.close_block()
+            self.skip.append(tag)
+        elif tag in BLOCKS and not self.skip:
+            self.close_block()
+            self.tag = tag
+        elif tag == "br":
+            self.text.append(" ")
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in self.skip:
+            while self.skip.pop() != tag:
+                pass
+        elif tag == self.tag:
+            self.close_block()
+
+    def handle_data(self, data: str) -> None:
+        if self.tag and not self.skip:
+            self.text.append(data)
+
+    def close_block(self) -> None:
+        text = " ".join("".join(self.text).split())
+        if self.tag and text:
+            self.found.append((BLOCKS[self.tag], int(self.tag[1]) if BLOCKS[self.tag] == "heading" else None, text))
+        self.tag, self.text = None, []
+
+
+def blocks_of(html: str) -> list[tuple[str, int | None, str]]:
+    """(type, level, text) of a page's blocks; a text that the page has already shown is left out."""
+    parser = _Blocks()
+    parser.feed(html)
+    parser.close()
+    parser.close_block()
+    return list({x[2]: x for x in reversed(parser.found)}.values())[::-1]
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, type, level, text): the blocks of each page; a page without any gives no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(page, pos, *x) for page, html in zip(*(c.to_pylist() for c in batch.columns), strict=True) for pos, x in enumerate(blocks_of(html or ""))]
+            if rows:
+                kinds = (batch.schema.field(0).type, pa.int32(), pa.string(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "pos", "type", "level", "text"])
+
+    return pages.select("page_id", "html").mapInArrow(run, "page_id bigint, pos int, type string, level int, text string")
