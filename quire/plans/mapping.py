@@ -1 +1,110 @@
-"""To come."""
+"""Queries that map source fields to target fields, over customers as documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions import text as t
+from quire.operators import matching as m
+from quire.plans.registry import query, table
+
+#: The target schema: id, type, aliases, required.
+TARGETS = [
+    ("customer_name", "string", ["name", "client-name"], True),
+    ("balance", "number", ["account balance", "acct_bal"], True),
+    ("segment", "enum", ["market segment"], False),
+    ("country_code", "string", ["nation key", "nation"], False),
+    ("phone", "string", ["tel"], True),
+]
+#: Source name and column of each candidate.
+SOURCES = [("Client Name", "c_name"), ("Account-Balance", "c_acctbal"), ("Segment", "c_mktsegment"), ("Nation Key", "c_nationkey")]
+
+_CANDIDATES = "SELECT c_custkey AS doc_id, unnest([" + ", ".join(f"'{n}'" for n, _ in SOURCES) + "]) AS source_name, unnest([" + ", ".join(f"'$.metadata.{c}'" for _, c in SOURCES) + "]) AS source_path, unnest([" + ", ".join(f"CAST({c} AS VARCHAR)" for _, c in SOURCES) + "]) AS sample FROM customer"
+_NORM = "regexp_replace(lower({}), '[\\s_\\-]+', '', 'g')"
+
+
+def targets(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("customer", *x) for x in TARGETS], "schema_id string, target_id string, target_type string, aliases array<string>, required boolean")
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each field of a customer, as a document's candidate."""
+    each = F.array(*[F.struct(F.lit(n).alias("source_name"), F.lit(f"$.metadata.{c}").alias("source_path"), F.col(c).cast("string").alias("sample")) for n, c in SOURCES])
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.explode(each).alias("x")).select("doc_id", "x.*")
+    return rows.withColumns({"schema_id": F.lit("customer"), "kind": t.infer_type(F.col("sample"))})
+
+
+@query(f"WITH c AS ({_CANDIDATES}) SELECT doc_id, source_path, source_name, sample, CASE WHEN lower(sample) IN ('true', 'false') THEN 'boolean' WHEN regexp_matches(sample, '^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}([T ].*)?$') THEN 'date' WHEN regexp_matches(sample, '^[$]?-?[0-9][0-9,]*(\\.[0-9]+)?$') THEN 'number' ELSE 'string' END AS kind FROM c")
+def p01_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates from metadata with inferred types."""
+    return candidates(spark, sf_dir).select("doc_id", "source_path", "source_name", "sample", "kind")
+
+
+_ALIASES = "(VALUES " + ", ".join(f"('{x}', '{a}', '{'exact' if a == x else 'alias'}')" for x, _, al, _ in TARGETS for a in [x, *al]) + ") AS a(target_id, alias, match)"
+
+
+@query(f"WITH c AS ({_CANDIDATES}) SELECT doc_id, source_path, target_id, match FROM c JOIN {_ALIASES} ON {_NORM.format('source_name')} = {_NORM.format('alias')}")
+def j02_alias_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact and alias matches."""
+    return m.alias_matches(candidates(spark, sf_dir), targets(spark)).select("doc_id", "source_path", "target_id", "match")
+
+
+@query()
+def m13_pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and score of each pair; tests hold plain Python against them."""
+    return m.pair_features(candidates(spark, sf_dir), targets(spark)).select("doc_id", "source_path", "target_id", "lexical", "alias", "type", "value", "quality", "score")
+
+
+@query()
+def w13_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best candidates of each target with margins."""
+    return m.ranked(m.pair_features(candidates(spark, sf_dir), targets(spark))).select("doc_id", "target_id", "source_path", "score", "rank", "margin")
+
+
+@query()
+def m14_global_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assignment of the greatest total score; tests hold brute force against it."""
+    return m.assigned(m.pair_features(candidates(spark, sf_dir), targets(spark)))
+
+
+@query(f"WITH c AS ({_CANDIDATES}), h AS (SELECT doc_id, target_id FROM c JOIN {_ALIASES} ON {_NORM.format('source_name')} = {_NORM.format('alias')}) SELECT c_custkey AS doc_id, t.target_id FROM customer CROSS JOIN (VALUES " + ", ".join(f"('{x[0]}')" for x in TARGETS if x[3]) + ") AS t(target_id) WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = c_custkey AND h.target_id = t.target_id)")
+def m12_unmapped_required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Required targets that no candidate names; each document lists its own few, none are crossed."""
+    need = [x[0] for x in TARGETS if x[3]]
+    had = m.alias_matches(candidates(spark, sf_dir), targets(spark)).groupBy("doc_id").agg(F.collect_set("target_id").alias("had"))
+    ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id")).join(had, "doc_id", "left")
+    return ids.select("doc_id", F.explode(F.array_except(F.array(*map(F.lit, need)), F.coalesce("had", F.array().cast("array<string>")))).alias("target_id"))
+
+
+@query("SELECT p_partkey, p_type FROM part WHERE NOT (regexp_matches(p_type, '^(ECONOMY|PROMO)') AND p_size < 10) AND p_brand NOT IN ('Brand#1', 'Brand#3')")
+def j04_negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configured pattern pairs and forbidden names are left out."""
+    forbidden = F.broadcast(spark.createDataFrame([("Brand#1",), ("Brand#3",)], "p_brand string"))
+    rows = table(spark, sf_dir, "part").where(~(F.col("p_type").rlike("^(ECONOMY|PROMO)") & (F.col("p_size") < 10)))
+    return rows.join(forbidden, "p_brand", "left_anti").select("p_partkey", "p_type")
+
+
+_ROUTES = {"licence": ["licensed", "license", "rights reserved"], "german": [" und ", " der "], "french": [" les ", " et "], "english": [" the ", " and "]}
+
+
+@query(
+    "WITH s AS (SELECT doc_id, unnest(["
+    + ", ".join(f"{{'k': {i}, 'schema_id': '{k}', 'score': (" + " + ".join(f"CASE WHEN contains(lower(text), '{w}') THEN 1 ELSE 0 END" for w in ws) + f") / {len(ws)}.0}}" for i, (k, ws) in enumerate(_ROUTES.items()))
+    + "]) AS x FROM documents), r AS (SELECT doc_id, x.schema_id AS schema_id, CAST(x.score AS DOUBLE) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY x.score DESC, x.k) AS n FROM s) SELECT doc_id, schema_id, score, CASE WHEN score >= 0.75 THEN 'auto' WHEN score >= 0.5 THEN 'select' ELSE 'unsupported' END AS decision FROM r WHERE n = 1"
+)
+def m20_router(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schema with the most signals, ties to the first in order, and what the score allows."""
+    low = F.lower("text")
+    one = lambda ws: sum(F.contains(low, F.lit(w)).cast("int") for w in ws) / len(ws)
+    scored = [F.struct(one(ws).cast("double").alias("score"), F.lit(-i).alias("place"), F.lit(k).alias("schema_id")) for i, (k, ws) in enumerate(_ROUTES.items())]
+    best = table(spark, sf_dir, "documents").select("doc_id", F.array_max(F.array(*scored)).alias("b"))
+    return best.select("doc_id", "b.schema_id", "b.score", F.when(F.col("b.score") >= 0.75, "auto").when(F.col("b.score") >= 0.5, "select").otherwise("unsupported").alias("decision"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars = 0 THEN 'reject' WHEN lang = 'es' THEN 'unsupported' WHEN n_chars < 200 OR len(string_split(text, chr(10))) < 2 THEN 'review' ELSE 'pass' END AS status, greatest(0.0, 1.0 - CASE WHEN n_chars < 200 THEN 0.35 ELSE 0 END - CASE WHEN len(string_split(text, chr(10))) < 2 THEN 0.08 ELSE 0 END) AS score FROM documents")
+def m21_quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status by precedence and a score less penalties."""
+    short, flat = F.col("n_chars") < 200, F.size(F.split("text", "\n")) < 2
+    status = F.when(F.col("n_chars") == 0, "reject").when(F.col("lang") == "es", "unsupported").when(short | flat, "review").otherwise("pass")
+    return table(spark, sf_dir, "documents").select("doc_id", status.alias("status"), F.greatest(F.lit(0.0), F.lit(1.0) - F.when(short, 0.35).otherwise(0.0) - F.when(flat, 0.08).otherwise(0.0)).alias("score"))
