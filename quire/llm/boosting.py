@@ -35,7 +35,7 @@ class Boosted:
 def fit_boosted(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 48, ridge: float = 2.0, least: int = 8) -> Boosted:
     """Second-order boosting on logistic loss with histogram splits; no randomness."""
     n, width = x.shape
-    edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
+    edges = [np.zeros(0)] * width if not n else [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
     edges = [np.unique(np.r_[0.0, e]) if len(c) and c.min() <= 0 < c.max() else e for e, c in zip(edges, x.T, strict=True)]
     coded = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)], axis=1)  # code > i is x > edge i
     most = max((len(e) for e in edges), default=0) + 1

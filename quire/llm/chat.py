@@ -35,12 +35,12 @@ _MARKER = re.compile(r"^[ \t]*(?:<\|?|\[|#{1,4}[ \t]*|\*{1,2})?[ \t]*(" + "|".jo
 STATES = 2 * len(ROLES)
 #: Turns in a block of a transcript.
 BLOCK_TURNS = 256
-#: Values of each observation: marker (none or a role), place (first line, after a blank line, other), words by size, form.
-SIZES = {"marker": len(ROLES) + 1, "place": 3, "words": 6, "form": 5}
+#: Values of each observation: marker (none or a role), place (after a blank line, other), words by size, form.
+SIZES = {"marker": len(ROLES) + 1, "place": 2, "words": 6, "form": 5}
 
 
-def observe(lines: list[str], first: bool) -> np.ndarray:
-    """Observations of the lines of a block, a row a line in the order of SIZES. first: whether the transcript begins here."""
+def observe(lines: list[str]) -> np.ndarray:
+    """Observations of the lines of a block, a row a line in the order of SIZES."""
     out = np.zeros((len(lines), len(SIZES)), np.int64)
     blank = False
     for i, line in enumerate(lines):
@@ -49,7 +49,7 @@ def observe(lines: list[str], first: bool) -> np.ndarray:
         words = len(body.split())
         stripped = body.strip()
         form = 1 if stripped.endswith("?") else 2 if re.match(r"[-*•]|\d+[.)]", stripped) else 3 if stripped[:3] == "```" or body.startswith("    ") else 4 if not stripped else 0
-        out[i] = _ROLE_OF[found[1].lower()] + 1 if found else 0, 0 if first and i == 0 else 1 if blank else 2, min(5, int(words).bit_length()), form
+        out[i] = _ROLE_OF[found[1].lower()] + 1 if found else 0, int(blank), min(5, int(words).bit_length()), form
         blank = not stripped
     return out
 
@@ -92,8 +92,7 @@ class Speakers:
 def fit(turns: DataFrame, unmarked: float = 0.1, smooth: float = 0.5) -> Speakers:
     """Counts over all turns(conv_id, turn, role, text) whose role is one of ROLES; turn holds consecutive integers in a conversation.
 
-    A first line counts as marked with its own role for 1 - unmarked of its weight and unmarked for the rest, whether or not the table spells
-    markers out. A turn is followed by the turn numbered next, found by an equality join, so no conversation is gathered.
+    A first line has its own role's marker but for a share `unmarked`, whether or not the table spells markers out. A turn is followed by the turn numbered next, found by an equality join, so no conversation is gathered.
     """
     small_batches(turns.sparkSession)
     known = turns.where(F.col("conv_id").isNotNull() & F.lower("role").isin(*ROLES)).select("conv_id", "turn", F.lower("role").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -101,10 +100,10 @@ def fit(turns: DataFrame, unmarked: float = 0.1, smooth: float = 0.5) -> Speaker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[int, int, int], int] = {}
         for batch in batches:
-            for role, text, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 state = 2 * ROLES.index(role)
                 lines = text.split("\n")
-                for i, row in enumerate(observe(lines, bool(first))):
+                for i, row in enumerate(observe(lines)):
                     for k, value in enumerate(row.tolist()):
                         key = (state + (i > 0), k, value)
                         counts[key] = counts.get(key, 0) + 1
@@ -115,7 +114,7 @@ def fit(turns: DataFrame, unmarked: float = 0.1, smooth: float = 0.5) -> Speaker
             columns = list(zip(*((*k, n) for k, n in counts.items()), strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["state", "kind", "value", "n"])
 
-    table = known.select("role", "text", (F.col("turn") == 0).alias("first")).mapInArrow(run, "state bigint, kind bigint, value bigint, n bigint").groupBy("state", "kind", "value").agg(F.sum("n").alias("n")).collect()
+    table = known.select("role", "text").mapInArrow(run, "state bigint, kind bigint, value bigint, n bigint").groupBy("state", "kind", "value").agg(F.sum("n").alias("n")).collect()
     after = known.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"))
     moves = known.select("conv_id", "turn", "role").join(after, ["conv_id", "turn"]).groupBy("role", "next").count().collect()
     starts = known.where("turn = 0").groupBy("role").count().collect()
@@ -132,14 +131,11 @@ def fit(turns: DataFrame, unmarked: float = 0.1, smooth: float = 0.5) -> Speaker
     stay = np.full((STATES, 2), smooth)
     for r in table:
         (stay if r["kind"] < 0 else emit[r["kind"]])[r["state"], r["value"]] += r["n"]
-    for state in range(STATES):
-        lines = emit[0][state].sum()
-        emit[0][state] = np.maximum(emit[0][state] * 1e-3, smooth)  # markers follow `unmarked`, not the table
+    for state in range(STATES):  # markers follow `unmarked`, not the table
+        emit[0][state] = 1e-4 if state % 2 == 0 else 1e-3
+        emit[0][state, 0] = unmarked if state % 2 == 0 else 1.0
         if state % 2 == 0:
-            emit[0][state, 0] = max(unmarked * lines, smooth)
-            emit[0][state, 1 + state // 2] = max((1 - unmarked) * lines, 2 * smooth)
-        else:
-            emit[0][state, 0] = max(lines, 4 * smooth)
+            emit[0][state, 1 + state // 2] = 1 - unmarked
     emit = [np.log(e / e.sum(axis=1, keepdims=True)) for e in emit]
     stay /= stay.sum(axis=1, keepdims=True)
     move = np.full((STATES, STATES), 1e-12)
@@ -190,7 +186,7 @@ def format_chat(transcripts: DataFrame, model: Speakers) -> DataFrame:
         for (conv, at, entry, leave), parts in _runs(batches, 4):
             entry, leave = (-1 if x is None else x for x in (entry, leave))
             lines = [line for _, text in parts for line in text.split("\n")]
-            states = model.decode(observe(lines, entry < 0), entry, leave)
+            states = model.decode(observe(lines), entry, leave)
             begins = [i for i, s in enumerate(states) if i == 0 or s % 2 == 0]
             for n, (i, j) in enumerate(zip(begins, [*begins[1:], len(lines)], strict=True)):
                 role = ROLES[states[i] // 2]
@@ -217,7 +213,7 @@ def _block_ends(rows: DataFrame, model: Speakers, kind: str) -> DataFrame:
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (conv, at, first), parts in _runs(batches, 3):
             lines = [line for _, text in parts for line in text.split("\n")]
-            seen = observe(lines, first)
+            seen = observe(lines)
             table = model.matrix(seen)
             if first:  # whatever state comes before, the transcript starts here
                 table = np.tile(_from_start(model, seen), (STATES, 1))
