@@ -83,14 +83,20 @@ class ByteCnn:
         tops = np.concatenate([self.pooled(chunks[i : i + rows])[1].max(axis=1) for i in range(0, len(chunks), rows)])
         return sigmoid(self.combine(self.chunk_logits(tops)[2].astype(float), owner, len(texts))[0])
 
-    def train(self, texts: list[bytes], y: np.ndarray, epochs: int = 10, batch_chunks: int = 192, rate: float = 4e-3, seed: int = 3) -> None:
-        """Adam on the log loss of whole texts, a few texts a step; gradients pass through each filter's largest place only."""
+    def train(self, texts: list[bytes], y: np.ndarray, epochs: int = 10, batch_chunks: int = 192, rate: float = 4e-3, least_steps: int = 500, seed: int = 3) -> None:
+        """Adam on the log loss of whole texts, a few texts a step; gradients pass through each filter's largest place only.
+
+        A small sample takes smaller steps and up to four times the epochs, until there are `least_steps`.
+        """
         s, p = self.shape, self.p
         m = {k: np.zeros_like(v) for k, v in p.items()}
         v2 = {k: np.zeros_like(v) for k, v in p.items()}
         t, order = 0, np.random.default_rng(seed)
         sizes = np.array([max(1, len(x) // s.step + 1) for x in texts])
-        total = max(1, epochs * int(np.ceil(sizes.sum() / batch_chunks)))
+        batch_chunks = int(min(batch_chunks, max(48, sizes.sum() // 100)))
+        each = int(np.ceil(sizes.sum() / batch_chunks))
+        epochs = max(epochs, min(4 * epochs, -(-least_steps // each)))
+        total = max(1, epochs * each)
         for _ in range(epochs):
             todo = order.permutation(len(texts))
             groups = np.split(todo, np.flatnonzero(np.diff(np.cumsum(sizes[todo]) // batch_chunks)) + 1)
