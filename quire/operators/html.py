@@ -55,7 +55,10 @@ def blocks_of(html: str) -> list[tuple[str, int | None, str]]:
     parser.feed(html)
     parser.close()
     parser.close_block()
-    return list({x[2]: x for x in reversed(parser.found)}.values())[::-1]
+    first: dict[str, tuple[str, int | None, str]] = {}
+    for x in parser.found:
+        first.setdefault(x[2], x)
+    return list(first.values())
 
 
 def extract(pages: DataFrame) -> DataFrame:
