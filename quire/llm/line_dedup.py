@@ -55,7 +55,10 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
-    """Aligned positions (i, j) of equal lines: equal ends first, then lines that are unique on both sides, then between these."""
+    """Aligned positions (i, j) of equal lines: equal ends first, then lines that are unique on both sides, then between these.
+
+    Where no line is unique on both sides, the first place of the common line with the fewest pairs stands in.
+    """
     found: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -72,7 +75,11 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
         where = {x: j for j, x in enumerate(b[low:high], low) if there[x] == 1}
         anchors = _increasing([(i, where[x]) for i, x in enumerate(a[lo:hi], lo) if here[x] == 1 and x in where])
         if not anchors:
-            continue
+            first = {x: j for j, x in reversed([*enumerate(b[low:high], low)]) if x in here}
+            if not first:
+                continue
+            x = min(first, key=lambda x: (here[x] * there[x], first[x]))
+            anchors = [(lo + a[lo:hi].index(x), first[x])]
         found += anchors
         for (i, j), (i2, j2) in zip([(lo - 1, low - 1), *anchors], [*anchors, (hi, high)], strict=True):
             todo.append((i + 1, i2, j + 1, j2))
@@ -80,14 +87,25 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
 
 
 def shared_blocks(a: Sequence[int], b: Sequence[int], words: Sequence[int], least: int) -> list[tuple[int, int]]:
-    """Ranges [from, to) of b's lines that are aligned with a's, unbroken on both sides, and hold `least` words or more."""
-    blocks: list[list[int]] = []
-    for i, j in patience(a, b):
-        if blocks and blocks[-1][2:] == [i, j]:
-            blocks[-1][1:] = [j + 1, i + 1, j + 1]
-        else:
-            blocks.append([j, j + 1, i + 1, j + 1])
-    return [(x[0], x[1]) for x in blocks if sum(words[x[0] : x[1]]) >= least]
+    """Ranges [from, to) of b's lines that are aligned with a's, unbroken on both sides, and hold `least` words or more.
+
+    What lies between the found ranges is aligned with all of a once more, so a block that changed places or is there twice is found too.
+    """
+    found, todo = [], [(0, len(b))]
+    while todo:
+        low, high = todo.pop()
+        blocks: list[list[int]] = []
+        for i, j in patience(a, b[low:high]):
+            j += low
+            if blocks and blocks[-1][2:] == [i, j]:
+                blocks[-1][1:] = [j + 1, i + 1, j + 1]
+            else:
+                blocks.append([j, j + 1, i + 1, j + 1])
+        good = [(x[0], x[1]) for x in blocks if sum(words[x[0] : x[1]]) >= least]
+        if good:
+            found += good
+            todo += [x for x in zip([low, *(e for _, e in good)], [*(s for s, _ in good), high], strict=True) if sum(words[x[0] : x[1]]) >= least]
+    return sorted(found)
 
 
 def repeated_blocks(docs: DataFrame, block_words: int = 30, seed_words: int = 4) -> DataFrame:

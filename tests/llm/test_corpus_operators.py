@@ -87,7 +87,11 @@ def test_patience_and_blocks():
     assert line_dedup.patience([1, 2, 3, 4], [9, 2, 3, 8, 4]) == [(1, 1), (2, 2), (3, 4)]
     assert line_dedup.patience([5, 5, 5], [5, 5, 5]) == [(0, 0), (1, 1), (2, 2)]
     assert line_dedup.patience([], [1]) == []
-    assert line_dedup.shared_blocks([1, 2, 3], [0, 2, 3, 1], [9, 20, 20, 50], 30) == [(1, 3)]
+    assert line_dedup.patience([7, 1, 2, 8], [1, 2, 1, 2]) == [(1, 0), (2, 1)]
+    assert line_dedup.shared_blocks([1, 2, 3], [0, 2, 3, 1], [9, 20, 20, 50], 30) == [(1, 3), (3, 4)]  # the moved line too
+    swapped, doubled = [6, 3, 4, 7, 1, 2, 8], [6, 1, 2, 7, 1, 2, 8]
+    assert line_dedup.shared_blocks([1, 2, 9, 3, 4], swapped, [20] * 7, 30) == [(1, 3), (4, 6)]
+    assert line_dedup.shared_blocks([5, 1, 2, 9], doubled, [20] * 7, 30) == [(1, 3), (4, 6)]
 
 
 def reference_line_dedup(rows, block_words, seed_words):
