@@ -37,7 +37,9 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "positions")
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    first = F.round(F.try_element_at("positions", F.lit(1)), 9).alias("first_position")
+    return found.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "copies", F.size("positions").alias("epochs"), first)
 
 
 def piece_digests(docs: DataFrame) -> DataFrame:
@@ -95,4 +97,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-SQL: dict[str, str] = {}
+#: The mix in closed form: the level is the first at which the next source's cap per weight is no lower.
+OP5_SQL = r"""WITH sized AS (
+  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^ 	-
+]+')) END AS size, coalesce(md5(CAST(doc_id AS VARCHAR)), '') AS h FROM documents),
+sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+placed AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, encode(source)) AS place FROM sums),
+weighed AS (SELECT *, [1.0, 2.0, 3.0][(place - 1) % 3 + 1]::DOUBLE AS weight, [1.5, 1.0, 0.5][(place - 1) % 3 + 1]::DOUBLE AS a, [0.5, 1.0, 1.5][(place - 1) % 3 + 1]::DOUBLE AS b, source_size * 3.0::DOUBLE AS cap FROM placed),
+laid AS (SELECT *, cap / weight AS full_at, coalesce(sum(cap) OVER w, 0) AS capped, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS free, sum(source_size) OVER () AS total
+  FROM weighed WINDOW w AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT coalesce(max((total - capped) / free) FILTER ((total - capped) / free <= full_at), 0) AS level FROM laid),
+plan AS (SELECT source, source_size, a, b, least(weight * level, cap) AS target, CAST(floor(least(weight * level, cap)) AS BIGINT) AS whole FROM weighed, level),
+run AS (SELECT s.doc_id, s.size, s.h, p.*, CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
+parts AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE whole // source_size END AS rounds, CASE WHEN source_size = 0 THEN 0 ELSE whole % source_size END AS rest FROM run),
+out AS (SELECT *, greatest(0, least(size, rest - ahead)) AS part, CASE WHEN size > 0 THEN rounds + CAST(ahead < rest AS INTEGER) WHEN source_size = 0 THEN 1 ELSE rounds + CAST(ahead <= rest AS INTEGER) END AS epochs, least(1.0, ahead / greatest(target, 1.0)) AS share FROM parts)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS target, CAST(rounds * size + part AS BIGINT) AS taken,
+  CAST(CASE WHEN size = 0 THEN least(epochs, 1) ELSE rounds + CAST(2 * part >= size AS INTEGER) END AS INTEGER) AS copies, CAST(epochs AS INTEGER) AS epochs,
+  CASE WHEN epochs > 0 THEN 0.0 + round(CASE WHEN a = b THEN share ELSE (-a + sqrt(a * a + 4 * ((b - a) / 2) * share * ((a + b) / 2))) / (2 * ((b - a) / 2)) END, 9) END AS first_position FROM out"""
+
+SQL: dict[str, str] = {"op5_mixing": OP5_SQL}
