@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches, written
+from quire.llm.common import least_by_hash, small_batches, written
 
 #: Rows of a leaf, and queries, that meet in one task's block.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
@@ -171,8 +171,7 @@ def nearest(table: DataFrame, query: Column, k: int = 5, recall: float = 0.97, s
     rows = table.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda v: v.cast("double")).alias("v"), query.alias("asks"))
     widths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     rows = rows.where(F.size("v") == (widths["n"] if widths else 0))
-    by_hash = [F.xxhash64("vec_id"), "vec_id"]
-    sample = np.array([r["v"] for r in rows.orderBy(*by_hash).select("v").limit(sample_rows).collect()], float)
+    sample = np.array([r["v"] for r in least_by_hash(rows, F.xxhash64("vec_id"), sample_rows, table.count(), "vec_id").select("v").collect()], float)
     tree = fit_tree(_unit(sample) if len(sample) else sample.reshape(0, widths["n"] if widths else 1), branch, leaf_rows)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,8 +181,9 @@ def nearest(table: DataFrame, query: Column, k: int = 5, recall: float = 0.97, s
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf.astype(np.int32))], names=["vec_id", "v", "asks", "leaf"])
 
     filed = written(rows.mapInArrow(file, "vec_id bigint, v array<double>, asks boolean, leaf int"))
-    asked = filed.where("asks").groupBy("vec_id").agg(F.max("v").alias("v")).select(F.col("vec_id").alias("query_id"), "v")
-    few = [(r["query_id"], np.array(r["v"])) for r in asked.orderBy(F.xxhash64("query_id"), "query_id").limit(calibration_queries).collect()]
+    asked = written(filed.where("asks").groupBy("vec_id").agg(F.max("v").alias("v")).select(F.col("vec_id").alias("query_id"), "v"))
+    n_asked = asked.count()
+    few = [(r["query_id"], np.array(r["v"])) for r in least_by_hash(asked, F.xxhash64("query_id"), calibration_queries, n_asked, "query_id").collect()]
     leaves = tree.leaves
     if few:
         exact = brute_force(filed, few, k)
@@ -199,7 +199,7 @@ def nearest(table: DataFrame, query: Column, k: int = 5, recall: float = 0.97, s
     parts = np.ones(max(tree.leaves, 1), np.int64)
     for leaf, n in sizes.items():
         parts[leaf] = -(-n // BLOCK_ROWS)
-    groups = max(1, -(-asked.count() // BLOCK_QUERIES))
+    groups = max(1, -(-n_asked // BLOCK_QUERIES))
     part_of = F.element_at(F.array(*[F.lit(int(n)) for n in parts]), F.col("leaf") + 1)
     # a large leaf is dealt over blocks by a hash of the id; queries go to all blocks of their leaves
     left = filed.select("vec_id", "v", "leaf", F.pmod(F.xxhash64("vec_id"), part_of).cast("int").alias("part"))

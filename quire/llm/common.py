@@ -56,15 +56,25 @@ def held_out(column: Column, n: int, remainder: int) -> Column:
     return F.coalesce(crc_mod(column, n) == remainder, F.lit(False))
 
 
+def least_by_hash(rows: DataFrame, key: Column, limit: int, count: int, *ties: Column | str) -> DataFrame:
+    """At most `limit` rows, the least by key, a 64-bit hash; count: the rows there are, about.
+
+    Of many rows only a share of about twice the limit goes to the sort, so what one task or the driver gets does not grow with the partitions.
+    """
+    if count > 4 * limit:
+        rows = rows.where(key < F.lit(int(2**65 * limit / count) - 2**63))
+    return rows.orderBy(key, *ties).limit(limit)
+
+
 def label_sample(labels: DataFrame, label: str, n: int, remainder: int, limit: int) -> DataFrame:
     """At most `limit` labelled ids outside the held-out fold, the smallest by hash: (doc_id, label). Ids with labels that disagree are left out."""
-    one = (
+    one = written(
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"), n, remainder))
         .groupBy("doc_id")
         .agg(F.min(label).alias("label"), F.max(label).alias("most"))
         .where("label = most")
     )
-    return one.select("doc_id", F.col("label").cast("int")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return least_by_hash(one.select("doc_id", F.col("label").cast("int")), F.xxhash64("doc_id"), limit, one.count(), "doc_id")
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, n: int, remainder: int, limit: int) -> DataFrame:

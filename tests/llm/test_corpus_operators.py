@@ -447,3 +447,12 @@ def test_viterbi_equals_all_paths():
     best = max(itertools.product(range(s), repeat=4), key=worth)
     assert tuple(model.decode(seen)) == best
     assert np.isclose(model.matrix(seen)[3, best[-1]], max(model.move[3, p[0]] + worth(p) - model.start[p[0]] for p in itertools.product(range(s), repeat=4) if p[-1] == best[-1]))
+
+
+def test_samples_are_the_least_by_hash(spark):
+    from quire.llm.common import least_by_hash
+
+    rows = spark.range(5000).select(F.col("id"), F.xxhash64("id").alias("h")).repartition(7)
+    want = sorted((r["h"], r["id"]) for r in rows.collect())[:200]
+    assert [(r["h"], r["id"]) for r in least_by_hash(rows, F.col("h"), 200, 5000, "id").collect()] == want
+    assert least_by_hash(rows, F.col("h"), 9000, 5000).count() == 5000 and least_by_hash(rows.limit(0), F.col("h"), 5, 0).count() == 0
