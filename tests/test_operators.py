@@ -157,3 +157,14 @@ def test_stream_equals_batch(spark, tmp_path):
     query.stop()
     key = lambda df: sorted((str(r["start"]), r["event_type"], r["n"]) for r in df.collect())
     assert key(spark.table("windows")) == key(stream.windowed(events))
+
+
+def test_adapters_on_broken_and_uneven_payloads(spark):
+    from quire.plans.extraction import block_list, section_tree
+
+    lists = [(1, '{"blocks": [{"type": "Header", "title": "T"}, {"id": "x", "type": "grid", "text": "a"}], "items": []}'), (2, "no json"), (3, None), (4, '{"items": [{}]}'), (5, "{}")]
+    got = [tuple(r) for r in block_list(spark.createDataFrame(lists, "id int, payload string")).orderBy("id", "place").collect()]
+    assert got == [(1, "b001", "heading", "T", 0), (1, "x", "table", "a", 1), (4, "b001", "paragraph", "", 0)]
+    trees = [(1, '{"sections": [{"heading": "A", "children": [{"heading": "B", "paragraphs": ["p"], "children": [{"heading": "C"}]}]}, {"heading": "D"}]}'), (2, None), (3, '{"sections": []}')]
+    got = sorted((r["path"], r["level"], r["heading"], r["paragraphs"]) for r in section_tree(spark.createDataFrame(trees, "id int, payload string"), 4).collect())
+    assert got == [([0], 1, "A", []), ([0, 0], 2, "B", ["p"]), ([0, 0, 0], 3, "C", []), ([1], 1, "D", [])]
