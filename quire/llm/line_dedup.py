@@ -11,6 +11,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -86,26 +87,70 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def longest_matches(a: Sequence[int], b: Sequence[int]) -> list[int]:
+    """For each line of b, how many lines up to and with it stand unbroken somewhere in a, at most: by a suffix automaton of a."""
+    after: list[dict[int, int]] = [{}]
+    link, length, last = [-1], [0], 0
+    for x in a:
+        own = len(after)
+        after.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        at, last = last, own
+        while at >= 0 and x not in after[at]:
+            after[at][x] = own
+            at = link[at]
+        if at < 0:
+            continue
+        to = after[at][x]
+        if length[to] != length[at] + 1:
+            copy = len(after)
+            after.append(dict(after[to]))
+            link.append(link[to])
+            length.append(length[at] + 1)
+            link[to] = copy
+            while at >= 0 and after[at].get(x) == to:
+                after[at][x] = copy
+                at = link[at]
+            to = copy
+        link[own] = to
+    found, at, n = [], 0, 0
+    for x in b:
+        while at > 0 and x not in after[at]:
+            at = link[at]
+            n = length[at]
+        if x in after[at]:
+            at, n = after[at][x], n + 1
+        found.append(n)
+    return found
+
+
 def shared_blocks(a: Sequence[int], b: Sequence[int], words: Sequence[int], least: int) -> list[tuple[int, int]]:
-    """Ranges [from, to) of b's lines that are aligned with a's, unbroken on both sides, and hold `least` words or more.
+    """Ranges [from, to) of b's lines that stand unbroken in a too, in runs that hold `least` words or more: all such lines of b.
 
-    What lies between the found ranges is aligned with all of a once more, so a block that changed places or is there twice is found too.
+    First the blocks that one alignment of both finds, then what of any other run lies outside these, wherever it stands in a.
     """
-    found, todo = [], [(0, len(b))]
-    while todo:
-        low, high = todo.pop()
-        blocks: list[list[int]] = []
-        for i, j in patience(a, b[low:high]):
-            j += low
-            if blocks and blocks[-1][2:] == [i, j]:
-                blocks[-1][1:] = [j + 1, i + 1, j + 1]
-            else:
-                blocks.append([j, j + 1, i + 1, j + 1])
-        good = [(x[0], x[1]) for x in blocks if sum(words[x[0] : x[1]]) >= least]
-        if good:
-            found += good
-            todo += [x for x in zip([low, *(e for _, e in good)], [*(s for s, _ in good), high], strict=True) if sum(words[x[0] : x[1]]) >= least]
-    return sorted(found)
+    until = [0, *accumulate(words)]
+    rest = [False] * len(b)
+    reach = len(b)
+    for j, n in reversed([*enumerate(longest_matches(a, b), 1)]):
+        start = j - n
+        if until[j] - until[start] >= least:
+            rest[start : min(j, reach)] = [True] * (min(j, reach) - start)
+            reach = min(reach, start)
+    if not any(rest):
+        return []
+    blocks: list[list[int]] = []
+    for i, j in patience(a, b):
+        if blocks and blocks[-1][2:] == [i, j]:
+            blocks[-1][1:] = [j + 1, i + 1, j + 1]
+        else:
+            blocks.append([j, j + 1, i + 1, j + 1])
+    found = [(x[0], x[1]) for x in blocks if until[x[1]] - until[x[0]] >= least]
+    for low, high in found:
+        rest[low:high] = [False] * (high - low)
+    edges = [j for j, (x, y) in enumerate(zip([False, *rest], [*rest, False], strict=True)) if x != y]
+    return sorted(found + list(zip(edges[::2], edges[1::2], strict=True)))
 
 
 def repeated_blocks(docs: DataFrame, block_words: int = 30, seed_words: int = 4) -> DataFrame:
