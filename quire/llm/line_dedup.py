@@ -1,9 +1,10 @@
 """Line deduplication by pairwise alignment of documents that share lines.
 
-Lines are hashed; each line shared by several documents links its later holders to the first holder (one link a holder, so a line that
-a third of all documents hold costs one row a document, never all pairs). Each linked pair is aligned with patience diff over the whole
-documents, and aligned common blocks of enough words are deleted from the later document. The first holder of a line keeps it, so no
-line is lost everywhere.
+Lines are hashed, and windows of neighbouring lines that just reach the words of a block; each window shared by several documents links its
+later holders to the first holder (one link a holder, so a passage that a third of all documents hold costs one row a document, never all
+pairs). A common run of enough words holds, for each of its lines, a window around that line, so links lose no run. Each linked pair is
+aligned with patience diff over the whole documents, and common blocks of enough words are deleted from the later document. The first
+holder of a line keeps it, so no line is lost everywhere.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -21,18 +23,39 @@ from pyspark.sql import functions as F
 from quire.llm.common import raw_texts, small_batches, written
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, _text, lines ARRAY<BIGINT>, words ARRAY<INT>): hash and number of words of each line of each text."""
+#: Odd, so that its powers have inverses modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+
+
+def windows(lines: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
+    """Distinct hashes of a text's shortest ranges of lines that hold `least` words, from each line on and back from each line."""
+    n = len(lines)
+    until = np.r_[0, np.cumsum(words)]
+    on, back = np.searchsorted(until, until[:-1] + least), np.searchsorted(until, until[1:] - least, "right") - 1
+    low = np.r_[np.arange(n)[on <= n], back[back >= 0]]
+    high = np.r_[on[on <= n], np.arange(1, n + 1)[back >= 0]]
+    if not len(low):
+        return np.empty(0, np.int64)
+    power = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE, np.uint64)])
+    inverse = np.cumprod(np.r_[np.uint64(1), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)])
+    sums = np.r_[np.uint64(0), np.cumsum(lines.astype(np.uint64) * power[:n])]
+    return np.unique((sums[high] - sums[low]) * inverse[low]).view(np.int64)
+
+
+def _lines(docs: DataFrame, block_words: int) -> DataFrame:
+    """(doc_id, _text, lines ARRAY<BIGINT>, words ARRAY<INT>, windows ARRAY<BIGINT>): hash and number of words of each line of each text, its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             split = [x.split(b"\n") for x in raw_texts(batch.column(1))]
-            hashes = [[xxhash.xxh64_intdigest(x) - (1 << 63) for x in lines] for lines in split]
-            words = [[len(x.split()) for x in lines] for lines in split]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))], names=["doc_id", "_text", "lines", "words"])
+            hashes = [np.array([xxhash.xxh64_intdigest(x) for x in lines], np.uint64).view(np.int64) for lines in split]
+            words = [np.array([len(x.split()) for x in lines], np.int64) for lines in split]
+            found = [windows(*x, block_words) for x in zip(hashes, words, strict=True)]
+            columns = [pa.array(hashes, pa.list_(pa.int64())), pa.array([x.astype(np.int32) for x in words], pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "_text", "lines", "words", "windows"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).mapInArrow(run, f"doc_id {ids}, _text bigint, lines array<bigint>, words array<int>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).mapInArrow(run, f"doc_id {ids}, _text bigint, lines array<bigint>, words array<int>, windows array<bigint>")
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -153,15 +176,15 @@ def shared_blocks(a: Sequence[int], b: Sequence[int], words: Sequence[int], leas
     return sorted(found + list(zip(edges[::2], edges[1::2], strict=True)))
 
 
-def repeated_blocks(docs: DataFrame, block_words: int = 30, seed_words: int = 4) -> DataFrame:
+def repeated_blocks(docs: DataFrame, block_words: int = 30) -> DataFrame:
     """(doc_id, _text, ranges): for each document that loses lines, the line ranges that an earlier document holds. _text is xxhash64 of its text."""
     small_batches(docs.sparkSession)
-    lines = written(_lines(docs).dropDuplicates(["doc_id", "_text"]))
+    lines = written(_lines(docs, block_words).dropDuplicates(["doc_id", "_text"]))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text")
-    seeds = lines.select(row.alias("row"), F.explode(F.arrays_zip("lines", "words")).alias("x")).where(f"x.words >= {seed_words}").select("row", F.col("x.lines").alias("line"))
-    # written, so that the join deals both its sides itself and can split a line that very many documents hold
-    held = written(seeds.groupBy("line").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first <> last").select(F.col("line").alias("_line"), "first"))
-    pairs = seeds.join(held, F.col("line") == F.col("_line")).where("row <> first").select("row", "first").distinct()
+    seeds = lines.select(row.alias("row"), F.explode("windows").alias("window"))
+    # written, so that the join deals both its sides itself and can split a window that very many documents hold
+    held = written(seeds.groupBy("window").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first <> last").select(F.col("window").alias("_window"), "first"))
+    pairs = seeds.join(held, F.col("window") == F.col("_window")).where("row <> first").select("row", "first").distinct()
     sides = lines.select(row.alias("of"), "lines", "words")
     both = (
         pairs.join(sides.select(F.col("of").alias("_a"), F.col("lines").alias("a")), F.col("first") == F.col("_a"))
@@ -178,19 +201,18 @@ def repeated_blocks(docs: DataFrame, block_words: int = 30, seed_words: int = 4)
 
     ids = docs.schema["doc_id"].dataType.simpleString()
     found = both.mapInArrow(run, f"doc_id {ids}, _text bigint, ranges array<struct<from:int,to:int>>").where("size(ranges) > 0")
-    # one row a pair, and a document has no more pairs than lines
+    # one row a pair, and a document has no more pairs than windows, two a line at most
     return found.groupBy("doc_id", "_text").agg(F.array_distinct(F.flatten(F.collect_list("ranges"))).alias("ranges"))
 
 
-def line_dedup(docs: DataFrame, block_words: int = 30, seed_words: int = 4) -> DataFrame:
-    """docs with every aligned common block of `block_words` words or more deleted from the later document.
+def line_dedup(docs: DataFrame, block_words: int = 30) -> DataFrame:
+    """docs without the lines that stand in a run of `block_words` words or more which an earlier document holds unbroken too.
 
-    Documents are ordered by doc_id (null last), then by a hash of the text. A line has to have `seed_words` words to link documents;
-    shorter lines go only inside an aligned block. All rows and columns stay: a text of which every line goes becomes empty, a null
+    Documents are ordered by doc_id (null last), then by a hash of the text. All rows and columns stay: a text of which every line goes becomes empty, a null
     text stays null, n_chars (if there is one) follows the text, and rows that repeat both id and text are one document with one
     result. Added columns: `lines_removed` and `words_removed` (BIGINT).
     """
-    blocks = repeated_blocks(docs, block_words, seed_words).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_of"), "ranges")
+    blocks = repeated_blocks(docs, block_words).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_of"), "ranges")
     joined = docs.withColumn("_text", F.xxhash64("text")).join(blocks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_of")), "left")
     lines = F.split("text", "\n")
     gone = lambda i: F.exists("ranges", lambda r: (r["from"] <= i) & (i < r["to"]))

@@ -30,3 +30,22 @@ def test_blocks_are_all_common_runs():
         found = line_dedup.shared_blocks(a, b, words, 30)
         assert all(x[1] <= y[0] for x, y in zip(found, found[1:], strict=False))
         assert {j for low, high in found for j in range(low, high)} == lines_in_common_runs(a, b, words, 30)
+
+
+def test_whole_operator_equals_all_pairs(spark):
+    r = random.Random(9)
+    kinds = [" ".join(f"k{i}x{w}" for w in range(r.choice([0, 1, 2, 3, 12, 25, 31]))) for i in range(14)]
+    texts = ["\n".join(r.choice(kinds) for _ in range(r.randint(1, 12))) for _ in range(50)]
+    u, v = " ".join(f"u{w}" for w in range(25)), " ".join(f"v{w}" for w in range(25))
+    verse = "\n".join(f"short line {w}" for w in range(12))
+    tail = " ".join(f"t{w}" for w in range(31))
+    # each line stood alone before its neighbours met; short lines only; a line beside a block that stood alone before
+    texts += [f"{u}\nfirst own", f"{v}\nsecond own", f"third own\n{u}\n{v}", f"{u}\n{v}\nfourth own", f"{verse}\nfifth own", f"sixth own\n{verse}"]
+    texts += [tail, f"{tail}\nfive short words stand here", f"own\n{tail}\nfive short words stand here"]
+    found = {x["doc_id"]: x["text"] for x in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    for k, t in enumerate(texts):
+        b = t.split("\n")
+        words = [len(x.split()) for x in b]
+        gone = set().union(*(lines_in_common_runs(x.split("\n"), b, words, 30) for x in texts[:k]))
+        assert found[k] == "\n".join(x for j, x in enumerate(b) if j not in gone)
+    assert found[53] == "fourth own" and found[55] == "sixth own" and found[58] == "own"
