@@ -2,26 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_own: list[str] = []
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows read back from a table in the folder that spark.checkpoint.dir names, so that lineage ends here."""
-    spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="quire-"))
-        folder = _own[0]
-    path = f"{folder}/quire-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from quire.sources.shared import written
 
 
 def edge_id(src: Column, kind: Column, dst: Column) -> Column:
