@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.shared import written
+
 #: One run of the white space that separates words everywhere in this subpackage.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Arrow batches stay this small, so that a worker holds a few MB of text whatever the length of the documents.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
-_own_dir: list[str] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table of that name in a data folder."""
@@ -29,23 +27,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests on one machine), a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="quire-"))
-    return _own_dir[0]
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, read back from a table in the shared folder: lineage ends here, and a lost executor costs only a read."""
-    path = f"{shared_dir(df.sparkSession)}/quire-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of the value as text, modulo n; null stays null."""
     return F.crc32(column.cast("string").cast("binary")) % n
@@ -59,13 +40,29 @@ def held_out(column: Column, n: int, remainder: int) -> Column:
 def least_by_hash(rows: DataFrame, key: Column, limit: int, count: int, *ties: Column | str) -> DataFrame:
     """At most `limit` rows, the least by key, a 64-bit hash; count: the rows there are, about.
 
-    Of many rows only a share of about twice the limit goes to the sort, so what one task or the driver gets does not grow with the partitions.
+    Of many rows only a share goes to the sort, twice what is wanted to begin with, so that what one task or the driver gets does not grow with
+    the partitions. Where keys repeat, that share may hold too few rows; it is then raised until it holds enough, or all.
     """
-    if count > 4 * limit:
-        rows = rows.where(key < F.lit(int(2**65 * limit / count) - 2**63))
+    share = 2 * limit / max(count, 1)
+    while share < 0.5:
+        some = rows.where(key < F.lit(int(2**64 * share) - 2**63))
+        if some.limit(limit).count() >= limit:
+            return some.orderBy(key, *ties).limit(limit)
+        share *= 8
     return rows.orderBy(key, *ties).limit(limit)
 
 
+def carried(docs: DataFrame, *names: str) -> DataFrame:
+    """docs with the columns `names` (those it has) and all others in one struct, `rest`, so that an operator's columns cannot clash with them."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return docs.select(*[c for c in names if c in docs.columns], (F.struct(*others) if others else F.struct(F.lit(None).cast("boolean").alias("none"))).alias("rest"))
+
+
+def restored(rows: DataFrame, docs: DataFrame, names: tuple[str, ...], *added: str) -> DataFrame:
+    """The columns of docs again, of rows that began as carried(docs, *names); the columns `added` come last, in place of those of docs of that name."""
+    return rows.select(*[F.col(c) if c in names else F.col("rest").getField(c).alias(c) for c in docs.columns if c not in added], *added)
+
+
 def label_sample(labels: DataFrame, label: str, n: int, remainder: int, limit: int) -> DataFrame:
     """At most `limit` labelled ids outside the held-out fold, the smallest by hash: (doc_id, label). Ids with labels that disagree are left out."""
     one = written(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import written
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of `edges(a, b)`: label is the least node of its component.
 
     Each round takes the least label among the neighbours, then the label's own label, so a chain of
@@ -17,7 +17,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    for _ in range(rounds):
+    while True:  # labels only fall, so this ends
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         low = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "near").alias("low"), F.col("label").alias("old"))
         up = labels.select(F.col("node").alias("at"), F.col("label").alias("up"))
@@ -25,4 +25,3 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         labels = jumped.select("node", "label")
         if jumped.where("label <> old").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

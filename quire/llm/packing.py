@@ -115,8 +115,8 @@ def pack(docs: DataFrame, window: int = 2048, open_windows: int = 32, least_cut:
                 ids = np.append(ids_of(raw.decode("utf-8", "replace"), folder), np.uint32(end_id)).astype("<u4")
                 for pieces in packer.add((doc, len(ids)), ids):
                     close(pieces)
-                if len(rows) >= 2048:
-                    yield from out()
+                    if len(rows) >= 2048:
+                        yield from out()
         for pieces in packer.merge():
             close(pieces)
         yield from out()
