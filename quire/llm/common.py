@@ -13,7 +13,7 @@ from quire.sources.shared import written
 #: One run of the white space that separates words everywhere in this subpackage.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Arrow batches stay this small, so that a worker holds a few MB of text whatever the length of the documents.
-BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
