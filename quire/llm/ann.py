@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by cosine: a hierarchical k-means tree with best-bin-first search.
 
 The tree is fitted on a bounded sample and every row is filed in a leaf. A query walks the tree through one priority queue, nearest centre
-first, so it meets leaves in order of promise. How many leaves it visits is calibrated: the exact neighbours of a sample of queries,
-found by brute force over all rows, must lie in the visited leaves for the wanted share. Leaves are searched in blocks of bounded size.
+first, so it meets leaves in order of promise. How many leaves it visits at least is calibrated: the exact neighbours of a sample of queries,
+found by brute force over all rows, must lie in the visited leaves for the wanted share. A query whose leaves hold too few candidates goes on
+through its queue. Leaves are searched in blocks of bounded size; a leaf is copied only as often as its own queries fill such blocks.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import least_by_hash, small_batches, written
 
-#: Rows of a leaf, and queries, that meet in one task's block.
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
+#: Rows of a leaf, and queries, that meet in one task's block; queries whose products stand in memory at once.
+BLOCK_ROWS, BLOCK_QUERIES, AT_ONCE = 4096, 16_384, 512
 
 
 def usable(column: Column) -> Column:
@@ -55,13 +56,14 @@ class Tree:
                 kids = self.children[node]
                 at[rows] = kids[_distances(x[rows], self.centre[kids]).argmin(axis=1)]
 
-    def best_bins(self, q: np.ndarray, most: int) -> list[int]:
-        """The first `most` leaves that best-bin-first search visits."""
-        queue, found = [(0.0, 0)], []
-        while queue and len(found) < most:
+    def best_bins(self, q: np.ndarray, least: int, held: np.ndarray | None = None, want: int = 0) -> list[int]:
+        """The leaves that best-bin-first search visits: `least` of them, and on until they hold `want` of held (a count a leaf)."""
+        queue, found, got = [(0.0, 0)], [], 0
+        while queue and (len(found) < least or got < want):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 found.append(int(self.leaf[node]))
+                got += int(held[found[-1]]) if held is not None else 0
                 continue
             kids = self.children[node]
             for d, kid in zip(_distances(q[None], self.centre[kids])[0].tolist(), kids.tolist(), strict=True):
@@ -117,6 +119,9 @@ def _best(q_id: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: in
     """The k nearest of x for each query as (query_id, vec_id, score): a fast product picks, an exact one in a fixed order scores."""
     ids, first = np.unique(ids, return_index=True)  # an id repeated with its vector is one candidate; ties then go to the smaller id
     x = x[first]
+    if len(q) > AT_ONCE:
+        found = [_best(q_id[i : i + AT_ONCE], q[i : i + AT_ONCE], ids, x, k) for i in range(0, len(q), AT_ONCE)]
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
     uq, ux = _unit(q), _unit(x)
     near = uq @ ux.T
     near[q_id[:, None] == ids[None]] = -2
@@ -157,22 +162,24 @@ def brute_force(vectors: DataFrame, queries: list[tuple[int, np.ndarray]], k: in
     return _top(vectors.select("vec_id", "v").mapInArrow(run, _FOUND), k)
 
 
-def nearest(table: DataFrame, query: Column, k: int = 5, recall: float = 0.97, sample_rows: int = 16_384, calibration_queries: int = 256, branch: int = 8, leaf_rows: int = 64) -> DataFrame:
+def nearest(table: DataFrame, query: Column, k: int = 5, recall: float = 0.97, sample_rows: int = 16_384, most_sample_rows: int = 131_072, calibration_queries: int = 256, branch: int = 8, leaf_rows: int = 40) -> DataFrame:
     """(query_id, rank, vec_id, score, leaves): the k nearest of table(vec_id, embedding) to each of its rows where `query` holds.
 
     Nearness is the cosine in double precision; a query's own id is no candidate; ties go to the smaller vec_id. Vectors that are not usable,
     have no id, or differ in length from most others take no part. An id repeated with one vector is one candidate. The tree is fitted
-    on the sample_rows rows least by a hash of vec_id; every row is filed. leaves: how many leaves each query visits, the least
-    number with which the calibration queries (least by hash) reach `recall` against brute force over all rows. With fewer candidates than k,
-    all return; without queries, or from an empty table, none.
+    on a quarter of the rows, sample_rows at least and most_sample_rows at most, those least by a hash of vec_id; every row is filed. leaves: how many leaves each query
+    visits at least, the least number with which the calibration queries (least by hash) reach `recall` against brute force over all rows.
+    A query goes on until its leaves hold k other ids. With fewer candidates than k, all return; without queries, or from an empty table, none.
+    Other columns of the table play no part, whatever their names.
     """
     spark = table.sparkSession
     small_batches(spark)
     rows = table.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda v: v.cast("double")).alias("v"), query.alias("asks"))
     widths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     rows = rows.where(F.size("v") == (widths["n"] if widths else 0))
-    sample = np.array([r["v"] for r in least_by_hash(rows, F.xxhash64("vec_id"), sample_rows, table.count(), "vec_id").select("v").collect()], float)
-    tree = fit_tree(_unit(sample) if len(sample) else sample.reshape(0, widths["n"] if widths else 1), branch, leaf_rows)
+    count = table.count()
+    sampled = least_by_hash(rows, F.xxhash64("vec_id"), min(max(count // 4, sample_rows), most_sample_rows), count, "vec_id")
+    tree = _fitted(sampled, widths["n"] if widths else 1, branch, leaf_rows)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,39 +189,32 @@ def nearest(table: DataFrame, query: Column, k: int = 5, recall: float = 0.97, s
 
     filed = written(rows.mapInArrow(file, "vec_id bigint, v array<double>, asks boolean, leaf int"))
     asked = written(filed.where("asks").groupBy("vec_id").agg(F.max("v").alias("v")).select(F.col("vec_id").alias("query_id"), "v"))
-    n_asked = asked.count()
-    few = [(r["query_id"], np.array(r["v"])) for r in least_by_hash(asked, F.xxhash64("query_id"), calibration_queries, n_asked, "query_id").collect()]
-    leaves = tree.leaves
-    if few:
-        exact = brute_force(filed, few, k)
-        homes = filed.select("vec_id", "leaf").distinct().join(F.broadcast(exact), "vec_id").select("query_id", "vec_id", "leaf").collect()
-        visits = {i: {leaf: n for n, leaf in enumerate(tree.best_bins(_unit(v[None])[0], leaves), 1)} for i, v in few}
-        needed: dict[tuple[int, int], int] = {}
-        for r in homes:
-            key = (r["query_id"], r["vec_id"])
-            needed[key] = min(needed.get(key, leaves), visits[r["query_id"]][r["leaf"]])
-        if needed:
-            leaves = sorted(needed.values())[max(0, int(np.ceil(recall * len(needed))) - 1)]
-    sizes = {r["leaf"]: r["count"] for r in filed.groupBy("leaf").count().collect()}  # a row a leaf, bounded by the sample
-    parts = np.ones(max(tree.leaves, 1), np.int64)
-    for leaf, n in sizes.items():
-        parts[leaf] = -(-n // BLOCK_ROWS)
-    groups = max(1, -(-n_asked // BLOCK_QUERIES))
-    part_of = F.element_at(F.array(*[F.lit(int(n)) for n in parts]), F.col("leaf") + 1)
-    # a large leaf is dealt over blocks by a hash of the id; queries go to all blocks of their leaves
-    left = filed.select("vec_id", "v", "leaf", F.pmod(F.xxhash64("vec_id"), part_of).cast("int").alias("part"))
-    left = left.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    few = [(r["query_id"], np.array(r["v"])) for r in least_by_hash(asked, F.xxhash64("query_id"), calibration_queries, asked.count(), "query_id").collect()]
+    leaves = _calibrated(tree, filed, few, k, recall)
+    # an id filed in several leaves counts in one; a row a leaf comes to the driver, bounded by the sample
+    homes = filed.groupBy("vec_id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").count().collect()
+    held, parts = np.zeros(max(tree.leaves, 1), np.int64), np.ones(max(tree.leaves, 1), np.int64)
+    for r in homes:
+        held[r["leaf"]] = r["count"]
+    for r in filed.groupBy("leaf").count().collect():
+        parts[r["leaf"]] = -(-r["count"] // BLOCK_ROWS)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             q = _matrix(batch.column(1))
-            bins = [[(b, p) for b in tree.best_bins(v, leaves) for p in range(int(parts[b]))] for v in (_unit(q) if len(q) else q)]
-            n = [len(b) for b in bins]
-            flat = np.array([x for b in bins for x in b], np.int32).reshape(-1, 2)
-            at = pa.array(np.repeat(np.arange(len(q)), n))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["query_id", "v", "leaf", "part"])
-
-    right = asked.mapInArrow(visit, "query_id bigint, v array<double>, leaf int, part int").withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
+            bins = [tree.best_bins(v, leaves, held, k + 1) for v in (_unit(q) if len(q) else q)]
+            at = pa.array(np.repeat(np.arange(len(q)), [len(b) for b in bins]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([x for b in bins for x in b], pa.int32())], names=["query_id", "v", "leaf"])
+
+    visits = written(asked.mapInArrow(visit, "query_id bigint, v array<double>, leaf int"))
+    groups = np.zeros(len(parts), np.int64)
+    for r in visits.groupBy("leaf").count().collect():
+        groups[r["leaf"]] = -(-r["count"] // BLOCK_QUERIES)
+    plan = F.broadcast(spark.createDataFrame([(i, int(p), int(g)) for i, (p, g) in enumerate(zip(parts, groups, strict=True))], "leaf int, parts int, groups int"))
+    # a large leaf is dealt over parts by the place of the row in the written table; a query goes to all parts of its leaves
+    left = filed.withColumn("place", F.monotonically_increasing_id()).join(plan.where("groups > 0"), "leaf")
+    left = left.select("vec_id", "v", "leaf", F.expr("cast(pmod(place, parts) as int)").alias("part"), F.explode(F.expr("sequence(0, groups - 1)")).alias("group"))
+    right = visits.join(plan, "leaf").select("query_id", "v", "leaf", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.expr("cast(pmod(xxhash64(query_id), groups) as int)").alias("group"))
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -225,3 +225,28 @@ def nearest(table: DataFrame, query: Column, k: int = 5, recall: float = 0.97, s
     key = ["leaf", "part", "group"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, _FOUND)
     return _top(found, k).withColumn("leaves", F.lit(int(leaves)))
+
+
+def _fitted(sampled: DataFrame, width: int, branch: int, leaf_rows: int) -> Tree:
+    """The tree of a bounded sample, whose vectors come to the driver as single floats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_unit(_matrix(batch.column(0))).astype("<f4").tobytes() if len(batch) else b""])], names=["x"])
+
+    found = b"".join(r["x"] for r in sampled.select("v").mapInArrow(run, "x binary").collect())
+    return fit_tree(np.frombuffer(found, "<f4").reshape(-1, width).astype(float), branch, leaf_rows)
+
+
+def _calibrated(tree: Tree, filed: DataFrame, few: list[tuple[int, np.ndarray]], k: int, recall: float) -> int:
+    """How many leaves the walk must visit for `recall` of the exact neighbours of a bounded list of queries."""
+    if not few:
+        return tree.leaves
+    exact = brute_force(filed, few, k)
+    homes = filed.select("vec_id", "leaf").join(F.broadcast(exact), "vec_id").select("query_id", "vec_id", "leaf").distinct().collect()
+    visits = {i: {leaf: n for n, leaf in enumerate(tree.best_bins(_unit(v[None])[0], tree.leaves), 1)} for i, v in few}
+    needed: dict[tuple[int, int], int] = {}
+    for r in homes:
+        key = (r["query_id"], r["vec_id"])
+        needed[key] = min(needed.get(key, tree.leaves), visits[r["query_id"]][r["leaf"]])
+    return sorted(needed.values())[max(0, int(np.ceil(recall * len(needed))) - 1)] if needed else tree.leaves

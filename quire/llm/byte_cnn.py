@@ -83,24 +83,20 @@ class ByteCnn:
         tops = np.concatenate([self.pooled(chunks[i : i + rows])[1].max(axis=1) for i in range(0, len(chunks), rows)])
         return sigmoid(self.combine(self.chunk_logits(tops)[2].astype(float), owner, len(texts))[0])
 
-    def train(self, texts: list[bytes], y: np.ndarray, epochs: int = 10, batch_chunks: int = 192, rate: float = 4e-3, least_steps: int = 500, seed: int = 3) -> None:
+    def train(self, texts: list[bytes], y: np.ndarray, steps: int = 700, batch_chunks: int = 160, rate: float = 4e-3, seed: int = 3) -> None:
         """Adam on the log loss of whole texts, a few texts a step; gradients pass through each filter's largest place only.
 
-        A small sample takes smaller steps and up to four times the epochs, until there are `least_steps`.
+        There are as many steps of as many chunks at every size of the sample, which is gone through as often as that takes.
         """
         s, p = self.shape, self.p
         m = {k: np.zeros_like(v) for k, v in p.items()}
         v2 = {k: np.zeros_like(v) for k, v in p.items()}
         t, order = 0, np.random.default_rng(seed)
         sizes = np.array([max(1, len(x) // s.step + 1) for x in texts])
-        batch_chunks = int(min(batch_chunks, max(48, sizes.sum() // 100)))
-        each = int(np.ceil(sizes.sum() / batch_chunks))
-        epochs = max(epochs, min(4 * epochs, -(-least_steps // each)))
-        total = max(1, epochs * each)
-        for _ in range(epochs):
+        while t < steps:
             todo = order.permutation(len(texts))
             groups = np.split(todo, np.flatnonzero(np.diff(np.cumsum(sizes[todo]) // batch_chunks)) + 1)
-            for group in groups:
+            for group in groups[: steps - t]:
                 chunks, owner = chunk_bytes([texts[i] for i in group], s)
                 tops, wins = [], []
                 for i in range(0, len(chunks), 128):
@@ -128,14 +124,14 @@ class ByteCnn:
                     "embed": np.stack([np.bincount(win.ravel(), dwe.reshape(*we.shape)[..., k].ravel(), 256) for k in range(s.dim)], axis=1),
                 }
                 t += 1
-                step = rate * min(1.0, t / 30) * (1 - 0.9 * t / total if t < total else 0.1)
+                step = rate * min(1.0, t / 30) * (1 - 0.9 * t / steps)
                 for k, g in grads.items():
                     m[k] += 0.1 * (g - m[k])
                     v2[k] += 0.001 * (g * g - v2[k])
                     p[k] -= (step * (m[k] / (1 - 0.9**t)) / (np.sqrt(v2[k] / (1 - 0.999**t)) + 1e-7)).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = 3_000, fold: tuple[int, int] = (5, 0), shape: Shape | None = None, epochs: int = 10) -> ByteCnn:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = 3_000, fold: tuple[int, int] = (5, 0), shape: Shape | None = None, steps: int = 700) -> ByteCnn:
     """The network fitted to whole texts of at most `sample_rows` labelled rows (least by a hash of doc_id, outside the held-out fold).
 
     Training is one Spark task, which streams the sample and gives back the weights alone (a few thousand numbers).
@@ -151,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
             y += batch.column(1).to_pylist()
         net = ByteCnn(shape)
         if 0 < sum(y) < len(y):
-            net.train(texts, np.array(y, np.float32), epochs)
+            net.train(texts, np.array(y, np.float32), steps)
         yield pa.RecordBatch.from_arrays([pa.array(list(net.p)), pa.array([v.astype("<f4").tobytes() for v in net.p.values()])], names=["name", "weights"])
 
     rows = sample.select("text", "label", F.xxhash64("doc_id").alias("o"), "doc_id").repartition(1).sortWithinPartitions("o", "doc_id").select("text", "label")
@@ -162,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
 
 
 def score(docs: DataFrame, net: ByteCnn, threshold: float = 0.3, fold: tuple[int, int] = (5, 0)) -> DataFrame:
-    """docs with held_out, score and predicted. Null and empty texts are one chunk of zero bytes; every row returns once."""
+    """docs with held_out, score and predicted. Null and empty texts are one chunk of zero bytes; every row returns once. Columns of docs of those three names are replaced."""
     small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
 

@@ -3,8 +3,9 @@
 Lines are hashed, and windows of neighbouring lines that just reach the words of a block; each window shared by several documents links its
 later holders to the first holder (one link a holder, so a passage that a third of all documents hold costs one row a document, never all
 pairs). A common run of enough words holds, for each of its lines, a window around that line, so links lose no run. Each linked pair is
-aligned with patience diff over the whole documents, and common blocks of enough words are deleted from the later document. The first
-holder of a line keeps it, so no line is lost everywhere.
+aligned with patience diff over the whole documents, and common blocks of enough words are deleted from the later document, as is every other
+common run of as many words. The first holder of a line keeps it, so no line is lost everywhere. A first holder meets its later ones in
+batches, so that its lines travel once a batch and not once a pair.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import raw_texts, small_batches, written
+from quire.llm.common import carried, raw_texts, restored, small_batches, written
 
 
 #: Odd, so that its powers have inverses modulo 2^64.
@@ -78,10 +79,18 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return found[::-1]
 
 
+def _numbered(a: Sequence[int], lo: int, hi: int, b: Sequence[int], low: int, high: int) -> list[tuple[int, int]]:
+    """(i, j) of the k-th place of a line in a[lo:hi] and its k-th place in b[low:high], by i."""
+    places: dict[int, list[int]] = {}
+    for j in range(high - 1, low - 1, -1):
+        places.setdefault(b[j], []).append(j)
+    return [(i, places[a[i]].pop()) for i in range(lo, hi) if places.get(a[i])]
+
+
 def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     """Aligned positions (i, j) of equal lines: equal ends first, then lines that are unique on both sides, then between these.
 
-    Where no line is unique on both sides, the first place of the common line with the fewest pairs stands in.
+    Where no line is unique on both sides, equal lines are anchors by their number: the first of one side with the first of the other, and so on.
     """
     found: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
@@ -99,64 +108,69 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
         where = {x: j for j, x in enumerate(b[low:high], low) if there[x] == 1}
         anchors = _increasing([(i, where[x]) for i, x in enumerate(a[lo:hi], lo) if here[x] == 1 and x in where])
         if not anchors:
-            first = {x: j for j, x in reversed([*enumerate(b[low:high], low)]) if x in here}
-            if not first:
+            anchors = _increasing(_numbered(a, lo, hi, b, low, high))
+            if not anchors:
                 continue
-            x = min(first, key=lambda x: (here[x] * there[x], first[x]))
-            anchors = [(lo + a[lo:hi].index(x), first[x])]
         found += anchors
         for (i, j), (i2, j2) in zip([(lo - 1, low - 1), *anchors], [*anchors, (hi, high)], strict=True):
             todo.append((i + 1, i2, j + 1, j2))
     return sorted(found)
 
 
-def longest_matches(a: Sequence[int], b: Sequence[int]) -> list[int]:
-    """For each line of b, how many lines up to and with it stand unbroken somewhere in a, at most: by a suffix automaton of a."""
-    after: list[dict[int, int]] = [{}]
-    link, length, last = [-1], [0], 0
-    for x in a:
-        own = len(after)
-        after.append({})
-        link.append(0)
-        length.append(length[last] + 1)
-        at, last = last, own
-        while at >= 0 and x not in after[at]:
-            after[at][x] = own
-            at = link[at]
-        if at < 0:
-            continue
-        to = after[at][x]
-        if length[to] != length[at] + 1:
-            copy = len(after)
-            after.append(dict(after[to]))
-            link.append(link[to])
-            length.append(length[at] + 1)
-            link[to] = copy
-            while at >= 0 and after[at].get(x) == to:
-                after[at][x] = copy
+class Runs:
+    """A suffix automaton of a: finds runs of other sequences that stand unbroken in a."""
+
+    def __init__(self, a: Sequence[int]):
+        after: list[dict[int, int]] = [{}]
+        link, length, last = [-1], [0], 0
+        for x in a:
+            own = len(after)
+            after.append({})
+            link.append(0)
+            length.append(length[last] + 1)
+            at, last = last, own
+            while at >= 0 and x not in after[at]:
+                after[at][x] = own
                 at = link[at]
-            to = copy
-        link[own] = to
-    found, at, n = [], 0, 0
-    for x in b:
-        while at > 0 and x not in after[at]:
-            at = link[at]
-            n = length[at]
-        if x in after[at]:
-            at, n = after[at][x], n + 1
-        found.append(n)
-    return found
-
-
-def shared_blocks(a: Sequence[int], b: Sequence[int], words: Sequence[int], least: int) -> list[tuple[int, int]]:
+            if at < 0:
+                continue
+            to = after[at][x]
+            if length[to] != length[at] + 1:
+                copy = len(after)
+                after.append(dict(after[to]))
+                link.append(link[to])
+                length.append(length[at] + 1)
+                link[to] = copy
+                while at >= 0 and after[at].get(x) == to:
+                    after[at][x] = copy
+                    at = link[at]
+                to = copy
+            link[own] = to
+        self.after, self.link, self.length = after, link, length
+
+    def longest(self, b: Sequence[int]) -> list[int]:
+        """For each line of b, how many lines up to and with it stand unbroken somewhere in a, at most."""
+        after, link, length = self.after, self.link, self.length
+        found, at, n = [], 0, 0
+        for x in b:
+            while at > 0 and x not in after[at]:
+                at = link[at]
+                n = length[at]
+            if x in after[at]:
+                at, n = after[at][x], n + 1
+            found.append(n)
+        return found
+
+
+def shared_blocks(a: Sequence[int], b: Sequence[int], words: Sequence[int], least: int, runs: Runs | None = None) -> list[tuple[int, int]]:
     """Ranges [from, to) of b's lines that stand unbroken in a too, in runs that hold `least` words or more: all such lines of b.
 
-    First the blocks that one alignment of both finds, then what of any other run lies outside these, wherever it stands in a.
+    First the blocks that one alignment of both finds, then what of any other run lies outside these, wherever it stands in a. runs: those of a, if made already.
     """
     until = [0, *accumulate(words)]
     rest = [False] * len(b)
     reach = len(b)
-    for j, n in reversed([*enumerate(longest_matches(a, b), 1)]):
+    for j, n in reversed([*enumerate((runs or Runs(a)).longest(b), 1)]):
         start = j - n
         if until[j] - until[start] >= least:
             rest[start : min(j, reach)] = [True] * (min(j, reach) - start)
@@ -176,44 +190,69 @@ def shared_blocks(a: Sequence[int], b: Sequence[int], words: Sequence[int], leas
     return sorted(found + list(zip(edges[::2], edges[1::2], strict=True)))
 
 
-def repeated_blocks(docs: DataFrame, block_words: int = 30) -> DataFrame:
-    """(doc_id, _text, ranges): for each document that loses lines, the line ranges that an earlier document holds. _text is xxhash64 of its text."""
+def repeated_blocks(docs: DataFrame, block_words: int = 30, batch_pairs: int = 4096) -> DataFrame:
+    """(doc_id, _text, ranges): for each document that loses lines, the line ranges that an earlier document holds. _text is xxhash64 of its text.
+
+    A first holder's pairs are dealt over as many batches as all pairs fill with batch_pairs each.
+    """
     small_batches(docs.sparkSession)
     lines = written(_lines(docs, block_words).dropDuplicates(["doc_id", "_text"]))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text")
     seeds = lines.select(row.alias("row"), F.explode("windows").alias("window"))
     # written, so that the join deals both its sides itself and can split a window that very many documents hold
     held = written(seeds.groupBy("window").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first <> last").select(F.col("window").alias("_window"), "first"))
-    pairs = seeds.join(held, F.col("window") == F.col("_window")).where("row <> first").select("row", "first").distinct()
+    pairs = written(seeds.join(held, F.col("window") == F.col("_window")).where("row <> first").select("row", "first").distinct())
+    n = max(1, -(-pairs.count() // batch_pairs))
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int"))
     sides = lines.select(row.alias("of"), "lines", "words")
-    both = (
-        pairs.join(sides.select(F.col("of").alias("_a"), F.col("lines").alias("a")), F.col("first") == F.col("_a"))
-        .join(sides.select(F.col("of").alias("_b"), F.col("lines").alias("b"), "words"), F.col("row") == F.col("_b"))
-        .select("row.doc_id", "row._text", "a", "b", "words")
-    )
+    firsts = pairs.select("first", "part").distinct().join(sides, F.col("first") == F.col("of")).select("first", "part", F.lit(0).alias("kind"), F.lit(None).cast(sides.schema["of"].dataType).alias("row"), "lines", F.lit(None).cast("array<int>").alias("words"))
+    later = pairs.join(sides, F.col("row") == F.col("of")).select("first", "part", F.lit(1).alias("kind"), "row", "lines", "words")
+    both = firsts.unionByName(later).repartition("first", "part").sortWithinPartitions("first", "part", "kind").select("kind", "row.doc_id", "row._text", "lines", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+        a, runs = [], Runs([])
         for batch in batches:
-            a, b, words = (c.to_pylist() for c in batch.columns[2:])
-            found = [[{"from": i, "to": j} for i, j in shared_blocks(*x, block_words)] for x in zip(a, b, words, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], names=["doc_id", "_text", "ranges"])
+            keep, found = [], []
+            for i, (what, lines, words) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                if what == 0:
+                    a, runs = lines, Runs(lines)
+                    continue
+                blocks = shared_blocks(a, lines, words, block_words, runs)
+                if blocks:
+                    keep.append(i)
+                    found.append([{"from": i, "to": j} for i, j in blocks])
+            own = batch.take(pa.array(keep, pa.int32()))
+            yield pa.RecordBatch.from_arrays([own.column(1), own.column(2), pa.array(found, kind)], names=["doc_id", "_text", "ranges"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    found = both.mapInArrow(run, f"doc_id {ids}, _text bigint, ranges array<struct<from:int,to:int>>").where("size(ranges) > 0")
+    found = both.mapInArrow(run, f"doc_id {ids}, _text bigint, ranges array<struct<from:int,to:int>>")
     # one row a pair, and a document has no more pairs than windows, two a line at most
     return found.groupBy("doc_id", "_text").agg(F.array_distinct(F.flatten(F.collect_list("ranges"))).alias("ranges"))
 
 
+_OWN = ("doc_id", "text", "n_chars")
+
+
 def line_dedup(docs: DataFrame, block_words: int = 30) -> DataFrame:
     """docs without the lines that stand in a run of `block_words` words or more which an earlier document holds unbroken too.
 
     Documents are ordered by doc_id (null last), then by a hash of the text. All rows and columns stay: a text of which every line goes becomes empty, a null
     text stays null, n_chars (if there is one) follows the text, and rows that repeat both id and text are one document with one
-    result. Added columns: `lines_removed` and `words_removed` (BIGINT).
+    result. Added columns, in place of any of those names: `lines_removed` and `words_removed` (BIGINT).
     """
+    return restored(_deduplicated(docs, block_words), docs, _OWN, "lines_removed", "words_removed")
+
+
+def deduplicated(docs: DataFrame, block_words: int = 30) -> DataFrame:
+    """The same with exactly the columns of docs."""
+    return restored(_deduplicated(docs, block_words), docs, _OWN)
+
+
+def _deduplicated(docs: DataFrame, block_words: int) -> DataFrame:
+    """carried(docs) after deduplication, with lines_removed and words_removed."""
     blocks = repeated_blocks(docs, block_words).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_of"), "ranges")
-    joined = docs.withColumn("_text", F.xxhash64("text")).join(blocks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_of")), "left")
+    joined = carried(docs, *_OWN).withColumn("_text", F.xxhash64("text")).join(blocks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_of")), "left")
     lines = F.split("text", "\n")
     gone = lambda i: F.exists("ranges", lambda r: (r["from"] <= i) & (i < r["to"]))
     kept = F.when(F.col("ranges").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~gone(i)), "\n"))
@@ -221,4 +260,4 @@ def line_dedup(docs: DataFrame, block_words: int = 30) -> DataFrame:
     out = joined.withColumns({"text": kept, "_lost": lost}).withColumns({"lines_removed": F.size("_lost").cast("long"), "words_removed": F.size(F.array_remove(F.split(F.array_join("_lost", " "), r"[\x20\x09-\x0D]+"), "")).cast("long")})
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("ranges").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns, "lines_removed", "words_removed")
+    return out

@@ -32,14 +32,17 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The recovered turns of every conversation, written as a transcript, in canonical form."""
     turns = table(spark, sf_dir, "conversations")
-    return chat.format_chat(chat.transcripts(turns), chat.fit(turns)).select("conv_id", "block", "place", "role", "continued", "rendered")
+    spelt = chat.transcripts(turns)
+    return chat.format_chat(spelt, chat.fit(spelt)).select("conv_id", "block", "place", "role", "rendered")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix takes of every document."""
+    """What the mix takes of every document, in order of first training position."""
     found = mixing.mix(table(spark, sf_dir, "documents"))
     first = F.round(F.try_element_at("positions", F.lit(1)), 9).alias("first_position")
-    return found.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "copies", F.size("positions").alias("epochs"), first)
+    rows = found.select("doc_id", "size", "source_size", "target", "taken", "copies", F.size("positions").alias("epochs"), first)
+    order = [F.col("first_position").asc_nulls_last(), "doc_id"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def piece_digests(docs: DataFrame) -> DataFrame:
@@ -111,7 +114,7 @@ plan AS (SELECT source, source_size, a, b, least(weight * level, cap) AS target,
 run AS (SELECT s.doc_id, s.size, s.h, p.*, CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
 parts AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE whole // source_size END AS rounds, CASE WHEN source_size = 0 THEN 0 ELSE whole % source_size END AS rest FROM run),
 out AS (SELECT *, greatest(0, least(size, rest - ahead)) AS part, CASE WHEN size > 0 THEN rounds + CAST(ahead < rest AS INTEGER) WHEN source_size = 0 THEN 1 ELSE rounds + CAST(ahead <= rest AS INTEGER) END AS epochs, least(1.0, ahead / greatest(target, 1.0)) AS share FROM parts)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS target, CAST(rounds * size + part AS BIGINT) AS taken,
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(rounds * size + part AS BIGINT) AS taken,
   CAST(CASE WHEN size = 0 THEN least(epochs, 1) ELSE rounds + CAST(2 * part >= size AS INTEGER) END AS INTEGER) AS copies, CAST(epochs AS INTEGER) AS epochs,
   CASE WHEN epochs > 0 THEN 0.0 + round(CASE WHEN a = b THEN share ELSE (-a + sqrt(a * a + 4 * ((b - a) / 2) * share * ((a + b) / 2))) / (2 * ((b - a) / 2)) END, 9) END AS first_position FROM out"""
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import raw_texts, small_batches, written
+from quire.llm.common import carried, raw_texts, restored, small_batches, written
 from quire.llm.components import components
 
 _digest = partial(xxhash.xxh64_digest, seed=42)
@@ -142,11 +142,11 @@ def _component_of(prints: DataFrame, k: int) -> DataFrame:
 def one_of_each(docs: DataFrame, k: int = 4, shingle: int = 4) -> DataFrame:
     """docs with one row of each component: the least by doc_id (null last), then by a hash of the text."""
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_text"))
-    prints = written(fingerprints(docs.withColumn("_text", F.xxhash64("text")), shingle, "_text"))
+    prints = written(fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("_text")), shingle, "_text"))
     labelled = prints.join(_component_of(prints, k).withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp"))
     # of rows without any id, each fingerprint is a group of its own
     first = labelled.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min(row).alias("x"))
     keep = first.select(F.col("x.doc_id").alias("_keep_id"), F.col("x._text").alias("_keep_text"))
-    marked = docs.withColumn("_text", F.xxhash64("text"))
+    marked = carried(docs, "doc_id", "text").withColumn("_text", F.xxhash64("text"))
     kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_text") == F.col("_keep_text")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text"]).select(docs.columns)
+    return restored(kept.dropDuplicates(["doc_id", "_text"]), docs, ("doc_id", "text"))

@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
 
 
 def score(docs: DataFrame, model: Toxicity, threshold: float = 0.3, fold: tuple[int, int] = (4, 2)) -> DataFrame:
-    """docs with held_out, score and predicted. Null and empty texts have features of zero and so one common score; rows all stay.
+    """docs with held_out, score and predicted. Null and empty texts have features of zero and so one common score; rows all stay. Columns of docs of those three names are replaced.
 
     One pass over whole texts in Arrow batches, without a shuffle; the model travels with the task.
     """
