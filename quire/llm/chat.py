@@ -32,7 +32,7 @@ MARKERS = {
     "tool": ("tool", "function", "observation"),
 }
 _NUMBER = {name: k for k, name in enumerate((n for role in ROLES for n in MARKERS[role]), 1)}
-_MARKER = re.compile(r"^[ \t]*+(?:<\|?|\[|#{1,4}[ \t]*+|\*{1,2})?+[ \t]*+(" + "|".join(sorted(_NUMBER, key=len, reverse=True)) + r")[ \t]*+(?:\|?>|\]|\*{1,2}(?=:))?[ \t]*+(?::(?:\*{1,2})?|(?<=[>\]]))[ \t]*+", re.IGNORECASE)
+_MARKER = re.compile(r"^[ \t]*+(?:<\|?|\[|#{1,4}[ \t]*+|\*{1,2})?+[ \t]*+(" + "|".join(sorted(_NUMBER, key=len, reverse=True)) + r")[ \t]*+(?:\|?>|\]|\*{1,2}(?=:))?(?:[ \t]*+:(?:\*{1,2})?|(?<=[>\]]))[ \t]*+", re.IGNORECASE)
 #: Fixed ways to write a marker.
 SPELLINGS = ("{}: ", "{}:", "[{}] ", "**{}:** ", "### {}: ", "<|{}|> ")
 
