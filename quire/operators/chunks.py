@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -87,3 +91,57 @@ def markdown(blocks: DataFrame) -> DataFrame:
     )
     lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", one.alias("md")))), lambda x: x["md"])
     return blocks.groupBy("doc_id").agg(F.array_join(lines, "\n").alias("markdown"), F.count("*").alias("n_blocks"))
+
+
+def _windows(text: str, max_tokens: int) -> list[str]:
+    """Sentences packed greedily to max_tokens; a longer sentence is cut where it fills one."""
+    cjk = lambda x: sum("\u4e00" <= c <= "\u9fff" for c in x)
+    size = lambda x: cjk(x) / 1.5 + (len(x) - cjk(x)) / 4
+    out, now, filled = [], [], 0.0
+    for sentence in re.findall(r"[^。！？!?.\n]*[。！？!?.\n]+|[^。！？!?.\n]+", text):
+        pieces, start, held = [], 0, 0.0
+        for i, c in enumerate(sentence):
+            held += 1 / 1.5 if "\u4e00" <= c <= "\u9fff" else 0.25
+            if held > max_tokens:
+                pieces.append(sentence[start:i])
+                start, held = i, 1 / 1.5 if "\u4e00" <= c <= "\u9fff" else 0.25
+        for piece in [*pieces, sentence[start:]]:
+            n = size(piece)
+            if now and filled + n > max_tokens:
+                out.append("".join(now))
+                now, filled = [], 0.0
+            now.append(piece)
+            filled += n
+    return [*out, "".join(now)] if now else out
+
+
+def fixed_window(documents: DataFrame, max_tokens: int) -> DataFrame:
+    """(doc_id, chunk_index, text, token_count, n_sources): all of a document's filled lines as one text, packed by sentences; each chunk is of all those lines.
+
+    Linear in the text, a document at a time, in Arrow batches without a shuffle.
+    """
+    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    ids = documents.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(d, k, piece, n) for d, text, n in zip(batch["doc_id"], batch["all"], batch["n"], strict=True) for k, piece in enumerate(_windows(text, max_tokens))]
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "text", "n_sources"])
+
+    joined = documents.where("text is not null").select("doc_id", F.array_join(lines, "\n\n").alias("all"), F.size(lines).alias("n"))
+    packed = joined.mapInPandas(run, f"doc_id {ids}, chunk_index int, text string, n_sources int")
+    return packed.select("doc_id", "chunk_index", "text", t.estimate_tokens(F.col("text")).alias("token_count"), "n_sources")
+
+
+#: Fixed projections of a chunk for retrieval: with its title path, with its keywords, with words added to tables and lists.
+PROJECTIONS = {"flat_blocks": (False, False, False), "heading_aware": (True, False, False), "keyword_enriched": (True, True, False), "table_protected": (True, False, True), "hybrid": (True, True, True)}
+#: Fixed words that are added.
+BOOST = " table list structured rows"
+
+
+def projected(rows: DataFrame) -> DataFrame:
+    """rows(type, text, title, keywords, ...) once for each projection: strategy, and title, keywords and text as it shows them."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("strategy"), *[F.lit(x).alias(n) for n, x in zip(("_title", "_words", "_boost"), v, strict=True)]) for k, v in PROJECTIONS.items()]))
+    shown = rows.withColumn("_p", each).select("*", "_p.*").drop("_p")
+    shown = shown.withColumns({"title": F.when(F.col("_title"), F.col("title")), "keywords": F.when(F.col("_words"), F.col("keywords")).otherwise(F.array().cast("array<string>")), "text": F.when(F.col("_boost") & F.col("type").isin("table", "list"), F.concat("text", F.lit(BOOST))).otherwise(F.col("text"))})
+    return shown.drop("_title", "_words", "_boost")

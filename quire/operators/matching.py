@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -101,23 +103,107 @@ def best_assignment(score: np.ndarray) -> list[int]:
 def assigned(pairs: DataFrame, least: float = 0.45, accept: float = 0.82, review: float = 0.70) -> DataFrame:
     """(doc_id, target_id, source_path, score, status): the greatest total score with each source used once; pairs below `least` never.
 
-    A document's fields meet in one task, and they are as many as a form has. Equal sums go to targets and paths in order.
+    Where each target's best source is another, these are the assignment, and the document stays in the JVM. The fields of other documents
+    meet in one row, and they are as many as a form has; these rows are solved in Arrow batches. Equal sums go to targets and paths in order.
     """
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, i = np.unique(pdf["target_id"].to_numpy(str), return_inverse=True)
-        columns, j = np.unique(pdf["source_path"].to_numpy(str), return_inverse=True)
-        s, need = np.full((len(rows), len(columns)), -np.inf), np.zeros(len(rows))
-        np.maximum.at(s, (i, j), pdf["score"].to_numpy(float))
-        np.maximum.at(need, i, pdf["required"].to_numpy(float))
-        got = best_assignment(np.where(s >= least, s + 1e-6 * need[:, None], -1e5))
-        found = [(pdf["doc_id"].iloc[0], rows[r], columns[c], s[r, c]) for r, c in enumerate(got) if c >= 0]
-        return pd.DataFrame(found, columns=["doc_id", "target_id", "source_path", "score"])
-
-    taken = pairs.select("doc_id", "target_id", "source_path", "score", "required").groupBy("doc_id").applyInPandas(solve, "doc_id long, target_id string, source_path string, score double")
+    best = pairs.where(F.col("score") >= least).groupBy("doc_id", "target_id").agg(F.min(F.struct((-F.col("score")).alias("down"), "source_path", "score")).alias("x"))
+    winners = best.groupBy("doc_id").agg(F.collect_list(F.struct("target_id", "x.source_path", "x.score")).alias("won"))
+    clash = F.size(F.array_distinct(F.transform("won", lambda w: w["source_path"]))) < F.size("won")
+    plain = winners.where(~clash).select("doc_id", F.explode("won").alias("w")).select("doc_id", "w.*")
+    forms = pairs.join(winners.where(clash).select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("target_id", "source_path", "score", "required")).alias("pairs"))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(doc, *x) for doc, form in zip(batch["doc_id"], batch["pairs"], strict=True) for x in _solved(form, least)]
+            yield pd.DataFrame(found, columns=["doc_id", "target_id", "source_path", "score"])
+
+    taken = plain.unionByName(forms.mapInPandas(solve, "doc_id long, target_id string, source_path string, score double"))
     return taken.withColumn("status", F.when(F.col("score") >= accept, "accepted").when(F.col("score") >= review, "review").otherwise("dropped"))
 
 
+def _solved(form: list, least: float) -> list[tuple[str, str, float]]:
+    """(target, path, score) of one document's assignment."""
+    rows, i = np.unique([x["target_id"] for x in form], return_inverse=True)
+    columns, j = np.unique([x["source_path"] for x in form], return_inverse=True)
+    s, need = np.full((len(rows), len(columns)), -np.inf), np.zeros(len(rows))
+    np.maximum.at(s, (i, j), np.array([x["score"] for x in form], float))
+    np.maximum.at(need, i, np.array([x["required"] for x in form], float))
+    got = best_assignment(np.where(s >= least, s + 1e-6 * need[:, None], -1e5))
+    return [(str(rows[r]), str(columns[c]), float(s[r, c])) for r, c in enumerate(got) if c >= 0]
+
+
+#: Fixed weights of what a mapping's rank is made of, and its risk penalties.
+RANK_WEIGHTS = {"label": 0.35, "evidence": 0.30, "context": 0.20, "type": 0.10, "quality": 0.05}
+RISKS = {"forbidden": 1.0, "high": 0.5, "medium": 0.2, "weak": 0.25, "alias": 0.15, "no_path": 0.4}
+#: Fixed confidence of each strategy of the cascade, in its order.
+CONFIDENCE = {"exact": 1.0, "alias": 0.95, "regex": 0.92, "hint": 0.86, "type": 0.74, "fuzzy": 0.62}
+
+
+def risk_penalty(flags: dict[str, Column]) -> Column:
+    """Sum of the penalties of the risks that hold, 1 at most."""
+    return F.least(F.lit(1.0), sum(F.when(c, RISKS[k]).otherwise(0.0) for k, c in flags.items()))
+
+
+def ranking(features: dict[str, Column], risk: Column) -> Column:
+    """The weighted features without the risk, between 0 and 1."""
+    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), sum(F.coalesce(features[k], F.lit(0.0)) * w for k, w in RANK_WEIGHTS.items()) - risk)), 4)
+
+
+def decision(score: Column, blocked: Column, fuzzy: Column, accept: float = 0.82) -> Column:
+    """blocked over review over accepted; a fuzzy match is always reviewed."""
+    return F.when(blocked, "blocked").when(fuzzy | (score < accept), "review").otherwise("accepted")
+
+
+def cascade(candidates: DataFrame, targets: DataFrame, patterns: dict[str, str], no_fuzzy: tuple[str, ...] = (), least: float = 0.55) -> DataFrame:
+    """(doc_id, target_id, strategy, source_path, confidence): for each document and target the first strategy that finds a source.
+
+    In order: exact and alias names, a target's pattern over the values, the candidate's hints, the first text for a text target, and fuzzy
+    names of at least `least` similarity (never for no_fuzzy). Ties go to the smaller path. candidates(doc_id, source_path, source_name, sample,
+    kind, hints); targets(target_id, target_type, aliases) is a configuration of a few rows, joined by equality of names, hints and types, and
+    compared by similarity once for each distinct name.
+    """
+    order = list(CONFIDENCE)
+    pick = lambda df, strategy: df.select("doc_id", "target_id", F.lit(order.index(strategy)).alias("place"), "source_path")
+    named = alias_matches(candidates, targets)
+    found = [named.select("doc_id", "target_id", F.when(F.col("match") == "exact", 0).otherwise(1).alias("place"), "source_path")]
+    for target, pattern in patterns.items():
+        found.append(pick(candidates.where(F.col("sample").rlike(pattern)).withColumn("target_id", F.lit(target)), "regex"))
+    found.append(pick(candidates.withColumn("target_id", F.explode("hints")).join(targets.select("target_id"), "target_id", "left_semi"), "hint"))
+    texts = targets.where("target_type = 'text'").select("target_id", F.lit("string").alias("kind"))
+    found.append(pick(candidates.where(F.trim("sample") != "").join(texts, "kind"), "type"))
+    names = candidates.select("source_name").distinct()
+    key = lambda c: t.normalize_name(F.col(c))
+    # a row for each distinct source name and target of the configuration: both are field names, not documents
+    near = names.withColumn("x", F.explode(F.lit([r["target_id"] for r in targets.select("target_id").collect() if r["target_id"] not in no_fuzzy]))).select("source_name", F.col("x").alias("target_id"))
+    near = near.withColumn("near", similarity(key("source_name"), key("target_id"))).where(F.col("near") >= least)
+    best = candidates.join(near, "source_name").groupBy("doc_id", "target_id").agg(F.min(F.struct((-F.col("near")).alias("down"), "source_path")).alias("x"))
+    found.append(best.select("doc_id", "target_id", F.lit(order.index("fuzzy")).alias("place"), "x.source_path"))
+    one = reduce(DataFrame.unionByName, found).groupBy("doc_id", "target_id").agg(F.min(F.struct("place", "source_path")).alias("x"))
+    return one.select("doc_id", "target_id", F.element_at(F.array(*map(F.lit, order)), F.col("x.place") + 1).alias("strategy"), "x.source_path", F.element_at(F.array(*map(F.lit, CONFIDENCE.values())), F.col("x.place") + 1).alias("confidence"))
+
+
+def repaired(pairs: DataFrame, taken: DataFrame, accept: float = 0.82, review: float = 0.62) -> DataFrame:
+    """(doc_id, target_id, source_path, score, status): required targets without a source get, in order of id, the best path not used yet.
+
+    pairs(doc_id, target_id, source_path, score, required), taken(doc_id, target_id, source_path). A fold over a document's few required
+    targets, in the JVM; equal scores go to the smaller path.
+    """
+    best_first = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "source_path")))
+    lists = pairs.where(F.col("required") & (F.col("score") >= review)).groupBy("doc_id", "target_id").agg(best_first.alias("paths"))
+    open_ = lists.join(taken.select("doc_id", "target_id"), ["doc_id", "target_id"], "left_anti").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("target_id", "paths"))).alias("open"))
+    rows = open_.join(taken.groupBy("doc_id").agg(F.collect_set("source_path").alias("used")), "doc_id", "left").withColumn("used", F.coalesce("used", F.array().cast("array<string>")))
+    start = F.struct(F.col("used").alias("used"), F.array().cast("array<struct<target_id:string,source_path:string,score:double>>").alias("got"))
+
+    def step(acc: Column, x: Column) -> Column:
+        free = F.filter(x["paths"], lambda p: ~F.array_contains(acc["used"], p["source_path"]))
+        first = F.try_element_at(free, F.lit(1))
+        got = F.struct(x["target_id"].alias("target_id"), first["source_path"].alias("source_path"), (-first["down"]).alias("score"))
+        return F.when(F.size(free) > 0, F.struct(F.concat(acc["used"], F.array(first["source_path"])).alias("used"), F.concat(acc["got"], F.array(got)).alias("got"))).otherwise(acc)
+
+    got = rows.select("doc_id", F.explode(F.aggregate("open", start, step, lambda acc: acc["got"])).alias("x")).select("doc_id", "x.*")
+    return got.withColumn("status", F.when(F.col("score") >= accept, "accepted").otherwise("review"))
+
+
 def pooled(bins: list[tuple[float, float]]) -> list[float]:
     """Non-decreasing rates of bins (positives, rows) by pooling neighbours that fall; at most a few bins, on the driver."""
     out: list[list[float]] = []

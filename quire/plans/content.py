@@ -195,14 +195,14 @@ def x08_regex_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     BLOCKS
-    + """, d AS (SELECT doc_id, pos, text, min(doc_id * 100000 + pos) OVER (PARTITION BY text) AS first, count(*) OVER (PARTITION BY text) AS n FROM blocks WHERE length(text) >= 40)
-    SELECT first // 100000 AS first_doc, first % 100000 AS first_pos, count(*) - 1 AS duplicates FROM d WHERE n > 1 GROUP BY first"""
+    + """, d AS (SELECT doc_id, pos, text, min({'d': doc_id, 'p': pos}) OVER (PARTITION BY text) AS first, count(*) OVER (PARTITION BY text) AS n FROM blocks WHERE length(text) >= 40)
+    SELECT first.d AS first_doc, first.p AS first_pos, count(*) - 1 AS duplicates FROM d WHERE n > 1 GROUP BY first"""
 )
 def g09_duplicate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks that repeat an earlier block's text, by the first. Grouped by hash with partial counts, so a hot text is one row a task."""
     rows = b.blocks(_docs(spark, sf_dir)).where(F.length("text") >= 40)
-    groups = rows.groupBy(F.sha2("text", 256)).agg(F.min(F.col("doc_id") * 100000 + F.col("pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return groups.select(F.expr("first div 100000").alias("first_doc"), (F.col("first") % 100000).alias("first_pos"), (F.col("n") - 1).alias("duplicates"))
+    groups = rows.groupBy(F.sha2("text", 256)).agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return groups.select(F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"), (F.col("n") - 1).alias("duplicates"))
 
 
 @query("SELECT sha256(text) AS text_hash, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")

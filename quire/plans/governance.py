@@ -152,11 +152,11 @@ def u01_ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part("supplier", "s_nationkey", 1).unionByName(part("customer", "c_nationkey", 2)).groupBy("nation").agg(F.min_by("producer", "ord").alias("producer"))
 
 
-@query("SELECT p_brand AS schema_id, max(p_size) AS version, arg_max(p_type, p_size * 1000000 + p_partkey) AS status FROM part GROUP BY p_brand")
+@query("SELECT p_brand AS schema_id, max(p_size) AS version, arg_max(p_type, (p_size, p_partkey)) AS status FROM part GROUP BY p_brand")
 def s05_catalog_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest version of each catalogue entry."""
     rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("schema_id"), F.col("p_size").alias("version"), F.col("p_type").alias("status"), "p_partkey")
-    return states.latest(rows, "schema_id", F.col("version") * 1000000 + F.col("p_partkey")).select("schema_id", "version", "status")
+    return states.latest(rows, "schema_id", F.struct("version", "p_partkey")).select("schema_id", "version", "status")
 
 
 @query("SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag)) AS flags, count(*) AS n, list_contains(list(DISTINCT l_returnflag), 'R') AS touches_return FROM lineitem GROUP BY l_orderkey")

@@ -108,3 +108,64 @@ def m21_quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     short, flat = F.col("n_chars") < 200, F.size(F.split("text", "\n")) < 2
     status = F.when(F.col("n_chars") == 0, "reject").when(F.col("lang") == "es", "unsupported").when(short | flat, "review").otherwise("pass")
     return table(spark, sf_dir, "documents").select("doc_id", status.alias("status"), F.greatest(F.lit(0.0), F.lit(1.0) - F.when(short, 0.35).otherwise(0.0) - F.when(flat, 0.08).otherwise(0.0)).alias("score"))
+
+
+#: Patterns of values by target, hints of source names, and targets that no fuzzy match may fill.
+PATTERNS = {"phone": "^[0-9]{2}-[0-9]{3}-[0-9]{3}-[0-9]{4}$"}
+HINTS = {"Segment": ["segment"]}
+NO_FUZZY = ("country_code",)
+#: Aliases as a second schema has them: fewer, so that later strategies have work.
+_CASCADE_TARGETS = [("customer_name", "string", ["client name"]), ("account_balances", "number", []), ("country_code", "string", []), ("segment", "enum", []), ("phone", "string", []), ("remark", "text", [])]
+
+
+def _cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hints = F.create_map(*[x for k, v in HINTS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    dial = F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lpad("c_nationkey", 2, "0"), F.lit("-555-010-"), F.lpad(F.col("c_custkey") % 10000, 4, "0"))).otherwise(F.lit("unknown"))
+    sources = [*((n, c, F.col(c)) for n, c in SOURCES), ("Dial", "dial", dial)]
+    each = F.array(*[F.struct(F.lit(n).alias("source_name"), F.lit(f"$.metadata.{c}").alias("source_path"), value.cast("string").alias("sample")) for n, c, value in sources])
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.explode(each).alias("x")).select("doc_id", "x.*")
+    rows = rows.withColumns({"kind": t.infer_type(F.col("sample")), "hints": F.coalesce(F.try_element_at(hints, F.col("source_name")), F.array().cast("array<string>"))})
+    return m.cascade(rows, spark.createDataFrame(_CASCADE_TARGETS, "target_id string, target_type string, aliases array<string>"), PATTERNS, NO_FUZZY)
+
+
+@query(
+    """SELECT * FROM (SELECT c_custkey AS doc_id, unnest(['customer_name', 'segment', 'phone', 'remark', 'account_balances']) AS target_id, unnest(['alias', 'exact', CASE WHEN c_custkey % 3 <> 0 THEN 'regex' ELSE 'none' END, 'type', 'fuzzy']) AS strategy,
+    unnest(['$.metadata.c_name', '$.metadata.c_mktsegment', '$.metadata.dial', '$.metadata.c_mktsegment', '$.metadata.c_acctbal']) AS source_path, unnest([0.95, 1.0, 0.92, 0.74, 0.62])::DOUBLE AS confidence FROM customer) WHERE strategy <> 'none'"""
+)
+def m01_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first strategy of the cascade that finds a source for each target of a document."""
+    return _cascade(spark, sf_dir)
+
+
+@query(
+    """WITH f AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS label, CASE WHEN l_returnflag = 'N' THEN 0.7 ELSE 0.6 END AS evidence, l_tax * 12 AS context, CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.4 END AS kind, CASE WHEN l_linenumber = 4 THEN 0.5 ELSE 1.0 END AS quality,
+      l_quantity >= 49 AS forbidden, l_linenumber = 2 AS high, l_linenumber = 3 AS medium, l_discount < 0.02 AS weak, l_returnflag = 'A' AS alias, l_linenumber = 5 AS no_path FROM lineitem),
+    r AS (SELECT *, least(1.0, CASE WHEN forbidden THEN 1.0 ELSE 0 END + CASE WHEN high THEN 0.5 ELSE 0 END + CASE WHEN medium THEN 0.2 ELSE 0 END + CASE WHEN weak THEN 0.25 ELSE 0 END + CASE WHEN alias THEN 0.15 ELSE 0 END + CASE WHEN no_path THEN 0.4 ELSE 0 END) AS risk FROM f),
+    s AS (SELECT *, round(least(1.0, greatest(0.0, 0.35 * label + 0.3 * evidence + 0.2 * context + 0.1 * kind + 0.05 * quality - risk)) + 0.00000001, 3) AS score FROM r)
+    SELECT l_orderkey, l_linenumber, score::DOUBLE AS score, CASE WHEN forbidden THEN 'blocked' WHEN medium OR score < 0.62 THEN 'review' ELSE 'accepted' END AS status,
+      list_filter([CASE WHEN score < 0.62 THEN 'low_confidence' END, CASE WHEN medium THEN 'fuzzy_match' END, CASE WHEN score < 0.62 OR medium THEN 'review_required' END, CASE WHEN quality < 1 THEN 'missing_value_sample' END], lambda x: x IS NOT NULL) AS flags FROM s"""
+)
+def m08_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking formula, its risk penalty, the decision and the flags, with order lines as mappings and their columns as features."""
+    c = F.col
+    rows = table(spark, sf_dir, "lineitem")
+    quality = F.when(c("l_linenumber") == 4, 0.5).otherwise(1.0)
+    features = {"label": c("l_discount").cast("double") * 10, "evidence": F.when(c("l_returnflag") == "N", 0.7).otherwise(0.6), "context": c("l_tax").cast("double") * 12, "type": F.when(c("l_linestatus") == "F", 1.0).otherwise(0.4), "quality": quality}
+    forbidden, fuzzy = c("l_quantity") >= 49, c("l_linenumber") == 3
+    risk = m.risk_penalty({"forbidden": forbidden, "high": c("l_linenumber") == 2, "medium": fuzzy, "weak": c("l_discount") < 0.02, "alias": c("l_returnflag") == "A", "no_path": c("l_linenumber") == 5})
+    scored = rows.withColumn("score", F.round(m.ranking(features, risk) + 1e-8, 3))
+    low = c("score") < 0.62
+    flags = F.array_compact(F.array(*[F.when(x, F.lit(n)) for n, x in (("low_confidence", low), ("fuzzy_match", fuzzy), ("review_required", low | fuzzy), ("missing_value_sample", quality < 1))]))
+    return scored.select("l_orderkey", "l_linenumber", "score", m.decision(c("score"), forbidden, fuzzy, 0.62).alias("status"), flags.alias("flags"))
+
+
+@query("SELECT c_custkey AS doc_id, 'balance' AS target_id, '$.metadata.c_acctbal' AS source_path, 0.9::DOUBLE AS score, 'accepted' AS status FROM customer UNION ALL SELECT c_custkey, 'country_code', CASE WHEN c_nationkey < 12 THEN '$.metadata.c_mktsegment' ELSE '$.metadata.c_nationkey' END, CASE WHEN c_nationkey < 12 THEN 0.65 ELSE 0.8 END::DOUBLE, 'review' FROM customer")
+def m18_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Required targets that the cascade left open take the best unused path in order of target."""
+    doc = F.col("c_custkey").alias("doc_id")
+    customers = table(spark, sf_dir, "customer")
+    pair = lambda target, path, score: F.struct(F.lit(target).alias("target_id"), F.lit(f"$.metadata.{path}").alias("source_path"), score.cast("double").alias("score"), F.lit(True).alias("required"))
+    late = F.when(F.col("c_nationkey") < 12, 0.5).otherwise(0.8)
+    pairs = customers.select(doc, F.explode(F.array(pair("balance", "c_acctbal", F.lit(0.9)), pair("balance", "c_nationkey", F.lit(0.7)), pair("country_code", "c_acctbal", F.lit(0.95)), pair("country_code", "c_nationkey", late), pair("country_code", "c_mktsegment", F.lit(0.65)), pair("customer_name", "c_name", F.lit(0.99)))).alias("x")).select("doc_id", "x.*")
+    taken = customers.select(doc, F.lit("customer_name").alias("target_id"), F.lit("$.metadata.c_name").alias("source_path"))
+    return m.repaired(pairs, taken)

@@ -168,3 +168,42 @@ def test_adapters_on_broken_and_uneven_payloads(spark):
     trees = [(1, '{"sections": [{"heading": "A", "children": [{"heading": "B", "paragraphs": ["p"], "children": [{"heading": "C"}]}]}, {"heading": "D"}]}'), (2, None), (3, '{"sections": []}')]
     got = sorted((r["path"], r["level"], r["heading"], r["paragraphs"]) for r in section_tree(spark.createDataFrame(trees, "id int, payload string"), 4).collect())
     assert got == [([0], 1, "A", []), ([0, 0], 2, "B", ["p"]), ([0, 0, 0], 3, "C", []), ([1], 1, "D", [])]
+
+
+def test_fixed_windows_are_greedy_and_whole():
+    import random
+
+    from quire.operators.chunks import _windows
+
+    r = random.Random(4)
+    size = lambda x: sum(1 / 1.5 if "\u4e00" <= c <= "\u9fff" else 0.25 for c in x)
+    for _ in range(200):
+        text = "".join(r.choice("ab 中文。.!?\n") for _ in range(r.randint(0, 200)))
+        found = _windows(text, 8)
+        assert "".join(found) == text and all(0 < size(x) <= 8 for x in found)
+        for x, y in zip(found, found[1:], strict=False):  # the next sentence, or its part that fills a window, did not fit
+            first = _windows(y, 8)[0]
+            head = next((y[: i + 1] for i, c in enumerate(y) if c in "。.!?\n" and (i + 1 == len(y) or y[i + 1] not in "。.!?\n")), first)
+            assert size(x) + size(head) > 8
+
+
+def test_assignment_without_clashes_equals_brute_force(spark):
+    import itertools
+    import random
+
+    from quire.operators import matching
+
+    r = random.Random(2)
+    rows = [(d, f"t{t}", f"s{s}", r.choice([0.3, 0.5, 0.6, 0.75, 0.9]), t == 0) for d in range(60) for t in range(3) for s in range(4)]
+    pairs = spark.createDataFrame(rows, "doc_id long, target_id string, source_path string, score double, required boolean")
+    total = {}
+    seen = set()
+    for x in matching.assigned(pairs).collect():
+        total[x["doc_id"]] = total.get(x["doc_id"], 0) + x["score"]
+        for key in ((x["doc_id"], x["target_id"]), (x["doc_id"], x["source_path"])):
+            assert key not in seen
+            seen.add(key)
+    score = {x[:3]: x[3] if x[3] >= 0.45 else 0.0 for x in rows}
+    for d in range(60):
+        best = max(sum(score[d, f"t{t}", f"s{s}"] for t, s in enumerate(p)) for p in itertools.permutations(range(4), 3))
+        assert abs(total[d] - best) < 1e-9
