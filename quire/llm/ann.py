@@ -162,7 +162,7 @@ def brute_force(vectors: DataFrame, queries: list[tuple[int, np.ndarray]], k: in
     return _top(vectors.select("vec_id", "v").mapInArrow(run, _FOUND), k)
 
 
-def nearest(table: DataFrame, query: Column, k: int = 5, recall: float = 0.97, sample_rows: int = 16_384, most_sample_rows: int = 131_072, calibration_queries: int = 256, branch: int = 8, leaf_rows: int = 40) -> DataFrame:
+def nearest(table: DataFrame, query: Column, k: int = 5, recall: float = 0.95, sample_rows: int = 16_384, most_sample_rows: int = 131_072, calibration_queries: int = 256, branch: int = 8, leaf_rows: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score, leaves): the k nearest of table(vec_id, embedding) to each of its rows where `query` holds.
 
     Nearness is the cosine in double precision; a query's own id is no candidate; ties go to the smaller vec_id. Vectors that are not usable,
