@@ -72,9 +72,9 @@ def predicate(payload: Column, a: Assertion) -> Column:
     return F.when(value.isNotNull(), F.coalesce(found, F.lit(False)))
 
 
-def outcome(payload: Column, a: Assertion) -> Column:
-    """passed, failed, missing or skipped, of a VARIANT."""
-    held = predicate(payload, a)
+def outcome(payload: Column, a: Assertion, parsed: bool = False) -> Column:
+    """passed, failed, missing or skipped, of JSON text, or of a VARIANT if it is parsed."""
+    held = predicate(payload if parsed else F.try_parse_json(payload), a)
     return F.when(held.isNull(), "skipped" if a.optional else "missing").when(held, "passed").otherwise("failed")
 
 

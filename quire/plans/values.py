@@ -66,7 +66,7 @@ _ASSERTIONS = (
 )
 def t10_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assertions over JSON payloads, parsed once, by outcome."""
-    each = F.explode(F.array(*[F.struct(F.lit(a.name).alias("assertion"), outcome(F.col("v"), a).alias("outcome")) for a in _ASSERTIONS]))
+    each = F.explode(F.array(*[F.struct(F.lit(a.name).alias("assertion"), outcome(F.col("v"), a, parsed=True).alias("outcome")) for a in _ASSERTIONS]))
     return table(spark, sf_dir, "events").select(F.try_parse_json("props").alias("v")).select(each.alias("x")).groupBy("x.assertion", "x.outcome").agg(F.count("*").alias("n"))
 
 
@@ -190,7 +190,7 @@ def f33_assertion_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The other assertion operators with their modes and flags, over orders as JSON."""
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     payload = F.to_json(F.struct(day.alias("day"), F.concat(day, F.lit(" 12:30:00")).alias("moment"), F.col("o_orderpriority").alias("clerk"), F.array("o_orderstatus", "o_orderpriority").alias("tags"), F.concat(F.lit("HTTPS://example.org/"), "o_orderkey").alias("link"), F.col("o_totalprice").cast("double").alias("price"), F.col("o_orderstatus").alias("status"), F.lit("F").alias("first"), F.lit(True).alias("flag")))
-    each = F.explode(F.array(*[F.struct(F.lit(a.name).alias("assertion"), outcome(F.col("v"), a).alias("outcome")) for a in _ORDER_ASSERTIONS]))
+    each = F.explode(F.array(*[F.struct(F.lit(a.name).alias("assertion"), outcome(F.col("v"), a, parsed=True).alias("outcome")) for a in _ORDER_ASSERTIONS]))
     return table(spark, sf_dir, "orders").select(F.try_parse_json(payload).alias("v")).select(each.alias("x")).groupBy("x.assertion", "x.outcome").agg(F.count("*").alias("n"))
 
 
