@@ -523,7 +523,7 @@ def test_chat_recovers_roles(turns):
         assert len(got[501]) == 1
         if not unmarked:
             assert got[500] == ["user", "assistant"] * 350
-    rows = [(None, None, None, "Human: hi "), (None, None, None, "Human: hi "), (7, 0, "user", "Human: <|q|> **x**\n\n")]
+    rows = [(None, None, None, "Human: hi "), (None, None, None, "Human: hi "), (7, 0, "user", "Human: <|q|> **x** ")]
     model = chat.fit(chat.transcripts(turns, 0))
     odd = chat.format_chat(turns.sparkSession.createDataFrame(rows, "conv_id long, turn long, role string, text string"), model).collect()
     assert sorted(x["rendered"] for x in odd) == ["<|user|>\n<|q|> **x**\n<|end|>"] + ["<|user|>\nhi\n<|end|>"] * 2
