@@ -6,6 +6,7 @@ import random
 import corpus_pipeline
 import pytest
 from quire.llm import near_copies
+from quire.llm.components import components
 
 
 def shingles(text):
@@ -67,3 +68,12 @@ def test_order_of_shingles_changes_no_group(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     label = lambda **k: sorted((str(r["doc_id"]), r["_text"], r["label"]) for r in near_copies.similar_groups(docs, **k).collect())
     assert label() == label(most_common=0)
+
+
+def test_labels_after_few_rounds_stay_within_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (103, 101)], "a long, b long")
+    whole = {r["node"]: r["label"] for r in components(edges).collect()}
+    early = {r["node"]: r["label"] for r in components(edges, 1).collect()}
+    assert whole == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 103: 100}
+    assert early.keys() == whole.keys() and len(set(early.values())) > 2
+    assert all(whole[v] == whole[k] for k, v in early.items())
