@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann, byte_cnn, chat, line_dedup, lm, mixing, packing, quality_rules, simhash, toxicity
+from quire.llm import ann, byte_cnn, chat, line_dedup, lm, mixing, packing, quality_rules, simhash, substrings, toxicity
 from quire.llm.common import table
 
 
@@ -79,6 +79,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.score(docs, net).select("doc_id", "held_out", "score", "predicted")
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after removal of the strings of 50 bytes that an earlier one holds too."""
+    found = substrings.repeated_spans(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["to"] - x["from"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole corpus pipeline."""
     import corpus_pipeline
@@ -98,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 #: The mix in closed form: the level is the first at which the next source's cap per weight is no lower.
