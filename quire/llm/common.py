@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +88,21 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed bytes, each after its length."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(len(x).to_bytes(8, "little") + x.tobytes() for x in arrays))
+
+
+def unpacked(raw: bytes, *kinds: str) -> list[np.ndarray]:
+    """The arrays of packed, by their kinds."""
+    raw, at, out = zstandard.ZstdDecompressor().decompress(raw), 0, []
+    for kind in kinds:
+        n = int.from_bytes(raw[at : at + 8], "little") * np.dtype(kind).itemsize
+        out.append(np.frombuffer(raw[at + 8 : at + 8 + n], kind))
+        at += 8 + n
+    return out
+
+
 def chunks(batch: pa.RecordBatch, raw: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `limit` bytes of text each (one row at least)."""
     start, total = 0, 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann, byte_cnn, chat, line_dedup, lm, mixing, packing, quality_rules, simhash, substrings, toxicity
+from quire.llm import ann, byte_cnn, chat, cross_tokens, line_dedup, lm, mixing, packing, quality_rules, simhash, substrings, toxicity, turn_repair
 from quire.llm.common import table
 
 
@@ -79,6 +79,17 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.score(docs, net).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of tokens of two vocabularies that cover the same bytes in every document, and how common their links are."""
+    found = cross_tokens.cross_alignment(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by hash, with its faults and the cheapest repair."""
+    return turn_repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document after removal of the strings of 50 bytes that an earlier one holds too."""
     found = substrings.repeated_spans(table(spark, sf_dir, "documents"))
@@ -105,6 +116,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_cross_tokens": op11_cross_tokens,
+    "op12_turn_repair": op12_turn_repair,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
 

@@ -19,28 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import carried, raw_texts, restored, small_batches, written
+from quire.llm.common import carried, packed, raw_texts, restored, small_batches, unpacked, written
 from quire.llm.suffixes import common_prefixes, padded, suffix_array
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Stands for a null doc_id, which comes last.
 LAST = (1 << 63) - 1
 #: Texts are scanned in parts of so many strings, and a stretch has so many at most.
-PART, LONGEST = 1 << 20, 1 << 12
-
-
-def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays as compressed bytes, each after its length."""
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(len(x).to_bytes(8, "little") + x.tobytes() for x in arrays))
-
-
-def _unpacked(raw: bytes, *kinds: str) -> list[np.ndarray]:
-    raw, at, out = zstandard.ZstdDecompressor().decompress(raw), 0, []
-    for kind in kinds:
-        n = int.from_bytes(raw[at : at + 8], "little") * np.dtype(kind).itemsize
-        out.append(np.frombuffer(raw[at + 8 : at + 8 + n], kind))
-        at += 8 + n
-    return out
+PART, LONGEST = 1 << 15, 1 << 12
 
 
 def _hashes(text: np.ndarray, size: int, at: np.ndarray | None = None) -> np.ndarray:
@@ -93,7 +79,7 @@ def _batches(docs: DataFrame, batch_bytes: int) -> DataFrame:
         def out() -> pa.RecordBatch:
             ids, hashes, texts = zip(*held, strict=True)
             blob = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-            row = [[(part << 32) + turn], [_packed(np.array(ids, np.int64))], [_packed(np.array(hashes, np.int64))], [_packed(np.array([len(x) for x in texts], np.int64))], [blob]]
+            row = [[(part << 32) + turn], [packed(np.array(ids, np.int64))], [packed(np.array(hashes, np.int64))], [packed(np.array([len(x) for x in texts], np.int64))], [blob]]
             return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(x, pa.binary()) for x in row[1:])], names=["uid", "ids", "hashes", "sizes", "texts"])
 
         for batch in batches:
@@ -112,7 +98,7 @@ def _batches(docs: DataFrame, batch_bytes: int) -> DataFrame:
 
 def _texts(row: dict) -> Iterator[tuple[int, int, bytes]]:
     """(id, hash, text) of a batch's documents."""
-    (ids,), (hashes,), (sizes,) = (_unpacked(row[x], "i8") for x in ("ids", "hashes", "sizes"))
+    (ids,), (hashes,), (sizes,) = (unpacked(row[x], "i8") for x in ("ids", "hashes", "sizes"))
     raw, at = zstandard.ZstdDecompressor().decompress(row["texts"]) if sizes.sum() else b"", 0
     for i, h, n in zip(ids.tolist(), hashes.tolist(), sizes.tolist(), strict=True):
         yield i, h, raw[at : at + n]
@@ -150,12 +136,12 @@ def _counted(batches: DataFrame, length: int, gram: int, places: int, hot: int)
             if not own:
                 continue
             key, n = np.unique(np.concatenate(own), return_counts=True)
-            parts = [(p, _packed(key[which], np.minimum(n[which], 65535).astype(np.uint16))) for p, which in _parcels(_place(key, places))]
+            parts = [(p, packed(key[which], np.minimum(n[which], 65535).astype(np.uint16))) for p, which in _parcels(_place(key, places))]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in parts], pa.int32()), pa.array([row["uid"]] * len(parts), pa.int64()), pa.array([x for _, x in parts], pa.binary())], names=["place", "uid", "parcel"])
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in _by_place(rows):
-            found = [_unpacked(x["parcel"], "u8", "u2") for x in held]
+            found = [unpacked(x["parcel"], "u8", "u2") for x in held]
             key, back = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
             n = np.bincount(back, np.concatenate([x[1] for x in found]).astype(np.float64), len(key)).astype(np.int64)[back]
             at = 0
@@ -163,11 +149,16 @@ def _counted(batches: DataFrame, length: int, gram: int, places: int, hot: int)
                 mine = n[at : at + len(own)]
                 at += len(own)
                 if (mine > 1).any():
-                    blob = _packed(own[mine > 1], (mine[mine > 1] >= hot).astype(np.uint8))
+                    blob = packed(own[mine > 1], (mine[mine > 1] >= hot).astype(np.uint8))
                     yield pa.RecordBatch.from_arrays([pa.array([x["uid"]], pa.int64()), pa.array([blob], pa.binary())], names=["uid", "keys"])
 
     sent = batches.mapInArrow(send, "place int, uid bigint, parcel binary")
-    return sent.repartition(places, "place").sortWithinPartitions("place").mapInArrow(count, "uid bigint, keys binary")
+    return sent.repartition(_tasks(places), "place").sortWithinPartitions("place").mapInArrow(count, "uid bigint, keys binary")
+
+
+def _tasks(places: int) -> int:
+    """Tasks for so many places: a few places each, one after the other."""
+    return -(-places // 4)
 
 
 def _by_place(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
@@ -182,15 +173,15 @@ def _by_place(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]
         yield held[0]["place"], held
 
 
-def _shared(row: dict, length: int, gram: int) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
-    """For each document of a batch joined with its shared keys: its place in the batch and (place of the key's task, from, to) of its shared stretches."""
-    found = [_unpacked(x, "u8", "u1") for x in row["keys"] or []]
+def _shared(row: dict, length: int, gram: int, places: int) -> Iterator[tuple[int, int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """(number, id, text, places, starts, ends) for each document of a batch joined with its shared keys that has shared stretches: the place of each one's key, its first and past-last string."""
+    found = [unpacked(x, "u8", "u1") for x in row["keys"] or []]
     if not found:
         return
     known = np.concatenate([x[0] for x in found])
     order = np.argsort(known)
     known, hot = known[order], np.concatenate([x[1] for x in found])[order] > 0
-    for i, (_, _, raw) in enumerate(_texts(row)):
+    for i, (doc, _, raw) in enumerate(_texts(row)):
         text = np.frombuffer(raw, np.uint8)
         key = keys(text, length, gram)
         if not len(key):
@@ -202,36 +193,47 @@ def _shared(row: dict, length: int, gram: int) -> Iterator[tuple[int, list[tuple
         if split.any():  # each string of a hot key by itself, under a hash of all its bytes
             one = np.concatenate([np.arange(s, e) for s, e in zip(starts[split].tolist(), ends[split].tolist(), strict=True)])
             starts, ends, by = np.r_[starts[~split], one], np.r_[ends[~split], one + 1], np.r_[by[~split], _hashes(text, length, one)]
-        yield i, list(zip(by.tolist(), starts.tolist(), ends.tolist(), strict=True))
+        if len(starts):
+            yield i, doc, raw, _place(by, places), starts, ends
 
 
-def _sendings(row: dict, length: int, gram: int, places: int) -> tuple[dict[int, dict[bytes, int]], list[tuple[int, int, list[tuple[int, int, int, int]]]]]:
-    """What a batch sends: for each place its distinct stretches with the least doc_id each, in a fixed order; and for each document where its own stretches are among them.
-
-    The second part: (document's place, its id, [(place, number of the stretch there, from, to)]).
-    """
+def _sendings(row: dict, length: int, gram: int, places: int) -> tuple[dict[int, dict[bytes, list[int]]], list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """What a batch sends: for each place its distinct stretches, each with its number there and the least doc_id, in a fixed order; and for each document
+    (its number, its id, places, numbers there, starts) of its stretches."""
     sent: dict[int, dict[bytes, list[int]]] = {}
     uses = []
-    docs = list(_texts(row))
-    for i, own in _shared(row, length, gram):
-        doc, _, raw = docs[i]
-        places_of = _place(np.array([x[0] for x in own], np.uint64), places).tolist() if own else []
-        used = []
-        for p, (_, s, e) in zip(places_of, own, strict=True):
-            there = sent.setdefault(p, {})
-            stretch = raw[s : e + length - 1]
-            known = there.get(stretch)
+    for i, doc, raw, at, starts, ends in _shared(row, length, gram, places):
+        numbers = np.empty(len(at), np.int64)
+        for j, (p, s, e) in enumerate(zip(at.tolist(), starts.tolist(), (ends + length - 1).tolist(), strict=True)):
+            there = sent.get(p)
+            if there is None:
+                there = sent[p] = {}
+            known = there.get(raw[s:e])
             if known is None:
-                known = there[stretch] = [len(there), doc]
+                known = there[raw[s:e]] = [len(there), doc]
             elif doc < known[1]:
                 known[1] = doc
-            used.append((p, known[0], s, e))
-        uses.append((i, doc, used))
-    return {p: {x: least for x, (_, least) in there.items()} for p, there in sent.items()}, uses
+            numbers[j] = known[0]
+        uses.append((i, doc, at, numbers, starts))
+    return sent, uses
+
+
+def _gathered(sizes: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of groups that lie one after the other with these sizes: the places of the members of the chosen groups, and the sizes of these."""
+    n = sizes[chosen]
+    return np.repeat((np.cumsum(sizes) - sizes)[chosen] - (np.cumsum(n) - n), n) + np.arange(n.sum()), n
+
+
+def _covered(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal ranges that these ranges cover, touching ones together."""
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order]) if len(ends) else ends
+    heads = np.flatnonzero(np.r_[True, starts[1:] > reach[:-1]]) if len(starts) else order
+    return starts[heads], reach[np.r_[heads[1:], len(starts)] - 1] if len(starts) else reach
 
 
-def _first_holders(stretch: list[bytes], least: np.ndarray, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each of distinct stretches with their least doc_ids: runs of its strings, (past-last string, least doc_id of all that hold the string)."""
+def _first_holders(stretch: list[bytes], least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For distinct stretches with their least doc_ids, runs of strings with one first holder: how many each stretch has, the past-last string of each run, and its least doc_id of all that hold the string."""
     text, begins = padded(stretch, length)
     sizes = np.array([len(x) - length + 1 for x in stretch], np.int64)
     owner = np.repeat(np.arange(len(stretch)), sizes)
@@ -246,8 +248,7 @@ def _first_holders(stretch: list[bytes], least: np.ndarray, length: int) -> list
     first = np.empty(len(places), np.int64)
     first[number[order]] = np.repeat(lows, np.diff(np.r_[heads, len(order)]))
     edge = np.flatnonzero(np.r_[(first[1:] != first[:-1]) | (owner[1:] != owner[:-1]), True])
-    cuts = np.searchsorted(owner[edge], np.arange(1, len(stretch)))
-    return list(zip(np.split(within[edge] + 1, cuts), np.split(first[edge], cuts), strict=True))
+    return np.bincount(owner[edge], minlength=len(stretch)), within[edge] + 1, first[edge]
 
 
 def _answered(rows: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -257,7 +258,7 @@ def _answered(rows: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         least: list[int] = []
         own = []
         for x in held:
-            sizes, docs, raw = _unpacked(x["parcel"], "i8", "i8", "u1")
+            sizes, docs, raw = unpacked(x.pop("parcel"), "i8", "i8", "u1")
             raw, at, numbers = raw.tobytes(), 0, []
             for n, doc in zip(sizes.tolist(), docs.tolist(), strict=True):
                 k = known.setdefault(raw[at : at + n], len(least))
@@ -267,21 +268,19 @@ def _answered(rows: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
                     least[k] = doc
                 at += n
                 numbers.append(k)
-            own.append((x["uid"], numbers))
-        found = _first_holders(list(known), np.array(least, np.int64), length)
-        known = {}
+            own.append((x["uid"], np.array(numbers, np.int64)))
+        n, ends, first = _first_holders(list(known), np.array(least, np.int64), length)
         for uid, numbers in own:
-            runs = [found[k] for k in numbers]
-            blob = _packed(np.array([len(x[0]) for x in runs], np.int64), np.concatenate([x[0] for x in runs]), np.concatenate([x[1] for x in runs]))
-            yield pa.RecordBatch.from_arrays([pa.array([uid], pa.int64()), pa.array([place], pa.int32()), pa.array([blob], pa.binary())], names=["uid", "place", "answer"])
+            at, sizes = _gathered(n, numbers)
+            yield pa.RecordBatch.from_arrays([pa.array([uid], pa.int64()), pa.array([place], pa.int32()), pa.array([packed(sizes, ends[at], first[at])], pa.binary())], names=["uid", "place", "answer"])
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, batch_bytes: int = 8 << 20, place_bytes: int = 16 << 20, hot: int = 4096) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, batch_bytes: int = 8 << 20, place_bytes: int = 4 << 20, hot: int = 4096) -> DataFrame:
     """(doc_id, text_hash, n_bytes, spans, kept), a row for each row of docs: spans are the maximal byte ranges [from, to) covered by strings of `length` bytes that also
     start in a document with a smaller doc_id; kept is what remains, as BINARY. text_hash is xxhash64 of the text.
 
     doc_id is read as BIGINT; null comes last, as 2^63 - 1, and is returned as null. Rows of one doc_id are never earlier than one another. A null text is empty.
-    gram (8 to length) is the size of what keys hash, place_bytes the text behind one task's keys on average, hot how often a key may occur before its strings
+    gram (8 to length) is the size of what keys hash, place_bytes the text behind one task's keys on average, hot in how many documents a key may occur before its strings
     are dealt out one by one; none of these changes a result.
     """
     small_batches(docs.sparkSession)
@@ -296,47 +295,42 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, batch_byte
         for row in _rows(rows):
             sent, _ = _sendings(row, length, gram, places)
             for p, there in sent.items():
-                blob = _packed(np.array([len(x) for x in there], np.int64), np.array(list(there.values()), np.int64), np.frombuffer(b"".join(there), np.uint8))
+                blob = packed(np.array([len(x) for x in there], np.int64), np.array([x for _, x in there.values()], np.int64), np.frombuffer(b"".join(there), np.uint8))
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([row["uid"]], pa.int64()), pa.array([blob], pa.binary())], names=["place", "uid", "parcel"])
 
-    parcels = known.where("keys is not null").mapInArrow(send, "place int, uid bigint, parcel binary").repartition(places, "place").sortWithinPartitions("place")
+    parcels = known.where("keys is not null").mapInArrow(send, "place int, uid bigint, parcel binary").repartition(_tasks(places), "place").sortWithinPartitions("place")
     answers = parcels.mapInArrow(lambda rows: _answered(rows, length), "uid bigint, place int, answer binary")
     answers = written(answers.groupBy("uid").agg(F.collect_list(F.struct("place", "answer")).alias("answers")))
 
     def settle(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
         for row in _rows(rows):
-            _, uses = _sendings(row, length, gram, places)
-            answer = {}
-            for x in row["answers"] or []:
-                n, ends, first = _unpacked(x["answer"], "i8", "i8", "i8")
-                answer[x["place"]] = (np.cumsum(n) - n, n, ends, first)
-            gone: dict[int, list[tuple[int, int]]] = {}
-            for i, doc, used in uses:
-                ranges = gone.setdefault(i, [])
-                for p, k, start, _ in used:
-                    at, n, ends, first = answer[p]
-                    low, begin = at[k], 0
-                    for end, holder in zip(ends[low : low + n[k]].tolist(), first[low : low + n[k]].tolist(), strict=True):
-                        if holder < doc:
-                            ranges.append((start + begin, start + end + length - 1))
-                        begin = end
-            docs_of = list(_texts(row))
+            sent, uses = _sendings(row, length, gram, places)
+            counts = {p: len(x) for p, x in sent.items()}
+            sent = {}
+            answers = {x["place"]: unpacked(x["answer"], "i8", "i8", "i8") for x in row.pop("answers") or []}
+            base, total = np.zeros(places, np.int64), 0  # number of each place's first stretch among all that the batch sent
+            for p, n in counts.items():
+                base[p], total = total, total + n
+            n, ends, first = (np.concatenate([answers[p][k] for p in counts]) if counts else np.empty(0, np.int64) for k in range(3))
+            begins = np.r_[0, ends[:-1]][: len(ends)]
+            begins[(np.cumsum(n) - n)] = 0
+            gone: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for i, doc, at, numbers, starts in uses:
+                which, sizes = _gathered(n, base[at] + numbers)
+                which, start = which[first[which] < doc], np.repeat(starts, sizes)[first[which] < doc]
+                gone[i] = _covered(start + begins[which], start + ends[which] + length - 1)
+            uses = []
+            docs_of, none = list(_texts(row)), np.empty(0, np.int64)
             for low in range(0, len(docs_of), 256):
                 ids, hashes, sizes, spans, kept = [], [], [], [], []
                 for i, (doc, h, raw) in enumerate(docs_of[low : low + 256], low):
-                    merged: list[list[int]] = []
-                    for s, e in sorted(gone.get(i, [])):
-                        if merged and s <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], e)
-                        else:
-                            merged.append([s, e])
+                    merged = [x.tolist() for x in gone.get(i, (none, none))]
                     ids.append(None if doc == LAST else doc)
                     hashes.append(h)
                     sizes.append(len(raw))
-                    spans.append([{"from": s, "to": e} for s, e in merged])
-                    edges = [0, *(x for pair in merged for x in pair), len(raw)]
-                    kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+                    spans.append([{"from": s, "to": e} for s, e in zip(*merged, strict=True)])
+                    kept.append(b"".join(raw[a:b] for a, b in zip([0, *merged[1]], [*merged[0], len(raw)], strict=True)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["doc_id", "text_hash", "n_bytes", "spans", "kept"])
 
     schema = "doc_id bigint, text_hash bigint, n_bytes bigint, spans array<struct<from:bigint,to:bigint>>, kept binary"

@@ -58,6 +58,20 @@ def ids_of(text: str, folder: str | None = None) -> np.ndarray:
     return np.asarray(encoder(folder).encode_to_numpy(text, allowed_special="all"), "<u4")
 
 
+def ordinary_ids(text: str, folder: str | None = None) -> np.ndarray:
+    """Ids of a text in which the added token's string is ordinary text."""
+    if len(text) > LONG_RUN and _long_run.search(text):
+        return np.array(_plain(folder, True).encode(text, add_special_tokens=False).ids, "<u4")
+    return np.asarray(encoder(folder).encode_to_numpy(text, disallowed_special=()), "<u4")
+
+
+@cache
+def bytes_of_ids(folder: str | None = None) -> list[bytes]:
+    """The bytes of each id, the added token's included."""
+    out = {i: x for x, i in _ranks(folder).items()} | {i: x.encode() for x, i in ADDED.items()}
+    return [out[i] for i in range(len(out))]
+
+
 def word_ids(word: bytes, folder: str | None = None) -> list[int]:
     """Ids of a word after a space, as ordinary text."""
     text = " " + word.decode("utf-8", "replace")
