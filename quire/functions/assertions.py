@@ -88,5 +88,5 @@ def coerced(value: Column, kind: str) -> Column:
         "number": lambda: t.normalize_number(value),
         "boolean": lambda: t.normalize_boolean(value),
         "date": lambda: t.normalize_date(value),
-        "array[string]": lambda: F.filter(F.transform(F.split(value, r"[、,，;；\n]"), F.trim), lambda x: x != ""),
+        "array[string]": lambda: F.filter(F.transform(F.split(value, r"[、,，;；\n]"), lambda x: F.trim(x)), lambda x: x != ""),
     }[kind]()

@@ -120,7 +120,7 @@ def fixed_window(documents: DataFrame, max_tokens: int) -> DataFrame:
 
     Linear in the text, a document at a time, in Arrow batches without a shuffle.
     """
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     ids = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -272,11 +272,3 @@ def x19_page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of page addresses, and the raw title."""
     u = F.col("url")
     return table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract(u, "^(https?)://", 1)).alias("scheme"), F.lower(F.regexp_extract(u, "^https?://([^/?#:]+)", 1)).alias("host"), F.regexp_extract(u, "^https?://[^/?#]+(/[^?#]*)", 1).alias("path"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.length("html").cast("long").alias("n_chars"))
-
-
-@query(BLOCKS + ", s AS (SELECT doc_id, pos, text, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM blocks WHERE type = 'paragraph') SELECT doc_id, regexp_extract(text, '^[^.]*[.]?') AS summary, pos AS source_pos, strpos(text, regexp_extract(text, '^[^.]*[.]?')) > 0 AS faithful FROM s WHERE k = 1")
-def f18_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first sentence of the first paragraph as summary, and whether its source holds it."""
-    first = b.blocks(_docs(spark, sf_dir)).where("type = 'paragraph'").groupBy("doc_id").agg(F.min_by("text", "pos").alias("text"), F.min("pos").alias("source_pos"))
-    cut = F.regexp_extract("text", "^[^.]*[.]?", 0)
-    return first.select("doc_id", cut.alias("summary"), "source_pos", F.contains(F.col("text"), cut).alias("faithful"))

@@ -133,11 +133,3 @@ def g19_gap_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrong = predictions(spark, sf_dir).groupBy("source", "lang").agg(F.count_if((F.col("score") < 99) & (F.col("quality") == 1)).alias("missed"), F.count_if((F.col("score") >= 99) & (F.col("quality") == 0)).alias("wrong"))
     top = wrong.withColumn("gain", 2 * F.col("missed") + F.col("wrong")).orderBy(F.desc("gain"), "source", "lang").limit(20)
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("gain"), "source", "lang")))
-
-
-@query("WITH s AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[0-9]{4,}')) AS facts, regexp_extract(text, '^[^.]*[.]?') AS summary FROM documents) SELECT doc_id, len(list_filter(regexp_extract_all(summary, '[0-9]{4,}'), lambda x: NOT list_contains(facts, x))) AS new_numbers, length(summary) > 0 AS has_summary FROM s")
-def e05_faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of a summary that its source lacks."""
-    numbers = lambda c: F.regexp_extract_all(c, F.lit("[0-9]{4,}"), F.lit(0))
-    rows = table(spark, sf_dir, "documents").select("doc_id", numbers(F.col("text")).alias("facts"), F.regexp_extract("text", "^[^.]*[.]?", 0).alias("summary"))
-    return rows.select("doc_id", F.size(F.filter(numbers(F.col("summary")), lambda x: ~F.array_contains("facts", x))).alias("new_numbers"), (F.length("summary") > 0).alias("has_summary"))
