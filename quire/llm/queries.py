@@ -123,8 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: The mix in closed form: the level is the first at which the next source's cap per weight is no lower.
 OP5_SQL = r"""WITH sized AS (
-  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^ 	-
-]+')) END AS size, coalesce(md5(CAST(doc_id AS VARCHAR)), '') AS h FROM documents),
+  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x09-\x0D\x20]+')) END AS size, coalesce(md5(CAST(doc_id AS VARCHAR)), '') AS h FROM documents),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 placed AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, encode(source)) AS place FROM sums),
 weighed AS (SELECT *, [1.0, 2.0, 3.0][(place - 1) % 3 + 1]::DOUBLE AS weight, [1.5, 1.0, 0.5][(place - 1) % 3 + 1]::DOUBLE AS a, [0.5, 1.0, 1.5][(place - 1) % 3 + 1]::DOUBLE AS b, source_size * 3.0::DOUBLE AS cap FROM placed),

@@ -17,7 +17,7 @@ VOCABULARY = "byte_bpe_50k"
 #: The vocabulary's added token, which no merge makes, and its id.
 ADDED = {"<|endoftext|>": 50_256}
 #: White space longer than this is left to `tokenizers`.
-LONG_RUN = 20_000
+LONG_RUN = 1_000
 _long_run = re.compile(r"\s{%d}" % LONG_RUN)
 
 

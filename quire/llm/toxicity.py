@@ -123,6 +123,7 @@ class Toxicity:
     stems: Stems
     trees: Boosted
     knots: tuple[np.ndarray, np.ndarray]
+    informed: bool = True
 
     def scores(self, raw: list[bytes]) -> np.ndarray:
         seeds, second = (frozenset(w.encode() for w in s) for s in (SEEDS, SECOND))
@@ -130,11 +131,25 @@ class Toxicity:
         return calibrated(self.trees.raw(x), self.knots)
 
 
+def tells_apart(found: np.ndarray, y: np.ndarray, deviations: float = 3.0) -> bool:
+    """Whether label 1 has higher scores than label 0 beyond chance: a rank sum so many standard deviations above its mean. Without rows of both labels, no."""
+    ones, zeros = int((y > 0.5).sum()), int((y <= 0.5).sum())
+    if not ones or not zeros:
+        return False
+    _, at, n = np.unique(found, return_inverse=True, return_counts=True)
+    ranks = (np.cumsum(n) - (n - 1) / 2)[at]
+    above = ranks[y > 0.5].sum() - ones * (ones + 1) / 2 - ones * zeros / 2
+    ties = (n.astype(float) ** 3 - n).sum() / ((ones + zeros) * max(ones + zeros - 1, 1))
+    spread = np.sqrt(ones * zeros / 12 * max(ones + zeros + 1 - ties, 0))
+    return bool(spread > 0 and above > deviations * spread)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = 12_000, fold: tuple[int, int] = (4, 2)) -> Toxicity:
     """Learns from at most `sample_rows` labelled rows, the least by a hash of doc_id, none of the held-out fold.
 
     A quarter of the sample, by another hash, is kept from the trees and calibrates them. Features are made in Spark tasks; only they,
-    19 numbers a sampled row, come to the driver. Without labels of both kinds every score is the constant prior.
+    19 numbers a sampled row, come to the driver. Without labels of both kinds every score is the constant prior. The model is `informed` if it tells
+    the labels of that quarter apart beyond chance; a caller that drops documents by its scores should ask.
     """
     small_batches(docs.sparkSession)
     sample = labelled_texts(docs, labels, label, *fold, sample_rows)
@@ -150,7 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(NAMES))
     y, late = rows["label"].to_numpy(float), rows["part"].to_numpy(bool)
     trees = fit_boosted(x[~late], y[~late])
-    return Toxicity(lexicon, stems, trees, isotonic(trees.raw(x[late]), y[late]))
+    late_scores = trees.raw(x[late])
+    return Toxicity(lexicon, stems, trees, isotonic(late_scores, y[late]), tells_apart(late_scores, y[late]))
 
 
 def score(docs: DataFrame, model: Toxicity, threshold: float = 0.3, fold: tuple[int, int] = (4, 2)) -> DataFrame:
