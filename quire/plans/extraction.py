@@ -46,39 +46,6 @@ def s12_block_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_list(rows.select(F.col("r_regionkey").alias("id"), F.to_json(F.struct(parts.alias("items"))).alias("payload")))
 
 
-def section_tree(payloads: DataFrame, depth: int = 16) -> DataFrame:
-    """(id, path, level, heading, paragraphs) of payloads(id, payload): nested sections in depth-first order by path, `depth` levels at most.
-
-    Each level is one explode of the level above, whose children stay as text, so no document is walked on the driver.
-    """
-    section = "array<struct<heading:string,paragraphs:array<string>,children:variant>>"
-    level = payloads.select("id", F.array().cast("array<int>").alias("path"), F.try_variant_get(F.try_parse_json("payload"), "$.sections", section).alias("s"))
-    found = []
-    for k in range(depth):
-        one = level.select("id", "path", F.posexplode("s").alias("i", "x"))
-        one = one.select("id", F.concat("path", F.array("i")).alias("path"), F.lit(k + 1).alias("level"), "x.heading", F.coalesce("x.paragraphs", F.array().cast("array<string>")).alias("paragraphs"), "x.children")
-        found.append(one.drop("children"))
-        level = one.select("id", "path", F.try_variant_get("children", "$", section).alias("s"))
-    out = found[0]
-    for one in found[1:]:
-        out = out.unionByName(one)
-    return out
-
-
-@query(
-    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation), s AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS j FROM supplier)
-    SELECT n_regionkey AS id, CAST(i AS VARCHAR) AS path, 1 AS level, n_name AS heading, 1 AS n_paragraphs FROM n UNION ALL SELECT n_regionkey, i || '.' || j, 2, s_name, 0 FROM n JOIN s ON s_nationkey = n_nationkey"""
-)
-def s13_section_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tree of sections, made of regions, nations and suppliers, flattened level by level."""
-    kids = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", F.col("s_name").alias("heading")))).alias("children"))
-    rows = table(spark, sf_dir, "nation").join(kids, F.col("n_nationkey") == F.col("s_nationkey"), "left")
-    each = F.struct("n_nationkey", F.col("n_name").alias("heading"), F.array("n_name").alias("paragraphs"), "children")
-    trees = rows.groupBy(F.col("n_regionkey").alias("id")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("n_nationkey", each.alias("x")))).alias("t"))).alias("j"))
-    payload = F.concat(F.lit('{"sections": '), F.to_json(F.transform(F.from_json("j", "t array<struct<x:struct<heading:string,paragraphs:array<string>,children:array<struct<heading:string>>>>>")["t"], lambda z: z["x"])), F.lit("}"))
-    return section_tree(trees.select("id", payload.alias("payload")), 3).select("id", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), "level", "heading", F.size("paragraphs").alias("n_paragraphs"))
-
-
 @query(BLOCKS + ", h AS (SELECT doc_id, min(pos) AS pos, arg_min(text, pos) AS title FROM blocks WHERE type = 'heading' AND level = 1 GROUP BY doc_id) SELECT d.doc_id, coalesce(title, d.source) AS title, CASE WHEN title IS NULL THEN 'metadata' ELSE 'heading' END AS title_from FROM documents d LEFT JOIN h USING (doc_id)")
 def x09_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first level-1 heading as title, else a metadata value."""
