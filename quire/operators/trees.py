@@ -76,8 +76,8 @@ def _kind(v: Column) -> Column:
     return F.when(of.startswith("OBJECT"), "object").when(of.startswith("ARRAY"), "array").when(of == "STRING", "string").when(of == "BOOLEAN", "boolean").when(of == "VOID", "null").otherwise("number")
 
 
-def tree_values(trees: DataFrame, ignored: tuple[str, ...] = ()) -> DataFrame:
-    """(id, path, kind, value) of trees(id, payload): a row for each node of each JSON tree, its path like $.a[0].b; the value of an object, a list or a null is null.
+def tree_values(trees: DataFrame, ignored: tuple[str, ...] = (), keep_json: bool = False) -> DataFrame:
+    """(id, path, kind, value) of trees(id, payload): a row for each node of each JSON tree, its path like $.a[0].b; the value of an object, a list or a null is null. With keep_json also `json`, the node as it stands.
 
     Members under one of the keys `ignored` are left out with all below them. Payloads that are null or no JSON give no rows.
     """
@@ -90,7 +90,7 @@ def tree_values(trees: DataFrame, ignored: tuple[str, ...] = ()) -> DataFrame:
         return kept.select("id", path.alias("path"), _kind(F.col("value")).alias("kind"), F.col("value").alias("v"))
 
     every = reduce(DataFrame.unionByName, _levels(first, deeper))
-    return every.select("id", "path", "kind", F.when(F.col("kind").isin("string", "number", "boolean"), F.try_variant_get("v", "$", "string")).alias("value"))
+    return every.select("id", "path", "kind", F.when(F.col("kind").isin("string", "number", "boolean"), F.try_variant_get("v", "$", "string")).alias("value"), *([F.to_json("v").alias("json")] if keep_json else []))
 
 
 def tree_differences(left: DataFrame, right: DataFrame, ignored: tuple[str, ...] = ()) -> DataFrame:

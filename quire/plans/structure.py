@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import leakage, trees
+from quire.functions.text import UNICODE_SPACE
+from quire.operators import canonical_build, cover, leakage, trees
 from quire.plans.registry import query, table
+from quire.sources import notices
 
 _NORM = "regexp_replace(replace(lower(nfc_normalize({})), 'ß', 'ss'), '[^\\p{L}\\p{N}]', '', 'g')"
 _norm = lambda c: _NORM.replace("{}", c, 1)
+_fold = lambda c: f"regexp_replace(regexp_replace({c}, '{UNICODE_SPACE}+', ' ', 'g'), '^ | $', '', 'g')"
 
 
 @query(
@@ -81,3 +84,92 @@ def t15_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     side = lambda text: orders.select(F.col("o_orderkey").alias("id"), F.expr(text).alias("payload"))
     return trees.tree_differences(side(_LEFT), side(_RIGHT), ("task_id",))
+
+
+_META = """'{"order":{"key":' || o_orderkey || ',"status":"' || o_orderstatus || '"},"customer":{"name":"' || c_name || '","nation":"' || n_name || '","_secret":{"x":1}},"tags":["a",2]}'"""
+#: Where each field of the canonical object may come from, the least rank first.
+_WANTED = (
+    ("order.key", 0, "metadata.order.key"), ("order.status", 0, "metadata.order.status"), ("party.name", 0, "metadata.customer.name"), ("party.name", 1, "metadata.customer.nation"), ("party.place.nation", 0, "metadata.customer.nation"), ("title", 0, "blocks.b0001.text"),
+    ("title", 1, "metadata.order.missing"), ("secret", 0, "metadata.customer._secret.x"), ("order.lines", 0, "metadata.tags"), ("note", 0, "blocks.b0099.text"), ("bad", 0, "../etc"),
+)
+_SCHEMA = ("title", "order.key", "order.status", "order.lines", "party.name", "party.place.nation", "note", "secret")
+_JOINED = "orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey"
+
+
+def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return rows.select(F.col("o_orderkey").alias("id"), F.expr(_META).alias("payload"))
+
+
+def _named_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notices.notices(table(spark, sf_dir, "orders")).select(F.col("doc_id").alias("id"), F.format_string("b%04d", F.col("pos") + 1).alias("block_id"), "text")
+
+
+@query(
+    f"""WITH n AS ({notices.SQL}), t AS (SELECT doc_id, text FROM n WHERE pos = 0),
+    j AS (SELECT o_orderkey AS id, json_object('title', text, 'order', json_object('key', o_orderkey, 'status', o_orderstatus, 'lines', json('["a",2]')), 'party', json_object('name', c_name, 'place', json_object('nation', n_name))) AS json, c_name <> n_name AS differs FROM {_JOINED} JOIN t ON doc_id = o_orderkey)
+    SELECT id, CAST(json AS VARCHAR) AS json, 'sha256:' || sha256(CAST(json AS VARCHAR)) AS canonical_hash, CASE WHEN differs THEN 'party.name' ELSE '' END AS conflicts, '../etc:unsafe_source_path|blocks.b0099.text:source_missing|metadata.customer._secret.x:unsafe_source_path|metadata.order.missing:source_missing' AS errors FROM j"""
+)
+def t06_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested canonical objects of orders in the order of a schema, from metadata and blocks, with conflicts and unreadable paths."""
+    meta = _metadata(spark, sf_dir)
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(r).alias("rank"), F.lit(p).alias("path")) for f, r, p in _WANTED]))
+    return canonical_build.canonical(meta.select("id", each.alias("w")).select("id", "w.*"), meta, _named_blocks(spark, sf_dir), _SCHEMA)
+
+
+_PATHS = ("metadata.order.status", "metadata.order", "metadata.tags", "metadata.customer._secret", "metadata.order.none", "blocks.b0002.text", "blocks.b0077.text", "blocks.b0002", "metadata")
+_PATH = f"CASE o_orderkey % {len(_PATHS)} " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PATHS)) + " END"
+
+
+@query(
+    f"""WITH n AS ({notices.SQL}), b AS (SELECT doc_id, printf('b%04d', pos + 1) AS block_id, text FROM n), w AS (SELECT o_orderkey AS id, {_PATH} AS path, {_META} AS payload FROM {_JOINED}),
+    r AS (SELECT id, path, regexp_matches(path, '^metadata([.][A-Za-z0-9-][A-Za-z0-9_-]*)+$') AS meta, regexp_extract(path, '^blocks[.]([A-Za-z0-9_-]+)[.]text$', 1) AS block, payload FROM w),
+    v AS (SELECT r.id, path, meta, block, CASE WHEN meta THEN CAST(json_extract(payload, replace(path, 'metadata', '$')) AS VARCHAR) WHEN block <> '' THEN CAST(to_json(b.text) AS VARCHAR) END AS value_json FROM r LEFT JOIN b ON b.doc_id = r.id AND b.block_id = r.block)
+    SELECT id, path, value_json, CASE WHEN NOT meta AND block = '' THEN 'unsafe_source_path' WHEN value_json IS NULL THEN 'source_missing' END AS error FROM v"""
+)
+def t04_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values at safe paths into metadata and blocks of each order, and why there is none."""
+    meta = _metadata(spark, sf_dir)
+    path = F.expr(_PATH.replace("o_orderkey", "id")).alias("path")
+    return canonical_build.resolved(meta.select("id", path), meta, _named_blocks(spark, sf_dir))
+
+
+#: Chunks of three blocks a piece; the second chunk of most notices is at fault in one of nine ways.
+_TYPED = "CASE WHEN pos = 3 AND doc_id % 2 = 0 THEN 'list' ELSE type END"
+_FAULT = "CASE WHEN g <> 1 THEN 0 ELSE doc_id % 10 END"
+
+
+@query(
+    f"""WITH raw AS ({notices.SQL}), b AS (SELECT doc_id, pos, printf('b%04d', pos + 1) AS block_id, {_TYPED} AS type, text FROM raw),
+    c0 AS (SELECT doc_id, pos // 3 AS g, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS text, list(block_id ORDER BY pos) AS ids, arg_min(text, pos) AS first FROM b GROUP BY doc_id, pos // 3),
+    c1 AS (SELECT doc_id, 'c' || g AS chunk_id, {_FAULT} AS f, text, ids FROM c0 WHERE doc_id % 10 <> 9 AND NOT (g = 1 AND doc_id % 10 = 6) UNION ALL SELECT doc_id, 'extra', 0, first, ids[1:1] FROM c0 WHERE g = 1 AND doc_id % 10 = 8),
+    c AS (SELECT doc_id, chunk_id, CASE f WHEN 1 THEN ' ' WHEN 3 THEN text || 'Z' WHEN 7 THEN substr(text, 1, length(text) - 2) ELSE text END AS text, CASE f WHEN 2 THEN list_append(ids, 'bX') ELSE ids END AS ids, CASE f WHEN 4 THEN ['e9'] ELSE ['e1'] END AS entities, CASE f WHEN 5 THEN 'nope' WHEN 0 THEN NULL ELSE 'c0' END AS parent FROM c1),
+    s AS (SELECT c.doc_id, chunk_id, c.text AS said, k, block_id AS named FROM (SELECT doc_id, chunk_id, text, unnest(range(len(ids))) AS k, unnest(ids) AS block_id FROM c) c),
+    j AS (SELECT s.*, b.type, b.text, coalesce({_fold('b.text')}, '') AS n FROM s LEFT JOIN b ON b.doc_id = s.doc_id AND b.block_id = named),
+    p AS (SELECT *, coalesce(sum(length(n) + 1) OVER (PARTITION BY doc_id, chunk_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low FROM j WHERE n <> ''),
+    w AS (SELECT c.doc_id, c.chunk_id, {_fold('c.text')} AS n, coalesce((SELECT string_agg(n, ' ' ORDER BY k) FROM p WHERE p.doc_id = c.doc_id AND p.chunk_id = c.chunk_id), '') AS source FROM c),
+    x AS (SELECT p.doc_id, p.named AS block_id, p.chunk_id, length(p.n) AS size, greatest(0, instr(w.source, w.n) - 1 - low) AS lo, least(length(p.n), instr(w.source, w.n) - 1 + length(w.n) - low) AS hi FROM p JOIN w USING (doc_id, chunk_id) WHERE w.n <> '' AND instr(w.source, w.n) > 0),
+    r AS (SELECT *, coalesce(max(hi) OVER (PARTITION BY doc_id, block_id ORDER BY lo, hi, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM x WHERE lo < hi),
+    e AS (SELECT doc_id, block_id, bool_or(lo > reach) OR max(hi) < max(size) AS gap, bool_or(lo < reach) AS overlap FROM r GROUP BY doc_id, block_id),
+    lost AS (SELECT * FROM b WHERE doc_id % 10 <> 9 AND NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = b.doc_id AND named = block_id)),
+    whole AS (SELECT doc_id, named AS block_id, bool_or(CASE WHEN (SELECT len(ids) FROM c WHERE c.doc_id = j.doc_id AND c.chunk_id = j.chunk_id) = 1 THEN said = text ELSE contains(said, text) END) AS fine FROM j WHERE type = 'list' GROUP BY doc_id, named)
+    SELECT DISTINCT doc_id, 'chunks_empty' AS code, NULL AS chunk_id, NULL AS block_id FROM b WHERE doc_id % 10 = 9 UNION ALL SELECT doc_id, 'chunk_text_empty', chunk_id, NULL FROM w WHERE n = '' UNION ALL SELECT doc_id, 'unknown_source_block', chunk_id, named FROM j WHERE type IS NULL
+    UNION ALL SELECT doc_id, 'text_not_derivable', chunk_id, NULL FROM w WHERE n <> '' AND instr(source, n) = 0 UNION ALL SELECT doc_id, 'unknown_entity', chunk_id, NULL FROM c WHERE NOT list_contains(entities, 'e1') UNION ALL SELECT doc_id, 'parent_missing', chunk_id, NULL FROM c WHERE parent = 'nope'
+    UNION ALL SELECT doc_id, 'block_missing', NULL, block_id FROM lost WHERE type <> 'list' AND {_fold('text')} <> '' UNION ALL SELECT doc_id, 'protected_block_missing', NULL, block_id FROM lost WHERE type = 'list' UNION ALL SELECT doc_id, 'protected_block_changed', NULL, block_id FROM whole WHERE NOT fine
+    UNION ALL SELECT doc_id, 'text_gap', NULL, block_id FROM e WHERE gap UNION ALL SELECT doc_id, 'text_overlap', NULL, block_id FROM e WHERE overlap"""
+)
+def c07_chunk_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with a provider's chunks of notices, each kind of fault planted."""
+    raw = notices.notices(table(spark, sf_dir, "orders"))
+    blocks = raw.select("doc_id", "pos", F.format_string("b%04d", F.col("pos") + 1).alias("block_id"), F.expr(_TYPED).alias("type"), "text")
+    members = F.array_sort(F.collect_list(F.struct("pos", "block_id", "text")))
+    made = blocks.groupBy("doc_id", F.floor(F.col("pos") / 3).alias("g")).agg(members.alias("m"))
+    made = made.select("doc_id", "g", F.array_join(F.transform("m", lambda x: x["text"]), "\n\n").alias("text"), F.transform("m", lambda x: x["block_id"]).alias("ids"), F.expr(_FAULT).alias("f"), F.col("m")[0]["text"].alias("first"))
+    kept = made.where("doc_id % 10 <> 9 AND NOT (g = 1 AND doc_id % 10 = 6)").select("doc_id", F.concat(F.lit("c"), F.col("g").cast("string")).alias("chunk_id"), "f", "text", "ids")
+    extra = made.where("g = 1 AND doc_id % 10 = 8").select("doc_id", F.lit("extra").alias("chunk_id"), F.lit(0).alias("f"), F.col("first").alias("text"), F.slice("ids", 1, 1).alias("ids"))
+    f = F.col("f")
+    text = F.when(f == 1, " ").when(f == 3, F.concat("text", F.lit("Z"))).when(f == 7, F.substring("text", F.lit(1), F.length("text") - 2)).otherwise(F.col("text"))
+    ids = F.when(f == 2, F.array_append("ids", F.lit("bX"))).otherwise(F.col("ids"))
+    chunks = kept.unionByName(extra).select("doc_id", "chunk_id", text.alias("text"), ids.alias("source_block_ids"), F.array(F.when(f == 4, "e9").otherwise("e1")).alias("entity_ids"), F.when(f == 5, "nope").when(f != 0, "c0").alias("parent_id"))
+    entities = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("e1").alias("entity_id"))
+    return cover.chunk_faults(chunks, blocks, entities)
