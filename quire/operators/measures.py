@@ -43,12 +43,29 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(union))
 
 
+def retrieval_terms(c: Column) -> Column:
+    """All terms of a question, repeats included: runs of Latin letters and digits, and every run of 2 to 4 of its CJK characters put together."""
+    cjk = F.array_join(F.regexp_extract_all(c, F.lit(f"({t.CJK})"), F.lit(1)), "")
+    grams = F.flatten(F.transform(F.array(cjk), lambda x: t.substring_grams(x)))  # bound once, not once a gram
+    return F.concat(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)), grams)
+
+
+def retrieval_score(terms: Column, searchable: Column, expected: Column) -> Column:
+    """How often the terms occur in a lower-case text, each without overlaps, and 25 for each expected term that it holds."""
+    count = lambda s, w: F.floor((F.length(s) - F.length(F.replace(s, w, F.lit("")))) / F.length(w)).cast("long")
+    found = F.transform(F.array(searchable), lambda s: F.aggregate(terms, F.lit(0).cast("long"), lambda a, w: a + count(s, w)) + 25 * F.size(F.filter(expected, lambda w: F.contains(s, F.lower(w)))).cast("long"))
+    return found[0]
+
+
 def retrieval(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, asked, score, rank): the other turns of each conversation ranked by how often the terms of its first user turn occur."""
-    terms = F.slice(F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0)), F.lower))), 1, 8)
-    asks = turns.where("role = 'user'").groupBy("conv_id").agg(F.min("turn").alias("asked"), F.min_by("text", "turn").alias("text")).select("conv_id", "asked", terms.alias("terms"))
-    low = F.lower("text")
-    count = lambda w: F.floor((F.length(low) - F.length(F.replace(low, w, F.lit("")))) / F.length(w)).cast("long")
-    score = F.aggregate(F.transform("terms", count), F.lit(0).cast("long"), lambda a, x: a + x)
-    scored = turns.join(asks, "conv_id").where("turn <> asked").select("conv_id", "turn", "asked", score.alias("score"))
+    """(conv_id, turn, asked, score, rank): the other turns of each conversation ranked for its first user turn; what it expects is the first word of four letters or more of the turn after it.
+
+    A turn is searched by its text and its role. Conversations without a user turn have no rows; equal scores stand in order of turns.
+    """
+    asks = turns.where("role = 'user'").groupBy("conv_id").agg(F.min("turn").alias("asked"), F.min_by("text", "turn").alias("text"))
+    gold = turns.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.regexp_extract("text", "[A-Za-z]{4,}", 0).alias("word")).groupBy("_c", "_t").agg(F.min("word").alias("word"))
+    asks = asks.join(gold, (F.col("conv_id") == F.col("_c")) & (F.col("asked") + 1 == F.col("_t")), "left")
+    asks = asks.select("conv_id", "asked", retrieval_terms(F.coalesce("text", F.lit(""))).alias("terms"), F.filter(F.array(F.coalesce("word", F.lit(""))), lambda w: w != "").alias("expected"))
+    searchable = F.lower(F.concat_ws("\n", "text", "role"))
+    scored = turns.join(asks, "conv_id").where("turn <> asked").select("conv_id", "turn", "asked", retrieval_score(F.col("terms"), searchable, F.col("expected")).alias("score"))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("score"), "turn")))

@@ -7,9 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as t
+from quire.operators import measures
 from quire.plans.content import BLOCKS
 from quire.plans.registry import query, table
 from quire.sources import blocks as b
+from quire.sources import notices
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,10 +136,14 @@ def f49_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", tier(0.9, 0.7).alias("mapping_tier"), tier(0.8, 0.5).alias("review_tier"))
 
 
-@query("SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS tokens, length(text) AS n FROM benchmark")
+@query(
+    f"""WITH n AS ({notices.SQL}), a AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY pos) AS text FROM n GROUP BY doc_id), c AS (SELECT doc_id, text, array_to_string(regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]'), '') AS cjk FROM a)
+    SELECT doc_id, array_to_string(list_concat(regexp_extract_all(lower(text), '[a-z0-9]+'), list_transform(range(length(cjk) - 1), lambda i: substr(cjk, i + 1, 2)), list_transform(range(length(cjk) - 2), lambda i: substr(cjk, i + 1, 3)), list_transform(range(length(cjk) - 3), lambda i: substr(cjk, i + 1, 4))), ' ') AS tokens FROM c"""
+)
 def f15_retrieval_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct search terms of queries."""
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("tokens"), F.length("text").alias("n"))
+    """Terms of notices for retrieval, Latin runs and every run of 2 to 4 CJK characters."""
+    rows = notices.notices(table(spark, sf_dir, "orders")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return rows.select("doc_id", F.array_join(measures.retrieval_terms(F.col("text")), " ").alias("tokens"))
 
 
 @query("WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS mine, list_distinct(regexp_extract_all(lower(lag(text) OVER (PARTITION BY conv_id ORDER BY turn)), '[a-z0-9]+')) AS asked FROM conversations) SELECT conv_id, turn, round(len(list_intersect(mine, asked)) / CAST(len(asked) AS DOUBLE) + len(list_intersect(mine, asked)) / CAST(len(mine) AS DOUBLE), 6) AS overlap FROM w WHERE len(mine) > 0 AND len(asked) > 0")
