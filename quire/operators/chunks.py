@@ -6,9 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from quire.functions import text as t
 from quire.sources.blocks import block_type, heading_level
@@ -26,46 +28,69 @@ def _lines() -> Column:
     return F.filter(F.transform(F.split("text", "\n"), one), lambda x: x["type"] != "empty")
 
 
-def _packed(lines: Column, max_tokens: int, with_headings: bool) -> Column:
-    """Chunk number of each line by a fold: a unit that would exceed the budget, a heading, and a protected block start a new chunk.
+def _numbers(kinds: list[str], cjk: list[int], other: list[int], max_tokens: int, with_headings: bool) -> list[int]:
+    """Chunk number of each of a document's lines, -1 for a heading that is dropped, in one pass.
 
-    The state is the chunk's number, its CJK and other characters (two for each join), and whether it must stay closed.
+    A unit that would exceed the budget, a heading, and a protected block start a new chunk; nothing joins a protected block. A dropped heading
+    closes the chunk before it and opens none. Each join costs two characters.
     """
-    tokens = lambda cjk, other: F.greatest(F.lit(1), F.floor(cjk / 1.5 + other / 4).cast("int"))
-    empty = F.array().cast("array<struct<pos:int,text:string,type:string,chunk:int>>")
-    zero = F.struct(F.lit(-1).alias("chunk"), F.lit(0).alias("cjk"), F.lit(0).alias("other"), F.lit(True).alias("closed"), empty.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        protected = x["type"].isin("table", "list")
-        heading = x["type"] == "heading"
-        cjk, other = acc["cjk"] + x["cjk"], acc["other"] + x["other"] + 2
-        fresh = acc["closed"] | protected | heading | (tokens(cjk, other) > max_tokens)
-        number = F.when(fresh, acc["chunk"] + 1).otherwise(acc["chunk"])
-        kept = F.lit(True) if with_headings else ~heading
-        out = F.when(kept, F.concat(acc["out"], F.array(F.struct(x["pos"].alias("pos"), x["text"].alias("text"), x["type"].alias("type"), number.alias("chunk"))))).otherwise(acc["out"])
-        if with_headings:
-            return F.struct(number.alias("chunk"), F.when(fresh, x["cjk"]).otherwise(cjk).alias("cjk"), F.when(fresh, x["other"]).otherwise(other).alias("other"), protected.alias("closed"), out.alias("out"))
-        # a dropped heading closes the chunk before it and opens none
-        return F.struct(F.when(heading, acc["chunk"]).otherwise(number).alias("chunk"), F.when(heading, 0).when(fresh, x["cjk"]).otherwise(cjk).alias("cjk"), F.when(heading, 0).when(fresh, x["other"]).otherwise(other).alias("other"), (protected | heading).alias("closed"), out.alias("out"))
-
-    return F.aggregate(lines, zero, step, lambda acc: acc["out"])
+    out, chunk, held, rest, closed = [], -1, 0, 0, True
+    for kind, c, o in zip(kinds, cjk, other, strict=True):
+        heading, protected = kind == "heading", kind in ("table", "list")
+        if heading and not with_headings:
+            out.append(-1)
+            closed = True
+            continue
+        joined = max(1, int((held + c) / 1.5 + (rest + o + 2) / 4))
+        if closed or protected or heading or joined > max_tokens:
+            chunk, held, rest = chunk + 1, c, o
+        else:
+            held, rest = held + c, rest + o + 2
+        closed = protected
+        out.append(chunk)
+    return out
+
+
+def _numbered(documents: DataFrame, max_tokens: int, with_headings: bool) -> DataFrame:
+    """(doc_id, chunk, x) with a row for each line that is not empty: x is the line, chunk its chunk's number. Linear in the lines, in Arrow batches without a shuffle."""
+    rows = documents.where("text is not null").select("doc_id", _lines().alias("lines"))
+    longs = pa.list_(pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            flat, ends = column.flatten(), column.offsets.to_pylist()
+            kinds, cjk, other = (flat.field(n).to_pylist() for n in ("type", "cjk", "other"))
+            ends = [e - ends[0] for e in ends]
+            found = [_numbers(kinds[i:j], cjk[i:j], other[i:j], max_tokens, with_headings) for i, j in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, longs)], names=["doc_id", "lines", "chunks"])
 
+    packed = rows.mapInArrow(run, StructType([*rows.schema, StructField("chunks", ArrayType(IntegerType()))]))
+    return packed.select("doc_id", F.explode(F.arrays_zip("lines", "chunks")).alias("z")).select("doc_id", F.col("z.chunks").alias("chunk"), F.col("z.lines").alias("x"))
 
-def greedy(documents: DataFrame, max_tokens: int, with_headings: bool) -> DataFrame:
-    """(doc_id, chunk_index, first_pos, n_blocks, token_count, text_hash): greedy packing of each document's lines, without a shuffle before the grouping."""
-    rows = documents.select("doc_id", F.explode(_packed(_lines(), max_tokens, with_headings)).alias("x")).select("doc_id", F.col("x.chunk").alias("chunk_index"), "x.pos", "x.text")
+
+def _gathered(lines: DataFrame) -> DataFrame:
+    """Chunks of numbered lines."""
+    rows = lines.where("chunk >= 0").select("doc_id", F.col("chunk").alias("chunk_index"), "x.pos", "x.text")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n")
     packed = rows.groupBy("doc_id", "chunk_index").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n_blocks"), text.alias("text"))
     return packed.select("doc_id", "chunk_index", "first_pos", "n_blocks", t.estimate_tokens(F.col("text")).alias("token_count"), t.text_hash(F.col("text")).alias("text_hash"))
 
 
+def greedy(documents: DataFrame, max_tokens: int, with_headings: bool) -> DataFrame:
+    """(doc_id, chunk_index, first_pos, n_blocks, token_count, text_hash): greedy packing of each document's lines to a budget of tokens. Null texts have no chunks."""
+    return _gathered(_numbered(documents, max_tokens, with_headings))
+
+
 def parent_child(documents: DataFrame, max_tokens: int) -> DataFrame:
-    """(doc_id, parent_index, chunk_index, first_pos, token_count): children of table_protect packing under the last level-1 heading at or before them."""
-    heads = documents.select("doc_id", F.explode(F.filter(_lines(), lambda x: x["level"] == 1)).alias("x")).select("doc_id", F.col("x.pos").alias("at"), F.lit(None).cast("int").alias("chunk_index"), F.lit(None).cast("int").alias("token_count"))
-    children = greedy(documents, max_tokens, with_headings=False).select("doc_id", F.col("first_pos").alias("at"), "chunk_index", "token_count")
-    order = W.partitionBy("doc_id").orderBy("at", F.col("chunk_index").isNotNull())
-    both = heads.unionByName(children).withColumn("parent_index", F.greatest(F.lit(0), F.sum(F.col("chunk_index").isNull().cast("int")).over(order) - 1).cast("int"))
-    return both.where("chunk_index is not null").select("doc_id", "parent_index", "chunk_index", F.col("at").alias("first_pos"), "token_count")
+    """(doc_id, parent_index, chunk_index, first_pos, token_count): children of packing without headings under the last level-1 heading at or before them, counted from 0.
+
+    One pass over the lines: a chunk's parent is the number of level-1 headings up to its first line.
+    """
+    order = W.partitionBy("doc_id").orderBy("x.pos")
+    lines = _numbered(documents, max_tokens, False).withColumn("heads", F.sum((F.col("x.level") == 1).cast("int")).over(order))
+    pick = lines.where("chunk >= 0").groupBy("doc_id", F.col("chunk").alias("chunk_index")).agg(F.min("x.pos").alias("first_pos"), F.min("heads").alias("heads"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x.pos", "x.text"))), lambda x: x["text"]), "\n\n").alias("text"))
+    return pick.select("doc_id", F.greatest(F.lit(0), F.coalesce("heads", F.lit(0)) - 1).cast("int").alias("parent_index"), "chunk_index", "first_pos", t.estimate_tokens(F.col("text")).alias("token_count"))
 
 
 def tagged(blocks: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -74,10 +99,16 @@ def tagged(blocks: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 
 def keywords(documents: DataFrame, k: int) -> DataFrame:
-    """(doc_id, word, n, rank): each document's k most frequent keywords; ties go to the smaller word."""
-    counts = documents.select("doc_id", F.explode(t.keyword_tokens(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("n"), "word"))
-    return counts.withColumn("rank", rank).where(F.col("rank") <= k)
+    """(doc_id, word, n, rank): each document's k most frequent keywords; ties go to the smaller word.
+
+    Words are counted within the row, as lengths of runs of the sorted words, so only documents of one id that are several rows would have to meet; here a row is a document. No shuffle.
+    """
+    words = documents.select("doc_id", F.explode(F.array(F.array_sort(t.keyword_tokens(F.col("text"))))).alias("w"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: (i == 1) | (F.get("w", i - 1) != F.get("w", i - 2)))
+    runs = words.where(F.size("w") > 0).select("doc_id", "w", F.explode(F.array(starts)).alias("s"))
+    count = lambda i, k: F.coalesce(F.get("s", k + 1), F.size("w") + 1) - i
+    best = F.slice(F.array_sort(F.transform("s", lambda i, k: F.struct((-count(i, k)).alias("down"), F.get("w", i - 1).alias("word")))), 1, k)
+    return runs.select("doc_id", F.posexplode(best).alias("at", "x")).select("doc_id", "x.word", (-F.col("x.down")).cast("long").alias("n"), (F.col("at") + 1).alias("rank"))
 
 
 def markdown(blocks: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,17 +34,32 @@ def blocks(documents: DataFrame) -> DataFrame:
     return typed.select("doc_id", "pos", F.format_string("b%04d", F.col("pos") + 1).alias("block_id"), "type", heading_level(F.col("type"), F.col("pos"), F.col("text")).alias("level"), "text")
 
 
+def _paths(heads: list[dict]) -> list[str]:
+    """The path at each heading: its text behind the path before it, cut to level - 1 parts."""
+    out, path = [], []
+    for head in heads:
+        path = [*path[: head["level"] - 1], head["text"]]
+        out.append(" > ".join(path))
+    return out
+
+
 def title_paths(documents: DataFrame) -> DataFrame:
     """(doc_id, pos, title_path): at each heading, the path after it is pushed on the path cut to level - 1 parts.
 
-    A fold over the document's own lines in one row: no shuffle, and exact where levels are skipped.
+    One pass over each document's headings in Arrow batches: no shuffle, linear, and exact where levels are skipped.
     """
     lines = F.transform(F.split("text", "\n"), lambda t, i: F.struct(t.alias("text"), i.alias("pos"), heading_level(block_type(t, i), i, t).alias("level")))
-    heads = F.filter(lines, lambda x: x["level"].isNotNull())
-    start = F.array().cast("array<struct<pos:int,path:array<string>>>")
-    last = lambda acc: F.when(F.size(acc) > 0, F.element_at(acc, -1)["path"]).otherwise(F.array().cast("array<string>"))
-    push = lambda acc, x: F.concat(acc, F.array(F.struct(x["pos"].alias("pos"), F.concat(F.slice(last(acc), F.lit(1), x["level"] - 1), F.array(x["text"])).alias("path"))))
-    return documents.select("doc_id", F.explode(F.aggregate(heads, start, push)).alias("x")).select("doc_id", F.col("x.pos").alias("pos"), F.array_join("x.path", " > ").alias("title_path"))
+    heads = documents.select("doc_id", F.filter(lines, lambda x: x["level"].isNotNull()).alias("heads")).where("heads is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(1).to_pylist()
+            pos = [[h["pos"] for h in x] for x in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pos, pa.list_(pa.int32())), pa.array([_paths(x) for x in rows], pa.list_(pa.string()))], names=["doc_id", "pos", "title_path"])
+
+    ids = documents.schema["doc_id"].dataType.simpleString()
+    found = heads.mapInArrow(run, f"doc_id {ids}, pos array<int>, title_path array<string>")
+    return found.select("doc_id", F.explode(F.arrays_zip("pos", "title_path")).alias("x")).select("doc_id", "x.pos", "x.title_path")
 
 
 def sections(rows: DataFrame) -> DataFrame:

@@ -222,3 +222,17 @@ def test_retrieval_counts_all_terms(spark):
 def test_fixed_windows_trim_white_space_only(spark):
     docs = spark.createDataFrame([(1, "0 first 0\n  1 second 1  \n")], "doc_id int, text string")
     assert chunks.fixed_window(docs, 100).first()["text"] == "0 first 0\n\n1 second 1"
+
+
+def test_children_stand_under_the_last_level_1_heading(spark):
+    docs = spark.createDataFrame([(1, "Opening line of it\nsome paragraph that is long enough\nshort\na | b\nanother paragraph of some length"), (2, "x" * 90 + "\n\n" + "y" * 90), (3, None), (4, "")], "doc_id int, text string")
+    got = sorted((r["doc_id"], r["parent_index"], r["chunk_index"], r["first_pos"]) for r in chunks.parent_child(docs, 20).collect())
+    want = []
+    for doc, text in ((1, docs.collect()[0]["text"]), (2, docs.collect()[1]["text"])):
+        heads, number = 0, {}
+        rows = {r["chunk_index"]: r["first_pos"] for r in chunks.greedy(docs.where(F.col("doc_id") == doc), 20, False).collect()}
+        for pos, line in enumerate(text.split("\n")):
+            heads += pos == 0 and len(line) <= 80
+            number |= {c: max(0, heads - 1) for c, p in rows.items() if p == pos}
+        want += [(doc, number[c], c, p) for c, p in rows.items()]
+    assert got == sorted(want) and len(got) > 4
