@@ -3,8 +3,9 @@
 Lines are hashed, and windows of neighbouring lines that just reach the words of a block; each window shared by several documents links its
 later holders to the first holder (one link a holder, so a passage that a third of all documents hold costs one row a document, never all
 pairs). A common run of enough words holds, for each of its lines, a window around that line, so links lose no run. Each linked pair is
-aligned with patience diff over the whole documents, and common blocks of enough words are deleted from the later document, as is every other
-common run of as many words. The first holder of a line keeps it, so no line is lost everywhere. A first holder meets its later ones in
+aligned with patience diff over the whole documents; common blocks of enough words are deleted from the later document, and what is left is aligned again until
+no such block comes up. A shared window that all these alignments leave standing, because its lines stand elsewhere or were parted by a deletion, is an
+anchor: the stretch around it that both documents hold is aligned by itself and deleted too. The first holder of a line keeps it, so no line is lost everywhere. A first holder meets its later ones in
 batches, so that its lines travel once a batch and not once a pair.
 """
 
@@ -28,19 +29,24 @@ from quire.llm.common import carried, raw_texts, restored, small_batches, writte
 _BASE = 0x9E3779B97F4A7C15
 
 
-def windows(lines: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
-    """Distinct hashes of a text's shortest ranges of lines that hold `least` words, from each line on and back from each line."""
+def window_ranges(lines: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first line and past-last line of a text's shortest ranges of lines that hold `least` words, from each line on and back from each line."""
     n = len(lines)
     until = np.r_[0, np.cumsum(words)]
     on, back = np.searchsorted(until, until[:-1] + least), np.searchsorted(until, until[1:] - least, "right") - 1
     low = np.r_[np.arange(n)[on <= n], back[back >= 0]]
     high = np.r_[on[on <= n], np.arange(1, n + 1)[back >= 0]]
     if not len(low):
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), low, high
     power = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE, np.uint64)])
     inverse = np.cumprod(np.r_[np.uint64(1), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)])
     sums = np.r_[np.uint64(0), np.cumsum(lines.astype(np.uint64) * power[:n])]
-    return np.unique((sums[high] - sums[low]) * inverse[low]).view(np.int64)
+    return ((sums[high] - sums[low]) * inverse[low]).view(np.int64), low, high
+
+
+def windows(lines: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
+    """Distinct hashes of window_ranges."""
+    return np.unique(window_ranges(lines, words, least)[0])
 
 
 def _lines(docs: DataFrame, block_words: int) -> DataFrame:
@@ -117,81 +123,75 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-class Runs:
-    """A suffix automaton of a: finds runs of other sequences that stand unbroken in a."""
-
-    def __init__(self, a: Sequence[int]):
-        after: list[dict[int, int]] = [{}]
-        link, length, last = [-1], [0], 0
-        for x in a:
-            own = len(after)
-            after.append({})
-            link.append(0)
-            length.append(length[last] + 1)
-            at, last = last, own
-            while at >= 0 and x not in after[at]:
-                after[at][x] = own
-                at = link[at]
-            if at < 0:
-                continue
-            to = after[at][x]
-            if length[to] != length[at] + 1:
-                copy = len(after)
-                after.append(dict(after[to]))
-                link.append(link[to])
-                length.append(length[at] + 1)
-                link[to] = copy
-                while at >= 0 and after[at].get(x) == to:
-                    after[at][x] = copy
-                    at = link[at]
-                to = copy
-            link[own] = to
-        self.after, self.link, self.length = after, link, length
-
-    def longest(self, b: Sequence[int]) -> list[int]:
-        """For each line of b, how many lines up to and with it stand unbroken somewhere in a, at most."""
-        after, link, length = self.after, self.link, self.length
-        found, at, n = [], 0, 0
-        for x in b:
-            while at > 0 and x not in after[at]:
-                at = link[at]
-                n = length[at]
-            if x in after[at]:
-                at, n = after[at][x], n + 1
-            found.append(n)
-        return found
-
-
-def shared_blocks(a: Sequence[int], b: Sequence[int], words: Sequence[int], least: int, runs: Runs | None = None) -> list[tuple[int, int]]:
-    """Ranges [from, to) of b's lines that stand unbroken in a too, in runs that hold `least` words or more: all such lines of b.
-
-    First the blocks that one alignment of both finds, then what of any other run lies outside these, wherever it stands in a. runs: those of a, if made already.
+class Anchors:
+    """Where the windows of a document stand, by hash and number of lines, each at its first place."""
+
+    def __init__(self, lines: Sequence[int], words: Sequence[int], least: int):
+        self.lines, self.least = lines, least
+        found, low, high = window_ranges(np.array(lines, np.int64), np.array(words, np.int64), least)
+        self.at = {(h, j - i): i for h, i, j in zip(found[::-1].tolist(), low[::-1].tolist(), high[::-1].tolist(), strict=True)}
+
+
+def _blocks(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of the second side in which aligned pairs go on line by line on both."""
+    out: list[list[int]] = []
+    for i, j in pairs:
+        if out and out[-1][1:] == [i, j]:
+            out[-1][1:] = [i + 1, j + 1]
+        else:
+            out.append([j, i + 1, j + 1])
+    return [(low, high) for low, _, high in out]
+
+
+def shared_blocks(anchors: Anchors, b: Sequence[int], words: Sequence[int]) -> list[tuple[int, int]]:
+    """Ranges [from, to) of b's lines that stand unbroken in the first document too, in runs that hold enough words: all such lines of b.
+
+    Whole alignments first, each over what the last one left; then, for each window of b that still stands and that the first document holds, an
+    alignment of the longest stretch around it that both hold.
     """
-    until = [0, *accumulate(words)]
-    rest = [False] * len(b)
-    reach = len(b)
-    for j, n in reversed([*enumerate((runs or Runs(a)).longest(b), 1)]):
-        start = j - n
-        if until[j] - until[start] >= least:
-            rest[start : min(j, reach)] = [True] * (min(j, reach) - start)
-            reach = min(reach, start)
-    if not any(rest):
-        return []
-    blocks: list[list[int]] = []
-    for i, j in patience(a, b):
-        if blocks and blocks[-1][2:] == [i, j]:
-            blocks[-1][1:] = [j + 1, i + 1, j + 1]
+    a, least = anchors.lines, anchors.least
+    until, gone, left = [0, *accumulate(words)], [False] * len(b), list(b)
+
+    def deleted(pairs: list[tuple[int, int]]) -> bool:
+        some = False
+        for low, high in _blocks(pairs):
+            if until[high] - until[low] >= least and not all(gone[low:high]):
+                some = True
+                for j in range(low, high):
+                    gone[j], left[j] = True, (1 << 64) + j  # equal to no line of any document
+        return some
+
+    while deleted(patience(a, left)):
+        pass
+    found, lows, highs = window_ranges(np.array(b, np.int64), np.array(words, np.int64), least)
+    for h, low, high in zip(found.tolist(), lows.tolist(), highs.tolist(), strict=True):
+        i = anchors.at.get((h, high - low))
+        if i is not None and not all(gone[low:high]):
+            end = i + high - low
+            if list(a[i:end]) != list(b[low:high]):
+                continue
+            while i > 0 and low > 0 and a[i - 1] == b[low - 1]:
+                i, low = i - 1, low - 1
+            while end < len(a) and high < len(b) and a[end] == b[high]:
+                end, high = end + 1, high + 1
+            deleted([(i + x, low + y) for x, y in patience(a[i:end], b[low:high])])
+    edges = [j for j, (x, y) in enumerate(zip([False, *gone], [*gone, False], strict=True)) if x != y]
+    return list(zip(edges[::2], edges[1::2], strict=True))
+
+
+def _united(ranges: list[dict]) -> list[dict]:
+    """Maximal ranges that these cover, in order."""
+    out: list[dict] = []
+    for x in sorted(ranges, key=lambda r: r["from"]):
+        if out and x["from"] <= out[-1]["to"]:
+            out[-1]["to"] = max(out[-1]["to"], x["to"])
         else:
-            blocks.append([j, j + 1, i + 1, j + 1])
-    found = [(x[0], x[1]) for x in blocks if until[x[1]] - until[x[0]] >= least]
-    for low, high in found:
-        rest[low:high] = [False] * (high - low)
-    edges = [j for j, (x, y) in enumerate(zip([False, *rest], [*rest, False], strict=True)) if x != y]
-    return sorted(found + list(zip(edges[::2], edges[1::2], strict=True)))
+            out.append({"from": x["from"], "to": x["to"]})
+    return out
 
 
 def repeated_blocks(docs: DataFrame, block_words: int = 30, batch_pairs: int = 4096) -> DataFrame:
-    """(doc_id, _text, ranges): for each document that loses lines, the line ranges that an earlier document holds. _text is xxhash64 of its text.
+    """(doc_id, _text, ranges): for each document that loses lines, the maximal line ranges that earlier documents hold, in order. _text is xxhash64 of its text.
 
     A first holder's pairs are dealt over as many batches as all pairs fill with batch_pairs each.
     """
@@ -205,20 +205,20 @@ def repeated_blocks(docs: DataFrame, block_words: int = 30, batch_pairs: int = 4
     n = max(1, -(-pairs.count() // batch_pairs))
     pairs = pairs.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int"))
     sides = lines.select(row.alias("of"), "lines", "words")
-    firsts = pairs.select("first", "part").distinct().join(sides, F.col("first") == F.col("of")).select("first", "part", F.lit(0).alias("kind"), F.lit(None).cast(sides.schema["of"].dataType).alias("row"), "lines", F.lit(None).cast("array<int>").alias("words"))
+    firsts = pairs.select("first", "part").distinct().join(sides, F.col("first") == F.col("of")).select("first", "part", F.lit(0).alias("kind"), F.lit(None).cast(sides.schema["of"].dataType).alias("row"), "lines", "words")
     later = pairs.join(sides, F.col("row") == F.col("of")).select("first", "part", F.lit(1).alias("kind"), "row", "lines", "words")
     both = firsts.unionByName(later).repartition("first", "part").sortWithinPartitions("first", "part", "kind").select("kind", "row.doc_id", "row._text", "lines", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
-        a, runs = [], Runs([])
+        anchors = Anchors([], [], block_words)
         for batch in batches:
             keep, found = [], []
             for i, (what, lines, words) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
                 if what == 0:
-                    a, runs = lines, Runs(lines)
+                    anchors = Anchors(lines, words, block_words)
                     continue
-                blocks = shared_blocks(a, lines, words, block_words, runs)
+                blocks = shared_blocks(anchors, lines, words)
                 if blocks:
                     keep.append(i)
                     found.append([{"from": i, "to": j} for i, j in blocks])
@@ -228,7 +228,13 @@ def repeated_blocks(docs: DataFrame, block_words: int = 30, batch_pairs: int = 4
     ids = docs.schema["doc_id"].dataType.simpleString()
     found = both.mapInArrow(run, f"doc_id {ids}, _text bigint, ranges array<struct<from:int,to:int>>")
     # one row a pair, and a document has no more pairs than windows, two a line at most
-    return found.groupBy("doc_id", "_text").agg(F.array_distinct(F.flatten(F.collect_list("ranges"))).alias("ranges"))
+    every = found.groupBy("doc_id", "_text").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_united(x) for x in batch.column(2).to_pylist()], batch.column(2).type)], names=["doc_id", "_text", "ranges"])
+
+    return every.mapInArrow(unite, f"doc_id {ids}, _text bigint, ranges array<struct<from:int,to:int>>")
 
 
 _OWN = ("doc_id", "text", "n_chars")
@@ -254,9 +260,13 @@ def _deduplicated(docs: DataFrame, block_words: int) -> DataFrame:
     blocks = repeated_blocks(docs, block_words).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_of"), "ranges")
     joined = carried(docs, *_OWN).withColumn("_text", F.xxhash64("text")).join(blocks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_of")), "left")
     lines = F.split("text", "\n")
-    gone = lambda i: F.exists("ranges", lambda r: (r["from"] <= i) & (i < r["to"]))
-    kept = F.when(F.col("ranges").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~gone(i)), "\n"))
-    lost = F.when(F.col("ranges").isNull(), F.array().cast("array<string>")).otherwise(F.filter(lines, lambda _, i: gone(i)))
+    # ranges are apart and in order: what stays is what lies between one's end and the next one's start
+    ends, starts = F.concat(F.array(F.lit(0)), F.transform("ranges", lambda r: r["to"])), F.concat(F.transform("ranges", lambda r: r["from"]), F.array(F.size(lines)))
+    part = lambda x, low, high: F.slice(x, low + 1, high - low)
+    split = F.transform(F.array(lines), lambda x: F.struct(F.flatten(F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda z: part(x, z["a"], z["b"]))).alias("kept"), F.flatten(F.transform("ranges", lambda r: part(x, r["from"], r["to"]))).alias("lost")))[0]
+    joined = joined.withColumn("_split", F.when(F.col("ranges").isNotNull(), split))
+    kept = F.when(F.col("ranges").isNull(), F.col("text")).otherwise(F.array_join("_split.kept", "\n"))
+    lost = F.coalesce("_split.lost", F.array().cast("array<string>"))
     out = joined.withColumns({"text": kept, "_lost": lost}).withColumns({"lines_removed": F.size("_lost").cast("long"), "words_removed": F.size(F.array_remove(F.split(F.array_join("_lost", " "), r"[\x20\x09-\x0D]+"), "")).cast("long")})
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("ranges").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))

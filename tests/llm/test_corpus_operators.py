@@ -88,30 +88,23 @@ def test_patience_and_blocks():
     assert line_dedup.patience([5, 5, 5], [5, 5, 5]) == [(0, 0), (1, 1), (2, 2)]
     assert line_dedup.patience([], [1]) == []
     assert line_dedup.patience([7, 1, 2, 8], [1, 2, 1, 2]) == [(1, 0), (2, 1)]
-    assert line_dedup.shared_blocks([1, 2, 3], [0, 2, 3, 1], [9, 20, 20, 50], 30) == [(1, 3), (3, 4)]  # the moved line too
-    swapped, doubled = [6, 3, 4, 7, 1, 2, 8], [6, 1, 2, 7, 1, 2, 8]
-    assert line_dedup.shared_blocks([1, 2, 9, 3, 4], swapped, [20] * 7, 30) == [(1, 3), (4, 6)]
-    assert line_dedup.shared_blocks([5, 1, 2, 9], doubled, [20] * 7, 30) == [(1, 3), (4, 6)]
 
 
-def reference_line_dedup(rows, block_words, seed_words):
-    """By plain loops: each document against the first holder of each of its lines."""
-    import functools
-
-    key = functools.cmp_to_key(lambda a, b: (a > b) - (a < b))
-    order = sorted({(d is None, d or 0, t or "") for d, t in rows}, key=key)
-    first = {}
+def lines_held_before(rows, least):
+    """By plain loops over all pairs: each text without the lines of runs of `least` words that an earlier one holds unbroken."""
+    order = sorted({(d is None, d or 0, t or "") for d, t in rows})
     out = {}
-    for none, d, t in order:
-        lines = t.split("\n")
-        gone = set()
-        holders = {first[x] for x in lines if x in first and len(words(x)) >= seed_words}
-        for h in holders:
-            for i, j in line_dedup.shared_blocks(h[2].split("\n"), lines, [len(words(x)) for x in lines], block_words):
-                gone |= set(range(i, j))
-        for x in lines:
-            if len(words(x)) >= seed_words:
-                first.setdefault(x, (none, d, t))
+    for k, (none, d, t) in enumerate(order):
+        lines, gone = t.split("\n"), set()
+        size = [len(words(x)) for x in lines]
+        for _, _, other in order[:k]:
+            held = f"\n{other}\n"
+            for low in range(len(lines)):
+                for high in range(low + 1, len(lines) + 1):
+                    if "\n" + "\n".join(lines[low:high]) + "\n" not in held:
+                        break
+                    if sum(size[low:high]) >= least:
+                        gone |= set(range(low, high))
         out[None if none else d, t] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
     return out
 
@@ -119,7 +112,7 @@ def reference_line_dedup(rows, block_words, seed_words):
 def test_line_dedup_equals_loops(docs, empty, texts):
     found = line_dedup.line_dedup(docs)
     assert found.count() == docs.count()
-    want = reference_line_dedup([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()], 30, 4)
+    want = lines_held_before([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()], 30)
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in found.collect():
         t = before[r["doc_id"]]

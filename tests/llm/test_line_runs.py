@@ -15,9 +15,17 @@ def lines_in_common_runs(a, b, words, least):
     return gone
 
 
+def shared(a, b, words, least=30):
+    size = dict(zip(b, words, strict=True))
+    return line_dedup.shared_blocks(line_dedup.Anchors(a, [size.get(x, 5) for x in a], least), b, words)
+
+
 def test_a_long_passage_beyond_short_shared_lines_is_found():
-    assert line_dedup.shared_blocks([1, 2, 3], [0, 2, 3, 1], [9, 10, 10, 50], 30) == [(3, 4)]
-    assert line_dedup.shared_blocks([1, 2, 8, 2, 3], [1, 2, 3], [20, 20, 20], 30) == [(0, 2), (2, 3)]
+    assert shared([1, 2, 3], [0, 2, 3, 1], [9, 10, 10, 50]) == [(3, 4)]
+    assert shared([1, 2, 8, 2, 3], [1, 2, 3], [20, 20, 20]) == [(0, 3)]
+    assert shared([1, 2, 3], [0, 2, 3, 1], [9, 20, 20, 50]) == [(1, 4)]  # the moved line too
+    assert shared([1, 2, 9, 3, 4], [6, 3, 4, 7, 1, 2, 8], [20] * 7) == [(1, 3), (4, 6)]
+    assert shared([5, 1, 2, 9], [6, 1, 2, 7, 1, 2, 8], [20] * 7) == [(1, 3), (4, 6)]
 
 
 def test_blocks_are_all_common_runs():
@@ -27,11 +35,18 @@ def test_blocks_are_all_common_runs():
         size = [r.randint(0, 25) for _ in range(kinds)]
         a, b = ([r.randrange(kinds) for _ in range(r.randint(0, 9))] for _ in range(2))
         words = [size[x] for x in b]
-        found = line_dedup.shared_blocks(a, b, words, 30)
-        assert all(x[1] <= y[0] for x, y in zip(found, found[1:], strict=False))
+        found = line_dedup.shared_blocks(line_dedup.Anchors(a, [size[x] for x in a], 30), b, words)
+        assert all(x[1] < y[0] for x, y in zip(found, found[1:], strict=False))
         assert {j for low, high in found for j in range(low, high)} == lines_in_common_runs(a, b, words, 30)
 
 
+def test_patience_does_the_work(monkeypatch):
+    a, b, words = [1, 2, 3, 9], [7, 1, 2, 3, 8], [20] * 5
+    assert shared(a, b, words) == [(1, 4)]
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b: [])
+    assert shared(a, b, words) == []
+
+
 def test_whole_operator_equals_all_pairs(spark):
     r = random.Random(9)
     kinds = [" ".join(f"k{i}x{w}" for w in range(r.choice([0, 1, 2, 3, 12, 25, 31]))) for i in range(14)]
