@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quire.operators import lineage, states
 from quire.plans.registry import query, table
 from quire.streaming import events as stream
+from quire.streaming import packs
 
 _EDGES = """edges AS (SELECT 'region:' || n_regionkey AS src, 'contains' AS kind, 'nation:' || n_nationkey AS dst FROM nation
   UNION SELECT 'nation:' || c_nationkey, 'contains', 'customer:' || c_custkey FROM customer UNION SELECT 'customer:' || o_custkey, 'placed', 'order:' || o_orderkey FROM orders)"""
@@ -184,3 +185,19 @@ def st_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def st_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streaming extension: sessions of users that end after thirty minutes."""
     return stream.sessions(table(spark, sf_dir, "events"))
+
+
+_OPS = "CASE event_id % 7 WHEN 0 THEN 'create' WHEN 1 THEN 'activate' WHEN 2 THEN 'activate' WHEN 3 THEN 'create' WHEN 4 THEN CASE WHEN value > 40 THEN 'archive' ELSE 'activate' END WHEN 5 THEN CASE WHEN value > 45 THEN 'rollback' ELSE 'review' END ELSE 'activate' END"
+
+
+@query(
+    f"""WITH RECURSIVE log AS (SELECT user_id AS pack_id, event_id AS seq, {_OPS} AS op, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE user_id IS NOT NULL),
+    life AS (SELECT pack_id, CAST(-1 AS BIGINT) AS seq, '' AS op, CAST(0 AS BIGINT) AS k, '' AS before, 'none' AS after, TRUE AS accepted FROM log WHERE k = 1 UNION ALL
+      SELECT l.pack_id, l.seq, l.op, l.k, p.after, CASE WHEN l.op = 'create' AND p.after = 'none' THEN 'draft' WHEN l.op = 'activate' AND p.after IN ('draft', 'active') THEN 'active' WHEN l.op IN ('archive', 'rollback') AND p.after IN ('draft', 'active') THEN 'archived' ELSE p.after END,
+        (l.op = 'create' AND p.after = 'none') OR (l.op IN ('activate', 'archive', 'rollback') AND p.after IN ('draft', 'active')) FROM life p JOIN log l ON l.pack_id = p.pack_id AND l.k = p.k + 1)
+    SELECT pack_id, seq, op, before, after, accepted FROM life WHERE k > 0"""
+)
+def r05_pack_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each operation on a knowledge pack found and left, with users' events as the log; streaming.packs plays the same log as a stream."""
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("pack_id"), "ts", F.col("event_id").alias("seq"), F.expr(_OPS).alias("op"))
+    return packs.history(log)
