@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import dates, rules, runs
+from quire.operators import dates, rulebooks, rules, runs
 from quire.plans.registry import query, table
 from quire.sources import notices
 
-#: Years of the orders: the rules' default is this century.
-_RULES = tuple(rules.Rule(**{**r.__dict__, "pattern": r.pattern.replace("20[0-9]{2}", "(?:19|20)[0-9]{2}")}) for r in rules.POLICY)
+
+
+def _last_century(book: tuple[rules.Rule, ...]) -> tuple[rules.Rule, ...]:
+    """The rules with years of the orders: their default is this century."""
+    return tuple(rules.Rule(**{**r.__dict__, "pattern": r.pattern.replace("20[0-9]{2}", "(?:19|20)[0-9]{2}")}) for r in book)
+
+
+_RULES, _MEETING_RULES, _GUIDE_RULES = map(_last_century, (rules.POLICY, rulebooks.MEETING, rulebooks.GUIDE))
 _N = f"blocks AS ({notices.SQL})"
 _trim = lambda c: f"regexp_replace({c}, '^{rules.S}|{rules.S}$', '', 'g')"
 _squeeze = lambda c: f"regexp_replace({c}, '{rules.S[:-1]}+', '', 'g')"
@@ -119,3 +125,28 @@ def x11_meeting_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def o11_best_meeting_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best meeting date of a notice, by score and then the earliest block."""
     return dates.best_meeting_date(_notices(spark, sf_dir), "(?:19|20)")
+
+
+@query(rules.facts_sql(_MEETING_RULES).replace("WITH trimmed", f"WITH {_N}, trimmed", 1))
+def x12_meeting_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers, chairs, places, people, topics, decisions and actions of meetings, by a table of 19 rules."""
+    return rules.facts(_notices(spark, sf_dir), _MEETING_RULES)
+
+
+@query(rules.facts_sql(_GUIDE_RULES).replace("WITH trimmed", f"WITH {_N}, trimmed", 1))
+def x14_guide_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts, objects, steps, deadlines, conditions and materials of guides, by a table of 15 rules."""
+    return rules.facts(_notices(spark, sf_dir), _GUIDE_RULES)
+
+
+_PLAIN = f"regexp_replace({_NAMED}, '[（(].*?[）)]', '')"
+
+
+@query(
+    f"""WITH {_N}, {_bodies_sql(f"{_PLAIN} IN ({_LISTED(rulebooks.GUIDE_SECTIONS)})", f"regexp_matches(t, '^[一二三四五六七八九十]+ *[、.．] *[^。；]{{2,30}}$')", 7)},
+    n AS (SELECT doc_id, head_pos, {_PLAIN.replace('(t,', '(head,')} AS name, body FROM body WHERE body <> ''), g AS (SELECT *, CASE {' '.join(f"WHEN name = '{k}' THEN '{v}'" for k, v in rulebooks.GUIDE_SECTIONS.items())} END AS target FROM n)
+    SELECT doc_id, head_pos, name, target, CASE WHEN target IN ('contact', 'service_object') THEN split_part(body, chr(10), 1) ELSE body END AS body FROM g"""
+)
+def x14_guide_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of guides by their names, seven blocks at most."""
+    return rulebooks.guide_sections(_notices(spark, sf_dir))

@@ -24,7 +24,7 @@ def _pick(of: str, *choices: str) -> str:
 
 
 #: Number of blocks of a notice.
-BLOCKS = 18
+BLOCKS = 20
 _ORG = _pick("(k + pos) % 5", "'财政部'", "'国家税务总局'", "'教育部 民政部'", "'北京市人民政府'", "'特此通知。'")
 #: The text of block `pos` of the notice of order k of the date y, m, d and the total price `price`.
 TEXT = _pick(
@@ -46,7 +46,9 @@ TEXT = _pick(
     _ORG,
     _pick("k % 3", _DATE, "y || '-' || m || '-' || d", _SPELT),
     _pick(_mix(9, 4), "'会议听取了' || m || '月' || d || '日的汇报。'", "'附件：名单'", "'财政部'", "''"),
-    _pick("k % 5", f"'{{0}}' || {_DATE}".replace("{0}", "印发 "), "'抄送：民政部'", "'完'", "'教育部'", _DATE),
+    _pick("k % 5", f"'印发 ' || {_DATE}", "'抄送：民政部'", "'完'", "'教育部'", _DATE),
+    _pick(_mix(10, 9), "'县长李明在县政府第一会议室主持召开' || y || '年第' || (k % 30 + 1) || '次常务会议。'", "'会议原则同意《第' || k || '号方案》。'", "'会议要求，由财政部牵头推进。'", "'来源：市政府办公室'", "'出 席：各乡镇、各部门单位'", "'会议纪要第' || (k % 40 + 1) || '期'", "'一、审议《预算》等' || (k % 4 + 1) || '项'", "'国办〔' || y || '〕' || (k % 90 + 1) || '号'", "'会议听取了工作情况汇报'"),
+    _pick(_mix(11, 10), "'申报截止时间：' || y || '年' || m || '月' || d || '日'", "'于' || y || '-' || m || '-' || d || '前提交材料。'", "'适用于本市中小企业。'", "'咨询电话：010-' || (k % 9000 + 1000)", "'申请企业应具备独立法人资格，且无欠税' || k || '元。'", "'拟申请补贴的企业请准备推荐函。'", "'项目申报采用网上申报方式，' || (k % 9 + 1) || '日内受理。'", "'各单位：'", "'办理期限为' || (k % 9 + 1) || '个工作日'", "'申报主体与合作单位各报一份。'"),
 )
 TYPE = f"CASE WHEN pos = 0 OR (pos = 4 AND {_mix(3, 6)} <> 5) OR (pos = 5 AND {_mix(4, 3)} = 0) OR (pos = 7 AND {_mix(6, 3)} <> 1) OR (pos = 9 AND {_mix(7, 4)} < 2) THEN 'heading' ELSE 'paragraph' END"
 #: The same as a SQL query, to stand in a WITH clause.

@@ -8,7 +8,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import canonical_build, chunks, cover, dates, leakage, measures, rules, runs, summaries, trees
+from quire.operators import blocktools, canonical_build, chunks, cover, dates, leakage, measures, rulebooks, rules, runs, summaries, trees
 from quire.streaming import packs
 
 BLOCK = "doc_id int, pos int, type string, text string"
@@ -263,3 +263,28 @@ def test_pack_stream_equals_the_batch_out_of_order_and_after_a_restart(spark, tm
             run(folder)
     want = packs.history(spark.createDataFrame(rows, schema)).collect()
     assert sorted(r for r in got if r[0] != 9) == sorted(map(tuple, want)) and {r["after"] for r in want} >= {"draft", "active", "archived"}
+
+
+def test_meeting_and_guide_rules(spark):
+    said = lambda book, *texts: {(r["target"], r["name"], r["value"]) for r in rules.facts(blocks(spark, texts), book).collect()}
+    text = "县长李明在县政府第一会议室主持召开2024年第3次常务会议"
+    assert said(rulebooks.MEETING, text) == {("meeting_number", "2024年第3次常务会议", "2024年第3次常务会议"), ("chairperson", "李明主持", "李明"), ("organizer", "李明", "李明"), ("meeting_location", "县政府第一会议室", "县政府第一会议室")}
+    assert said(rulebooks.MEETING, "会议原则同意《方案》。") == {("decisions", "会议原则同意", "会议原则同意《方案》。"), ("topics", "《方案》", "会议原则同意《方案》。")}
+    assert said(rulebooks.GUIDE, "申报截止时间：2024年5月6日", "咨询电话：010-1") == {("deadline", "申报截止时间", "2024年5月6日"), ("contact", "咨询电话", "010-1")}
+    assert said(rulebooks.GUIDE, "适用于本市企业。") == {("service_object", "适用对象", "本市企业")}
+    found = rulebooks.guide_sections(blocks(spark, [("heading", "一、申请条件（试行）"), "甲", "乙", ("heading", "二、联系方式"), "丙", "丁"])).collect()
+    assert sorted((r["name"], r["target"], r["body"]) for r in found) == [("申请条件", "application_conditions", "甲\n乙"), ("联系方式", "contact", "丙")]
+
+
+def test_block_tools(spark):
+    faults = spark.createDataFrame([("(a+)+",), (r"(a)\1",), ("(?<!a)b",), ("(?(1)a)",), ("(?P=n)",), ("x" * 1001,), ("^a+[bc]{2}$",), (None,)], "p string").select("p", blocktools.regex_fault(F.col("p")).alias("f"))
+    assert [r["f"] and r["f"].split(" ")[0] for r in faults.collect()] == ["nested", "backreferences", "lookbehind", "conditional", "named", "regex", None, None]
+    made = spark.createDataFrame([(1, "c1", 0, "甲 tax tax", ["b1"]), (1, "c2", 1, "tax 乙", ["b2"]), (1, "c3", 2, "tax tax", ["b3"])], "doc_id int, chunk_id string, place int, text string, source_block_ids array<string>")
+    asked = spark.createDataFrame([(1, 1, "tax"), (2, 1, "none"), (3, 1, "?"), (4, 1, None)], "query_id int, doc_id int, query string")
+    assert {tuple(r) for r in blocktools.best_chunks(asked, made).collect()} == {(1, 0, 2), (3, 0, 0), (4, 0, 0)}  # the first of equal scores
+    named = spark.createDataFrame([(1, "Issuer", "甲", "schema_field", ["b2"]), (1, "issuer", "甲", "metadata", ["b3"]), (1, "fee", "乙", "metadata", None), (1, "甲方", " 乙 ", "metadata", None), (1, "person", None, "schema_field", None)], "doc_id int, name string, value string, source string, source_block_ids array<string>")
+    tags = {(r["chunk_id"], r["text"], r["entity_type"], r["confidence"]) for r in blocktools.entity_tags(made, blocktools.inferred_entities(named)).collect()}
+    assert tags == {("c2", "甲", "organization", 0.8), ("c1", "甲", "organization", 0.7), ("c2", "乙", "party", 0.7)}
+    cases = [(3, "b", "s", "t", "x", "f"), (1, "b", "s", "t", "x", "f"), (2, "b", "s", "t", "bad", "f"), (4, "b", "s", None, "y", "f"), (5, "other", "s", "t", "z", "f"), (6, "b", "s", "t", "w", "f")]
+    kept = blocktools.gold_candidates(spark.createDataFrame(cases, "place int, behaviour string, schema_id string, template_id string, source_field string, target_field string"), spark.createDataFrame([("bad", "f")], "source_field string, target_field string"), "b")
+    assert {(r["candidate_id"], r["source_field"]) for r in kept.collect()} == {("kc_gold_1", "x"), ("kc_gold_2", "w")}
