@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 UNICODE_SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 CJK = r"[\x{4e00}-\x{9fff}]"
 #: Markers of wrongly decoded text.
-MOJIBAKE = ("�", "Ã", "Â", "â€", "锟斤拷", "ï¿½")
+MOJIBAKE = ("\ufffd", "锛", "鐢", "鏃", "鍙", "绫", "鈥", "\ue57d", "\ue185", "鏈", "鍔", "鏉", "鑱", "娓", "呭")
 #: Fixed words left out of keywords.
 STOPWORDS = ("the", "and", "for", "with", "that", "this", "are", "was", "not", "you", "all", "but", "can", "from", "has", "have")
 

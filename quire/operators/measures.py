@@ -69,3 +69,18 @@ def retrieval(turns: DataFrame) -> DataFrame:
     searchable = F.lower(F.concat_ws("\n", "text", "role"))
     scored = turns.join(asks, "conv_id").where("turn <> asked").select("conv_id", "turn", "asked", retrieval_score(F.col("terms"), searchable, F.col("expected")).alias("score"))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("score"), "turn")))
+
+
+def split_checks(ids: DataFrame, splits: DataFrame) -> DataFrame:
+    """(overlap, uncovered): how many ids(doc_id) stand in several of splits(doc_id, split), and in none. Sets of ids meet by id; repeated rows count once."""
+    held = splits.groupBy("doc_id").agg(F.count_distinct("split").alias("n"))
+    return ids.select("doc_id").distinct().join(held, "doc_id", "left").agg(F.count_if(F.col("n") > 1).alias("overlap"), F.count_if(F.col("n").isNull()).alias("uncovered"))
+
+
+def pooled_bins(bins: DataFrame) -> DataFrame:
+    """(bin, rate): non-decreasing rates of bins(bin, positives, n): each is the greatest, over starts at or before it, of the least mean to any end at or after it. A few bins meet in one row."""
+    held = F.array_sort(F.collect_list(F.struct("bin", "positives", "n")))
+    mean = lambda b, j, k: F.aggregate(F.slice(b, j + 1, k - j + 1), F.lit(0.0), lambda a, x: a + x["positives"]) / F.aggregate(F.slice(b, j + 1, k - j + 1), F.lit(0.0), lambda a, x: a + x["n"])
+    least = lambda b, j, i: F.array_min(F.transform(F.sequence(i, F.size(b) - 1), lambda k: mean(b, j, k)))
+    rates = F.transform("b", lambda x, i: F.struct(x["bin"].alias("bin"), F.array_max(F.transform(F.sequence(F.lit(0), i), lambda j: least(F.col("b"), j, i))).alias("rate")))
+    return bins.where("n > 0").agg(held.alias("b")).select(F.explode(rates).alias("x")).select("x.bin", "x.rate")

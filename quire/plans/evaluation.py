@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.operators import measures
-from quire.operators.matching import pooled
 from quire.plans.registry import query, table
 
 #: A plain score of quality in [0, 1]: the share of characters that are no marks, in hundredths; the predictions that are measured here.
@@ -50,12 +49,14 @@ def g17_calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.bins(predictions(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH {_PRED}, b AS (SELECT CAST(least(9, score // 10) AS INTEGER) AS bin, sum(quality) AS p, count(*) AS n FROM p GROUP BY 1), m AS (SELECT j.bin AS j, k.bin AS k, (SELECT sum(p) / CAST(sum(n) AS DOUBLE) FROM b WHERE bin BETWEEN j.bin AND k.bin) AS mean FROM b j JOIN b k ON j.bin <= k.bin)
+    SELECT i.bin, max(low) AS rate FROM b i JOIN (SELECT x.bin, m.j, min(mean) AS low FROM b x JOIN m ON m.j <= x.bin AND m.k >= x.bin GROUP BY x.bin, m.j) l ON l.bin = i.bin GROUP BY i.bin"""
+)
 def g17_calibrated_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates of the ten bins pooled to non-decreasing ones; tests hold a loop against it."""
-    rows = sorted(measures.bins(predictions(spark, sf_dir)).collect(), key=lambda r: r["bin"])
-    rates = pooled([(r["positives"], r["n"]) for r in rows])
-    return spark.createDataFrame([(r["bin"], x) for r, x in zip(rows, rates, strict=True)], "bin int, rate double")
+    """Rates of the ten bins pooled to non-decreasing ones."""
+    rows = predictions(spark, sf_dir).groupBy(F.least(F.lit(9), F.floor(F.col("score") / 10)).cast("int").alias("bin")).agg(F.sum("quality").alias("positives"), F.count("*").alias("n"))
+    return measures.pooled_bins(rows)
 
 
 @query(f"WITH {_PRED}, c AS (SELECT score, count(*) AS n, sum(quality) AS tp FROM p GROUP BY score), w AS (SELECT score, sum(n) OVER (ORDER BY score DESC) AS kept, sum(tp) OVER (ORDER BY score DESC) AS tp, sum(n) OVER () AS total FROM c) SELECT score AS threshold, CAST(kept AS BIGINT) AS kept, tp / CAST(kept AS DOUBLE) AS precision, kept / CAST(total AS DOUBLE) AS coverage FROM w")

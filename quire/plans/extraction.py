@@ -162,12 +162,13 @@ def u04_unexpected_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.array_except(keys, known).alias("unexpected"), F.array_except(known, keys).alias("absent"))
 
 
-@query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM labels WHERE doc_id % 5 < 3 INTERSECT SELECT doc_id FROM labels WHERE doc_id % 5 >= 2)) AS overlap, (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT (SELECT doc_id FROM labels WHERE doc_id % 5 < 3 UNION SELECT doc_id FROM labels WHERE doc_id % 5 > 3))) AS uncovered")
+@query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM labels WHERE doc_id % 5 < 3 INTERSECT SELECT doc_id FROM labels WHERE doc_id % 5 IN (2, 4))) AS overlap, (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT (SELECT doc_id FROM labels WHERE doc_id % 5 < 3 UNION SELECT doc_id FROM labels WHERE doc_id % 5 > 3))) AS uncovered")
 def u08_split_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What two splits share and what both leave out, each as one aggregate over the distinct ids."""
-    m = F.col("doc_id") % 5
+    """What two splits share and what both leave out."""
     ids = table(spark, sf_dir, "labels").select("doc_id").distinct()
-    return ids.agg(F.count_if((m < 3) & (m >= 2)).alias("overlap"), F.count_if(~((m < 3) | (m > 3))).alias("uncovered"))
+    m = F.col("doc_id") % 5
+    splits = ids.where(m < 3).withColumn("split", F.lit("train")).unionByName(ids.where((m == 2) | (m > 3)).withColumn("split", F.lit("test")))
+    return measures.split_checks(ids, splits)
 
 
 @query("SELECT key, value, count(*) AS n, min(o_orderkey) AS first_key FROM (SELECT o_orderkey, unnest(['status', 'priority', 'tier']) AS key, unnest([o_orderstatus, o_orderpriority, CASE WHEN o_totalprice >= 200000 THEN 'high' ELSE 'low' END]) AS value FROM orders) GROUP BY ALL")

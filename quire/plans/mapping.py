@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from difflib import SequenceMatcher
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,13 +53,21 @@ def j02_alias_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.alias_matches(candidates(spark, sf_dir), targets(spark)).select("doc_id", "source_path", "target_id", "match")
 
 
-@query()
+#: Similarity of the few names of the configuration, which SQL has no function for.
+_LEXICAL = "(VALUES " + ", ".join(f"('{n}', '{x}', {SequenceMatcher(None, re.sub(r'[_ -]', '', n.lower()), x.replace('_', '')).ratio()!r}::DOUBLE, '{kind}', {1.0 if re.sub(r'[_ -]', '', n.lower()) == x.replace('_', '') else 0.9 if re.sub(r'[_ -]', '', n.lower()) in [re.sub(r'[_ -]', '', y) for y in al] else 0.0}::DOUBLE)" for n, _ in SOURCES for x, kind, al, _ in TARGETS) + ") AS l(source_name, target_id, lexical, target_type, alias)"
+_PAIRS = f"""c AS ({_CANDIDATES}), k AS (SELECT *, CASE WHEN lower(sample) IN ('true', 'false') THEN 'boolean' WHEN regexp_matches(sample, '^[$]?-?[0-9][0-9,]*([.][0-9]+)?$') THEN 'number' ELSE 'string' END AS kind FROM c),
+    f AS (SELECT doc_id, source_path, target_id, lexical, alias, (CASE WHEN kind = target_type THEN 1.0 WHEN kind = 'string' AND target_type IN ('string', 'text', 'enum') THEN 0.9 WHEN target_type = 'text' THEN 0.6 ELSE 0.4 END)::DOUBLE AS type,
+      (CASE WHEN target_type = 'number' THEN CASE WHEN regexp_matches(regexp_replace(sample, '[,\\s￥¥元]', '', 'g'), '^-?[0-9]+([.][0-9]+)?$') THEN 1.0 ELSE 0.2 END WHEN trim(sample) <> '' THEN 0.8 ELSE 0.2 END)::DOUBLE AS value, (CASE WHEN trim(coalesce(sample, '')) = '' THEN 0.5 ELSE 1.0 END)::DOUBLE AS quality FROM k JOIN {_LEXICAL} USING (source_name)),
+    s AS (SELECT *, round(0.30 * lexical + 0.25 * alias + 0.15 * type + 0.15 * value + 0.15 * quality, 4) AS score FROM f)"""
+
+
+@query(f"WITH {_PAIRS} SELECT doc_id, source_path, target_id, lexical, alias, type, value, quality, score FROM s")
 def m13_pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features and score of each pair; tests hold plain Python against them."""
+    """Features and score of each pair."""
     return m.pair_features(candidates(spark, sf_dir), targets(spark)).select("doc_id", "source_path", "target_id", "lexical", "alias", "type", "value", "quality", "score")
 
 
-@query()
+@query(f"WITH {_PAIRS} SELECT doc_id, target_id, source_path, score, row_number() OVER w AS rank, round(score - coalesce(lead(score) OVER w, 0.0), 4) AS margin FROM s WINDOW w AS (PARTITION BY doc_id, target_id ORDER BY score DESC, source_path) QUALIFY rank <= 3")
 def w13_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best candidates of each target with margins."""
     return m.ranked(m.pair_features(candidates(spark, sf_dir), targets(spark))).select("doc_id", "target_id", "source_path", "score", "rank", "margin")

@@ -8,7 +8,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import blocktools, canonical_build, chunks, cover, dates, leakage, measures, rulebooks, rules, runs, summaries, trees
+from quire.operators import blocktools, canonical_build, chunks, cover, dates, leakage, matching, measures, rulebooks, rules, runs, summaries, trees
 from quire.streaming import packs
 
 BLOCK = "doc_id int, pos int, type string, text string"
@@ -288,3 +288,14 @@ def test_block_tools(spark):
     cases = [(3, "b", "s", "t", "x", "f"), (1, "b", "s", "t", "x", "f"), (2, "b", "s", "t", "bad", "f"), (4, "b", "s", None, "y", "f"), (5, "other", "s", "t", "z", "f"), (6, "b", "s", "t", "w", "f")]
     kept = blocktools.gold_candidates(spark.createDataFrame(cases, "place int, behaviour string, schema_id string, template_id string, source_field string, target_field string"), spark.createDataFrame([("bad", "f")], "source_field string, target_field string"), "b")
     assert {(r["candidate_id"], r["source_field"]) for r in kept.collect()} == {("kc_gold_1", "x"), ("kc_gold_2", "w")}
+
+
+def test_pooled_bins_equal_pooling_neighbours(spark):
+    rng = random.Random(3)
+    for _ in range(4):
+        bins = [(k, rng.randint(0, 9), rng.randint(1, 9)) for k in range(rng.randint(1, 8))]
+        got = {r["bin"]: r["rate"] for r in measures.pooled_bins(spark.createDataFrame(bins, "bin int, positives long, n long")).collect()}
+        assert [round(got[k], 9) for k, _, _ in bins] == [round(x, 9) for x in matching.pooled([(p, n) for _, p, n in bins])]
+    ids = spark.createDataFrame([(k,) for k in (1, 2, 3, 4)], "doc_id int")
+    splits = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (2, "b")], "doc_id int, split string")
+    assert tuple(measures.split_checks(ids, splits).first()) == (1, 2)
