@@ -263,10 +263,16 @@ def k12_contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def s06_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of raw web pages by the standard library's HTML parser, in Arrow batches."""
+    """Blocks of raw web pages, by their content roots, lists, tables and layout; tests hold the rules."""
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+@query("SELECT page_id, regexp_extract(html, '(?s)<title>.*?</title>') <> '' AS has_title, 'extracted' AS status FROM pages")
+def s06_html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages have a title and are extracted."""
+    return html.pages_read(table(spark, sf_dir, "pages")).select("page_id", (F.col("title") != "").alias("has_title"), "status")
+
+
 @query("SELECT page_id, lower(regexp_extract(url, '^(https?)://', 1)) AS scheme, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1) AS path, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(length(html) AS BIGINT) AS n_chars FROM pages")
 def x19_page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of page addresses, and the raw title."""

@@ -113,9 +113,27 @@ def test_similarity_and_pooling(spark):
 
 
 def test_html_blocks():
-    page = "<html><head><title>T</title><script>x</script></head><body><nav><p>menu</p></nav><h2>Head</h2><p>One<br>two &amp; three</p><p>Head</p><ul><li>item<li>other</ul><table><tr><td>cell</td></tr></table></body>"
-    assert html.blocks_of(page) == [("heading", 2, "Head"), ("paragraph", None, "One two & three"), ("list_item", None, "item"), ("list_item", None, "other"), ("table", None, "cell")]
-    assert html.blocks_of("") == []
+    page = "<html><head><title>T</title><script>x</script></head><body><nav><p>menu</p></nav><h2>Head</h2><p>One<br>two &amp; three<p>Head</p><ul><li>item <b>x</b><li>other<ul><li>in</ul></ul><table><tr><th>k<td>v<td>w</tr><tr><td>alone</table></body>"
+    got = html.page_of(page)
+    assert got["blocks"] == [
+        ("heading", 2, "Head", {"html_tag": "h2"}), ("paragraph", None, "One two & three", {"html_tag": "p"}), ("list", None, None, {"items": ["item x", "other in"], "ordered": False}),
+        ("table", None, None, {"rows": [{"field": "k", "value": "v | w"}, {"field": "alone", "value": ""}]}),
+    ]
+    assert (got["title"], got["status"]) == ("Head", "extracted")
+    assert html.page_of("") == {"title": "", "status": "rejected", "metadata": {}, "blocks": []}
+
+
+def test_html_content_rules():
+    root = html.page_of("<title> A  b </title><body><p>out</p><div id='zoom'><p>发布日期： 2024-1-2</p><p>文号：x</p><p>other: y</p></div>")
+    assert root["metadata"] == {"发布日期": "2024-1-2", "文号": "x"} and [b[2] for b in root["blocks"]][0] == "发布日期： 2024-1-2" and root["title"] == "A b"
+    first = html.page_of("<body><div class='x content'><h1>c</h1></div><main><h1>m</h1><p>a</p><p>b</p></main>")
+    assert [b[2] for b in first["blocks"]] == ["m", "a", "b"]  # main stands before .content
+    layout = html.page_of("<body><table><tr><td><h1>t</h1><p>a</p><p>b</p></td></tr></table><table role=presentation><tr><td><p>c</p></td></tr></table>")
+    assert [(b[0], b[2]) for b in layout["blocks"]] == [("heading", "t"), ("paragraph", "a"), ("paragraph", "b"), ("paragraph", "c")]
+    few = html.page_of("<title>T</title><body><h1>h</h1><div>loose text<span>【打印】</span>h</div>x</body>")
+    assert [(b[0], b[2]) for b in few["blocks"]] == [("heading", "h"), ("paragraph", "loose text")]
+    assert html.page_of("<body><p>a</p><p>b</p><p>c</p>")["status"] == "rejected"  # no title
+    assert html.page_of("<title>T</title><body><nav>only</nav></body>")["blocks"] == []
 
 
 def test_assertions(spark):
