@@ -178,14 +178,15 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_adapters_on_broken_and_uneven_payloads(spark):
-    from quire.plans.extraction import block_list, section_tree
+    from quire.operators.trees import section_blocks
+    from quire.plans.extraction import block_list
 
     lists = [(1, '{"blocks": [{"type": "Header", "title": "T"}, {"id": "x", "type": "grid", "text": "a"}], "items": []}'), (2, "no json"), (3, None), (4, '{"items": [{}]}'), (5, "{}")]
     got = [tuple(r) for r in block_list(spark.createDataFrame(lists, "id int, payload string")).orderBy("id", "place").collect()]
     assert got == [(1, "b001", "heading", "T", 0), (1, "x", "table", "a", 1), (4, "b001", "paragraph", "", 0)]
     trees = [(1, '{"sections": [{"heading": "A", "children": [{"heading": "B", "paragraphs": ["p"], "children": [{"heading": "C"}]}]}, {"heading": "D"}]}'), (2, None), (3, '{"sections": []}')]
-    got = sorted((r["path"], r["level"], r["heading"], r["paragraphs"]) for r in section_tree(spark.createDataFrame(trees, "id int, payload string"), 4).collect())
-    assert got == [([0], 1, "A", []), ([0, 0], 2, "B", ["p"]), ([0, 0, 0], 3, "C", []), ([1], 1, "D", [])]
+    got = [(r["id"], r["external_path"], r["level"], r["text"]) for r in section_blocks(spark.createDataFrame(trees, "id int, payload string"), "$.sections", "s").orderBy("id", "pos").collect()]
+    assert got == [(1, "s[0]", 1, "A"), (1, "s[0].children[0]", 2, "B"), (1, "s[0].children[0].paragraphs[0]", None, "p"), (1, "s[0].children[0].children[0]", 3, "C"), (1, "s[1]", 1, "D")]
 
 
 def test_fixed_windows_are_greedy_and_whole():
