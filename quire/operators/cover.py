@@ -21,13 +21,14 @@ def _sources(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.withColumn("known", F.col("type").isNotNull())
 
 
-def chunk_faults(chunks: DataFrame, blocks: DataFrame, entities: DataFrame, protected: tuple[str, ...] = ("table", "list")) -> DataFrame:
+def chunk_faults(chunks: DataFrame, blocks: DataFrame, entities: DataFrame, protected: tuple[str, ...] = ("table", "list"), exclusions: DataFrame | None = None, rules: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, code, chunk_id, block_id): everything that is wrong with chunks(doc_id, chunk_id, text, source_block_ids, entity_ids, parent_id) of blocks(doc_id, block_id, type, text).
 
     Codes: chunks_empty (a document without chunks), chunk_text_empty, unknown_source_block, text_not_derivable (a chunk's text is no part of its blocks'), unknown_entity (not in entities(doc_id, entity_id)),
     parent_missing, block_missing and protected_block_missing (no chunk names a block that has text, or is of a protected type), protected_block_changed (no chunk holds a protected block
     whole), text_gap (characters of a named block that no chunk covers) and text_overlap (characters that several chunks cover). Texts are compared with white space folded.
-    A chunk covers of its blocks what its text covers of their joined text, at its first place there.
+    A chunk covers of its blocks what its text covers of their joined text, at its first place there. exclusions(doc_id, block_id, rule) say which blocks need no chunk: each must name one
+    of `rules` (else unknown_exclusion_rule) and no protected block (else protected_block_exclusion), which stays as needed as before.
     """
     none = F.lit(None).cast("string")
     fault = lambda rows, code, chunk=none, block=none: rows.select("doc_id", F.lit(code).alias("code"), chunk.alias("chunk_id"), block.alias("block_id"))
@@ -50,6 +51,10 @@ def chunk_faults(chunks: DataFrame, blocks: DataFrame, entities: DataFrame, prot
     held = sources.where("known").select("doc_id", "block_id").distinct()
     lost = folded.join(held, ["doc_id", "block_id"], "left_anti").join(chunks.select("doc_id"), "doc_id", "left_semi")
     kept = F.col("type").isin(*protected)
+    if exclusions is not None:
+        named = exclusions.select("doc_id", "block_id", F.col("rule").isin(*rules).alias("fine")).join(blocks.select("doc_id", "block_id", "type"), ["doc_id", "block_id"])
+        found += [fault(named.where(~F.coalesce("fine", F.lit(False))).distinct(), "unknown_exclusion_rule", block=b), fault(named.where(kept).select("doc_id", "block_id").distinct(), "protected_block_exclusion", block=b)]
+        lost = lost.join(named.where(F.col("fine") & ~kept).select("doc_id", "block_id"), ["doc_id", "block_id"], "left_anti")
     found += [fault(lost.where(has_text & ~kept), "block_missing", block=b), fault(lost.where(kept), "protected_block_missing", block=b)]
     alone = F.size("source_block_ids") == 1
     intact = sources.where("known").join(chunks.select("doc_id", "chunk_id", alone.alias("alone")), ["doc_id", "chunk_id"]).where(kept)

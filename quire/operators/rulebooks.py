@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.operators.rules import S, Rule
@@ -78,3 +79,26 @@ def guide_sections(blocks: DataFrame, limit: int = 7) -> DataFrame:
     target = F.create_map(*[F.lit(x) for pair in GUIDE_SECTIONS.items() for x in pair])[F.col("name")]
     body = F.when(target.isin(*SHORT), F.substring_index("body", "\n", 1)).otherwise(F.col("body"))
     return found.select("doc_id", "head_pos", "name", target.alias("target"), body.alias("body"))
+
+#: Words that make a document's opening a guide's, a label that speaks for itself, and words of a category to review.
+GUIDE_WORDS = ("办事指南", "申报指南", "申报流程说明")
+OWN_LABEL = "(服务对象|适用对象|申报对象|申请对象|办理对象)[:：]"
+CATEGORY_WORDS = ("办理事项及证明材料清单", "经费额度", "申报流程说明")
+
+
+def front_matter(blocks: DataFrame, early: int = 12) -> DataFrame:
+    """(doc_id, pos, target, name, value, confidence): what the opening of a guide says by its places: the second text that is not blank is its object, the third its conditions.
+
+    Of blocks(doc_id, pos, text) only the first `early` of a document count. There must be three texts among them and a guide's words, and none with a label of its own. The first
+    text with a word of CATEGORY_WORDS is a category to review. A document's opening is bounded, so it meets in one row.
+    """
+    order = W.partitionBy("doc_id").orderBy("pos")
+    first = blocks.withColumn("n", F.row_number().over(order)).where((F.col("n") <= early) & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    opening = first.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("b")).where("size(b) >= 3")
+    has = lambda *words: F.exists("b", lambda x: x["text"].rlike("|".join(words)))
+    guide = opening.where((has(*GUIDE_WORDS) | (has("各有关单位") & has("项目申报指南"))) & ~has(OWN_LABEL))
+    fact = lambda x, target, name, sure: F.struct(x["pos"].alias("pos"), F.lit(target).alias("target"), name.alias("name"), x["text"].alias("value"), F.lit(sure).alias("confidence"))
+    marked = F.get(F.filter("b", lambda x: x["text"].rlike("|".join(CATEGORY_WORDS))), F.lit(0))
+    marker = F.coalesce(*[F.when(F.contains(marked["text"], F.lit(w)), F.lit(w)) for w in CATEGORY_WORDS])
+    three = F.array(fact(F.col("b")[1], "service_object", F.lit("service or subject section"), 0.84), fact(F.col("b")[2], "application_conditions", F.lit("process or condition detail"), 0.8), F.when(marked.isNotNull(), fact(marked, "category", marker, 0.66)))
+    return guide.select("doc_id", F.explode(F.array_compact(three)).alias("x")).select("doc_id", "x.*")

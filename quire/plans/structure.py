@@ -151,15 +151,17 @@ _FAULT = "CASE WHEN g <> 1 THEN 0 ELSE doc_id % 10 END"
     x AS (SELECT p.doc_id, p.named AS block_id, p.chunk_id, length(p.n) AS size, greatest(0, instr(w.source, w.n) - 1 - low) AS lo, least(length(p.n), instr(w.source, w.n) - 1 + length(w.n) - low) AS hi FROM p JOIN w USING (doc_id, chunk_id) WHERE w.n <> '' AND instr(w.source, w.n) > 0),
     r AS (SELECT *, coalesce(max(hi) OVER (PARTITION BY doc_id, block_id ORDER BY lo, hi, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM x WHERE lo < hi),
     e AS (SELECT doc_id, block_id, bool_or(lo > reach) OR max(hi) < max(size) AS gap, bool_or(lo < reach) AS overlap FROM r GROUP BY doc_id, block_id),
-    lost AS (SELECT * FROM b WHERE doc_id % 10 <> 9 AND NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = b.doc_id AND named = block_id)),
+    excluded AS (SELECT doc_id, block_id, type, CASE WHEN doc_id % 10 = 1 THEN 'hearsay' ELSE 'boilerplate' END AS rule FROM b WHERE (doc_id % 10 IN (1, 6) AND pos = 4) OR (doc_id % 10 = 0 AND pos = 3)),
+    lost AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM excluded x WHERE x.doc_id = b.doc_id AND x.block_id = b.block_id AND rule = 'boilerplate' AND x.type <> 'list') AND doc_id % 10 <> 9 AND NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = b.doc_id AND named = block_id)),
     whole AS (SELECT doc_id, named AS block_id, bool_or(CASE WHEN (SELECT len(ids) FROM c WHERE c.doc_id = j.doc_id AND c.chunk_id = j.chunk_id) = 1 THEN said = text ELSE contains(said, text) END) AS fine FROM j WHERE type = 'list' GROUP BY doc_id, named)
     SELECT DISTINCT doc_id, 'chunks_empty' AS code, NULL AS chunk_id, NULL AS block_id FROM b WHERE doc_id % 10 = 9 UNION ALL SELECT doc_id, 'chunk_text_empty', chunk_id, NULL FROM w WHERE n = '' UNION ALL SELECT doc_id, 'unknown_source_block', chunk_id, named FROM j WHERE type IS NULL
     UNION ALL SELECT doc_id, 'text_not_derivable', chunk_id, NULL FROM w WHERE n <> '' AND instr(source, n) = 0 UNION ALL SELECT doc_id, 'unknown_entity', chunk_id, NULL FROM c WHERE NOT list_contains(entities, 'e1') UNION ALL SELECT doc_id, 'parent_missing', chunk_id, NULL FROM c WHERE parent = 'nope'
     UNION ALL SELECT doc_id, 'block_missing', NULL, block_id FROM lost WHERE type <> 'list' AND {_fold('text')} <> '' UNION ALL SELECT doc_id, 'protected_block_missing', NULL, block_id FROM lost WHERE type = 'list' UNION ALL SELECT doc_id, 'protected_block_changed', NULL, block_id FROM whole WHERE NOT fine
+    UNION ALL SELECT doc_id, 'unknown_exclusion_rule', NULL, block_id FROM excluded WHERE rule <> 'boilerplate' UNION ALL SELECT doc_id, 'protected_block_exclusion', NULL, block_id FROM excluded WHERE type = 'list'
     UNION ALL SELECT doc_id, 'text_gap', NULL, block_id FROM e WHERE gap UNION ALL SELECT doc_id, 'text_overlap', NULL, block_id FROM e WHERE overlap"""
 )
 def c07_chunk_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is wrong with a provider's chunks of notices, each kind of fault planted."""
+    """What is wrong with a provider's chunks of notices, each kind of fault planted."""
     raw = notices.notices(table(spark, sf_dir, "orders"))
     blocks = raw.select("doc_id", "pos", F.format_string("b%04d", F.col("pos") + 1).alias("block_id"), F.expr(_TYPED).alias("type"), "text")
     members = F.array_sort(F.collect_list(F.struct("pos", "block_id", "text")))
@@ -172,4 +174,6 @@ def c07_chunk_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.when(f == 2, F.array_append("ids", F.lit("bX"))).otherwise(F.col("ids"))
     chunks = kept.unionByName(extra).select("doc_id", "chunk_id", text.alias("text"), ids.alias("source_block_ids"), F.array(F.when(f == 4, "e9").otherwise("e1")).alias("entity_ids"), F.when(f == 5, "nope").when(f != 0, "c0").alias("parent_id"))
     entities = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("e1").alias("entity_id"))
-    return cover.chunk_faults(chunks, blocks, entities)
+    named = blocks.where("(doc_id % 10 IN (1, 6) AND pos = 4) OR (doc_id % 10 = 0 AND pos = 3)")
+    exclusions = named.select("doc_id", "block_id", F.when(F.col("doc_id") % 10 == 1, "hearsay").otherwise("boilerplate").alias("rule"))
+    return cover.chunk_faults(chunks, blocks, entities, exclusions=exclusions, rules=("boilerplate",))

@@ -299,3 +299,13 @@ def test_pooled_bins_equal_pooling_neighbours(spark):
     ids = spark.createDataFrame([(k,) for k in (1, 2, 3, 4)], "doc_id int")
     splits = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (2, "b")], "doc_id int, split string")
     assert tuple(measures.split_checks(ids, splits).first()) == (1, 2)
+
+
+def test_front_matter_and_exclusions(spark):
+    rows = rulebooks.front_matter(blocks(spark, ["办事指南", " ", "甲", "乙", "经费额度100"], ["办事指南", "甲"], ["申报指南", "服务对象：甲", "乙"], ["各有关单位", "项目申报指南", "丙"], ["x", "y", "z"], [*["", None] * 6, "办事指南", "a", "b"])).collect()
+    assert {(r["doc_id"], r["pos"], r["target"]) for r in rows} == {(0, 2, "service_object"), (0, 3, "application_conditions"), (0, 4, "category"), (3, 1, "service_object"), (3, 2, "application_conditions")}
+    b = spark.createDataFrame([(1, "b1", "paragraph", "x"), (1, "b2", "paragraph", "y"), (1, "b3", "table", "z"), (1, "b4", "paragraph", "w")], "doc_id int, block_id string, type string, text string")
+    c = spark.createDataFrame([(1, "c1", "x", ["b1"], [], None)], "doc_id int, chunk_id string, text string, source_block_ids array<string>, entity_ids array<string>, parent_id string")
+    out = spark.createDataFrame([(1, "b2", "known"), (1, "b3", "known"), (1, "b4", "other"), (1, "b9", "known")], "doc_id int, block_id string, rule string")
+    ents = spark.createDataFrame([], "doc_id int, entity_id string")
+    assert {(r["code"], r["block_id"]) for r in cover.chunk_faults(c, b, ents, exclusions=out, rules=("known",)).collect()} == {("protected_block_missing", "b3"), ("protected_block_exclusion", "b3"), ("unknown_exclusion_rule", "b4"), ("block_missing", "b4")}
