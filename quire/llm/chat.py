@@ -122,8 +122,10 @@ def fit(turns: DataFrame, fold: tuple[int, int] | None = (5, 0), smooth: float =
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["state", "kind", "value", "n"])
 
     table = known.select("role", "text").mapInArrow(run, "state bigint, kind bigint, value bigint, n bigint").groupBy("state", "kind", "value").agg(F.sum("n").alias("n")).collect()
-    after = known.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"))
-    moves = known.select("conv_id", "turn", "role").join(after, ["conv_id", "turn"]).groupBy("role", "next").count().collect()
+    # equal turns are counted before they meet, so that a number with many turns makes a row a role
+    counted = written(known.groupBy("conv_id", "turn", "role").agg(F.count("*").alias("n")))
+    after = counted.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"), F.col("n").alias("m"))
+    moves = counted.join(after, ["conv_id", "turn"]).groupBy("role", "next").agg(F.sum(F.col("n") * F.col("m")).alias("count")).collect()
     starts = known.groupBy("conv_id").agg(F.min(F.struct("turn", "role")).alias("x")).groupBy("x.role").count().collect()
 
     start = np.full(STATES, 1e-9)

@@ -68,7 +68,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ramps: tuple[tupl
     target rounded down. copies: the same in whole documents, each epoch rounded to the nearer (a document without words counts as taken
     while its place lies before the target). positions: a training position in [0, 1] for each epoch in which words are taken. Order
     within a source is by the MD5 of doc_id as text, so reruns agree; repeated rows follow each other and each count. Null sources form one
-    source, null texts have no words, an empty table gives an empty result. No bucket of a source holds more than about BUCKET_ROWS rows.
+    source, null texts have no words, an empty table gives an empty result. A bucket of a source holds about BUCKET_ROWS rows, where ids differ: rows of one id, and those without, share a bucket.
     Other columns play no part, whatever their names.
     """
     sized = written(_sized(docs.select("doc_id", "source", "text"), size).drop("text"))
