@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as t
-from quire.operators import chunks, html
+from quire.operators import chunks, contracts, html
 from quire.plans.registry import query, table
 from quire.sources import blocks as b
 
@@ -61,12 +61,25 @@ def s15_trace_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.blocks(_docs(spark, sf_dir)).groupBy("doc_id").agg(F.round(t.safe_ratio(F.count_if(F.col("type") != "empty").cast("double"), F.count("*"), 1.0), 4).alias("trace_coverage"))
 
 
-@query()
+#: Paths of titles by windows: a path begins at each heading of level 1, and at a document's first heading; its second part is the last heading of level 2, or the first one after the beginning.
+PATHS = BLOCKS + """, h AS (SELECT doc_id, pos, level, text, level = 1 OR row_number() OVER (PARTITION BY doc_id ORDER BY pos) = 1 AS begins FROM blocks WHERE type = 'heading'),
+g AS (SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM h), k AS (SELECT *, row_number() OVER w AS k, first_value(text) OVER w AS p0 FROM g WINDOW w AS (PARTITION BY doc_id, part ORDER BY pos)),
+q AS (SELECT *, last_value(CASE WHEN k > 1 AND (level = 2 OR k = 2) THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id, part ORDER BY pos) AS p1 FROM k),
+paths AS (SELECT doc_id, pos, CASE WHEN k = 1 THEN p0 WHEN level = 2 OR k = 2 THEN p0 || ' > ' || p1 ELSE p0 || ' > ' || p1 || ' > ' || text END AS title_path FROM q)"""
+
+
+@query(PATHS + " SELECT doc_id, pos, title_path FROM paths")
 def w01_title_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The path of titles at each heading; tests hold a plain stack against it."""
+    """The path of titles at each heading."""
     return b.title_paths(_docs(spark, sf_dir))
 
 
+@query(PATHS + ", f AS (SELECT b.doc_id, b.pos, b.type, last_value(p.title_path IGNORE NULLS) OVER (PARTITION BY b.doc_id ORDER BY b.pos) AS title_path FROM blocks b LEFT JOIN paths p ON p.doc_id = b.doc_id AND p.pos = b.pos) SELECT doc_id, pos, coalesce(title_path, '') AS title_path FROM f WHERE type <> 'empty'")
+def x05_block_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path of titles that each block stands under."""
+    return contracts.block_title_paths(_docs(spark, sf_dir))
+
+
 @query(
     BLOCKS
     + """, s AS (SELECT *, sum(CASE WHEN type = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM blocks)

@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from quire.plans import content, evaluation, extraction, governance, mapping, packages, policy, projections, structure, summaries, values  # noqa: E402, F401
+from quire.plans import content, contracts, evaluation, extraction, governance, mapping, packages, policy, projections, structure, summaries, values  # noqa: E402, F401

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 
 def block_type(text: Column, pos: Column) -> Column:
@@ -43,23 +44,27 @@ def _paths(heads: list[dict]) -> list[str]:
     return out
 
 
-def title_paths(documents: DataFrame) -> DataFrame:
-    """(doc_id, pos, title_path): at each heading, the path after it is pushed on the path cut to level - 1 parts.
+def title_path_arrays(documents: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, pos ARRAY<INT>, title_path ARRAY<STRING>), a row for each document with a text: its headings and the path after each; further columns go along.
 
-    One pass over each document's headings in Arrow batches: no shuffle, linear, and exact where levels are skipped.
+    At each heading, the path after it is pushed on the path cut to level - 1 parts. One pass over each document's headings in Arrow batches: no shuffle, linear, and exact where levels are skipped.
     """
     lines = F.transform(F.split("text", "\n"), lambda t, i: F.struct(t.alias("text"), i.alias("pos"), heading_level(block_type(t, i), i, t).alias("level")))
-    heads = documents.select("doc_id", F.filter(lines, lambda x: x["level"].isNotNull()).alias("heads")).where("heads is not null")
+    heads = documents.where("text is not null").select("doc_id", F.filter(lines, lambda x: x["level"].isNotNull()).alias("heads"), *more)
+    kept = [f for f in heads.schema if f.name != "heads"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(1).to_pylist()
             pos = [[h["pos"] for h in x] for x in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pos, pa.list_(pa.int32())), pa.array([_paths(x) for x in rows], pa.list_(pa.string()))], names=["doc_id", "pos", "title_path"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(pos, pa.list_(pa.int32())), pa.array([_paths(x) for x in rows], pa.list_(pa.string()))], names=[*(f.name for f in kept), "pos", "title_path"])
+
+    return heads.mapInArrow(run, StructType([*kept, StructField("pos", ArrayType(IntegerType())), StructField("title_path", ArrayType(StringType()))]))
 
-    ids = documents.schema["doc_id"].dataType.simpleString()
-    found = heads.mapInArrow(run, f"doc_id {ids}, pos array<int>, title_path array<string>")
-    return found.select("doc_id", F.explode(F.arrays_zip("pos", "title_path")).alias("x")).select("doc_id", "x.pos", "x.title_path")
+
+def title_paths(documents: DataFrame) -> DataFrame:
+    """(doc_id, pos, title_path): the path of titles at each heading; null texts have none."""
+    return title_path_arrays(documents).select("doc_id", F.explode(F.arrays_zip("pos", "title_path")).alias("x")).select("doc_id", "x.pos", "x.title_path")
 
 
 def sections(rows: DataFrame) -> DataFrame:
