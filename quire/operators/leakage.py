@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from quire.sources.shared import written
 #: Lengths from which a value is looked up by the least hashes of its stretches of that length; shorter values by all of their length.
 TIERS = (8, 16, 32)
 GRAM = 5
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normalized(text: str | None) -> str:
@@ -31,10 +31,19 @@ def tier(n: int) -> int:
 def grams(text: str, at: int) -> np.ndarray:
     """Distinct hashes of a text by tier: of all stretches of a short tier, or the least gram of each stretch of a long one. A text that holds another of the tier has all of its hashes."""
     size = at if at < TIERS[0] else GRAM
-    hashes = np.array([xxhash.xxh64_intdigest(text[i : i + size]) for i in range(len(text) - size + 1)], np.uint64)
-    if at >= TIERS[0] and len(text) >= at:
-        hashes = np.lib.stride_tricks.sliding_window_view(hashes, at - size + 1).min(axis=1)
-    return np.unique(hashes).view(np.int64) if len(text) >= at else np.empty(0, np.int64)
+    if len(text) < at:
+        return np.empty(0, np.int64)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    hashes = np.full(len(codes) - size + 1, size, np.uint64)
+    for k in range(size):
+        hashes = (hashes ^ codes[k : k + len(hashes)]) * _MIX
+        hashes ^= hashes >> np.uint64(29)
+    if at >= TIERS[0]:
+        reach, width = at - size + 1, 1
+        while 2 * width <= reach:
+            hashes, width = np.minimum(hashes[:-width], hashes[width:]), 2 * width
+        hashes = np.minimum(hashes[: len(hashes) - reach + width], hashes[reach - width :])
+    return np.unique(hashes).view(np.int64)
 
 
 def _keyed(rows: DataFrame, tiers: list[int] | None) -> DataFrame:
@@ -43,11 +52,18 @@ def _keyed(rows: DataFrame, tiers: list[int] | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held, size = [], 0
             for k, text in enumerate(batch.column(1).to_pylist()):
                 for t in tiers if tiers is not None else [tier(len(text))]:
                     key = grams(text, t) if text else np.empty(0, np.int64)
                     if len(key):
-                        yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).slice(k, 1).to_pylist() * len(key), batch.column(0).type), pa.array([t] * len(key), pa.int32()), pa.array(key)], names=["id", "tier", "key"])
+                        held.append((k, t, key))
+                        size += len(key)
+                if size > 1 << 18 or (held and k == batch.num_rows - 1):
+                    n = [len(key) for _, _, key in held]
+                    which, tier_of = (np.repeat([x[j] for x in held], n) for j in (0, 1))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), pa.array(tier_of.astype(np.int32)), pa.array(np.concatenate([x[2] for x in held]))], names=["id", "tier", "key"])
+                    held, size = [], 0
 
     return rows.select("id", "norm").mapInArrow(run, f"id {ids}, tier int, key bigint")
 
