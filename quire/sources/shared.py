@@ -26,4 +26,15 @@ def written(df: DataFrame) -> DataFrame:
     """The same rows, read back from a table in the shared folder: lineage ends here, and a lost executor costs only a read."""
     path = f"{shared_dir(df.sparkSession)}/quire-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Removes tables that written() made, once everything that reads them is written itself; other DataFrames are left alone."""
+    for df in tables:
+        path = df.__dict__.pop("_written_to", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
