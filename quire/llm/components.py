@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import written
+from quire.sources.shared import released
 
 
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -20,11 +21,14 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    before = labels
     for turn in count(1):  # labels only fall, so this ends
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         low = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "near").alias("low"), F.col("label").alias("old"))
         up = labels.select(F.col("node").alias("at"), F.col("label").alias("up"))
         jumped = written(low.join(up, F.col("low") == F.col("at")).select("node", "old", F.least("low", "up").alias("label")))
-        labels = jumped.select("node", "label")
+        released(before)
+        before, labels = jumped, jumped.select("node", "label")
         if turn == rounds or jumped.where("label <> old").isEmpty():
+            released(both)
             return labels
