@@ -8,7 +8,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import blocktools, canonical_build, chunks, cover, dates, leakage, matching, measures, rulebooks, rules, runs, summaries, trees
+from quire.operators import blocktools, canonical_build, chunks, contracts, cover, dates, leakage, matching, measures, rulebooks, rules, runs, summaries, trees
 from quire.streaming import packs
 
 BLOCK = "doc_id int, pos int, type string, text string"
@@ -309,3 +309,24 @@ def test_front_matter_and_exclusions(spark):
     out = spark.createDataFrame([(1, "b2", "known"), (1, "b3", "known"), (1, "b4", "other"), (1, "b9", "known")], "doc_id int, block_id string, rule string")
     ents = spark.createDataFrame([], "doc_id int, entity_id string")
     assert {(r["code"], r["block_id"]) for r in cover.chunk_faults(c, b, ents, exclusions=out, rules=("known",)).collect()} == {("protected_block_missing", "b3"), ("protected_block_exclusion", "b3"), ("unknown_exclusion_rule", "b4"), ("block_missing", "b4")}
+
+
+def test_contract_rows(spark):
+    hints = spark.createDataFrame([('{"schema_hint": 3, "document_type": "b"}',), ('{"document": {"schema_hint": "a", "document_type": "b"}}',), ('{"schema_hint": "zzz"}',), ("no json",), (None,)], "j string")
+    assert [r[0] for r in hints.select(contracts.route_hint(F.col("j"), ("a", "b"))).collect()] == ["b", "a", None, None, None]
+    docs = spark.createDataFrame([(1, "plain words before any heading, long enough to be none, of eighty characters or more in all\nHeading two here\nsome text that is long enough\n\nShort\nmore text that is long enough"), (2, ""), (3, None)], "doc_id int, text string")
+    paths = {(r["doc_id"], r["pos"]): r["title_path"] for r in contracts.block_title_paths(docs).collect()}
+    assert paths == {(1, 0): "", (1, 1): "Heading two here", (1, 2): "Heading two here", (1, 4): "Heading two here > Short", (1, 5): "Heading two here > Short"}
+    assert {(r["doc_id"], r["n_blocks"], r["block_types"]) for r in contracts.document_rows(docs.where("doc_id > 1")).collect()} == {(2, 1, "empty"), (3, 1, "empty")}
+    asked = spark.createDataFrame([(7, 2, {"Token": "x", "a": None}), (8, 99, {"a": "b"})], "request_id int, doc_id int, options map<string,string>")
+    assert [(r["task_id"], r["options"]) for r in contracts.new_tasks(asked, docs).collect()] == [("task_7", "Token=***;a=")]
+    gold = spark.createDataFrame([(1, "b1", "v"), (1, "b1", "v"), (1, "b7", " "), (9, "b1", "v")], "doc_id int, block_id string, value string")
+    held = spark.createDataFrame([(1, "b1")], "doc_id int, block_id string")
+    assert {tuple(r) for r in contracts.gold_faults(gold, held, 5).collect()} == {("unknown_document", 1), ("unknown_block", 1), ("empty_value", 1), ("repeated_row", 1), ("too_few_rows", 1)}
+    want = spark.createDataFrame([(1, "mapping", "a", "x"), (1, "mapping", "b", "y"), (1, "review", "c", "z")], "doc_id int, kind string, source string, target string")
+    got = spark.createDataFrame([(1, "accepted", "a", "x"), (1, "accepted", "a", "x"), (1, "accepted", "b", "no"), (1, "review", "c", "z")], "doc_id int, status string, source string, target string")
+    r = contracts.gold_scores(want, got, spark.createDataFrame([("b", "no")], "source string, target string")).first()
+    assert (r["accepted_correct"], r["review_correct"], r["missing"], r["violations"], r["auto_recall"], r["assisted_recall"]) == (1, 1, 1, 1, 0.333333, 0.666667)
+    fields = spark.createDataFrame([(1, "f"), (1, "g"), (2, "f")], "doc_id int, field_id string")
+    said = lambda *x: spark.createDataFrame(list(x), "doc_id int, field_id string, source_path string")
+    assert {tuple(r) for r in contracts.predictions(said((1, "f", "p")), said((2, "f", "q")), fields).collect()} == {(1, "f", "p", "accepted"), (2, "f", "q", "review"), (1, "g", None, "abstained")}
