@@ -90,3 +90,44 @@ def gold_faults(gold: DataFrame, blocks: DataFrame, least_rows: int) -> DataFram
         gold.agg(F.count("*").alias("n")).where(F.col("n") < least_rows).select(F.lit("too_few_rows").alias("fault"), F.lit(1).alias("k")),
     ]
     return reduce(DataFrame.unionByName, parts).groupBy("fault").agg(F.sum("k").cast("long").alias("n"))
+
+
+def named_block_candidates(blocks: DataFrame) -> DataFrame:
+    """(doc_id, source_path, source_name, value): a candidate for each of blocks(doc_id, block_id, text, attributes) whose attributes, a JSON object, name a field; the value is its text, trimmed."""
+    name = F.try_variant_get(F.try_parse_json("attributes"), "$.field_name", "string")
+    rows = blocks.select("doc_id", "block_id", "text", F.trim(name).alias("source_name")).where((F.col("source_name") != "") & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    return rows.select("doc_id", F.concat(F.lit("$.blocks."), "block_id", F.lit(".text")).alias("source_path"), "source_name", F.trim("text").alias("value"))
+
+
+def target_descriptors(fields: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(field_id, type, aliases, allowed, constraints): fields(field_id, type, aliases ARRAY<STRING>, constraints MAP<STRING, STRING>) with all their names of either table, sorted and once each, and `enum` apart from the other constraints.
+
+    aliases(field_id, alias) are those of rules. An enumeration is a text with bars between its values.
+    """
+    more = aliases.groupBy("field_id").agg(F.collect_set("alias").alias("more"))
+    rows = fields.join(more, "field_id", "left")
+    none = F.array().cast("array<string>")
+    names = F.array_sort(F.array_distinct(F.filter(F.concat(F.coalesce("aliases", none), F.coalesce("more", none)), lambda a: F.coalesce(F.trim(a), F.lit("")) != "")))
+    rest = F.array_join(F.array_sort(F.transform(F.map_entries(F.map_filter("constraints", lambda k, _: k != "enum")), lambda x: F.concat(x["key"], F.lit("="), x["value"]))), ";")
+    return rows.select("field_id", "type", names.alias("aliases"), F.coalesce(F.split(F.col("constraints")["enum"], r"\|"), none).alias("allowed"), F.coalesce(rest, F.lit("")).alias("constraints"))
+
+
+def template_draft(labels: DataFrame, least: int = 2) -> DataFrame:
+    """(field_id, alias, support): alias rules from labels(doc_id, field_id, label): each label that `least` documents or more give a field, and that no other field has as often."""
+    counts = labels.where(F.trim(F.coalesce("label", F.lit(""))) != "").groupBy("field_id", F.trim("label").alias("alias")).agg(F.count_distinct("doc_id").alias("support")).where(F.col("support") >= least)
+    most = counts.groupBy("alias").agg(F.max("support").alias("top"), F.max_by("field_id", "support").alias("best"), F.count("*").alias("n"))
+    tied = counts.join(most, "alias").groupBy("alias").agg(F.count_if(F.col("support") == F.col("top")).alias("firsts"))
+    return counts.join(most, "alias").join(tied, "alias").where((F.col("support") == F.col("top")) & (F.col("firsts") == 1)).select("field_id", "alias", "support")
+
+
+def draft_risks(rules: DataFrame, targets: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """(rule_id, risk) of rules(rule_id, source, target, evidence, pattern): missing_evidence, unknown_target (not in targets(target)), forbidden_pair (in forbidden(source, target)), overbroad_pattern (it matches an empty text or a stranger's)."""
+    broad = F.regexp_like(F.lit(""), F.col("pattern")) | F.regexp_like(F.lit("§ stranger 0 §"), F.col("pattern"))
+    told = lambda rows, risk: rows.select("rule_id", F.lit(risk).alias("risk"))
+    parts = [
+        told(rules.where(F.coalesce("evidence", F.lit(0)) <= 0), "missing_evidence"),
+        told(rules.join(targets.select("target"), "target", "left_anti"), "unknown_target"),
+        told(rules.join(forbidden.select("source", "target").distinct(), ["source", "target"], "left_semi"), "forbidden_pair"),
+        told(rules.where("pattern is not null").where(broad), "overbroad_pattern"),
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -94,3 +94,54 @@ def e10_gold_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     gold = rows.select((d + F.when(d % 50 == 0, 10_000_000).otherwise(0)).alias("doc_id"), F.when(d % 7 == 0, "b9999").otherwise("b0001").alias("block_id"), F.when((F.col("quality") == 0) & (d % 3 == 0), " ").otherwise("v").alias("value"))
     return c.gold_faults(gold, b.blocks(table(spark, sf_dir, "documents")), 1_000_000)
+
+
+@query("SELECT o_orderkey AS doc_id, '$.blocks.b0002.text' AS source_path, CASE WHEN o_orderkey % 3 = 0 THEN 'priority' ELSE 'rank' END AS source_name, o_orderpriority AS value FROM orders WHERE o_orderkey % 4 <> 1 AND o_orderkey % 5 <> 0")
+def p03_named_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates from blocks whose attributes name a field."""
+    k = F.col("o_orderkey")
+    attributes = F.when(k % 4 == 1, '{"field_name": " "}').when(k % 3 == 0, '{"field_name": "priority", "x": 1}').otherwise('{"field_name": " rank"}')
+    named = F.struct(F.lit("b0002").alias("block_id"), F.when(k % 5 == 0, " ").otherwise(F.concat(F.lit(" "), "o_orderpriority")).alias("text"), attributes.alias("attributes"))
+    plain = F.struct(F.lit("b0001").alias("block_id"), F.lit("Order").alias("text"), F.lit(None).cast("string").alias("attributes"))
+    rows = table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.explode(F.array(plain, named)).alias("x")).select("doc_id", "x.*")
+    return c.named_block_candidates(rows)
+
+
+@query(
+    """WITH f AS (SELECT n_nationkey, 'f' || n_nationkey AS field_id, CASE WHEN n_nationkey % 2 = 0 THEN 'enum' ELSE 'string' END AS type, n_name FROM nation), s AS (SELECT DISTINCT s_nationkey, 'S' || (s_suppkey % 7) AS alias FROM supplier),
+    a AS (SELECT field_id, list_sort(list_distinct(list_concat([n_name, 'name'], coalesce((SELECT list(alias) FROM s WHERE s_nationkey = n_nationkey), [])))) AS aliases FROM f)
+    SELECT field_id, type, array_to_string(aliases, ',') AS aliases, CASE WHEN type = 'enum' THEN 'a,b' ELSE '' END AS allowed, 'max=' || n_nationkey || ';min=0' AS constraints FROM f JOIN a USING (field_id)"""
+)
+def m22_target_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields made of nations with all their names, of suppliers as rules, and enumerations apart from other constraints."""
+    k = F.col("n_nationkey")
+    limits = F.create_map(F.lit("min"), F.lit("0"), F.lit("max"), k.cast("string"))
+    enum = F.when(k % 2 == 0, F.map_concat(limits, F.create_map(F.lit("enum"), F.lit("a|b")))).otherwise(limits)
+    fields = table(spark, sf_dir, "nation").select(F.concat(F.lit("f"), k.cast("string")).alias("field_id"), F.when(k % 2 == 0, "enum").otherwise("string").alias("type"), F.array(F.col("n_name"), F.lit("name"), F.lit(" "), F.col("n_name")).alias("aliases"), enum.alias("constraints"))
+    rules = table(spark, sf_dir, "supplier").select(F.concat(F.lit("f"), F.col("s_nationkey").cast("string")).alias("field_id"), F.concat(F.lit("S"), (F.col("s_suppkey") % 7).cast("string")).alias("alias"))
+    found = c.target_descriptors(fields, rules)
+    return found.select("field_id", "type", F.array_join("aliases", ",").alias("aliases"), F.array_join("allowed", ",").alias("allowed"), "constraints")
+
+
+@query(
+    """WITH l AS (SELECT p_partkey, 'f' || (p_size % 6) AS field_id, p_name AS label FROM part), s AS (SELECT field_id, label AS alias, count(DISTINCT p_partkey) AS support FROM l GROUP BY ALL HAVING count(DISTINCT p_partkey) >= 2), t AS (SELECT *, max(support) OVER (PARTITION BY alias) AS top FROM s)
+    SELECT field_id, alias, support FROM t WHERE support = top QUALIFY count(*) OVER (PARTITION BY alias) = 1"""
+)
+def d03_template_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alias rules from what parts of a size are called, where one size has a name most often."""
+    labels = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("f"), (F.col("p_size") % 6).cast("string")).alias("field_id"), F.concat(F.lit(" "), "p_name").alias("label"))
+    return c.template_draft(labels)
+
+
+_PATTERNS = "CASE p_partkey % 6 WHEN 0 THEN '.*' WHEN 1 THEN '^.+$' WHEN 2 THEN NULL ELSE '^' || p_name || '[0-9]+$' END"
+
+
+@query(
+    f"""WITH r AS (SELECT p_partkey AS rule_id, p_brand AS source, 't' || (p_size % 12) AS target, p_partkey % 4 AS evidence, {_PATTERNS} AS pattern FROM part)
+    SELECT rule_id, 'missing_evidence' AS risk FROM r WHERE evidence = 0 UNION ALL SELECT rule_id, 'unknown_target' FROM r WHERE target IN ('t10', 't11') UNION ALL SELECT rule_id, 'forbidden_pair' FROM r WHERE source = 'Brand#1' AND target IN ('t3', 't4') UNION ALL SELECT rule_id, 'overbroad_pattern' FROM r WHERE pattern IN ('.*', '^.+$')"""
+)
+def d04_draft_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risks of rules made of parts: no evidence, unknown targets, forbidden pairs, patterns that match anything."""
+    rules = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("rule_id"), F.col("p_brand").alias("source"), F.concat(F.lit("t"), (F.col("p_size") % 12).cast("string")).alias("target"), (F.col("p_partkey") % 4).alias("evidence"), F.expr(_PATTERNS).alias("pattern"))
+    known = spark.createDataFrame([(f"t{k}",) for k in range(10)], "target string")
+    return c.draft_risks(rules, known, spark.createDataFrame([("Brand#1", "t3"), ("Brand#1", "t4")], "source string, target string"))

@@ -330,3 +330,16 @@ def test_contract_rows(spark):
     fields = spark.createDataFrame([(1, "f"), (1, "g"), (2, "f")], "doc_id int, field_id string")
     said = lambda *x: spark.createDataFrame(list(x), "doc_id int, field_id string, source_path string")
     assert {tuple(r) for r in contracts.predictions(said((1, "f", "p")), said((2, "f", "q")), fields).collect()} == {(1, "f", "p", "accepted"), (2, "f", "q", "review"), (1, "g", None, "abstained")}
+
+
+def test_drafts_and_descriptors(spark):
+    labels = spark.createDataFrame([(1, "f", "a"), (2, "f", " a"), (2, "f", "a"), (3, "g", "a"), (1, "g", "b"), (2, "g", "b"), (1, "f", "b"), (2, "f", "b"), (9, "f", None), (9, "f", "c")], "doc_id int, field_id string, label string")
+    assert {tuple(r) for r in contracts.template_draft(labels).collect()} == {("f", "a", 2)}  # b is a tie, c has too few
+    rules_ = spark.createDataFrame([(1, "s", "t", 0, None), (2, "s", "u", 1, "x*"), (3, "q", "t", 2, "^a$"), (4, "q", "t", None, ".")], "rule_id int, source string, target string, evidence int, pattern string")
+    risks = contracts.draft_risks(rules_, spark.createDataFrame([("t",)], "target string"), spark.createDataFrame([("q", "t")], "source string, target string"))
+    assert sorted(tuple(r) for r in risks.collect()) == [(1, "missing_evidence"), (2, "overbroad_pattern"), (2, "unknown_target"), (3, "forbidden_pair"), (4, "forbidden_pair"), (4, "missing_evidence"), (4, "overbroad_pattern")]
+    fields = spark.createDataFrame([("f", "enum", ["b", None, "a"], {"enum": "x|y", "min": "0"}), ("g", "text", None, None)], "field_id string, type string, aliases array<string>, constraints map<string,string>")
+    got = contracts.target_descriptors(fields, spark.createDataFrame([("f", "a"), ("f", "c"), ("g", "z")], "field_id string, alias string")).orderBy("field_id").collect()
+    assert [(r["aliases"], r["allowed"], r["constraints"]) for r in got] == [(["a", "b", "c"], ["x", "y"], "min=0"), (["z"], [], "")]
+    named = spark.createDataFrame([(1, "b1", " v ", '{"field_name": "n"}'), (1, "b2", "v", '{"field_name": 3}'), (1, "b3", " ", '{"field_name": "n"}'), (1, "b4", "v", "no json"), (1, "b5", "v", None)], "doc_id int, block_id string, text string, attributes string")
+    assert {tuple(r) for r in contracts.named_block_candidates(named).collect()} >= {(1, "$.blocks.b1.text", "n", "v")}
