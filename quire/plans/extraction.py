@@ -123,7 +123,7 @@ def f43_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '(?i)(password|secret|token|api[_-]?key)[ ]*[:=]')) AS key_hits, len(regexp_extract_all(text, '[A-Za-z0-9_]{32,}')) AS value_hits FROM documents")
 def f48_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of patterns of secrets."""
+    """hits of patterns of secrets."""
     n = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0)))
     return table(spark, sf_dir, "documents").select("doc_id", n("(?i)(password|secret|token|api[_-]?key)[ ]*[:=]").alias("key_hits"), n("[A-Za-z0-9_]{32,}").alias("value_hits"))
 

@@ -201,3 +201,31 @@ def r05_pack_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each operation on a knowledge pack found and left, with users' events as the log; streaming.packs plays the same log as a stream."""
     log = table(spark, sf_dir, "events").select(F.col("user_id").alias("pack_id"), "ts", F.col("event_id").alias("seq"), F.expr(_OPS).alias("op"))
     return packs.history(log)
+
+
+_GRAPHS = """n AS (SELECT o_orderkey % 100 AS graph, 'order:' || o_orderkey AS node, CASE o_orderkey % 7 WHEN 0 THEN 'chunk' WHEN 1 THEN 'artifact' ELSE 'field' END AS kind FROM orders), e AS (SELECT DISTINCT l_orderkey % 100 AS graph, 'order:' || l_orderkey AS src, 'order:' || (l_orderkey + 100 * l_linenumber) AS dst FROM lineitem WHERE l_linenumber < 3 AND l_returnflag = 'N'),
+    m AS (SELECT e.*, EXISTS (SELECT 1 FROM n WHERE n.graph = e.graph AND node = src) AND EXISTS (SELECT 1 FROM n WHERE n.graph = e.graph AND node = dst) AS fine FROM e), t AS (SELECT graph, node, bool_or(fine) AS fine FROM (SELECT graph, src AS node, fine FROM m UNION ALL SELECT graph, dst, fine FROM m) GROUP BY ALL),
+    g AS (SELECT n.graph, kind, count(*) AS n, count(*) FILTER (fine) AS linked, count(*) FILTER (fine IS NULL) AS orphans, CAST(0 AS BIGINT) AS broken_edges FROM n LEFT JOIN t ON t.graph = n.graph AND t.node = n.node GROUP BY ALL UNION ALL SELECT graph, 'edge', count(*), count(*) FILTER (fine), 0, count(*) FILTER (NOT fine) FROM m GROUP BY graph)"""
+
+
+def _graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    nodes = table(spark, sf_dir, "orders").select((k % 100).alias("graph"), F.concat(F.lit("order:"), k.cast("string")).alias("node"), F.when(k % 7 == 0, "chunk").when(k % 7 == 1, "artifact").otherwise("field").alias("kind"))
+    line = table(spark, sf_dir, "lineitem").where("l_linenumber < 3 AND l_returnflag = 'N'")
+    rows = line.select((F.col("l_orderkey") % 100).alias("graph"), F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("order:"), (F.col("l_orderkey") + 100 * F.col("l_linenumber")).cast("string")).alias("dst"))
+    return lineage.graph_totals(nodes, rows)
+
+
+@query(f"WITH {_GRAPHS} SELECT * FROM g")
+def g07_graph_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes by kind, linked or alone, and broken edges, of a hundred graphs of orders."""
+    return _graphs(spark, sf_dir)
+
+
+@query(
+    f"""WITH {_GRAPHS}, c AS (SELECT count(DISTINCT graph) AS graphs, round(sum(linked) FILTER (kind = 'field') / sum(n) FILTER (kind = 'field'), 6)::DOUBLE AS field_coverage, round(sum(linked) FILTER (kind = 'chunk') / sum(n) FILTER (kind = 'chunk'), 6)::DOUBLE AS chunk_coverage, round(sum(linked) FILTER (kind = 'artifact') / sum(n) FILTER (kind = 'artifact'), 6)::DOUBLE AS artifact_coverage, CAST(sum(orphans) AS BIGINT) AS orphans, CAST(sum(broken_edges) AS BIGINT) AS broken_edges FROM g)
+    SELECT *, CASE WHEN broken_edges = 0 AND field_coverage >= 0.9 AND chunk_coverage >= 0.9 AND artifact_coverage >= 0.95 THEN 'passed' ELSE 'failed' END AS status FROM c"""
+)
+def e08_lineage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage by kind, orphans and broken edges over all graphs, against their thresholds."""
+    return lineage.report(_graphs(spark, sf_dir))

@@ -8,7 +8,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import blocktools, canonical_build, chunks, contracts, cover, dates, leakage, matching, measures, rulebooks, rules, runs, summaries, trees
+from quire.operators import blocktools, canonical_build, chunks, contracts, cover, dates, leakage, lineage, matching, measures, rulebooks, rules, runs, summaries, trees
 from quire.streaming import packs
 
 BLOCK = "doc_id int, pos int, type string, text string"
@@ -343,3 +343,13 @@ def test_drafts_and_descriptors(spark):
     assert [(r["aliases"], r["allowed"], r["constraints"]) for r in got] == [(["a", "b", "c"], ["x", "y"], "min=0"), (["z"], [], "")]
     named = spark.createDataFrame([(1, "b1", " v ", '{"field_name": "n"}'), (1, "b2", "v", '{"field_name": 3}'), (1, "b3", " ", '{"field_name": "n"}'), (1, "b4", "v", "no json"), (1, "b5", "v", None)], "doc_id int, block_id string, text string, attributes string")
     assert {tuple(r) for r in contracts.named_block_candidates(named).collect()} >= {(1, "$.blocks.b1.text", "n", "v")}
+
+
+def test_lineage_report(spark):
+    nodes = spark.createDataFrame([(1, "a", "field"), (1, "b", "chunk"), (1, "c", "artifact"), (1, "d", "field"), (2, "a", "field")], "graph int, node string, kind string")
+    edges = spark.createDataFrame([(1, "a", "b"), (1, "a", "b"), (1, "b", "c"), (1, "d", "zzz"), (2, "b", "c")], "graph int, src string, dst string")
+    totals = {(r["graph"], r["kind"]): tuple(r)[2:] for r in lineage.graph_totals(nodes, edges).collect()}
+    assert totals == {(1, "field"): (2, 1, 0, 0), (1, "chunk"): (1, 1, 0, 0), (1, "artifact"): (1, 1, 0, 0), (2, "field"): (1, 0, 1, 0), (1, "edge"): (3, 2, 0, 1), (2, "edge"): (1, 0, 0, 1)}
+    said = lineage.report(lineage.graph_totals(nodes, edges)).first()
+    assert (said["graphs"], said["field_coverage"], said["chunk_coverage"], said["orphans"], said["broken_edges"], said["status"]) == (2, 0.333333, 1.0, 1, 2, "failed")
+    assert lineage.report(lineage.graph_totals(nodes.limit(0), edges.limit(0))).first()["status"] == "passed"
