@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import normalize_spaces
+from quire.sources.shared import written
 
 #: Stands between the blocks of a chunk's source.
 GAP = "\n\n"
@@ -17,7 +18,7 @@ GAP = "\n\n"
 def _sources(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     """A row for each block that a chunk names, in the chunk's order, with the block's place in the chunk's normalised source."""
     named = chunks.select("doc_id", "chunk_id", F.col("text").alias("said"), F.posexplode("source_block_ids").alias("k", "block_id"))
-    rows = named.join(blocks.select("doc_id", "block_id", "type", "text"), ["doc_id", "block_id"], "left")
+    rows = named.join(blocks.select("doc_id", "block_id", "type", "text").hint("merge"), ["doc_id", "block_id"], "left")
     return rows.withColumn("known", F.col("type").isNotNull())
 
 
@@ -33,31 +34,33 @@ def chunk_faults(chunks: DataFrame, blocks: DataFrame, entities: DataFrame, prot
     none = F.lit(None).cast("string")
     fault = lambda rows, code, chunk=none, block=none: rows.select("doc_id", F.lit(code).alias("code"), chunk.alias("chunk_id"), block.alias("block_id"))
     c, b = F.col("chunk_id"), F.col("block_id")
+    # written, as each kind of fault reads them again; joined by sorting, as Spark would judge them by their compressed files and broadcast them through the driver
+    chunks, blocks = written(chunks), written(blocks.select("doc_id", "block_id", "type", "text"))
     folded = blocks.withColumn("n", normalize_spaces(F.coalesce("text", F.lit(""))))
     has_text = F.col("n") != ""
-    sources = _sources(chunks, blocks).withColumn("n", normalize_spaces(F.coalesce("text", F.lit(""))))
+    sources = written(_sources(chunks, blocks).withColumn("n", normalize_spaces(F.coalesce("text", F.lit("")))))
     parts = F.filter(F.array_sort(F.collect_list(F.struct("k", "n", "block_id"))), lambda x: x["n"] != "")
     whole = sources.groupBy("doc_id", "chunk_id").agg(F.first("said").alias("said"), parts.alias("parts"))
     whole = whole.withColumns({"source": F.array_join(F.transform("parts", lambda x: x["n"]), " "), "n": normalize_spaces(F.coalesce("said", F.lit("")))})
     whole = whole.withColumn("at", F.instr("source", F.col("n")) - 1)
     found = [
-        fault(blocks.select("doc_id").distinct().join(chunks.select("doc_id"), "doc_id", "left_anti"), "chunks_empty"),
+        fault(blocks.select("doc_id").distinct().join(chunks.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti"), "chunks_empty"),
         fault(chunks.where(normalize_spaces(F.coalesce("text", F.lit(""))) == ""), "chunk_text_empty", c),
         fault(sources.where("not known"), "unknown_source_block", c, b),
         fault(whole.where("n <> '' and at < 0"), "text_not_derivable", c),
-        fault(chunks.select("doc_id", "chunk_id", F.explode("entity_ids").alias("entity_id")).join(entities.select("doc_id", "entity_id"), ["doc_id", "entity_id"], "left_anti").distinct(), "unknown_entity", c),
-        fault(chunks.where("parent_id is not null").join(chunks.select("doc_id", F.col("chunk_id").alias("parent_id")), ["doc_id", "parent_id"], "left_anti"), "parent_missing", c),
+        fault(chunks.select("doc_id", "chunk_id", F.explode("entity_ids").alias("entity_id")).join(entities.select("doc_id", "entity_id").hint("merge"), ["doc_id", "entity_id"], "left_anti").distinct(), "unknown_entity", c),
+        fault(chunks.where("parent_id is not null").join(chunks.select("doc_id", F.col("chunk_id").alias("parent_id")).hint("merge"), ["doc_id", "parent_id"], "left_anti"), "parent_missing", c),
     ]
     held = sources.where("known").select("doc_id", "block_id").distinct()
-    lost = folded.join(held, ["doc_id", "block_id"], "left_anti").join(chunks.select("doc_id"), "doc_id", "left_semi")
+    lost = folded.join(held.hint("merge"), ["doc_id", "block_id"], "left_anti").join(chunks.select("doc_id").hint("merge"), "doc_id", "left_semi")
     kept = F.col("type").isin(*protected)
     if exclusions is not None:
-        named = exclusions.select("doc_id", "block_id", F.col("rule").isin(*rules).alias("fine")).join(blocks.select("doc_id", "block_id", "type"), ["doc_id", "block_id"])
+        named = exclusions.select("doc_id", "block_id", F.col("rule").isin(*rules).alias("fine")).join(blocks.select("doc_id", "block_id", "type").hint("merge"), ["doc_id", "block_id"])
         found += [fault(named.where(~F.coalesce("fine", F.lit(False))).distinct(), "unknown_exclusion_rule", block=b), fault(named.where(kept).select("doc_id", "block_id").distinct(), "protected_block_exclusion", block=b)]
-        lost = lost.join(named.where(F.col("fine") & ~kept).select("doc_id", "block_id"), ["doc_id", "block_id"], "left_anti")
+        lost = lost.join(named.where(F.col("fine") & ~kept).select("doc_id", "block_id").hint("merge"), ["doc_id", "block_id"], "left_anti")
     found += [fault(lost.where(has_text & ~kept), "block_missing", block=b), fault(lost.where(kept), "protected_block_missing", block=b)]
     alone = F.size("source_block_ids") == 1
-    intact = sources.where("known").join(chunks.select("doc_id", "chunk_id", alone.alias("alone")), ["doc_id", "chunk_id"]).where(kept)
+    intact = sources.where("known").join(chunks.select("doc_id", "chunk_id", alone.alias("alone")).hint("merge"), ["doc_id", "chunk_id"]).where(kept)
     intact = intact.groupBy("doc_id", "block_id").agg(F.bool_or(F.when(F.col("alone"), F.col("said") == F.col("text")).otherwise(F.contains("said", F.col("text")))).alias("fine"))
     found.append(fault(intact.where("not coalesce(fine, false)"), "protected_block_changed", block=b))
     # each block's interval in its chunk's source, cut to what the chunk's text covers
