@@ -1,9 +1,11 @@
 """Plans and intermediate tables that must follow the input, and not what Spark takes them for."""
 
+import random
 import re
 
 import pytest
 
+from quire.operators import leakage
 from quire.plans.registry import QUERIES
 from quire.sources import notices
 
@@ -32,3 +34,26 @@ def test_no_derived_rows_are_broadcast(spark, name):
             inside = next((j for j in range(k + 1, len(plan)) if level(plan[j]) <= level(line)), len(plan))
             below = "\n".join(plan[k + 1 : inside])
             assert "Exchange hash" in below or not re.search(r"quire-|variant|CASE WHEN", below), below
+
+
+def test_leakage_writes_only_grams_that_may_meet(spark, monkeypatch):
+    """Either way round, the larger side's grams are written where the smaller side's filter lets them through, and the pairs are those of all against all."""
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    many = [text(600) for _ in range(300)]
+    few = [many[7][100:140], many[9], text(50), many[3] + "zz", "x"]
+    sizes, was = [], leakage.written
+
+    def counted(df):
+        out = was(df)
+        if "key" in out.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(leakage, "written", counted)
+    rows = lambda x: spark.createDataFrame(list(enumerate(x)), "id int, text string")
+    for values, texts in ((few, many), (many, few)):
+        sizes.clear()
+        want = {(i, j, "equal" if v == t else "value_in_text" if v in t else "text_in_value") for i, v in enumerate(values) for j, t in enumerate(texts) if v in t or t in v}
+        assert {tuple(r) for r in leakage.leaks(rows(values), rows(texts)).collect()} == want and len(want) >= 3
+        assert sum(sizes) < 5000, sizes  # 300 texts have some 200,000 grams
