@@ -2,7 +2,7 @@
 
 A rule is a pattern with the words a block must and must not hold, the target it speaks for, a name, a value and a confidence. All
 rules become one array expression behind a joint test for their words, so a block that no rule can match costs one
-regular expression. Rules stand in order of precedence: of overlapping matches for one target the first rule's stays.
+regular expression, and a rule none of whose words a block holds costs a search for them. Rules stand in order of precedence: of overlapping matches for one target the first rule's stays.
 """
 
 from __future__ import annotations
@@ -98,7 +98,7 @@ def _filled(template: str, text: Column, pattern: str, match: Column) -> Column:
 
 def _words(rule: Rule) -> list[str]:
     """Words of which a block holds one if the rule matches it."""
-    plain = re.sub(r"\[[^\]]*\][*+?]?(\{[^}]*\})?|\(\?:|[\\^$(){}*+?|.]|[0-9,]+", "\0", rule.pattern)
+    plain = re.sub(r"\\[\[\]]|\[[^\]]*\][*+?]?(\{[^}]*\})?|\(\?:|[\\^$(){}*+?|.]|[0-9,]+", "\0", rule.pattern)
     return list(rule.needs[:1]) or [x for x in plain.split("\0") if x]
 
 
@@ -113,9 +113,11 @@ def facts(blocks: DataFrame, rules: tuple[Rule, ...] = POLICY) -> DataFrame:
         match = F.regexp_extract(F.col("t"), rule.pattern, 0)
         held = reduce(lambda a, b: a & b, [F.contains(F.col("t"), F.lit(x)) for x in rule.needs] + [~F.contains(F.col("t"), F.lit(x)) for x in rule.forbids], F.lit(True))
         fact = F.struct(F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), F.lit(rule.target).alias("target"), _filled(rule.name, F.col("t"), rule.pattern, match).alias("name"), _filled(rule.value, F.col("t"), rule.pattern, match).alias("value"), F.lit(rule.confidence).alias("confidence"), F.lit(rule.flag).alias("flag"), F.lit(rule.alone).alias("alone"), F.instr(F.col("t"), match).alias("start"), F.length(match).alias("length"))
-        each.append(F.when(held & F.col("t").rlike(rule.pattern), fact))
+        # a search for words costs a fiftieth of a regular expression that fails
+        near = reduce(lambda a, b: a | b, [F.contains(F.col("t"), F.lit(x)) for x in _words(rule)] or [F.lit(True)])
+        each.append(F.when(near & held & F.col("t").rlike(rule.pattern), fact))
     words = sorted({re.escape(w) for rule in rules for w in _words(rule)})
-    may = F.col("t").rlike("|".join(words)) if all(_words(r) for r in rules) else F.lit(True)
+    may = F.col("t").rlike("|".join([*words, *(r.pattern for r in rules if not _words(r))]))
     overlaps = lambda a, b: (a["target"] == b["target"]) & (a["rank"] < b["rank"]) & (a["start"] < b["start"] + b["length"]) & (b["start"] < a["start"] + a["length"])
     # exploding an array of one value keeps the optimiser from writing it out at each of its uses
     found = blocks.select("doc_id", "pos", F.explode(F.array(text)).alias("t")).where(may).select("doc_id", "pos", F.explode(F.array(F.array_compact(F.array(*each)))).alias("f"))

@@ -57,3 +57,21 @@ def test_leakage_writes_only_grams_that_may_meet(spark, monkeypatch):
         want = {(i, j, "equal" if v == t else "value_in_text" if v in t else "text_in_value") for i, v in enumerate(values) for j, t in enumerate(texts) if v in t or t in v}
         assert {tuple(r) for r in leakage.leaks(rows(values), rows(texts)).collect()} == want and len(want) >= 3
         assert sum(sizes) < 5000, sizes  # 300 texts have some 200,000 grams
+
+
+def test_rules_are_guarded_by_their_words(spark):
+    """Words in a bracketed label count too, so a block that no rule can match meets one test; rules without words join that test by their patterns."""
+    from quire.operators import rulebooks, rules
+
+    label = next(r for r in rules.POLICY if r.kind == "policy_publish_date_label")
+    assert rules._words(label) == ["发布日期", "公布日期", "发布时间", "公开日期"]
+    assert all(rules._words(r) for r in rules.POLICY)
+    blocks = spark.createDataFrame([(1, 0, "[发布日期]：2020年1月2日"), (1, 1, "一、审查工作安排"), (1, 2, "无关。"), (2, 0, None)], "doc_id int, pos int, text string")
+    assert {(r["pos"], r["kind"]) for r in rules.facts(blocks, (label,)).collect()} == {(0, "policy_publish_date_label")}
+    assert {(r["pos"], r["kind"]) for r in rules.facts(blocks, rulebooks.MEETING).collect()} == {(1, "numbered_agenda_heading")}
+
+
+def test_windows_over_notices_move_no_texts(spark):
+    """Orders are dealt out before their blocks are made: a window over a document's blocks needs no further exchange."""
+    plan = QUERIES["x11_meeting_dates"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("Exchange hashpartitioning", plan)) == 1
