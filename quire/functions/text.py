@@ -113,5 +113,6 @@ def safe_ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
 
 def substring_grams(c: Column, low: int = 2, high: int = 4) -> Column:
     """All runs of low to high characters of a text."""
-    one = lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    # a match at each character looks ahead over the run: one pass a length, where cutting each run out counts characters from the beginning again
+    one = lambda n: F.coalesce(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)), F.array().cast("array<string>"))
     return F.concat(*[one(n) for n in range(low, high + 1)])

@@ -4,7 +4,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from quire.functions.text import substring_grams
 from quire.operators import leakage
 from quire.plans.registry import QUERIES
 from quire.sources import notices
@@ -75,3 +77,27 @@ def test_windows_over_notices_move_no_texts(spark):
     """Orders are dealt out before their blocks are made: a window over a document's blocks needs no further exchange."""
     plan = QUERIES["x11_meeting_dates"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall("Exchange hashpartitioning", plan)) == 1
+
+
+def exchanges(df):
+    return len(re.findall(r"\bExchange\b", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_whole_notices_hold_the_same_blocks(spark):
+    orders = spark.read.parquet(f"{DATA.replace('0.1', '0.001')}/orders.parquet")
+    whole = notices.whole_notices(orders).selectExpr("doc_id", "inline(blocks)")
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, notices.notices(orders).collect()))
+
+
+@pytest.mark.parametrize("name", ["f15_retrieval_tokens"])
+def test_notices_meet_without_shuffling_or_sorting_texts(spark, name):
+    """Only orders move; before, blocks were collected, or joined to blocks, which sorts or shuffles all texts."""
+    df = QUERIES[name](spark, DATA)
+    assert exchanges(df) == 1 and "collect_list" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grams_are_runs_of_characters(spark):
+    text = "a\U0001f600b\nc"
+    rows = spark.createDataFrame([(text,), ("ab",), ("a",), (None,)], "x string").select(substring_grams(F.col("x"), 2, 3)).collect()
+    runs = lambda x: [x[i : i + n] for n in (2, 3) for i in range(len(x) - n + 1)]
+    assert [r[0] for r in rows] == [runs(text), ["ab"], [], []]
