@@ -84,12 +84,12 @@ def _summary(found: Column, max_sentences: int, max_chars: int) -> Column:
     return F.aggregate(found, zero, step)
 
 
-def _summarised(rows: DataFrame, max_sentences: int, max_chars: int) -> DataFrame:
-    """(doc_id, summary, n_sentences, positions, truncated) of rows(doc_id, lines). Each step is exploded from an array of one, so that no expression is written out twice."""
-    rows = rows.select("doc_id", F.explode(F.array(_candidates(F.col("lines")))).alias("filled"))
-    rows = rows.select("doc_id", F.explode(F.array(_summary(_chosen(F.col("filled")), max_sentences, max_chars))).alias("x"))
+def _summarised(rows: DataFrame, max_sentences: int, max_chars: int, *more: str) -> DataFrame:
+    """(doc_id, summary, n_sentences, positions, truncated) of rows(doc_id, lines); the columns `more` go along. Each step is exploded from an array of one, so that no expression is written out twice."""
+    rows = rows.select("doc_id", *more, F.explode(F.array(_candidates(F.col("lines")))).alias("filled"))
+    rows = rows.select("doc_id", *more, F.explode(F.array(_summary(_chosen(F.col("filled")), max_sentences, max_chars))).alias("x"))
     join = lambda f: F.transform("x.out", lambda y: y[f])
-    return rows.select("doc_id", F.array_join(join("s"), "\n").alias("summary"), F.size("x.out").alias("n_sentences"), F.array_join(join("pos").cast("array<string>"), ",").alias("positions"), F.col("x.cut").alias("truncated"))
+    return rows.select("doc_id", F.array_join(join("s"), "\n").alias("summary"), F.size("x.out").alias("n_sentences"), F.array_join(join("pos").cast("array<string>"), ",").alias("positions"), F.col("x.cut").alias("truncated"), *more)
 
 
 def document_summaries(documents: DataFrame, max_sentences: int = 5, max_chars: int = 500) -> DataFrame:
@@ -108,6 +108,12 @@ def block_summaries(blocks: DataFrame, max_sentences: int = 5, max_chars: int =
     return _summarised(blocks.groupBy("doc_id").agg(lines.alias("lines")), max_sentences, max_chars)
 
 
+def whole_summaries(docs: DataFrame, max_sentences: int = 5, max_chars: int = 500, *more: str) -> DataFrame:
+    """The same of docs(doc_id, blocks ARRAY<STRUCT<pos, type, text>>), blocks in order; the columns `more` go along. No shuffle."""
+    line = lambda b: F.struct(b["pos"].alias("pos"), (b["type"] == "heading").alias("heading"), F.coalesce(b["text"], F.lit("")).alias("text"))
+    return _summarised(docs.select("doc_id", F.transform("blocks", line).alias("lines"), *more), max_sentences, max_chars, *more)
+
+
 def _new(form: str, summary: Column, source: Column) -> Column:
     """Sorted distinct matches of a form in the summary that the source lacks."""
     found = F.transform(F.regexp_extract_all(summary, F.lit(form), F.lit(0)), lambda x: F.trim(x))

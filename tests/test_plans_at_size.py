@@ -89,7 +89,7 @@ def test_whole_notices_hold_the_same_blocks(spark):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, notices.notices(orders).collect()))
 
 
-@pytest.mark.parametrize("name", ["f15_retrieval_tokens"])
+@pytest.mark.parametrize("name", ["f15_retrieval_tokens", "e05_faithfulness"])
 def test_notices_meet_without_shuffling_or_sorting_texts(spark, name):
     """Only orders move; before, blocks were collected, or joined to blocks, which sorts or shuffles all texts."""
     df = QUERIES[name](spark, DATA)
