@@ -43,19 +43,38 @@ def _within(parts: Column, limit: int) -> Column:
     return F.aggregate(parts, zero, step, lambda acc: acc["text"])
 
 
-def chunk_summary(c: Column, limit: int = 120) -> Column:
-    """A chunk's summary: its numbered labelled lines, else its filled labels if three or more stand empty, else its first sentence (and the second after a short one), else its beginning."""
-    cleaned, lines = normalize_spaces(c), F.split(c, r"\r\n|\r|\n")
+def chunk_summaries(rows: DataFrame, text: Column, limit: int = 120) -> DataFrame:
+    """rows(key, ...) as (key, summary): the chunk summary of each text. Rows are dealt over the tasks of a shuffle first, as a small file of many rows is one task."""
+    key = rows.columns[0]
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    # each step exploded from an array of one, so that no expression is written out twice
+    once = lambda df, c, name: df.select("*", F.explode(F.array(c)).alias(name))
+    made = once(dealt.select(key, text.alias("_text")), F.struct(F.col("_text").alias("text"), normalize_spaces(F.col("_text")).alias("cleaned"), F.split("_text", r"\r\n|\r|\n").alias("lines")), "_t")
+    made = once(made.select(key, "_t"), _parts_of(*(F.col(f"_t.{k}") for k in ("cleaned", "lines"))), "_p")
+    return made.select(key, _chosen_part(F.col("_t.cleaned"), F.col("_p"), limit).alias("summary"))
+
+
+def _parts_of(cleaned: Column, lines: Column) -> Column:
+    """Numbered and filled labelled lines, how many labels stand empty, and sentences."""
     rows = lambda form: F.filter(F.transform(F.filter(lines, lambda x: x.rlike(form)), normalize_spaces), lambda x: x != "")
-    numbered = _within(F.array_distinct(rows(NUMBERED_LINE)), limit)
-    filled = _within(rows(FILLED_LINE), min(limit, 48))
-    metadata = (F.size(F.filter(lines, lambda x: x.rlike(EMPTY_LINE))) >= 3) & (F.size(rows(FILLED_LINE)) >= 2) & (filled != "")
     said = F.filter(F.transform(F.regexp_extract_all(cleaned, F.lit(SHORT_SENTENCE), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
+    return F.struct(F.array_distinct(rows(NUMBERED_LINE)).alias("numbered"), rows(FILLED_LINE).alias("filled"), F.size(F.filter(lines, lambda x: x.rlike(EMPTY_LINE))).alias("empty"), said.alias("said"))
+
+
+def _chosen_part(cleaned: Column, p: Column, limit: int) -> Column:
+    numbered, filled, said = _within(p["numbered"], limit), _within(p["filled"], min(limit, 48)), p["said"]
+    metadata = (p["empty"] >= 3) & (F.size(p["filled"]) >= 2) & (filled != "")
     first = F.when((F.length(F.get(said, F.lit(0))) < 20) & (F.size(said) > 1), F.concat(F.get(said, F.lit(0)), F.get(said, F.lit(1)))).otherwise(F.get(said, F.lit(0)))
     cut = F.concat(F.rtrim(F.substring(cleaned, 1, limit)), F.when(F.length(cleaned) > limit, "...").otherwise(""))
     return F.when(cleaned == "", "").when(numbered != "", numbered).when(metadata, filled).when(F.length(first) <= limit, first).otherwise(cut)
 
 
+def chunk_summary(c: Column, limit: int = 120) -> Column:
+    """A chunk's summary: its numbered labelled lines, else its filled labels if three or more stand empty, else its first sentence (and the second after a short one), else its beginning."""
+    cleaned, lines = normalize_spaces(c), F.split(c, r"\r\n|\r|\n")
+    return _chosen_part(cleaned, _parts_of(cleaned, lines), limit)
+
+
 def _candidates(lines: Column) -> Column:
     """Sentences to choose from lines(pos, heading, text) in order: the first of each section, or all where there is no heading."""
     cut = F.transform(lines, lambda x: F.struct(x["pos"].alias("pos"), x["heading"].alias("heading"), F.when(x["heading"], F.array().cast("array<string>")).otherwise(sentences(x["text"])).alias("s")))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions.text import substring_grams
-from quire.operators import blocktools, leakage
+from quire.operators import blocktools, leakage, summaries
 from quire.plans.registry import QUERIES
 from quire.sources import notices
 
@@ -114,3 +114,10 @@ def test_whole_documents_have_the_links_and_tags_of_joins(spark):
     key = lambda rows: sorted((tuple(map(str, r)) for r in rows))
     assert key(blocktools.whole_entity_tags(docs).collect()) == key(blocktools.entity_tags(made, entities).collect())
     assert key(blocktools.whole_source_links(docs).collect()) == key(blocktools.source_links(made, blocks).collect())
+
+
+def test_small_files_of_many_rows_are_dealt_out(spark):
+    """One file of parts is one task whatever its rows; summaries dealt over tasks are those of the column."""
+    assert exchanges(QUERIES["f18_summaries"](spark, DATA)) == 1
+    rows = spark.createDataFrame([(1, "1. a: b\n2. c: d"), (2, "x:\ny:\nz:\na: b\nc: d"), (3, "One. Two and more."), (4, None), (5, "")], "id int, t string")
+    assert sorted(map(tuple, summaries.chunk_summaries(rows, F.col("t")).collect())) == sorted(map(tuple, rows.select("id", summaries.chunk_summary(F.col("t"))).collect()))
