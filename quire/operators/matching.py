@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -110,24 +110,27 @@ def assigned(pairs: DataFrame, least: float = 0.45, accept: float = 0.82, review
     winners = best.groupBy("doc_id").agg(F.collect_list(F.struct("target_id", "x.source_path", "x.score")).alias("won"))
     clash = F.size(F.array_distinct(F.transform("won", lambda w: w["source_path"]))) < F.size("won")
     plain = winners.where(~clash).select("doc_id", F.explode("won").alias("w")).select("doc_id", "w.*")
-    forms = pairs.join(winners.where(clash).select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("target_id", "source_path", "score", "required")).alias("pairs"))
+    forms = pairs.join(winners.where(clash).select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("target_id", "source_path", "score", "required"))).alias("pairs"))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(doc, *x) for doc, form in zip(batch["doc_id"], batch["pairs"], strict=True) for x in _solved(form, least)]
+            keys = [tuple((x["target_id"], x["source_path"], x["score"], x["required"]) for x in form) for form in batch["pairs"]]
+            found = [(doc, *x) for doc, form in zip(batch["doc_id"], keys, strict=True) for x in _solved(form, least)]
             yield pd.DataFrame(found, columns=["doc_id", "target_id", "source_path", "score"])
 
     taken = plain.unionByName(forms.mapInPandas(solve, "doc_id long, target_id string, source_path string, score double"))
     return taken.withColumn("status", F.when(F.col("score") >= accept, "accepted").when(F.col("score") >= review, "review").otherwise("dropped"))
 
 
-def _solved(form: list, least: float) -> list[tuple[str, str, float]]:
-    """(target, path, score) of one document's assignment."""
-    rows, i = np.unique([x["target_id"] for x in form], return_inverse=True)
-    columns, j = np.unique([x["source_path"] for x in form], return_inverse=True)
+@lru_cache(maxsize=4096)
+def _solved(form: tuple[tuple, ...], least: float) -> list[tuple[str, str, float]]:
+    """(target, path, score) of one document's assignment by its pairs (target, path, score, required); forms with equal scores, of which a corpus has few, are solved once a task."""
+    targets, paths, scores, required = zip(*form, strict=True)
+    rows, i = np.unique(targets, return_inverse=True)
+    columns, j = np.unique(paths, return_inverse=True)
     s, need = np.full((len(rows), len(columns)), -np.inf), np.zeros(len(rows))
-    np.maximum.at(s, (i, j), np.array([x["score"] for x in form], float))
-    np.maximum.at(need, i, np.array([x["required"] for x in form], float))
+    np.maximum.at(s, (i, j), np.array(scores, float))
+    np.maximum.at(need, i, np.array(required, float))
     got = best_assignment(np.where(s >= least, s + 1e-6 * need[:, None], -1e5))
     return [(str(rows[r]), str(columns[c]), float(s[r, c])) for r, c in enumerate(got) if c >= 0]
 

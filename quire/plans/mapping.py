@@ -34,7 +34,9 @@ def targets(spark: SparkSession) -> DataFrame:
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each field of a customer, as a document's candidate."""
     each = F.array(*[F.struct(F.lit(n).alias("source_name"), F.lit(f"$.metadata.{c}").alias("source_path"), F.col(c).cast("string").alias("sample")) for n, c in SOURCES])
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.explode(each).alias("x")).select("doc_id", "x.*")
+    # dealt out by document: a small file of many rows is one task, and what is grouped by document later then stays where it is
+    dealt = table(spark, sf_dir, "customer").select("c_custkey", *[c for _, c in SOURCES]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    rows = dealt.select(F.col("c_custkey").alias("doc_id"), F.explode(each).alias("x")).select("doc_id", "x.*")
     return rows.withColumns({"schema_id": F.lit("customer"), "kind": t.infer_type(F.col("sample"))})
 
 

@@ -226,3 +226,11 @@ def test_assignment_without_clashes_equals_brute_force(spark):
     for d in range(60):
         best = max(sum(score[d, f"t{t}", f"s{s}"] for t, s in enumerate(p)) for p in itertools.permutations(range(4), 3))
         assert abs(total[d] - best) < 1e-9
+
+
+def test_equal_forms_are_solved_once():
+    from quire.operators import matching
+
+    form = tuple((f"t{t}", f"s{s}", 0.5 + 0.1 * ((t + s) % 3), False) for t in range(3) for s in range(3))
+    matching._solved.cache_clear()
+    assert matching._solved(form, 0.45) == matching._solved(tuple(form), 0.45) and matching._solved.cache_info().hits == 1
