@@ -1,7 +1,7 @@
 """Scoring of texts by a causal self-attention language model over subword ids, learnt from the training fold of the corpus.
 
 1. One pass over the texts deals documents to blocks of bounded size as they are read. A block gives its distinct words with their training
-   counts, each document as a sequence of word numbers, and one in `share` stretches of every training document as windows of subwords.
+   counts, each document as a sequence of word numbers, and the windows of subwords of every training document.
 2. Word counts are summed over all blocks, and each distinct word of the corpus is encoded once.
 3. Subword and subword pair counts of the whole corpus follow from the word counts; they are the model's tables.
 4. Attention is trained on the windows: on a warm-up sample in one task, then in parallel on all of them, and the parallel weights are averaged.
@@ -22,14 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.attention import DOCUMENT, VOCABULARY, Attention, Counts, Shape
+from quire.llm.attention import DOCUMENT, VOCABULARY, Attention, Counts, Shape, windows
 from quire.llm.common import held_out, least_by_hash, raw_texts, small_batches, written
 from quire.llm.subwords import begins_word, word_ids
 
 #: Bytes of text in a block (and one document more): what a task holds at once stays the same at any size of the corpus.
 BLOCK_BYTES = 24 << 20
-#: Words in one row of a block's list, and words from one training stretch to the next.
-LISTED, STRETCH = 4096, 12
+#: Words in one row of a block's list.
+LISTED = 4096
 #: Stands for the end of a document among words; no word holds white space.
 END = b" "
 
@@ -59,21 +59,20 @@ class Block:
         return words, numbers
 
     def stretches(self, words: list[bytes], numbers: np.ndarray, first: int, share: int, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-        """Windows of subwords (a row of window + 1 ids each) from every STRETCH-th word on, one in `share` of them, and which places of each are scored."""
-        width, rows, spans = shape.window + 1, [], []
-        for s in range(first % share, 1 + (len(numbers) - 1) // STRETCH, share):
-            ids = [DOCUMENT] if s == 0 else []
-            for k, n in enumerate(numbers[s * STRETCH : s * STRETCH + width].tolist(), s * STRETCH):
-                found = self.ids.get(n)
-                if found is None:
-                    found = self.ids[n] = word_ids(words[k])
-                ids += found
-                if len(ids) >= width:
-                    break
-            if len(ids) > 1:
-                rows.append([*ids[:width], *[0] * (width - len(ids))])
-                spans.append((0 if s == 0 else shape.window - shape.step, min(len(ids), width) - 1))
-        return np.array(rows, "<u2").reshape(-1, width), np.array(spans, np.uint8).reshape(-1, 2)
+        """The document's windows of subwords (a row of window + 1 ids each), one in `share` of them, and which places of each are scored: over all, each place once, as in scoring."""
+        ids = [DOCUMENT]
+        for k, n in enumerate(numbers.tolist()):
+            found = self.ids.get(n)
+            if found is None:
+                found = self.ids[n] = word_ids(words[k])
+            ids += found
+        begin, scored = windows(np.array([len(ids)]), shape)
+        mine = slice(first % share, None, share)
+        padded = np.array([*ids, *[0] * (shape.window + 1)], "<u2")
+        rows = padded[begin[mine, None] + np.arange(shape.window + 1)]
+        scored = scored[mine]
+        low = scored.argmax(axis=1)
+        return rows, np.stack([low, low + scored.sum(axis=1)], axis=1).astype(np.uint8)
 
     def listed(self) -> Iterator[tuple[list[bytes], np.ndarray]]:
         """Words in order of their numbers, and how often each stands in training documents, some thousands at a time."""
@@ -249,12 +248,13 @@ class Scorer:
         return sizes, np.add.reduceat((self.n[flat] > 0).astype(np.int64), first), np.add.reduceat(self.base[flat], first), np.add.reduceat(score, first)
 
 
-def lm_scores(docs: DataFrame, fold: tuple[int, int] = (7, 2), mix: float = 0.3, shape: Shape | None = None, share: int = 16, warm_docs: int = 6000, trainer_docs: int = 6000) -> DataFrame:
+def lm_scores(docs: DataFrame, fold: tuple[int, int] = (7, 2), mix: float = 0.3, shape: Shape | None = None, share: int = 1, warm_docs: int = 1500, trainer_docs: int = 6000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs.
 
     score: log10 probability of the text's words and its end. A word's probability is mix * count / train_tokens + (1 - mix) * the attention
     model's probability of its subwords and of the word's end after them. base_score, n_known and train_tokens follow exact counts of the
-    training fold. Attention learns from one in `share` stretches of every training document, at every size of the corpus. Null and empty texts
+    training fold. Attention learns from every place of every training document once (one in `share` of their windows), after a warm-up on
+    warm_docs of them, at every size of the corpus. Null and empty texts
     are one token, the end. A null doc_id is in the training fold. Repeated rows each count and each return. Without training documents
     counts are zero and the model is untrained. An empty table gives an empty result.
     """
@@ -268,8 +268,8 @@ def lm_scores(docs: DataFrame, fold: tuple[int, int] = (7, 2), mix: float = 0.3,
     listed = lists.select("block", "first", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "x")).select("block", (F.col("first") + F.col("i")).alias("i"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     vocabulary = written(_vocabulary(listed))
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    windows = parts.where("windows is not null").select("o", "windows", "spans")
-    net = fit_attention(windows, _tables(vocabulary, shape), shape, warm_docs, trainer_docs)
+    cut = parts.where("windows is not null").select("o", "windows", "spans")
+    net = fit_attention(cut, _tables(vocabulary, shape), shape, warm_docs, trainer_docs)
     n_blocks = max(1, lists.where("first = 0").count())
     none = lambda t: F.lit(None).cast(t)
     given = listed.drop("n").join(vocabulary, "word").select("block", F.lit(0).alias("kind"), "i", "n", "ids", none(kind).alias("doc_id"), none("binary").alias("numbers"))

@@ -569,3 +569,19 @@ def test_samples_are_the_least_by_hash(spark):
     want = sorted((r["h"], r["id"]) for r in rows.collect())[:200]
     assert [(r["h"], r["id"]) for r in least_by_hash(rows, F.col("h"), 200, 5000, "id").collect()] == want
     assert least_by_hash(rows, F.col("h"), 9000, 5000).count() == 5000 and least_by_hash(rows.limit(0), F.col("h"), 5, 0).count() == 0
+
+
+def test_attention_learns_from_every_place_once():
+    """By default each subword of a training document is a target once, those of long words too."""
+    import inspect
+
+    from quire.llm import lm
+    from quire.llm.attention import Shape
+
+    shape, words = Shape(), [b"extraordinarily" * 9, b"a", b"", b"b"] * 30
+    for text in (b"", b"a", b" ".join(words), b"one two " * 14):
+        block = lm.Block()
+        found, numbers = block.add(text, False)
+        rows, spans = block.stretches(found, numbers, 5, inspect.signature(lm.lm_scores).parameters["share"].default, shape)
+        whole = [x for n in numbers.tolist() for x in block.ids[n]]
+        assert [int(x) for r, (low, high) in zip(rows, spans, strict=True) for x in r[low + 1 : high + 1]] == whole
