@@ -121,3 +121,14 @@ def test_small_files_of_many_rows_are_dealt_out(spark):
     assert exchanges(QUERIES["f18_summaries"](spark, DATA)) == 1
     rows = spark.createDataFrame([(1, "1. a: b\n2. c: d"), (2, "x:\ny:\nz:\na: b\nc: d"), (3, "One. Two and more."), (4, None), (5, "")], "id int, t string")
     assert sorted(map(tuple, summaries.chunk_summaries(rows, F.col("t")).collect())) == sorted(map(tuple, rows.select("id", summaries.chunk_summary(F.col("t"))).collect()))
+
+
+def test_texts_of_notices_are_made_outside_whole_stage_code(spark):
+    """All texts in one generated method are too long for the JVM to compile, and are then interpreted."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else stages are compiled only as they run
+    try:
+        plan = notices.notices(spark.read.parquet(f"{DATA}/orders.parquet"))._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    made = [line for line in plan if "事项的通知" in line]
+    assert made and not [line for line in made if "*(" in line]
