@@ -29,21 +29,31 @@ class Shape:
     step: int = 28
 
 
-def positive(x: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
-    """e^x but for up to 6%: exact at powers of two and linear between them, so positive and rising, at a fifth of the cost. Overwrites x; the result is in room (float32, as large) if given.
+#: Weights are made of x * STEPS + ZERO: the lowest 22 bits of that number, moved to the top, are a float near e^x.
+STEPS, ZERO = np.float32((1 << 14) / np.log(2)), np.float32((1 << 23) + (127 << 14))
+_LEAST, _MOST = ZERO - 80 * STEPS, ZERO + 80 * STEPS
 
-    Wherever weights are made of it, it stands above and below the line, so they still add up to 1.
-    """
-    if len(x) and (x.max() > 80 or x.min() < -80):
-        np.clip(x, -80, 80, out=x)
-    x *= np.float32((1 << 23) / np.log(2))
-    x += np.float32(127 << 23)
+
+def weights(x: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
+    """`positive` of values that are given times STEPS plus ZERO already. x may be overwritten; the result is in room (float32, as large) if given."""
+    if len(x) and (x.max() > _MOST or x.min() < _LEAST):
+        np.clip(x, _LEAST, _MOST, out=x)
     if room is None:
         room = np.empty(x.shape, np.float32)
-    np.copyto(room.view(np.int32), x, casting="unsafe")
+    np.multiply(x.view(np.int32), np.int32(512), out=room.view(np.int32))  # a product in whole numbers wraps, as a shift does, and is faster
     return room
 
 
+def positive(x: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
+    """e^x but for up to 6%: exact at powers of two and linear between them (in steps of 2^-14), so positive and rising, at a fraction of the cost. Overwrites x; the result is in room (float32, as large) if given.
+
+    Wherever weights are made of it, it stands above and below the line, so they still add up to 1.
+    """
+    x *= STEPS
+    x += ZERO
+    return weights(x, room)
+
+
 def _classes(mass: np.ndarray, shape: Shape) -> np.ndarray:
     """Class of each of some rows, the most frequent first: one a class for `singles`, then classes of about equal mass."""
     one, many = min(shape.singles, len(mass)), shape.classes - shape.singles
@@ -145,7 +155,7 @@ class Attention:
         d = positive(h @ self.p["out"] + self.counts.prior[last])
         return d / d.sum(axis=1, keepdims=True)
 
-    def log_probs(self, ids: np.ndarray, sizes: np.ndarray, batch: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    def log_probs(self, ids: np.ndarray, sizes: np.ndarray, batch: int = 96) -> tuple[np.ndarray, np.ndarray]:
         """Natural log probability of every id of documents laid end to end, but the first of each (zero there), and of any id that begins a word in its place.
 
         The same sums as `hidden` and `class_probs`, laid out for speed: one product for queries, keys and values, weights that are divided once
@@ -156,7 +166,8 @@ class Attention:
         begin, scored = windows(sizes, s)
         rows = np.append(c.row[ids], np.zeros(s.window, np.int32))
         place = np.arange(s.window)
-        into = np.concatenate([p["query"] * np.float32(s.head**-0.5), p["key"], p["value"]], axis=1)
+        into = np.concatenate([p["query"] * (STEPS * np.float32(s.head**-0.5)), p["key"], p["value"]], axis=1)
+        to_class, prior = p["out"] * STEPS, c.prior * STEPS + ZERO
         sums = np.stack([np.ones(len(c.opens), np.float32), c.opens], axis=1)
         # written over by every batch: new memory for each costs more than the sums
         most, k = min(batch, len(begin)) * s.window, len(c.opens)
@@ -172,16 +183,18 @@ class Attention:
             qkv = np.matmul(embedded[: w * s.window], into, out=into_room[: w * s.window]).reshape(w, s.window, 3 * s.head)
             v = valued[:w]
             v[:, :, :-1] = qkv[:, :, 2 * s.head :]
-            a = positive(np.matmul(qkv[:, :, : s.head], qkv[:, :, s.head : 2 * s.head].transpose(0, 2, 1), out=by_place[:w]), of_place[:w])
+            a = np.matmul(qkv[:, :, : s.head], qkv[:, :, s.head : 2 * s.head].transpose(0, 2, 1), out=by_place[:w])
+            a += ZERO
+            a = weights(a, of_place[:w])
             a *= self.past
             o = np.matmul(a, v).reshape(-1, s.head + 1).take(keep, axis=0)
             h = (o[:, :-1] / o[:, -1:]) @ p["merge"]
             h += embedded.take(keep, axis=0)
             at = at.ravel()[keep]
             last, goal = rows[at], rows[at + 1]
-            logits = np.matmul(h, p["out"], out=by_class[: len(at)])
-            logits += c.prior.take(last, axis=0, out=of_class[: len(at)], mode="clip")
-            logits = positive(logits, of_class[: len(at)])
+            logits = np.matmul(h, to_class, out=by_class[: len(at)])
+            logits += prior.take(last, axis=0, out=of_class[: len(at)], mode="clip")
+            logits = weights(logits, of_class[: len(at)])
             both = np.log(logits @ sums)
             picked = np.log(logits[np.arange(len(at)), c.kind[goal]])
             out[at + 1] = picked - both[:, 0] + c.within[last, goal]
@@ -192,42 +205,72 @@ class Attention:
 
     def train(self, ids: np.ndarray, scored: np.ndarray, epochs: int = 1, rate: float = 3e-3, batch: int = 48, seed: int = 5) -> None:
         """Adam on the class losses of windows in a fixed random order. ids: a row a window, of one place more than it; scored: which places count."""
-        p, c = self.p, self.counts
-        s, rows, order = self.shape, c.row[ids], np.random.default_rng(seed)
-        m, v2 = ({k: np.zeros_like(w) for k, w in p.items()} for _ in range(2))
-        t, total = 0, max(1, epochs * -(-len(rows) // batch))
+        c, order = self.counts, np.random.default_rng(seed)
+        rows = c.row.astype(np.uint16)[ids]
+        m, v2 = ({k: np.zeros_like(w) for k, w in self.p.items()} for _ in range(2))
+        t, total, prior = 0, max(1, epochs * -(-len(rows) // batch)), c.prior * STEPS + ZERO
         for _ in range(epochs):
             todo = order.permutation(len(rows))
             for i in range(0, len(todo), batch):
                 w = todo[i : i + batch]
-                keep, seen = scored[w], rows[w, :-1]
-                x, q, k, v, a, o, h = self.hidden(seen)
-                hk = h[keep]
-                last, kind = seen[keep], c.kind[rows[w, 1:][keep]]
-                d = self.class_probs(hk, last)
-                d[np.arange(len(kind)), kind] -= 1
-                d /= np.float32(len(kind))
-                g = {"out": hk.T @ d}
-                dh = np.zeros_like(h)
-                dh[keep] = d @ p["out"].T
-                flat = lambda z: z.reshape(-1, z.shape[-1])
-                g["merge"] = flat(o).T @ flat(dh)
-                do = dh @ p["merge"].T
-                da = np.matmul(do, v.transpose(0, 2, 1))
-                dv = np.matmul(a.transpose(0, 2, 1), do)
-                ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-                dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-                scale = np.float32(s.head**-0.5)
-                g["query"], g["key"], g["value"] = flat(x).T @ flat(dq) * scale, flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-                dx = dh + dq @ (p["query"].T * scale) + dk @ p["key"].T + dv @ p["value"].T
-                g["place"] = dx.sum(axis=0)
+                grads, used = self.gradients(rows[w], np.flatnonzero(scored[w]), prior)
                 t += 1
-                step = rate * min(1.0, t / 50) * (1.0 - 0.9 * t / total)
-                one, two = 1 - 0.9**t, 1 - 0.99**t
-                used, where = np.unique(seen, return_inverse=True)
-                sums = np.stack([np.bincount(where.ravel(), z, len(used)) for z in flat(dx).T], axis=1).astype(np.float32)
-                for name, grad in [*g.items(), ("embed", sums)]:
-                    to = used if name == "embed" else slice(None)
-                    m[name][to] = 0.9 * m[name][to] + 0.1 * grad
-                    v2[name][to] = 0.99 * v2[name][to] + 0.01 * grad * grad
-                    p[name][to] -= np.float32(step) * (m[name][to] / one) / (np.sqrt(v2[name][to] / two) + 1e-8).astype(np.float32)
+                step = np.float32(rate * min(1.0, t / 50) * (1.0 - 0.9 * t / total) / (1 - 0.9**t))
+                two = np.float32(1 / (1 - 0.99**t))
+                for name, grad in grads.items():
+                    own, first, second = (x[used] if name == "embed" else x for x in (self.p[name], m[name], v2[name]))
+                    first += np.float32(0.1) * (grad - first)
+                    second += np.float32(0.01) * (grad * grad - second)
+                    own -= step * first / (np.sqrt(second * two) + np.float32(1e-8))
+                    if name == "embed":
+                        self.p[name][used], m[name][used], v2[name][used] = own, first, second
+
+    def gradients(self, rows: np.ndarray, keep: np.ndarray, prior: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradients of the mean class loss over the places `keep` (of all windows, end to end) of windows of rows, a place more in each; and the rows that those of "embed" belong to.
+
+        prior: the counts' own, as `weights` takes it. The same sums as `hidden` and `class_probs`, laid out for speed as in `log_probs`: weights
+        are divided once they are summed up, also on the way back.
+        """
+        p, c, s = self.p, self.counts, self.shape
+        n, t, h = len(rows), s.window, s.head
+        seen = rows[:, :-1].ravel()
+        scale = np.float32(h**-0.5)
+        into = np.concatenate([p["query"] * scale, p["key"], p["value"]], axis=1)
+        x = p["embed"].take(seen, axis=0)
+        x.reshape(n, t, -1)[:] += p["place"]
+        qkv = (x @ into).reshape(n, t, 3 * h)
+        q, k = qkv[:, :, :h], qkv[:, :, h : 2 * h]
+        v = np.ones((n, t, h + 1), np.float32)
+        v[:, :, :h] = qkv[:, :, 2 * h :]
+        a = np.matmul(q * STEPS, k.transpose(0, 2, 1))
+        a += ZERO
+        a = weights(a)
+        a *= self.past
+        o = np.matmul(a, v).reshape(-1, h + 1)
+        share = 1 / o[:, h:]
+        o = o[:, :h] * share
+        found = (x + o @ p["merge"]).take(keep, axis=0)
+        d = found @ (p["out"] * STEPS)
+        d += prior.take(seen[keep], axis=0)
+        d = weights(d)
+        d *= 1 / (len(keep) * (d @ np.ones((d.shape[1], 1), np.float32)))
+        d[np.arange(len(keep)), c.kind[rows[:, 1:].ravel()[keep]]] -= np.float32(1 / max(len(keep), 1))
+        back = np.zeros_like(x)
+        back[keep] = d @ p["out"].T
+        down = np.empty((n, t, h + 1), np.float32)
+        flat = down.reshape(-1, h + 1)
+        np.multiply(back @ p["merge"].T, share, out=flat[:, :h])
+        np.einsum("ij,ij->i", flat[:, :h], o, out=flat[:, h])
+        np.negative(flat[:, h], out=flat[:, h])
+        da = np.matmul(down, v.transpose(0, 2, 1))
+        da *= a
+        up = np.empty((n, t, 3 * h), np.float32)
+        up[:, :, :h], up[:, :, h : 2 * h] = np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q)
+        up[:, :, 2 * h :] = np.matmul(a.transpose(0, 2, 1), down[:, :, :h])
+        up = up.reshape(-1, 3 * h)
+        g_in = x.T @ up
+        dx = back + up @ into.T
+        line = np.argsort(seen, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(seen[line]) != 0))
+        grads = {"out": found.T @ d, "merge": o.T @ back, "query": g_in[:, :h] * scale, "key": g_in[:, h : 2 * h], "value": g_in[:, 2 * h :], "place": dx.reshape(n, t, -1).sum(axis=0), "embed": np.add.reduceat(dx.take(line, axis=0), first, axis=0)}
+        return grads, seen[line[first]]

@@ -1,16 +1,18 @@
 """Scoring of texts by a causal self-attention language model over subword ids, learnt from the training fold of the corpus.
 
 1. One pass over the texts deals documents to blocks of bounded size as they are read. A block gives its distinct words with their training
-   counts, each document as a sequence of word numbers, and the windows of subwords of every training document.
+   counts, each document as a sequence of word numbers, and every training document as a sequence of subwords.
 2. Word counts are summed over all blocks, and each distinct word of the corpus is encoded once.
 3. Subword and subword pair counts of the whole corpus follow from the word counts; they are the model's tables.
-4. Attention is trained on the windows: on a warm-up sample in one task, then in parallel on all of them, and the parallel weights are averaged.
+4. Attention is trained on the windows of these sequences: on a warm-up sample in one task, then in parallel on all of them, where they were
+   written, and the parallel weights are averaged.
 5. Each block gets its words' counts and subwords by an equality join and scores its documents: overlapping windows give every subword one log
    probability; a word's probability is mixed with its corpus frequency.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -28,6 +30,8 @@ from quire.llm.subwords import begins_word, word_ids
 
 #: Bytes of text in a block (and one document more): what a task holds at once stays the same at any size of the corpus.
 BLOCK_BYTES = 24 << 20
+#: Bytes of subwords that one network learns from before the next begins (and one document more), however long the documents are.
+TRAINER_BYTES = 24 << 20
 #: Words in one row of a block's list.
 LISTED = 4096
 #: Stands for the end of a document among words; no word holds white space.
@@ -39,6 +43,30 @@ def _words(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Unsigned numbers, all their lowest bytes first, then all the next: the number of bytes of each, then the bytes. Compresses well."""
+    n = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([n]) + x.view(np.uint8).reshape(len(x), -1).T[:n].tobytes()
+
+
+def _numbers(raw: bytes, kind: str) -> np.ndarray:
+    """The numbers of _planes."""
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], np.dtype(kind).itemsize), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view(kind).ravel()
+
+
+def cut(ids: np.ndarray, sizes: np.ndarray, first: np.ndarray, share: int, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of documents with `sizes` ids laid end to end (a row of window + 1 ids each), one in `share` of them from `first` of each document on, and which places of each are scored: over all, each place once, as in scoring."""
+    begin, scored = windows(sizes, shape)
+    start = np.cumsum(sizes) - sizes
+    of = np.searchsorted(start, begin, side="right") - 1
+    mine = ((begin - start[of]) // shape.step - first[of]) % share == 0
+    padded = np.append(ids, np.zeros(shape.window + 1, ids.dtype))
+    return padded[begin[mine, None] + np.arange(shape.window + 1)], scored[mine]
+
+
 class Block:
     """Words of some documents, numbered as they come; the end of a document is word 0."""
 
@@ -46,7 +74,7 @@ class Block:
         self.number: defaultdict[bytes, int] = defaultdict(count().__next__)
         self.number[END]
         self.trained: list[np.ndarray] = []
-        self.ids: dict[int, list[int]] = {0: [DOCUMENT]}
+        self.ids: dict[int, array] = {0: array("H", [DOCUMENT])}
         self.size = 0
 
     def add(self, raw: bytes, held: bool) -> tuple[list[bytes], np.ndarray]:
@@ -58,21 +86,20 @@ class Block:
         self.size += len(raw) + 1
         return words, numbers
 
+    def subwords(self, words: list[bytes], numbers: np.ndarray) -> np.ndarray:
+        """The document's subwords after the mark, each distinct word encoded once."""
+        found = numbers.tolist()
+        for k, n in enumerate(found):
+            if n not in self.ids:
+                self.ids[n] = array("H", word_ids(words[k]))
+        return np.frombuffer(b"".join(map(self.ids.__getitem__, (0, *found))), np.uint16)
+
     def stretches(self, words: list[bytes], numbers: np.ndarray, first: int, share: int, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-        """The document's windows of subwords (a row of window + 1 ids each), one in `share` of them, and which places of each are scored: over all, each place once, as in scoring."""
-        ids = [DOCUMENT]
-        for k, n in enumerate(numbers.tolist()):
-            found = self.ids.get(n)
-            if found is None:
-                found = self.ids[n] = word_ids(words[k])
-            ids += found
-        begin, scored = windows(np.array([len(ids)]), shape)
-        mine = slice(first % share, None, share)
-        padded = np.array([*ids, *[0] * (shape.window + 1)], "<u2")
-        rows = padded[begin[mine, None] + np.arange(shape.window + 1)]
-        scored = scored[mine]
+        """The document's windows as training cuts them, and the first scored place and the one after the last of each."""
+        ids = self.subwords(words, numbers)
+        rows, scored = cut(ids, np.array([len(ids)]), np.array([first]), share, shape)
         low = scored.argmax(axis=1)
-        return rows, np.stack([low, low + scored.sum(axis=1)], axis=1).astype(np.uint8)
+        return rows, np.stack([low, low + scored.sum(axis=1)], axis=1)
 
     def listed(self) -> Iterator[tuple[list[bytes], np.ndarray]]:
         """Words in order of their numbers, and how often each stands in training documents, some thousands at a time."""
@@ -82,11 +109,11 @@ class Block:
             yield words[i : i + LISTED], n[i : i + LISTED]
 
 
-_PARTS = {"block": pa.int64(), "doc_id": None, "numbers": pa.binary(), "o": pa.int64(), "windows": pa.binary(), "spans": pa.binary(), "first": pa.int32(), "words": pa.list_(pa.binary()), "counts": pa.list_(pa.int64())}
+_PARTS = {"block": pa.int64(), "doc_id": None, "numbers": pa.binary(), "o": pa.int64(), "subwords": pa.binary(), "first": pa.int32(), "words": pa.list_(pa.binary()), "counts": pa.list_(pa.int64())}
 
 
-def _parts(dealt: DataFrame, share: int, shape: Shape, kind: str) -> DataFrame:
-    """Rows of documents (numbers is not null) and of lists of words (words is not null) of each block; a document's windows stand beside it."""
+def _parts(dealt: DataFrame, kind: str) -> DataFrame:
+    """Rows of documents (numbers is not null) and of lists of words (words is not null) of each block; a training document's subwords stand beside it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, at, doc_type = Block(), TaskContext.get().partitionId(), pa.int64()
@@ -104,12 +131,11 @@ def _parts(dealt: DataFrame, share: int, shape: Shape, kind: str) -> DataFrame:
             raw, start, found = raw_texts(batch.column(1)), 0, []
             for i, (x, held) in enumerate(zip(raw, batch.column(2).to_pylist(), strict=True), 1):
                 words, numbers = block.add(x, held)
-                w, spans = (None, None) if held else block.stretches(words, numbers, crc32(x), share, shape)
-                found.append((numbers.tobytes(), w.tobytes() if w is not None and len(w) else None, spans.tobytes() if w is not None and len(w) else None))
+                found.append((_planes(numbers), None if held else _planes(block.subwords(words, numbers))))
                 full = block.size >= BLOCK_BYTES
                 if full or i == len(raw):
                     n, own = len(found), batch.slice(start, len(found))
-                    yield rows(n, doc_id=own.column(0), o=own.column(3), **{k: pa.array(c, pa.binary()) for k, c in zip(("numbers", "windows", "spans"), zip(*found, strict=True), strict=True)})
+                    yield rows(n, doc_id=own.column(0), o=own.column(3), **{k: pa.array(c, pa.binary()) for k, c in zip(("numbers", "subwords"), zip(*found, strict=True), strict=True)})
                     start, found = i, []
                 if full:
                     yield from lists()
@@ -117,7 +143,7 @@ def _parts(dealt: DataFrame, share: int, shape: Shape, kind: str) -> DataFrame:
         if block.size:
             yield from lists()
 
-    schema = f"block bigint, doc_id {kind}, numbers binary, o bigint, windows binary, spans binary, first int, words array<binary>, counts array<bigint>"
+    schema = f"block bigint, doc_id {kind}, numbers binary, o bigint, subwords binary, first int, words array<binary>, counts array<bigint>"
     return dealt.select("doc_id", "text", "held_out", "o").mapInArrow(run, schema)
 
 
@@ -176,41 +202,48 @@ def _tables(vocabulary: DataFrame, shape: Shape) -> Counts:
     return Counts.of(unigram, begins_word(), square[:m, :m], square[:m, m], square[m, :m], shape)
 
 
-def _trained(net: Attention, rows: DataFrame, epochs: int, rate: float) -> Attention:
-    """The average over partitions of the network trained on each from these weights, weighed by windows. Averaged in Spark; its size is the network's."""
-    width = net.shape.window + 1
+def _trained(net: Attention, rows: DataFrame, epochs: int, rate: float, share: int, docs: int) -> Attention:
+    """The average of networks that each learn from these weights, weighed by windows: a task's rows(subwords) make one for every `docs` documents or TRAINER_BYTES. Averaged in Spark; its size is the network's."""
+    shape = net.shape
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Attention(net.counts, net.shape)
+    def learnt(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        own = Attention(net.counts, shape)
         own.p = {k: v.copy() for k, v in net.p.items()}
-        both = [(w, s) for batch in batches for w, s in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        if not both:
-            return
-        ids = np.frombuffer(b"".join(w for w, _ in both), "<u2").reshape(-1, width).astype(np.int32)
-        low, high = np.frombuffer(b"".join(s for _, s in both), np.uint8).reshape(-1, 2).astype(int).T
-        place = np.arange(width - 1)
-        own.train(ids, (place >= low[:, None]) & (place < high[:, None]), epochs, rate)
+        each = [_numbers(x, "<u2") for x in held]
+        ids, scored = cut(np.concatenate(each), np.array([len(x) for x in each]), np.array([crc32(x) for x in held]), share, shape)
+        own.train(ids, scored, epochs, rate)
         weight = float(len(ids))
         for k, v in own.p.items():
             yield pa.RecordBatch.from_arrays([pa.array([k] * v.size), pa.array(np.arange(v.size)), pa.array(v.ravel().astype(float) * weight), pa.array(np.full(v.size, weight))], names=["name", "pos", "v", "w"])
 
-    found = rows.mapInArrow(run, "name string, pos bigint, v double, w double").groupBy("name", "pos").agg((F.sum("v") / F.sum("w")).alias("v")).toPandas()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                held.append(x)
+                size += len(x)
+                if len(held) >= docs or size >= TRAINER_BYTES:
+                    yield from learnt(held)
+                    held, size = [], 0
+        if held:
+            yield from learnt(held)
+
+    found = rows.mapInArrow(run, "name string, pos bigint, v double, w double").groupBy("name", "pos").agg((F.sum("v") / F.sum("w")).alias("v"), F.sum("w").alias("w")).where("w > 0").toPandas()
     for name, own in found.groupby("name"):
         net.p[name].ravel()[own["pos"].to_numpy(np.int64)] = own["v"].to_numpy(np.float32)
     return net
 
 
-def fit_attention(windows: DataFrame, counts: Counts, shape: Shape, warm_docs: int, trainer_docs: int) -> Attention:
-    """Trains on all of windows(o, windows, spans), the chosen windows of every training document.
+def fit_attention(learning: DataFrame, counts: Counts, shape: Shape, warm_docs: int, trainer_docs: int, share: int) -> Attention:
+    """Trains on learning(o, subwords), every training document.
 
-    First in one task on those of the warm_docs documents that are least by hash, in 4 rounds; then on all of them in parallel, those of trainer_docs documents a task.
+    First in one task on those of the warm_docs documents that are least by hash, in 4 rounds; then on all of them in parallel where they stand,
+    nothing is moved for it, trainer_docs documents a network.
     """
-    net, found = Attention(counts, shape), windows.count()
-    warm = least_by_hash(windows, F.col("o"), warm_docs, found, "windows")
-    net = _trained(net, warm.repartition(1).sortWithinPartitions("o", "windows").select("windows", "spans"), 4, 8e-3)
-    trainers = max(1, round(found / trainer_docs))
-    place = F.pmod(F.shiftright("o", 20), F.lit(trainers)).cast("int")
-    return _trained(net, windows.repartitionById(trainers, place).sortWithinPartitions("o", "windows").select("windows", "spans"), 1, 1e-3)
+    net = Attention(counts, shape)
+    warm = least_by_hash(learning, F.col("o"), warm_docs, learning.count(), "subwords")
+    net = _trained(net, warm.repartition(1).sortWithinPartitions("o", "subwords").select("subwords"), 4, 8e-3, share, warm_docs)
+    return _trained(net, learning.select("subwords"), 1, 1e-3, share, trainer_docs)
 
 
 class Scorer:
@@ -263,13 +296,12 @@ def lm_scores(docs: DataFrame, fold: tuple[int, int] = (7, 2), mix: float = 0.3,
     shape = shape or Shape()
     kind = docs.schema["doc_id"].dataType.simpleString()
     dealt = docs.select("doc_id", "text", held_out(F.col("doc_id"), *fold).alias("held_out"), F.xxhash64("doc_id", "text").alias("o"))
-    parts = written(_parts(dealt, share, shape, kind))
+    parts = written(_parts(dealt, kind), compression="zstd")
     lists = parts.where("words is not null")
     listed = lists.select("block", "first", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "x")).select("block", (F.col("first") + F.col("i")).alias("i"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    vocabulary = written(_vocabulary(listed))
+    vocabulary = written(_vocabulary(listed), compression="zstd")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    cut = parts.where("windows is not null").select("o", "windows", "spans")
-    net = fit_attention(cut, _tables(vocabulary, shape), shape, warm_docs, trainer_docs)
+    net = fit_attention(parts.where("subwords is not null").select("o", "subwords"), _tables(vocabulary, shape), shape, warm_docs, trainer_docs, share)
     n_blocks = max(1, lists.where("first = 0").count())
     none = lambda t: F.lit(None).cast(t)
     given = listed.drop("n").join(vocabulary, "word").select("block", F.lit(0).alias("kind"), "i", "n", "ids", none(kind).alias("doc_id"), none("binary").alias("numbers"))
@@ -297,7 +329,7 @@ def lm_scores(docs: DataFrame, fold: tuple[int, int] = (7, 2), mix: float = 0.3,
                     begin, length = (np.cumsum(length) - length)[order], length[order]
                     ids = ids[np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())]
                     scorer = Scorer(n[order], ids, length, total, distinct, mix)
-                numbers = [np.frombuffer(x, "<u4") for x in rows.column(6).to_pylist()]
+                numbers = [_numbers(x, "<u4") for x in rows.column(6).to_pylist()]
                 group = np.cumsum([len(x) for x in numbers]) // 50_000
                 found = []
                 for g in np.unique(group):

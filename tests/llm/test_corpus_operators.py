@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quire.llm import ann, boosting, byte_cnn, chat, line_dedup, lm, mixing, packing, quality_rules, simhash, toxicity
-from quire.llm.attention import DOCUMENT, VOCABULARY, Attention, Counts, Shape, windows
+from quire.llm.attention import DOCUMENT, STEPS, VOCABULARY, ZERO, Attention, Counts, Shape, windows
 from quire.llm.components import components
 from quire.llm.subwords import ids_of
 
@@ -585,3 +585,48 @@ def test_attention_learns_from_every_place_once():
         rows, spans = block.stretches(found, numbers, 5, inspect.signature(lm.lm_scores).parameters["share"].default, shape)
         whole = [x for n in numbers.tolist() for x in block.ids[n]]
         assert [int(x) for r, (low, high) in zip(rows, spans, strict=True) for x in r[low + 1 : high + 1]] == whole
+
+
+def test_fast_gradients_equal_the_slow_form():
+    net, _, rng = small_net()
+    p, c, s = net.p, net.counts, net.shape
+    rows = c.row.astype(np.uint16)[rng.choice(200, (6, s.window + 1))]
+    scored = rng.random((6, s.window)) < 0.7
+    x, q, k, v, a, o, h = net.hidden(rows[:, :-1])
+    d = net.class_probs(h[scored], rows[:, :-1][scored])
+    d[np.arange(len(d)), c.kind[rows[:, 1:][scored]]] -= 1
+    d /= len(d)
+    dh = np.zeros_like(h)
+    dh[scored] = d @ p["out"].T
+    flat = lambda z: z.reshape(-1, z.shape[-1])
+    do = dh @ p["merge"].T
+    da = do @ v.transpose(0, 2, 1)
+    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do
+    scale = s.head**-0.5
+    dx = dh + dq @ (p["query"].T * scale) + dk @ p["key"].T + dv @ p["value"].T
+    want = {"out": h[scored].T @ d, "merge": flat(o).T @ flat(dh), "query": flat(x).T @ flat(dq) * scale, "key": flat(x).T @ flat(dk), "value": flat(x).T @ flat(dv), "place": dx.sum(axis=0), "embed": np.zeros_like(p["embed"])}
+    np.add.at(want["embed"], rows[:, :-1], dx)
+    got, used = net.gradients(rows, np.flatnonzero(scored), c.prior * STEPS + ZERO)
+    assert np.array_equal(used, np.unique(rows[:, :-1]))
+    own, got["embed"] = got["embed"], np.zeros_like(p["embed"])
+    got["embed"][used] = own
+    for name in p:
+        assert np.allclose(got[name], want[name], atol=1e-4), name
+
+
+def test_training_text_takes_little_room(spark):
+    """What is written of training documents is their subwords once, 2 bytes each at most before compression; no windows and no shuffle of them."""
+    text = " ".join(f"w{i % 977} common words of a text" for i in range(3000))
+    block = lm.Block()
+    found, numbers = block.add(text.encode(), False)
+    ids = block.subwords(found, numbers)
+    assert np.array_equal(lm._numbers(lm._planes(ids), "<u2"), ids) and len(lm._planes(ids)) <= 2 * len(ids) + 1
+    for n in ([0], [255, 256], [1 << 16, 3], [(1 << 32) - 1, 0]):
+        assert lm._numbers(lm._planes(np.array(n, "<u4")), "<u4").tolist() == n
+    docs = spark.createDataFrame([(i, text[: 100 * i]) for i in range(20)], "doc_id long, text string")
+    parts = lm._parts(docs.selectExpr("doc_id", "text", "doc_id % 7 = 2 AS held_out", "xxhash64(doc_id, text) AS o"), "bigint").where("numbers is not null").collect()
+    for r in parts:
+        own = lm.Block()
+        want = own.subwords(*own.add(text[: 100 * r["doc_id"]].encode(), False))
+        assert (r["subwords"] is None) == (r["doc_id"] % 7 == 2) and (r["subwords"] is None or lm._numbers(r["subwords"], "<u2").tolist() == want.tolist())
