@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import UNICODE_SPACE, normalize_spaces
@@ -21,6 +25,7 @@ DATES = "[0-9]{4}[-年][0-9]{1,2}(?:[-月][0-9]{1,2}日?)?|[0-9]{4}年"
 AMOUNTS = r"[0-9]+(?:\.[0-9]+)?[\x09-\x0D\x20]*(?:万?元|亿元|%|万元)"
 ORGANISATIONS = "[\\x{4e00}-\\x{9fff}]{2,24}(?:政府|委员会|办公室|管理局|财政局|公司|中心|学校|学院|医院|机构)"
 NUMBERS = r"[0-9]+(?:\.[0-9]+)?[\x09-\x0D\x20]*(?:亿元|万元|元|%|年|月|日|个|项|家|人|次|套|台)?"
+_number, _digits = re.compile(NUMBERS), re.compile(r"([0-9]+(?:\.[0-9]+)?)[\x09-\x0D\x20]*")
 #: A summary is over-long beyond this share of its source; a number belongs to a label at most so many characters before it.
 RATIO, REACH = 0.7, 80
 
@@ -162,44 +167,78 @@ def faithfulness(rows: DataFrame, wrong_numbers: DataFrame | None = None) -> Dat
     return out.select("doc_id", "empty", *[F.array_join(k, "|").alias(k) for k in checks], "overlong", (~failed).alias("passed"))
 
 
-def _value(c: Column) -> Column:
-    """A number with its unit, in one spelling."""
-    unit = F.regexp_replace(c, r"^[0-9]+(?:\.[0-9]+)?[\x09-\x0D\x20]*", "")
-    return F.struct(F.regexp_extract(c, r"^[0-9]+(?:\.[0-9]+)?", 0).cast("double").alias("number"), unit.alias("unit"))
-
-
-def _places(rows: DataFrame, label: str) -> DataFrame:
-    """rows(doc_id, summary, label) with `at`, a row for each place of the label in the summary, from 0."""
-    quoted = F.concat(F.lit("\\Q"), F.col(label), F.lit("\\E"))
-    parts = rows.select("doc_id", label, F.posexplode(F.split("summary", quoted)).alias("k", "part"))
-    before = F.sum(F.length("part") + F.length(label)).over(W.partitionBy("doc_id", label).orderBy("k"))
-    last = F.max("k").over(W.partitionBy("doc_id", label))
-    return parts.withColumns({"at": before - F.length(label), "last": last}).where("k < last").select("doc_id", label, "at")
+def _values(text: str) -> Iterator[tuple[int, str, tuple[float, str]]]:
+    """Place, text and (number, unit) of each number of a text."""
+    for m in _number.finditer(text):
+        n = m[0].strip(" ")
+        digits = _digits.match(n)
+        yield m.start(), m[0], (float(digits[1]), n[digits.end() :])
+
+
+def _marks(summary: str, labels: Iterable[str | None]) -> list[tuple[int, int, str]]:
+    """(place, length, label) of each place of each label, in order, the longest last where they begin together. Null and empty labels stand nowhere."""
+    found = []
+    for x in filter(None, labels):
+        at = summary.find(x)
+        while at >= 0:
+            found.append((at, len(x), x))
+            at = summary.find(x, at + len(x))
+    return sorted(found)
+
+
+def _violations(summary: str, cells: Iterable[tuple[str | None, str | None, str | None]], reach: int) -> list[str]:
+    """Wrong numbers of one summary, by the cells (row, col, text) of its table."""
+    of_cell, of_row, cols = defaultdict(set), defaultdict(set), {}
+    for row, col, text in cells:
+        for _, _, value in _values(text or ""):
+            of_cell[row, col].add(value)
+            of_row[row].add(value)
+            cols[col] = True
+    rows, columns, wrong = _marks(summary, of_row), _marks(summary, cols), set()
+    i = j = 0
+    for at, n, value in _values(summary):
+        while i < len(rows) and rows[i][0] <= at:
+            i += 1
+        while j < len(columns) and columns[j][0] <= at:
+            j += 1
+        if not i:
+            continue
+        begin, length, row = rows[i - 1]
+        col, end, allowed = None, begin + length, of_row[row]
+        if j and columns[j - 1][0] >= begin:
+            last = columns[j - 1]
+            if at < last[0] + last[1]:
+                continue
+            if (row, last[2]) in of_cell:
+                col, end, allowed = last[2], last[0] + last[1], of_cell[row, last[2]]
+        if at - end <= reach and value not in allowed:
+            wrong.add(row + ("" if col is None else f"/{col}") + ":" + n.strip(" "))
+    return sorted(wrong, key=str.encode)
+
+
+def whole_table_numbers(docs: DataFrame, reach: int = REACH) -> DataFrame:
+    """table_numbers of docs(doc_id, summary, cells ARRAY<STRUCT<row, col, cell>>), a row for each document with its whole table: nothing is moved or joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(2)
+            cells = list(zip(*(x.to_pylist() for x in column.flatten().flatten()), strict=True))
+            ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            found = [_violations(x, cells[i:j], reach) for x, i, j in zip(batch.column(1).to_pylist(), [0, *ends], ends, strict=False)]
+            keep = pa.array([bool(x) for x in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "violations"]).filter(keep)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    some = docs.where("doc_id is not null and summary is not null and cells is not null")
+    return some.select("doc_id", "summary", F.transform("cells", lambda x: F.struct(x["row"].alias("row"), x["col"].alias("col"), x["cell"].alias("cell"))).alias("cells")).mapInArrow(run, f"doc_id {kind}, violations array<string>")
 
 
 def table_numbers(cells: DataFrame, summaries: DataFrame, reach: int = REACH) -> DataFrame:
     """(doc_id, violations ARRAY<STRING>): numbers of summaries(doc_id, summary) that are not in the cell they speak of, by cells(doc_id, row, col, cell).
 
-    A number belongs to the nearest row label before it, and to the nearest column label between that and the number if that row has numbers in that column,
-    else to the row as a whole; it is wrong if they hold no such number with its unit, and without a label within `reach` characters it is not judged. Labels and numbers of a
-    summary are one stream of places; each number looks back along it, so labels never meet numbers in a join.
+    A number belongs to the nearest row label before it (the longest of those that begin at one place), and to the nearest column label between that and the number if that row
+    has numbers in that column, else to the row as a whole; it is wrong if they hold no such number with its unit, and without a label within `reach` characters it is not judged.
+    A document's cells meet in one row beside its summary; labels and numbers are then one walk along the summary.
     """
-    table = cells.where("cell is not null").select("doc_id", "row", "col", F.explode(F.regexp_extract_all("cell", F.lit(NUMBERS), F.lit(0))).alias("n")).select("doc_id", "row", "col", _value(F.trim("n")).alias("v"))
-    by_cell = table.groupBy("doc_id", "row", "col").agg(F.collect_set("v").alias("allowed"))
-    by_row = table.groupBy("doc_id", "row").agg(F.collect_set("v").alias("of_row"))
-    texts = summaries.select("doc_id", "summary").where("summary is not null")
-    labels = [_places(texts.join(table.select("doc_id", c).distinct(), "doc_id"), c).select("doc_id", "at", F.lit(kind).alias("kind"), F.col(c).alias("name")) for kind, c in (("row", "row"), ("col", "col"))]
-    cut = F.split("summary", NUMBERS)
-    said = texts.select("doc_id", F.posexplode(F.arrays_zip(F.regexp_extract_all("summary", F.lit(NUMBERS), F.lit(0)).alias("n"), cut.alias("gap"))).alias("k", "x")).select("doc_id", "k", "x.n", "x.gap")
-    before = F.sum(F.length("gap") + F.coalesce(F.length("n"), F.lit(0))).over(W.partitionBy("doc_id").orderBy("k"))
-    numbers = said.withColumn("end", before).where("n is not null").select("doc_id", (F.col("end") - F.length("n")).alias("at"), F.lit("number").alias("kind"), F.col("n").alias("name"))
-    order = W.partitionBy("doc_id").orderBy("at", F.col("kind") == "number").rowsBetween(W.unboundedPreceding, -1)
-    back = lambda kind: F.last(F.when(F.col("kind") == kind, F.struct("at", "name")), ignorenulls=True).over(order)
-    stream = reduce(DataFrame.unionByName, [*labels, numbers]).withColumns({"r": back("row"), "c": back("col")}).where("kind = 'number' and r is not null")
-    stream = stream.withColumn("c", F.when(F.col("c.at") >= F.col("r.at"), F.col("c"))).where("c is null or at >= c.at + length(c.name)")
-    judged = stream.select("doc_id", "at", "name", F.col("r").alias("r"), F.col("c").alias("c"), F.col("r.name").alias("row"), F.col("c.name").alias("col"))
-    judged = judged.join(by_cell, ["doc_id", "row", "col"], "left").join(by_row, ["doc_id", "row"], "left")
-    anchor = F.when(F.col("allowed").isNotNull(), F.col("c.at") + F.length("col")).otherwise(F.col("r.at") + F.length("row"))
-    wrong = judged.where((F.col("at") - anchor <= reach) & ~F.array_contains(F.coalesce("allowed", "of_row"), _value(F.trim("name"))))
-    said_so = F.concat("row", F.when(F.col("allowed").isNotNull(), F.concat(F.lit("/"), "col")).otherwise(""), F.lit(":"), F.trim("name"))
-    return wrong.groupBy("doc_id").agg(F.array_sort(F.collect_set(said_so)).alias("violations"))
+    tables = cells.where("cell is not null").groupBy("doc_id").agg(F.collect_list(F.struct("row", "col", "cell")).alias("cells"))
+    return whole_table_numbers(summaries.join(tables, "doc_id"), reach)

@@ -132,3 +132,18 @@ def test_texts_of_notices_are_made_outside_whole_stage_code(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     made = [line for line in plan if "事项的通知" in line]
     assert made and not [line for line in made if "*(" in line]
+
+
+def test_table_numbers_move_each_line_once(spark):
+    """Lines are grouped by order once, beside the join that gives them their part's name; no window and no other join."""
+    plan = QUERIES["f57_table_numbers"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and "Window" not in plan and plan.count("Exchange hashpartitioning(l_orderkey") == 1
+    assert plan.count("Exchange") <= 4
+
+
+def test_table_numbers_of_odd_labels(spark):
+    """The longest of labels that begin together counts, labels may hold what patterns mean, and null ones stand nowhere."""
+    cells = spark.createDataFrame([(1, "甲", "a", "1元"), (1, "甲局", "a", "2元"), (2, "(x\\E.", "a", "3个"), (2, None, "b", "4"), (2, "", None, "5"), (None, "甲", "a", "6")], "doc_id int, row string, col string, cell string")
+    said = spark.createDataFrame([(1, "甲局a2元，甲a2元"), (2, "(x\\E.a3个b3 个4"), (None, "甲a7"), (3, "甲a8")], "doc_id int, summary string")
+    got = {r["doc_id"]: r["violations"] for r in summaries.table_numbers(cells, said).collect()}
+    assert got == {1: ["甲/a:2元"], 2: ["(x\\E.:4"]}
