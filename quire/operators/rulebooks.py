@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.operators.rules import S, Rule
-from quire.operators.runs import bodies, section_name
+from quire.operators.runs import bodies, each, is_section, numbered, section_name
 
 _CJK = r"\x{4e00}-\x{9fff}"
 _DAY = r"20[0-9]{2}(?:年[0-9]{1,2}月[0-9]{1,2}日|[-/.][0-9]{1,2}[-/.][0-9]{1,2})"
@@ -73,9 +73,9 @@ SHORT = ("contact", "service_object")
 
 def guide_sections(blocks: DataFrame, limit: int = 7) -> DataFrame:
     """(doc_id, head_pos, name, target, body): sections of a guide by the names of GUIDE_SECTIONS, `limit` blocks at most, to the next numbered heading."""
-    name = section_name(F.col("t"))
-    stop = F.col("t").rlike(rf"^{S}[一二三四五六七八九十]+{S}[、.．]{S}[^。；]{{2,30}}{S}$")
-    found = bodies(blocks, name.isin(*GUIDE_SECTIONS), stop, limit).where("body <> ''").withColumn("name", section_name(F.col("head")))
+    stop = rf"^{S}[一二三四五六七八九十]+{S}[、.．]{S}[^。；]{{2,30}}{S}$"
+    found = bodies(blocks, lambda t: is_section(t, tuple(GUIDE_SECTIONS)), lambda t: numbered(t, stop), limit)
+    found = each(found, F.filter("bodies", lambda x: x["body"] != "")).withColumn("name", section_name(F.col("head")))
     target = F.create_map(*[F.lit(x) for pair in GUIDE_SECTIONS.items() for x in pair])[F.col("name")]
     body = F.when(target.isin(*SHORT), F.substring_index("body", "\n", 1)).otherwise(F.col("body"))
     return found.select("doc_id", "head_pos", "name", target.alias("target"), body.alias("body"))

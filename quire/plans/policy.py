@@ -26,6 +26,10 @@ def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notices.notices(table(spark, sf_dir, "orders"))
 
 
+def _whole_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notices.whole_notices(table(spark, sf_dir, "orders"))
+
+
 @query(rules.facts_sql(_RULES).replace("WITH trimmed", f"WITH {_N}, trimmed", 1))
 def x20_policy_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels and sentences of notices by a table of 28 rules, one fact a span and target."""
@@ -81,7 +85,7 @@ _LISTED = lambda names: ", ".join(f"'{x}'" for x in names)
 )
 def x18_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A notice's first section of measures, eleven blocks at most, to the next boundary or heading."""
-    return runs.measures(_notices(spark, sf_dir))
+    return runs.measures(_whole_notices(spark, sf_dir))
 
 
 def _numbered_sql(limit: int) -> str:
@@ -91,13 +95,13 @@ def _numbered_sql(limit: int) -> str:
 @query(_numbered_sql(100_000))
 def x10_numbered_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requirements and ways of application, from their numbered heading to the next."""
-    return runs.numbered_sections(_notices(spark, sf_dir)).select("doc_id", "head_pos", "name", "body", F.size("positions").alias("n_blocks"))
+    return runs.numbered_sections(_whole_notices(spark, sf_dir)).select("doc_id", "head_pos", "name", "body", F.size("positions").alias("n_blocks"))
 
 
 @query(_numbered_sql(2))
 def w04_lookahead_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with a limit of two blocks below the heading."""
-    return runs.numbered_sections(_notices(spark, sf_dir), limit=2).select("doc_id", "head_pos", "name", "body", F.size("positions").alias("n_blocks"))
+    return runs.numbered_sections(_whole_notices(spark, sf_dir), limit=2).select("doc_id", "head_pos", "name", "body", F.size("positions").alias("n_blocks"))
 
 
 _HAS = lambda words: "(" + " OR ".join(f"contains(t, '{w}')" for w in words) + ")"
@@ -149,7 +153,7 @@ _PLAIN = f"regexp_replace({_NAMED}, '[（(].*?[）)]', '')"
 )
 def x14_guide_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of guides by their names, seven blocks at most."""
-    return rulebooks.guide_sections(_notices(spark, sf_dir))
+    return rulebooks.guide_sections(_whole_notices(spark, sf_dir))
 
 
 #: Openings of notices as guides write them, for some orders.

@@ -147,3 +147,28 @@ def test_table_numbers_of_odd_labels(spark):
     said = spark.createDataFrame([(1, "甲局a2元，甲a2元"), (2, "(x\\E.a3个b3 个4"), (None, "甲a7"), (3, "甲a8")], "doc_id int, summary string")
     got = {r["doc_id"]: r["violations"] for r in summaries.table_numbers(cells, said).collect()}
     assert got == {1: ["甲/a:2元"], 2: ["(x\\E.:4"]}
+
+
+@pytest.mark.parametrize("name", ["x14_guide_sections", "x18_measures", "x10_numbered_sections", "w04_lookahead_bodies"])
+def test_sections_are_found_in_whole_notices(spark, name):
+    """Only orders move; before, all blocks were sorted and stood in windows."""
+    df = QUERIES[name](spark, DATA)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert exchanges(df) == 1 and "Window" not in plan and "Join" not in plan
+
+
+def test_sections_by_rows_of_blocks_are_those_of_whole_documents(spark):
+    """Rows in any order, blank and null texts, names in brackets and with white space around them, headings right below each other, no block at all."""
+    from quire.operators import rulebooks, runs
+
+    texts = ["　一、申请(附)条件\t", " ", None, "甲 ", "第二章 申请条件 第3条 x", "乙", "二、联系方式", "三、联系方式（新）", "丙", "丁", *"123456789", "申报要求", "四、无名", "庚", "申报方式"]
+    rows = [(d, p, "Heading" if t and "、" in t else "paragraph", t) for d in (1, 2) for p, t in enumerate(texts[::d])] + [(None, 0, None, "申报方式"), (None, 1, None, "辛")]
+    random.Random(1).shuffle(rows)
+    blocks = spark.createDataFrame(rows, "doc_id int, pos int, type string, text string")
+    whole = runs.whole_documents(blocks).unionByName(spark.sql("SELECT 9 AS doc_id, array() AS blocks UNION ALL SELECT 10, null"))
+    key = lambda df: sorted(map(str, df.collect()))
+    for found in (rulebooks.guide_sections, runs.measures, runs.numbered_sections):
+        assert key(found(blocks)) == key(found(whole))
+    got = {(r["head_pos"], r["name"], r["body"]) for r in rulebooks.guide_sections(blocks).where("doc_id = 1").collect()}
+    assert got == {(0, "申请条件", "甲"), (4, "申请条件", "乙"), (7, "联系方式", "丙")}
+    assert [(r["head_pos"], r["body"]) for r in rulebooks.guide_sections(blocks).where("doc_id IS NULL").collect()] == [(0, "辛")]
