@@ -12,7 +12,6 @@
 
 from __future__ import annotations
 
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -20,13 +19,14 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.attention import DOCUMENT, VOCABULARY, Attention, Counts, Shape, windows
-from quire.llm.common import held_out, least_by_hash, raw_texts, small_batches, written
-from quire.llm.subwords import begins_word, word_ids
+from quire.llm.common import held_out, least_by_hash, small_batches, written
+from quire.llm.subwords import all_word_ids, begins_word
 
 #: Bytes of text in a block (and one document more): what a task holds at once stays the same at any size of the corpus.
 BLOCK_BYTES = 24 << 20
@@ -67,6 +67,10 @@ def cut(ids: np.ndarray, sizes: np.ndarray, first: np.ndarray, share: int, shape
     return padded[begin[mine, None] + np.arange(shape.window + 1)], scored[mine]
 
 
+#: The mark that begins a document, as a word number.
+_MARK = np.zeros(1, "<u4")
+
+
 class Block:
     """Words of some documents, numbered as they come; the end of a document is word 0."""
 
@@ -74,25 +78,47 @@ class Block:
         self.number: defaultdict[bytes, int] = defaultdict(count().__next__)
         self.number[END]
         self.trained: list[np.ndarray] = []
-        self.ids: dict[int, array] = {0: array("H", [DOCUMENT])}
+        self.flat, self.length = np.array([DOCUMENT], np.uint16), np.ones(1, np.int64)
         self.size = 0
 
     def add(self, raw: bytes, held: bool) -> tuple[list[bytes], np.ndarray]:
         """The document's words, and their numbers with the end."""
-        words = _words(raw)
-        numbers = np.fromiter(map(self.number.__getitem__, (*words, END)), "<u4", len(words) + 1)
-        if not held:
-            self.trained.append(numbers)
-        self.size += len(raw) + 1
-        return words, numbers
+        return _words(raw), self.add_all(pa.array([raw], pa.large_binary()), [held])[0]
+
+    def add_all(self, raw: pa.Array, held: list[bool]) -> list[np.ndarray]:
+        """Numbers of the words of each of some documents (large_binary), with the end. Distinct words are looked up once, and new ones encoded together."""
+        found = pc.ascii_split_whitespace(pc.ascii_lower(raw.view(pa.large_string())))
+        sizes, old = np.asarray(pc.list_value_length(found)), len(self.number)
+        coded = found.flatten().dictionary_encode()
+        at, distinct = np.asarray(coded.indices), coded.dictionary.cast(pa.large_binary()).to_pylist()
+        known = np.fromiter((self.number[w] if w else 0 for w in distinct), "<u4", len(distinct))
+        # white space at the ends of a text gives empty words, which count as nothing; number 0 is left for the end
+        sizes = np.add.reduceat(np.append(known[at] > 0, False).astype(np.int64), np.cumsum(sizes) - sizes) * (sizes > 0)
+        flat = known[at]
+        flat = np.insert(flat[flat > 0], np.cumsum(sizes), 0)
+        self.trained.append(flat[np.repeat(~np.array(held, bool), sizes + 1)])
+        ids, length = all_word_ids([w for w, n in zip(distinct, known.tolist(), strict=True) if n >= old])
+        self.flat, self.length = np.append(self.flat, ids), np.append(self.length, length)
+        self.size += int(pc.sum(pc.binary_length(raw)).as_py()) + len(raw)
+        return np.split(flat, np.cumsum(sizes + 1)[:-1])
+
+    @property
+    def ids(self) -> list[np.ndarray]:
+        """Subwords of each word, by number."""
+        return np.split(self.flat, np.cumsum(self.length)[:-1])
+
+    def all_subwords(self, numbers: list[np.ndarray]) -> list[np.ndarray]:
+        """The subwords of each of some documents after the mark."""
+        sizes, begin = np.array([len(x) + 1 for x in numbers]), np.cumsum(self.length) - self.length
+        words = np.concatenate([y for x in numbers for y in (_MARK, x)])
+        n = self.length[words]
+        ends = np.cumsum(n)
+        flat = self.flat[np.repeat(begin[words] - (ends - n), n) + np.arange(n.sum())]
+        return np.split(flat, ends[np.cumsum(sizes) - 1][:-1])
 
     def subwords(self, words: list[bytes], numbers: np.ndarray) -> np.ndarray:
-        """The document's subwords after the mark, each distinct word encoded once."""
-        found = numbers.tolist()
-        for k, n in enumerate(found):
-            if n not in self.ids:
-                self.ids[n] = array("H", word_ids(words[k]))
-        return np.frombuffer(b"".join(map(self.ids.__getitem__, (0, *found))), np.uint16)
+        """The document's subwords after the mark."""
+        return self.all_subwords([numbers])[0]
 
     def stretches(self, words: list[bytes], numbers: np.ndarray, first: int, share: int, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
         """The document's windows as training cuts them, and the first scored place and the one after the last of each."""
@@ -128,18 +154,21 @@ def _parts(dealt: DataFrame, kind: str) -> DataFrame:
 
         for batch in batches:
             doc_type = batch.schema.field(0).type
-            raw, start, found = raw_texts(batch.column(1)), 0, []
-            for i, (x, held) in enumerate(zip(raw, batch.column(2).to_pylist(), strict=True), 1):
-                words, numbers = block.add(x, held)
-                found.append((_planes(numbers), None if held else _planes(block.subwords(words, numbers))))
-                full = block.size >= BLOCK_BYTES
+            raw, held = batch.column(1).cast(pa.large_binary()).fill_null(b""), batch.column(2).to_pylist()
+            start, size = 0, block.size
+            for i, n in enumerate(pc.binary_length(raw).to_pylist(), 1):
+                size += n + 1
+                full = size >= BLOCK_BYTES
                 if full or i == len(raw):
-                    n, own = len(found), batch.slice(start, len(found))
-                    yield rows(n, doc_id=own.column(0), o=own.column(3), **{k: pa.array(c, pa.binary()) for k, c in zip(("numbers", "subwords"), zip(*found, strict=True), strict=True)})
-                    start, found = i, []
+                    own, kept = batch.slice(start, i - start), held[start:i]
+                    numbers = block.add_all(raw.slice(start, i - start), kept)
+                    learnt = iter(block.all_subwords([x for x, h in zip(numbers, kept, strict=True) if not h]) if not all(kept) else [])
+                    subwords = [None if h else _planes(next(learnt)) for h in kept]
+                    yield rows(len(kept), doc_id=own.column(0), o=own.column(3), numbers=pa.array(list(map(_planes, numbers)), pa.binary()), subwords=pa.array(subwords, pa.binary()))
+                    start = i
                 if full:
                     yield from lists()
-                    block, at = Block(), at + (1 << 24)
+                    block, at, size = Block(), at + (1 << 24), 0
         if block.size:
             yield from lists()
 
@@ -152,8 +181,15 @@ def _vocabulary(listed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.array([DOCUMENT] if w == END else word_ids(w), "<u2").tobytes() for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=["word", "n", "ids"])
+            words = batch.column(0).to_pylist()
+            flat, length = all_word_ids([w for w in words if w != END])
+            ends = [i for i, w in enumerate(words) if w == END]
+            if ends:  # the end is one id, the mark
+                at = ends[0]
+                flat, length = np.insert(flat, length[:at].sum(), DOCUMENT), np.insert(length, at, 1)
+            offsets = np.concatenate([[0], 2 * np.cumsum(length)]).astype(np.int32)
+            ids = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(flat.astype("<u2"))])
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=["word", "n", "ids"])
 
     return listed.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(run, "word binary, n bigint, ids binary")
 

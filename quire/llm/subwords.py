@@ -19,6 +19,9 @@ ADDED = {"<|endoftext|>": 50_256}
 #: White space longer than this is left to `tokenizers`.
 LONG_RUN = 1_000
 _long_run = re.compile(r"\s{%d}" % LONG_RUN)
+#: White space that a word may hold; words without any are encoded together, so many at a time.
+_inner_space = re.compile(r"[^\S ]")
+TOGETHER = 512
 
 
 def _file(kind: str, folder: str | None) -> str:
@@ -80,6 +83,29 @@ def word_ids(word: bytes, folder: str | None = None) -> list[int]:
     return encoder(folder).encode_ordinary(text)
 
 
+def all_word_ids(words: list[bytes], folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """`word_ids` of many words, end to end, and how many each has (unsigned 16-bit ids).
+
+    Words are encoded as one text: the matcher cuts before each space that separates them, and only there does an id begin with a space. Where
+    a word holds white space of another kind, or the words cannot be told apart, they are encoded one by one.
+    """
+    found, lengths, begins = [], [], begins_word(folder)
+    for i in range(0, len(words), TOGETHER):
+        some = words[i : i + TOGETHER]
+        text = " " + b" ".join(some).decode("utf-8", "replace")
+        if not _inner_space.search(text):
+            ids = encoder(folder).encode_to_numpy(text, disallowed_special=())
+            at = np.flatnonzero(begins[ids])
+            if len(at) == len(some):
+                found.append(ids.astype(np.uint16))
+                lengths.append(np.diff(at, append=len(ids)))
+                continue
+        each = [word_ids(w, folder) for w in some]
+        found.append(np.array([x for ids in each for x in ids], np.uint16))
+        lengths.append(np.array([len(ids) for ids in each], np.int64))
+    return np.concatenate(found or [np.empty(0, np.uint16)]), np.concatenate(lengths or [np.empty(0, np.int64)])
+
+
 @cache
 def begins_word(folder: str | None = None) -> np.ndarray:
     """For each id, whether it begins a word: its first byte is a space. The added token is one of them."""

@@ -630,3 +630,41 @@ def test_training_text_takes_little_room(spark):
         own = lm.Block()
         want = own.subwords(*own.add(text[: 100 * r["doc_id"]].encode(), False))
         assert (r["subwords"] is None) == (r["doc_id"] % 7 == 2) and (r["subwords"] is None or lm._numbers(r["subwords"], "<u2").tolist() == want.tolist())
+
+
+def test_words_of_a_block_are_encoded_together(monkeypatch):
+    """Some thousands of new words take a few calls of the encoder, and their ids are those of each word by itself, white space inside words included."""
+    from quire.llm import subwords
+
+    odd = [" ", "a ", "　x", "<|endoftext|>", "'s", "1a!b", "́", "\x1c", "日本", "😀a", "​"]
+    many = [x.encode() for x in (*(f"w{i}ord" for i in range(3000)), *odd * 3)] + [b"\xff\xfea", b"\xe6\xb5"]
+    flat, length = subwords.all_word_ids(many)
+    want = [subwords.word_ids(w) for w in many]
+    assert flat.tolist() == [x for ids in want for x in ids] and length.tolist() == list(map(len, want))
+    assert [len(x) for x in subwords.all_word_ids([])] == [0, 0]
+    calls, own = [], subwords.encoder()
+
+    class Counted:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(own, name)
+
+    monkeypatch.setattr(subwords, "encoder", lambda folder=None: Counted())
+    block = lm.Block()
+    numbers = block.subwords(*block.add(b" ".join(many[:3000]), False))
+    assert numbers.tolist() == [DOCUMENT, *(x for ids in want[:3000] for x in ids), DOCUMENT] and len(calls) < 30
+
+
+def test_words_are_numbered_as_they_come():
+    """Documents together, in slices and with white space at their ends, against loops; white space is ASCII's own, and letters A-Z alone change."""
+    import pyarrow as pa
+
+    raw = [b"", b"  ", b" a B\x0bc\x1cd ", b"\xff\xfe A\xc3 x", "Äb A".encode(), b"a", b"b ", b"\n"]
+    block, number = lm.Block(), {b" ": 0}
+    held = [i % 3 == 1 for i in range(len(raw))]
+    column = pa.array(raw, pa.large_binary())
+    got = block.add_all(column.slice(0, 5), held[:5]) + block.add_all(column.slice(5), held[5:])
+    want = [[*(number.setdefault(w, len(number)) for w in x.lower().split()), 0] for x in raw]
+    assert [x.tolist() for x in got] == want and list(block.number) == list(number)
+    counted = np.concatenate([n for _, n in block.listed()])
+    assert counted.tolist() == [sum(x.count(i) for x, h in zip(want, held, strict=True) if not h) for i in range(len(number))]
