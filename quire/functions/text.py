@@ -29,7 +29,7 @@ def sanitize(c: Column) -> Column:
 
 def normalize_spaces(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(c, UNICODE_SPACE + "+", " "), "^ | $", "")
+    return F.trim(F.regexp_replace(c, UNICODE_SPACE + "+", " "))
 
 
 def estimate_tokens(c: Column) -> Column:

@@ -172,3 +172,34 @@ def test_sections_by_rows_of_blocks_are_those_of_whole_documents(spark):
     got = {(r["head_pos"], r["name"], r["body"]) for r in rulebooks.guide_sections(blocks).where("doc_id = 1").collect()}
     assert got == {(0, "申请条件", "甲"), (4, "申请条件", "乙"), (7, "联系方式", "丙")}
     assert [(r["head_pos"], r["body"]) for r in rulebooks.guide_sections(blocks).where("doc_id IS NULL").collect()] == [(0, "辛")]
+
+
+def test_chunk_faults_move_only_orders(spark):
+    """c07 finds all faults in whole notices; before, blocks, chunks and their sources were written and joined again for each kind of fault."""
+    df = QUERIES["c07_chunk_faults"](spark, DATA)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert exchanges(df) == 1 and "Join" not in plan and "quire-" not in plan
+
+
+def test_chunk_faults_of_whole_documents_are_those_of_joins(spark):
+    """Random chunks: cut, widened and empty texts, unknown, repeated, null and no sources, entities and parents, exclusions of all kinds, documents without chunks."""
+    from quire.operators import cover
+
+    rng = random.Random(4)
+    some = lambda choices, n: [rng.choice(choices) for _ in range(rng.randint(0, n))]
+    docs = []
+    for d in range(150):
+        blocks = [(f"b{k}", rng.choice(["table", "list", "paragraph"]), rng.choice([None, "", " ", "a  b", "a b", "ab　c", "b", "\tab ab"])) for k in range(rng.randint(0, 5))]
+        chunks = []
+        for k in range(rng.randint(0, 4)):
+            own = rng.sample([b[0] for b in blocks], rng.randint(0, len(blocks))) + some(["bx", None], 1)
+            text = "\n\n".join(b[2] or "" for i in own for b in blocks if b[0] == i)
+            chunks.append((f"c{k}", rng.choice([text] * 3 + [text[1:], text[:-2], text + " z", " ", None]), own, some(["e", "f", None], 2), rng.choice([None, "c0", "c9"])))
+        docs.append((d, blocks, chunks, some(["e", "f"], 1), list({x[0]: x for x in [(rng.choice(["b0", "b1", "b2", "b9"]), rng.choice(["known", "other", None])) for _ in range(rng.randint(0, 2))]}.values())))
+    kinds = {"blocks": "block_id:string,type:string,text:string", "chunks": "chunk_id:string,text:string,source_block_ids:array<string>,entity_ids:array<string>,parent_id:string", "exclusions": "block_id:string,rule:string"}
+    whole = spark.createDataFrame(docs, f"doc_id int, blocks array<struct<{kinds['blocks']}>>, chunks array<struct<{kinds['chunks']}>>, entities array<string>, exclusions array<struct<{kinds['exclusions']}>>")
+    b, c, out = (whole.selectExpr("doc_id", f"inline({x})") for x in ("blocks", "chunks", "exclusions"))
+    ents = whole.selectExpr("doc_id", "explode(entities) AS entity_id")
+    key = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    got = key(cover.whole_chunk_faults(whole, rules=("known",)))
+    assert got == key(cover.chunk_faults(c, b, ents, exclusions=out, rules=("known",))) and len({r[1] for r in got}) == 13
