@@ -1,8 +1,8 @@
 """Extraction rules as rows, compiled into one pass over blocks.
 
 A rule is a pattern with the words a block must and must not hold, the target it speaks for, a name, a value and a confidence. All
-rules become one array expression behind a joint test for their words, so a block that no rule can match costs one
-regular expression, and a rule none of whose words a block holds costs a search for them. Rules stand in order of precedence: of overlapping matches for one target the first rule's stays.
+rules become one array expression behind a search for a few words that many rules share, so a block that no rule can match costs no
+regular expression, and a rule costs one where the block holds a word of each set that its pattern needs. Rules stand in order of precedence: of overlapping matches for one target the first rule's stays.
 """
 
 from __future__ import annotations
@@ -102,26 +102,92 @@ def _words(rule: Rule) -> list[str]:
     return list(rule.needs[:1]) or [x for x in plain.split("\0") if x]
 
 
+def _clauses(pattern: str) -> list[tuple[str, ...]]:
+    """Sets of words of a pattern: each text that it matches holds one word of every set. Made of its literals, of small classes and of groups that have one in each branch."""
+    best = lambda clauses: max(clauses, key=lambda c: (min(map(len, c)), -len(c)))
+
+    def group(i: int) -> tuple[list[tuple[str, ...]], int]:
+        """The sets of what begins at i, and where its closing bracket or the end stands."""
+        branches: list[list[tuple[str, ...]]] = [[]]
+        word = ""
+        while True:
+            c = pattern[i : i + 1]
+            small = inside = None
+            if c in ("", ")", "|", "^", "$", "."):
+                i += 1
+            elif c == "[":
+                end = pattern.index("]", i + 1)
+                small, i = pattern[i + 1 : end], end + 1
+                small = None if len(small) > 3 or set(small) & set("^\\") or "-" in small[1:-1] else tuple(small)
+            elif c == "(":
+                plain = pattern[i + 1 : i + 2] != "?" or pattern[i + 1 : i + 3] == "?:"
+                inside, i = group(i + (1 if pattern[i + 1 : i + 2] != "?" else 3))
+                inside, i = inside if plain else [], i + 1
+            elif c == "\\" and pattern[i + 1] == "x":
+                code = re.match(r"\\x(?:\{([0-9A-Fa-f]+)\}|([0-9A-Fa-f]{2}))", pattern[i:])
+                c, i = chr(int(code[1] or code[2], 16)), i + len(code[0])
+                small = (c,)
+            elif c == "\\":
+                small, i = (None if pattern[i + 1].isalnum() else (pattern[i + 1],)), i + 2
+            else:
+                small, i = (c,), i + 1
+            times = re.match(r"(?:[*+?]|\{([0-9]+)[^}]*\})[?+]?", pattern[i:]) if c not in ("", ")", "|") else None
+            i += len(times[0]) if times else 0
+            must = not times or times[0][0] == "+" or int(times[1] or 0) > 0
+            if must and small and len(small) == 1:
+                word += small[0]
+            if times or not small or len(small) > 1:
+                branches[-1] += [(word,)] if word else []
+                word = ""
+            if must:
+                branches[-1] += inside or ([small] if small and len(small) > 1 else [])
+            if c == "|":
+                branches.append([])
+            elif c in ("", ")"):
+                if len(branches) == 1:
+                    return branches[0], i - 1
+                return ([tuple(dict.fromkeys(w for b in branches for w in best(b)))] if all(branches) else []), i - 1
+
+    return group(0)[0]
+
+
+def _keys(rules: tuple[Rule, ...]) -> tuple[list[tuple[str, ...]], list[list[tuple[str, ...]]]]:
+    """The sets of words that are looked for in every block, one at least of each rule that has any and few words in all, as rules share them; and all sets of each rule, those of fewest words first."""
+    every = [sorted({*_clauses(r.pattern), *((w,) for w in r.needs)}, key=lambda c: (len(c), -min(map(len, c)), c)) for r in rules]
+    keys: list[tuple[str, ...]] = []
+    left = [set(x) for x in every if x]
+    while left:
+        worth = {c: (sum(c in x for x in left) / len(c), min(map(len, c)), c) for x in left for c in x}
+        keys.append(max(worth, key=worth.get))
+        left = [x for x in left if keys[-1] not in x]
+    return keys, every
+
+
 def facts(blocks: DataFrame, rules: tuple[Rule, ...] = POLICY) -> DataFrame:
     """(doc_id, pos, kind, target, name, value, confidence, flag, start, length): a row for each match of a rule in blocks(doc_id, pos, text) that stays.
 
     A rule matches a block once, at its first match in the trimmed text; start counts from 1. Where matches for one target overlap, the rule that stands first stays; blocks that are null or blank have none.
     """
-    text = F.regexp_replace("text", rf"^{S}|{S}$", "")
+    text = F.btrim(F.col("text"), F.lit("".join(map(chr, (*range(9, 14), 32, 0xA0, 0x3000)))))  # the characters of S
+    keys, sets = _keys(rules)
+    has = lambda words: reduce(lambda a, b: a | b, [F.contains(F.col("t"), F.lit(w)) for w in words])
     each = []
-    for rank, rule in enumerate(rules):
+    for rank, (rule, own) in enumerate(zip(rules, sets, strict=True)):
         match = F.regexp_extract(F.col("t"), rule.pattern, 0)
         held = reduce(lambda a, b: a & b, [F.contains(F.col("t"), F.lit(x)) for x in rule.needs] + [~F.contains(F.col("t"), F.lit(x)) for x in rule.forbids], F.lit(True))
         fact = F.struct(F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), F.lit(rule.target).alias("target"), _filled(rule.name, F.col("t"), rule.pattern, match).alias("name"), _filled(rule.value, F.col("t"), rule.pattern, match).alias("value"), F.lit(rule.confidence).alias("confidence"), F.lit(rule.flag).alias("flag"), F.lit(rule.alone).alias("alone"), F.instr(F.col("t"), match).alias("start"), F.length(match).alias("length"))
-        # a search for words costs a fiftieth of a regular expression that fails
-        near = reduce(lambda a, b: a | b, [F.contains(F.col("t"), F.lit(x)) for x in _words(rule)] or [F.lit(True)])
+        # a search for words costs a fiftieth of a regular expression that fails; what most blocks lack is known already
+        near = reduce(lambda a, b: a & b, [F.col(f"h.k{keys.index(c)}") for c in own if c in keys] + [has(c) for c in own if c not in keys], F.lit(True))
         each.append(F.when(near & held & F.col("t").rlike(rule.pattern), fact))
-    words = sorted({re.escape(w) for rule in rules for w in _words(rule)})
-    may = F.col("t").rlike("|".join([*words, *(r.pattern for r in rules if not _words(r))]))
+    held_keys = F.struct(*[has(c).alias(f"k{k}") for k, c in enumerate(keys)], F.lit(not all(sets)).alias("any"))
+    may = reduce(lambda a, b: a | b, [F.col(f"h.k{k}") for k in range(len(keys))], F.col("h.any"))
     overlaps = lambda a, b: (a["target"] == b["target"]) & (a["rank"] < b["rank"]) & (a["start"] < b["start"] + b["length"]) & (b["start"] < a["start"] + a["length"])
     # exploding an array of one value keeps the optimiser from writing it out at each of its uses
-    found = blocks.select("doc_id", "pos", F.explode(F.array(text)).alias("t")).where(may).select("doc_id", "pos", F.explode(F.array(F.array_compact(F.array(*each)))).alias("f"))
-    rows = found.select("doc_id", "pos", F.explode(F.filter("f", lambda x: ~F.exists("f", lambda y: overlaps(y, x)))).alias("x")).select("doc_id", "pos", "x.*")
+    rows = blocks.select("doc_id", "pos", F.explode(F.array(text)).alias("t")).select("doc_id", "pos", "t", F.explode(F.array(held_keys)).alias("h"))
+    # the higher-order function on pos keeps this step out of whole-stage code, where all rules make one method, too long for the JVM to compile; around the rules themselves it would have them interpreted
+    found = rows.where(may).select("doc_id", F.transform(F.array("pos"), lambda x: x)[0].alias("pos"), F.array(*each).alias("f"))
+    found = found.select("doc_id", "pos", F.explode(F.array("f")).alias("f")).select("doc_id", "pos", F.explode(F.array(F.array_compact("f"))).alias("f"))
+    rows = found.select("doc_id", "pos", F.explode_outer(F.filter("f", lambda x: ~F.exists("f", lambda y: overlaps(y, x)))).alias("x")).where("x IS NOT NULL").select("doc_id", "pos", "x.*")
     guards = sorted({r.alone for r in rules if r.alone})
     if guards:  # only documents' facts are shuffled, not their texts
         spoken = F.max(F.when(F.col("kind").isin(*guards), F.struct("kind", "target"))).over(W.partitionBy("doc_id", "target"))

@@ -225,3 +225,22 @@ def test_canonical_objects_of_odd_documents(spark):
         1: ('{"m":"1\\n","z":{"y":1.5},"q":null,"none":null}', "m", "metadata.b.0:source_missing"),
         2: ("{}", "", f"blocks.b1.text:source_missing|{missing}"), 3: ("{}", "", ""), 4: ('{"m":"\\""}', "", "metadata.a:source_missing"),
     }
+
+
+def test_rules_match_no_text_without_their_words(spark, monkeypatch):
+    """Each text that a pattern matches holds one word of each of its sets, and facts are those of the patterns alone; few words are looked for in every block."""
+    from quire.operators import rulebooks, rules
+    from quire.plans import policy
+
+    assert rules._clauses(r"^a(?:bc|d[0-9]e|f?)\x{4e00}?x{2}(g|hi)+[:：]\.j*k|l") == [("a", "l")] and rules._clauses("(?:a|b?)[0-9a-z]") == []
+    assert rules._clauses(r"^a(?:bc|d[0-9]e|(?:z)?fg)\x{4e00}x{2}(g|hi)+[:：][^q]\.j*k(?=m)") == [("a",), ("bc", "d", "fg"), ("\u4e00x",), ("g", "hi"), (":", "："), (".",), ("k",)]
+    books = [policy._RULES, policy._MEETING_RULES, policy._GUIDE_RULES]
+    assert max(sum(map(len, rules._keys(b)[0])) for b in books) <= 30 and all(all(rules._keys(b)[1]) for b in books)
+    texts = [r["text"] for r in notices.notices(spark.read.parquet(f"{DATA.replace('0.1', '0.001')}/orders.parquet")).select("text").distinct().collect()]
+    rng = random.Random(9)
+    texts = texts + ["".join(rng.choice([t, t[: len(t) // 2], t[len(t) // 2 :], rng.choice("：:。 \n")]) for t in rng.sample(texts, 3)) for _ in range(3000)] + ["", None, " \x85", "　第一条 制定本法\xa0"]
+    blocks = spark.createDataFrame([(k // 20, k % 20, t) for k, t in enumerate(texts)], "doc_id int, pos int, text string")
+    key = lambda df: sorted(map(str, df.collect()))
+    found = [key(rules.facts(blocks, b)) for b in books]
+    monkeypatch.setattr(rules, "_clauses", lambda pattern: [])
+    assert found == [key(rules.facts(blocks, b)) for b in books] and min(map(len, found)) > 500
