@@ -27,13 +27,26 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 LAST = (1 << 63) - 1
 #: Texts are scanned in parts of so many strings, and a stretch has so many at most.
 PART, LONGEST = 1 << 15, 1 << 12
+#: Documents are scanned together up to so many bytes.
+GROUP = 1 << 19
+_PARCEL = pa.schema([("place", pa.int32()), ("uid", pa.int64()), ("parcel", pa.binary())])
+_ANSWER = pa.schema([("uid", pa.int64()), ("place", pa.int32()), ("answer", pa.binary())])
+_KEYS = pa.schema([("uid", pa.int64()), ("keys", pa.binary())])
+
+
+def _eights(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number."""
+    out = np.empty(len(text) - 7, np.uint64)
+    for k in range(min(8, len(out))):
+        out[k::8] = text[k : k + (len(text) - k) // 8 * 8].view("<u8")
+    return out
 
 
 def _hashes(text: np.ndarray, size: int, at: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of the `size` bytes (8 at least) from each place on, or from the places `at`."""
     n = len(text) - size + 1
-    eights = np.lib.stride_tricks.as_strided(text, (len(text) - 7, 8), (1, 1))
-    words = eights.copy().view("<u8").ravel() if at is None else None
+    eights = np.lib.stride_tricks.as_strided(text, (len(text) - 7, 8), (1, 1)) if at is not None else None
+    words = _eights(text) if at is None else None
     out = np.full(n if at is None else len(at), size, np.uint64)
     for step in [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]:
         out ^= words[step : step + n] if at is None else eights[at + step].view("<u8").ravel()
@@ -56,16 +69,27 @@ def keys(text: np.ndarray, length: int, gram: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def stretches(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and past-last string of each run of one key, LONGEST strings at most."""
-    if not len(key):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+def stretches(text: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents that lie one after the other with these sizes, each run of strings of one key, LONGEST strings at most: its document's number, its first and past-last place and its key."""
+    n = np.maximum(sizes - length + 1, 0)
+    begins = (np.cumsum(sizes) - sizes)[n > 0]
+    if not len(begins):
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+    key, past = keys(text, length, gram), begins + n[n > 0]
+    edge = np.zeros(len(key) + 1, bool)
+    edge[1:-1] = key[1:] != key[:-1]
+    edge[begins] = edge[past] = True
+    starts = begins[0] + np.flatnonzero(edge[begins[0] : -1])
     ends = np.r_[starts[1:], len(key)]
+    doc = np.searchsorted(begins, starts, side="right") - 1
+    within = starts < past[doc]  # the strings of others begin in one document and end in the next
+    starts, ends, doc = starts[within], ends[within], np.flatnonzero(n > 0)[doc[within]]
     if (ends - starts).max() > LONGEST:
-        starts = np.concatenate([np.arange(s, e, LONGEST) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
-        ends = np.r_[starts[1:], len(key)]
-    return starts, ends
+        times = -(-(ends - starts) // LONGEST)
+        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        starts, ends, doc = np.repeat(starts, times) + LONGEST * step, np.repeat(ends, times), np.repeat(doc, times)
+        ends = np.minimum(starts + LONGEST, ends)
+    return doc, starts, ends, key[starts]
 
 
 def _batches(docs: DataFrame, batch_bytes: int) -> DataFrame:
@@ -105,10 +129,35 @@ def _texts(row: dict) -> Iterator[tuple[int, int, bytes]]:
         at += n
 
 
+def _groups(row: dict) -> Iterator[tuple[int, np.ndarray, bytes, np.ndarray]]:
+    """(number of the first, ids, text, sizes) of a batch's documents, GROUP bytes or one document at a time, so that small ones share what a step costs."""
+    (ids,), (sizes,) = (unpacked(row[x], "i8") for x in ("ids", "sizes"))
+    raw, low, at = zstandard.ZstdDecompressor().decompress(row["texts"]) if sizes.sum() else b"", 0, 0
+    ends = np.cumsum(sizes)
+    while low < len(sizes):
+        high = max(low + 1, int(np.searchsorted(ends, at + GROUP, side="right")))
+        yield low, ids[low:high], raw[at : int(ends[high - 1])], sizes[low:high]
+        low, at = high, int(ends[high - 1])
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        for k in range(batch.num_rows):
-            yield batch.slice(k, 1).to_pylist()[0]
+        few = max(1, min(256, (1 << 20) * batch.num_rows // max(1, batch.nbytes)))  # some MB at a time
+        for k in range(0, batch.num_rows, few):
+            yield from batch.slice(k, few).to_pylist()
+
+
+def _together(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column is binary in record batches of a MB or 256 rows: one for each would cost more than a small parcel."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size >= 1 << 20 or len(held) == 256:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
 def _parcels(places: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -129,17 +178,18 @@ def _counted(batches: DataFrame, length: int, gram: int, places: int, hot: int)
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(rows):
             own = []
-            for _, _, raw in _texts(row):
-                key = keys(np.frombuffer(raw, np.uint8), length, gram)
-                if len(key):
-                    own.append(np.unique(key))
-            if not own:
-                continue
+            for _, _, raw, sizes in _groups(row):
+                doc, _, _, key = stretches(np.frombuffer(raw, np.uint8), sizes, length, gram)
+                order = np.argsort(key, kind="stable")  # documents stay in order, so one document's equal keys stand together
+                key, doc = key[order], doc[order]
+                own.append(key[np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])][: len(key)]])
             key, n = np.unique(np.concatenate(own), return_counts=True)
+            if not len(key):
+                continue
             parts = [(p, packed(key[which], np.minimum(n[which], 65535).astype(np.uint16))) for p, which in _parcels(_place(key, places))]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in parts], pa.int32()), pa.array([row["uid"]] * len(parts), pa.int64()), pa.array([x for _, x in parts], pa.binary())], names=["place", "uid", "parcel"])
 
-    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
         for _, held in _by_place(rows):
             found = [unpacked(x["parcel"], "u8", "u2") for x in held]
             key, back = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
@@ -149,8 +199,10 @@ def _counted(batches: DataFrame, length: int, gram: int, places: int, hot: int)
                 mine = n[at : at + len(own)]
                 at += len(own)
                 if (mine > 1).any():
-                    blob = packed(own[mine > 1], (mine[mine > 1] >= hot).astype(np.uint8))
-                    yield pa.RecordBatch.from_arrays([pa.array([x["uid"]], pa.int64()), pa.array([blob], pa.binary())], names=["uid", "keys"])
+                    yield x["uid"], packed(own[mine > 1], (mine[mine > 1] >= hot).astype(np.uint8))
+
+    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _together(counted(rows), _KEYS)
 
     sent = batches.mapInArrow(send, "place int, uid bigint, parcel binary")
     return sent.repartition(_tasks(places), "place").sortWithinPartitions("place").mapInArrow(count, "uid bigint, keys binary")
@@ -181,20 +233,24 @@ def _shared(row: dict, length: int, gram: int, places: int) -> Iterator[tuple[in
     known = np.concatenate([x[0] for x in found])
     order = np.argsort(known)
     known, hot = known[order], np.concatenate([x[1] for x in found])[order] > 0
-    for i, (doc, _, raw) in enumerate(_texts(row)):
+    for low, ids, raw, sizes in _groups(row):
         text = np.frombuffer(raw, np.uint8)
-        key = keys(text, length, gram)
-        if not len(key):
-            continue
-        starts, ends = stretches(key)
-        at = np.minimum(np.searchsorted(known, key[starts]), len(known) - 1)
-        fine = known[at] == key[starts]
-        starts, ends, by, split = starts[fine], ends[fine], key[starts[fine]], hot[at[fine]]
+        doc, starts, ends, key = stretches(text, sizes, length, gram)
+        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        fine = known[at] == key
+        doc, starts, ends, by, split = doc[fine], starts[fine], ends[fine], key[fine], hot[at[fine]]
         if split.any():  # each string of a hot key by itself, under a hash of all its bytes
-            one = np.concatenate([np.arange(s, e) for s, e in zip(starts[split].tolist(), ends[split].tolist(), strict=True)])
-            starts, ends, by = np.r_[starts[~split], one], np.r_[ends[~split], one + 1], np.r_[by[~split], _hashes(text, length, one)]
-        if len(starts):
-            yield i, doc, raw, _place(by, places), starts, ends
+            n = np.where(split, ends - starts, 1)
+            one = np.repeat(starts, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            ends, by, doc, split = np.repeat(ends, n), np.repeat(by, n), np.repeat(doc, n), np.repeat(split, n)
+            starts, ends = one, np.where(split, one + 1, ends)
+            by[split] = _hashes(text, length, one[split])
+        place, begins = _place(by, places), np.cumsum(sizes) - sizes
+        heads = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]][: len(doc)])
+        for s, e in zip(heads.tolist(), [*heads[1:].tolist(), len(doc)], strict=True) if len(doc) else ():
+            i = int(doc[s])
+            b = int(begins[i])
+            yield low + i, int(ids[i]), raw[b : b + int(sizes[i])], place[s:e], starts[s:e] - b, ends[s:e] - b
 
 
 def _sendings(row: dict, length: int, gram: int, places: int) -> tuple[dict[int, dict[bytes, list[int]]], list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]]:
@@ -251,7 +307,7 @@ def _first_holders(stretch: list[bytes], least: np.ndarray, length: int) -> tupl
     return np.bincount(owner[edge], minlength=len(stretch)), within[edge] + 1, first[edge]
 
 
-def _answered(rows: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _answered(rows: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[int, int, bytes]]:
     """(uid, place, answer) for parcels of stretches sorted by place."""
     for place, held in _by_place(rows):
         known: dict[bytes, int] = {}
@@ -272,7 +328,7 @@ def _answered(rows: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         n, ends, first = _first_holders(list(known), np.array(least, np.int64), length)
         for uid, numbers in own:
             at, sizes = _gathered(n, numbers)
-            yield pa.RecordBatch.from_arrays([pa.array([uid], pa.int64()), pa.array([place], pa.int32()), pa.array([packed(sizes, ends[at], first[at])], pa.binary())], names=["uid", "place", "answer"])
+            yield uid, place, packed(sizes, ends[at], first[at])
 
 
 def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, batch_bytes: int = 8 << 20, place_bytes: int = 4 << 20, hot: int = 4096) -> DataFrame:
@@ -291,15 +347,14 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, batch_byte
     shared = written(found.groupBy("uid").agg(F.collect_list("keys").alias("keys")))  # of one batch, so no more than its text
     known = batches.join(shared, "uid", "left")
 
-    def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parcelled(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
         for row in _rows(rows):
             sent, _ = _sendings(row, length, gram, places)
             for p, there in sent.items():
-                blob = packed(np.array([len(x) for x in there], np.int64), np.array([x for _, x in there.values()], np.int64), np.frombuffer(b"".join(there), np.uint8))
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([row["uid"]], pa.int64()), pa.array([blob], pa.binary())], names=["place", "uid", "parcel"])
+                yield p, row["uid"], packed(np.array([len(x) for x in there], np.int64), np.array([x for _, x in there.values()], np.int64), np.frombuffer(b"".join(there), np.uint8))
 
-    parcels = known.where("keys is not null").mapInArrow(send, "place int, uid bigint, parcel binary").repartition(_tasks(places), "place").sortWithinPartitions("place")
-    answers = parcels.mapInArrow(lambda rows: _answered(rows, length), "uid bigint, place int, answer binary")
+    parcels = known.where("keys is not null").mapInArrow(lambda rows: _together(parcelled(rows), _PARCEL), "place int, uid bigint, parcel binary").repartition(_tasks(places), "place").sortWithinPartitions("place")
+    answers = parcels.mapInArrow(lambda rows: _together(_answered(rows, length), _ANSWER), "uid bigint, place int, answer binary")
     answers = written(answers.groupBy("uid").agg(F.collect_list(F.struct("place", "answer")).alias("answers")))
 
     def settle(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

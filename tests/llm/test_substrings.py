@@ -100,3 +100,25 @@ def test_query_and_columns_that_clash(spark, tmp_path):
     assert out.columns == ["doc_id", "text", "spans", "bytes_removed"]
     assert {(r["doc_id"], r["text"], r["bytes_removed"]) for r in out.collect()} == {(1, "x" * 70, 0), (2, "y", 60), (3, None, 0), (3, "", 0)}
     assert substrings.repeated_spans(docs.limit(0)).count() == 0
+
+
+def test_documents_are_scanned_together(monkeypatch):
+    """Stretches of documents that lie one after the other are those of each alone, whatever their sizes; parcels go out many in a record batch."""
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(substrings, "LONGEST", 9)
+    for sizes in ([], [0, 3], [19], [0, 400, 20, 19, 0, 21, 700, 5], [5, 60], [60, 60]):
+        texts = [rng.integers(97, 99, n).astype(np.uint8) if k % 3 else np.full(n, 98, np.uint8) for k, n in enumerate(sizes)]
+        doc, starts, ends, key = substrings.stretches(np.concatenate([np.empty(0, np.uint8), *texts]), np.array(sizes, np.int64), 20, 8)
+        want = []
+        for k, x in enumerate(texts):
+            begin, run = sum(sizes[:k]), []
+            own = [min(substrings._hashes(x[i : i + 20], 8).tolist()) for i in range(len(x) - 19)]
+            for i, h in enumerate(own):
+                if run and run[-1][3] == h and run[-1][2] - run[-1][1] < 9:
+                    run[-1][2] += 1
+                else:
+                    run.append([k, begin + i, begin + i + 1, h])
+            want += run
+        assert [list(r) for r in zip(doc.tolist(), starts.tolist(), ends.tolist(), key.tolist(), strict=True)] == want
+    out = list(substrings._together(((k, k, b"x" * 100) for k in range(600)), substrings._PARCEL))
+    assert [b.num_rows for b in out] == [256, 256, 88] and out[2].column(0)[87].as_py() == 599
