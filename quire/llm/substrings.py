@@ -274,10 +274,10 @@ def _sendings(row: dict, length: int, gram: int, places: int) -> tuple[dict[int,
     return sent, uses
 
 
-def _gathered(sizes: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of groups that lie one after the other with these sizes: the places of the members of the chosen groups, and the sizes of these."""
+def _gathered(lows: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of groups that lie one after the other, each from its low on with its size: the places of the members of the chosen groups, and the sizes of these."""
     n = sizes[chosen]
-    return np.repeat((np.cumsum(sizes) - sizes)[chosen] - (np.cumsum(n) - n), n) + np.arange(n.sum()), n
+    return np.repeat(lows[chosen] - (np.cumsum(n) - n), n) + np.arange(n.sum()), n
 
 
 def _covered(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -326,8 +326,9 @@ def _answered(rows: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[int
                 numbers.append(k)
             own.append((x["uid"], np.array(numbers, np.int64)))
         n, ends, first = _first_holders(list(known), np.array(least, np.int64), length)
+        lows = np.cumsum(n) - n  # once a place, not once a batch
         for uid, numbers in own:
-            at, sizes = _gathered(n, numbers)
+            at, sizes = _gathered(lows, n, numbers)
             yield uid, place, packed(sizes, ends[at], first[at])
 
 
@@ -368,11 +369,11 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, batch_byte
             for p, n in counts.items():
                 base[p], total = total, total + n
             n, ends, first = (np.concatenate([answers[p][k] for p in counts]) if counts else np.empty(0, np.int64) for k in range(3))
-            begins = np.r_[0, ends[:-1]][: len(ends)]
-            begins[(np.cumsum(n) - n)] = 0
+            begins, lows = np.r_[0, ends[:-1]][: len(ends)], np.cumsum(n) - n  # once a batch, not once a document
+            begins[lows] = 0
             gone: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for i, doc, at, numbers, starts in uses:
-                which, sizes = _gathered(n, base[at] + numbers)
+                which, sizes = _gathered(lows, n, base[at] + numbers)
                 which, start = which[first[which] < doc], np.repeat(starts, sizes)[first[which] < doc]
                 gone[i] = _covered(start + begins[which], start + ends[which] + length - 1)
             uses = []

@@ -122,3 +122,11 @@ def test_documents_are_scanned_together(monkeypatch):
         assert [list(r) for r in zip(doc.tolist(), starts.tolist(), ends.tolist(), key.tolist(), strict=True)] == want
     out = list(substrings._together(((k, k, b"x" * 100) for k in range(600)), substrings._PARCEL))
     assert [b.num_rows for b in out] == [256, 256, 88] and out[2].column(0)[87].as_py() == 599
+
+
+def test_members_of_chosen_groups():
+    """Lows come from outside, so that gathering costs what is gathered and not all there is."""
+    sizes = np.array([2, 1, 3])
+    at, n = substrings._gathered(np.array([0, 2, 3]), sizes, np.array([2, 0, 2]))
+    assert at.tolist() == [3, 4, 5, 0, 1, 3, 4, 5] and n.tolist() == [3, 2, 3]
+    assert substrings._gathered(np.array([0, 2, 3]), sizes, np.empty(0, np.int64))[0].tolist() == []
